@@ -133,6 +133,33 @@ def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return h, np.searchsorted(at, a, "right") - 1, a, b
 
 
+#: Byte class of words: ASCII letters and digits and every byte of a multi-byte character.
+_WORD = np.zeros(256, bool)
+_WORD[0x30:0x3A] = _WORD[0x41:0x5B] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
+BYTE_CODE = np.random.default_rng(7).integers(1, 2**63, 257, np.uint64)
+
+
+def bag(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of the texts: (hash, row, first byte, byte after) of each, A-Z lowered."""
+    n = len(raw)
+    if not n:
+        z = np.zeros(0, np.int64)
+        return z.view(np.uint64), z, z, z
+    inside = _WORD[raw]
+    edge = np.zeros(n + 1, bool)
+    edge[at] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:n]
+    last[:-1] &= ~inside[1:] | edge[1:n]
+    a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
+    up, down = powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(BYTE_CODE[LOWER[raw]] * up[:n], out=total[1:])
+    return mix((total[b] - total[a]) * down[a]), np.searchsorted(at, a, "right") - 1, a, b
+
+
 def shingles(h: np.ndarray, row: np.ndarray, rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of runs of ``width`` words with their row; a row with fewer words is one run."""
     if not len(h):
@@ -157,6 +184,16 @@ def shingles(h: np.ndarray, row: np.ndarray, rows: int, width: int) -> tuple[np.
     return out, of
 
 
+def short_runs(h: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Runs of n < ``width`` words, hashed as :func:`shingles` hashes a text of n words."""
+    m = max(0, len(h) - n + 1)
+    whole = np.full(m, n, np.uint64)
+    factor = mix(np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+    for i in range(n):
+        whole += h[i : i + m] * factor[i]
+    return mix(whole)
+
+
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c.cast(t) for c, t in zip(columns, schema.types)], schema=schema)
 

@@ -20,19 +20,39 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.pst import LanguageModelScores
+
+    return LanguageModelScores().scores(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.exact import exact_duplicates
 
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.toxicity import held_out, score_texts, train
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_texts(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op5_exact_dedup, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_lm_scores, op4_decontamination, op5_exact_dedup, op7_toxicity, op9_packing)}
 
 ORACLE_SQL = {
     "op1_minhash_near_dedup": """
