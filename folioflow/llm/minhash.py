@@ -13,8 +13,8 @@
 5. What remains in short lists is paired within the list.  The members of
    long lists (a passage that many texts share) are listed again under all
    retained values, rarest first, and only as many of them as a link can
-   avoid (the prefix filter); a list that is still long is compared in
-   blocks, which emit only pairs whose sketches pass.
+   avoid (the prefix filter); lists that are still long are compared in
+   blocks of full sets, which emit a forest of the links they find.
 6. A pair is kept when the sketch of the union admits the wanted overlap
    (six standard deviations below it) and sizes allow it, and is a link when
    the exact Jaccard of the two full sets says so.  Components of the links
@@ -121,6 +121,42 @@ def _one_set(text: pa.Scalar, width: int) -> np.ndarray:
     return shingle_sets(raw, np.array([0, len(raw)]), width)[0]
 
 
+def forest(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, comp: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the sets i and the sets j that join parts not joined yet; ``comp`` names the parts so far."""
+    size = np.array([len(s) for s in sets], np.int64)
+    values, column = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    often = np.bincount(column, minlength=len(values)) > 1
+    number = np.cumsum(often) - 1
+    row = np.repeat(np.arange(len(sets)), size)[often[column]]
+    column = number[column[often[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(i), len(j)), np.float32)
+    step = 4096
+    for lo in range(0, int(often.sum()), step):
+        p, q = np.searchsorted(column, [lo, lo + step])
+        one = np.zeros((len(sets), step), np.float32)
+        one[row[p:q], column[p:q] - lo] = 1
+        shared += one[i] @ one[j].T
+    link = (shared > 0) & (100 * shared >= percent * (size[i][:, None] + size[j][None, :] - shared)) & (comp[i][:, None] != comp[j][None, :])
+    root = {c: c for c in comp.tolist()}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for x, y in zip(*np.nonzero(link)):
+        p, q = find(int(comp[i[x]])), find(int(comp[j[y]]))
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((i[x], j[y]))
+    a, b = (np.array(z, np.int64) for z in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return a, b
+
+
 class NearDuplicates:
     """Groups of near-duplicate texts of ``docs`` (id, text).
 
@@ -171,11 +207,12 @@ class NearDuplicates:
         short = at.join(active.where(F.col("n") <= SHORT_LIST).select("value"), "value")
         pairs = self._pairs(short)
         hot = at.join(active.where(F.col("n") > SHORT_LIST).select("value"), "value").select("rep", "comp").distinct()
-        pairs = pairs.union(self._rare_first(materialize(hot, "hot"))).distinct()
+        rare, dense = self._rare_first(materialize(hot, "hot"))
+        pairs = pairs.union(rare).distinct()
         pairs = pairs.join(star, ["a", "b"], "left_anti")
         more = self._links(materialize(pairs, "pairs"))
         drop_materialized(at, active, entries, star)
-        return components(found.union(more))
+        return components(found.union(more).union(self._blocks(dense)))
 
     @staticmethod
     def _pairs(lists: DataFrame) -> DataFrame:
@@ -184,8 +221,8 @@ class NearDuplicates:
         y = lists.select("value", F.col("rep").alias("b"), F.col("comp").alias("cb"))
         return x.join(y, "value").where("a < b AND ca <> cb").select("a", "b").distinct()
 
-    def _rare_first(self, hot: DataFrame) -> DataFrame:
-        """Pairs among the members of long lists, listed by their rarest values."""
+    def _rare_first(self, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The members of long lists, listed by their rarest values: pairs of short lists, and the lists still long."""
         k, percent = self.k, self.percent
         full = hot.join(self.sketches, "rep")
 
@@ -211,35 +248,34 @@ class NearDuplicates:
         stats = materialize(stats, "prefixstats")
         short = listed.join(stats.where(F.col("n") <= SHORT_LIST).select("value"), "value")
         dense = listed.join(stats.where(F.col("n") > SHORT_LIST), "value")
-        return self._pairs(short).union(self._blocks(dense))
+        return self._pairs(short), dense
 
     def _blocks(self, dense: DataFrame) -> DataFrame:
-        """Pairs within long lists, compared block against block on sketches."""
-        k, percent = self.k, self.percent
+        """Links within long lists: full sets compared block against block.
+
+        Lists that share members make a family, so no pair is compared once
+        per list.  A task holds two blocks and emits a forest of the links
+        between them, at most one row per text.
+        """
+        width, percent = self.width, self.percent
+        hubs = dense.groupBy("value").agg(F.min("rep").alias("a"))
+        families = components(dense.join(hubs, "value").select("a", F.col("rep").alias("b")))
+        members = dense.select("rep", "comp").distinct().join(families.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep")
+        members = materialize(members, "members")
+        sized = members.join(members.groupBy("family").agg(F.count("*").alias("n")), "family")
         blocks = F.ceil(F.col("n") / BLOCK)
-        own = dense.withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).select(F.col("value"), "rep", "comp", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        own = own.select("value", "rep", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        own = own.join(self.sketches.withColumnRenamed("n", "size"), "rep")
-
-        def compare(group):
-            rep, comp, size, block = (group[c].to_numpy() for c in ("rep", "comp", "size", "block"))
-            sketch = [np.frombuffer(x, np.uint64) for x in group["sketch"]]
-            i, j = group["i"].iloc[0], group["j"].iloc[0]
-            order = np.argsort(size, kind="stable")
-            out = []
-            for x in range(len(order)):
-                p = order[x]
-                y = x + 1
-                while y < len(order) and 100 * size[p] >= percent * size[order[y]]:
-                    q = order[y]
-                    y += 1
-                    if comp[p] != comp[q] and (i == j or block[p] != block[q]) and passes(sketch[p], sketch[q], size[p], size[q], k, percent):
-                        out.append((min(rep[p], rep[q]), max(rep[p], rep[q])))
-            import pandas as pd
-
-            return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-        return own.groupBy("value", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+        own = sized.withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).select("family", "rep", "comp", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        own = own.select("family", "rep", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        texts = self._texts(members.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
+
+        def compare(group: pa.Table) -> pa.Table:
+            rep, comp, block = (group.column(c).to_numpy() for c in ("rep", "comp", "block"))
+            sets = [s for batch in group.select(["text"]).combine_chunks().to_batches() for _, raw, at in slices(batch, "text") for s in shingle_sets(raw, at, width)]
+            i, j = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+            a, b = forest(sets, i, j, comp, percent)
+            return pa.table({"a": pa.array(rep[a], pa.int64()), "b": pa.array(rep[b], pa.int64())})
+
+        return materialize(own.join(texts, "rep").select("family", "i", "j", "rep", "comp", "block", "text").groupBy("family", "i", "j").applyInArrow(compare, "a bigint, b bigint"), "dense")
 
     # --- pairs to links ----------------------------------------------------
 
@@ -254,11 +290,15 @@ class NearDuplicates:
         both = sized.join(sa, "a").join(sb, "b")
         kept = materialize(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lambda it: _estimate(it, k, percent), "a bigint, b bigint, sure boolean"), "estimated")
         open_pairs = kept.where("NOT sure").select("a", "b")
-        ids = materialize(open_pairs.select("a").union(open_pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "ids")
-        if ids.count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        texts = self.docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        texts = self._texts(open_pairs.select("a").union(open_pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"))
         ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
         tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
         checked = open_pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(lambda it: _verify(it, width, percent), "a bigint, b bigint")
         return materialize(kept.where("sure").select("a", "b").union(checked), "verified")
+
+    def _texts(self, ids: DataFrame) -> DataFrame:
+        """The texts of ``ids``, one row each; the ids are broadcast only while they are few."""
+        ids = materialize(ids, "ids")
+        if ids.count() <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
+        return self.docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
