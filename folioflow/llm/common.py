@@ -200,3 +200,11 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 def binaries(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows of ``ids`` (one column); broadcast only while the ids are few."""
+    ids = materialize(ids.distinct(), "dropped")
+    if ids.count() <= BROADCAST_IDS:
+        ids = ids.hint("broadcast")
+    return docs.join(ids, id_col, "left_anti")

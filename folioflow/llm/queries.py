@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import table
+from folioflow.llm.licenses import oracle_sql as _license_sql
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.licenses import license_matches
+
+    return license_matches(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.toxicity import held_out, score_texts, train
 
@@ -46,13 +53,28 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.html_crf import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_lm_scores, op4_decontamination, op5_exact_dedup, op7_toxicity, op9_packing)}
+def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.quality import site_quality, train
+    from folioflow.llm.toxicity import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    # documents name their site in `source`; the language stands for the path within it
+    return site_quality(docs, train(docs, table(spark, sf_dir, "labels"), ~held_out()), F.col("source"), F.col("lang"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_lm_scores, op4_decontamination, op5_exact_dedup, op6_license_scan, op7_toxicity, op8_html_text, op9_packing, op10_site_quality)}
 
 ORACLE_SQL = {
     "op1_minhash_near_dedup": """
@@ -72,6 +94,7 @@ ORACLE_SQL = {
         SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) AS component_id,
             s.doc_id = least(s.doc_id, coalesce(m, s.doc_id)) AS kept
         FROM s LEFT JOIN c ON c.a = s.doc_id""",
+    "op6_license_scan": _license_sql(),
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256

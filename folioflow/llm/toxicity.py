@@ -211,3 +211,17 @@ def train(docs: DataFrame, labels: DataFrame, fold: int | None = 0) -> SubwordSo
     keep = ~held_out(fold=fold) if fold is not None else F.lit(True)
     texts, ys = fit_sample(docs, labels, "toxic", keep)
     return SubwordSoftmax().fit(texts, ys)
+
+
+def without_toxic(docs: DataFrame, model: SubwordSoftmax, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows predicted toxic; decided where the row is read, without a shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            keep = [np.ones(0, bool)]
+            for _, raw, at in slices(batch, text_col):
+                keep.append(held.value.scores(raw, at) < 0.5)
+            yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)
