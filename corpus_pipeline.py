@@ -1,3 +1,56 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir): return spark.read.parquet(f"{sf_dir}/documents.parquet")
+"""From raw documents to training sequences: five stages, each one of the corpus operators.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
+last return the columns of ``documents``.  Null text counts as empty
+throughout and an empty table passes through every stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioflow.llm.common import materialize, table, without
+from folioflow.llm.decontaminate import without_contaminated
+from folioflow.llm.exact import exact_duplicates
+from folioflow.llm.minhash import NearDuplicates
+from folioflow.llm.packing import pack
+from folioflow.llm.toxicity import train, without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows predicted toxic go."""
+    return without_toxic(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest doc_id stays."""
+    return without(docs, exact_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, Jaccard 0.8) the smallest doc_id stays."""
+    return without(docs, NearDuplicates(width=5, percent=80).classes(docs).where("NOT kept").select("doc_id"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold a benchmark item go."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Power-of-two pieces of the documents that stayed."""
+    return pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
+
+#: The first stage is a trained classifier, which SQL cannot express.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
