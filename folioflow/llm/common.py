@@ -98,17 +98,22 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Runs of rows of about ``limit`` bytes of text: (rows, their bytes, offsets from 0)."""
-    raw, at = utf8(batch.column(text))
-    lo, n = 0, len(batch)
+def row_slices(raw: np.ndarray, at: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of texts of about ``limit`` bytes: (first, after, bytes, offsets from 0)."""
+    lo, n = 0, len(at) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)
         hi = min(hi, n)
-        yield batch.slice(lo, hi - lo), raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+        yield lo, hi, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
 
 
+def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Runs of rows of about ``limit`` bytes of text: (rows, their bytes, offsets from 0)."""
+    for lo, hi, raw, at in row_slices(*utf8(batch.column(text)), limit):
+        yield batch.slice(lo, hi - lo), raw, at
+
+
 def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words between separators, A-Z lowered: (64-bit hash, row, first byte, byte after) of each.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import SEPARATOR, bag, batch_of, materialize, slices, utf8
+from folioflow.llm.common import SEPARATOR, bag, batch_of, materialize, row_slices, slices, utf8
 from folioflow.llm.toxicity import fit_sample
 
 FEATURES = 12
@@ -66,7 +66,7 @@ class Logistic:
 
 def train(docs: DataFrame, labels: DataFrame, keep) -> Logistic:
     texts, ys = fit_sample(docs, labels, "quality", keep)
-    x = features(*utf8(pa.array(texts, pa.large_string()))) if texts else np.zeros((0, FEATURES))
+    x = np.concatenate([np.zeros((0, FEATURES)), *(features(raw, at) for _, _, raw, at in row_slices(*utf8(pa.array(texts, pa.large_string()))))])
     return Logistic().fit(x, np.asarray(ys, float))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import BYTE_CODE, LOWER, bag, batch_of, mix, slices, utf8
+from folioflow.llm.common import BYTE_CODE, LOWER, bag, batch_of, mix, row_slices, slices, utf8
 
 def ngrams(raw: np.ndarray, a: np.ndarray, b: np.ndarray, h: np.ndarray, sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the subwords of the words raw[a:b], as (bucket, word index), the whole word first."""
@@ -77,9 +77,12 @@ class SubwordSoftmax:
         texts, labels = zip(*dict.fromkeys(zip(texts, labels))) if len(texts) else ((), ())  # copies count once
         y = np.asarray(labels, float)
         raw, at = utf8(pa.array(texts, pa.large_string()))
-        h, row, a, b = bag(raw, at)
+        found = [(h, row + lo, a + at[lo], b + at[lo]) for lo, _, part, own in row_slices(raw, at) for h, row, a, b in [bag(part, own)]]
+        h, row, a, b = (np.concatenate(x) for x in zip(*found)) if found else bag(raw, at)
         vocab, first, word = np.unique(h, return_index=True, return_inverse=True)
         sub, of = ngrams(raw, a[first], b[first], vocab, self.sizes, self.buckets)
+        del found, h, a, b
+        sub, word = sub.astype(np.int32), word.astype(np.int32)
         cut = np.searchsorted(of, np.arange(len(vocab) + 1))
         spans = np.diff(cut)
         passage, passage_row = windows_of(row, len(y), self.window)
@@ -123,7 +126,7 @@ class SubwordSoftmax:
         self.fold = (E @ (W[:, 1] - W[:, 0])).astype(np.float32)
         self.bias = float(bias)
         self.scale, self.shift = 1.0, 0.0
-        self._calibrate(self.logits(raw, at), y)
+        self._calibrate(np.concatenate([np.zeros(0), *(self.logits(part, own) for _, _, part, own in row_slices(raw, at))]), y)
         return self
 
     def _calibrate(self, z: np.ndarray, y: np.ndarray) -> None:
@@ -159,7 +162,7 @@ class SubwordSoftmax:
 
 
 #: Labelled rows that a fit may see at most, and bytes of their texts.
-FIT_ROWS, FIT_BYTES = 6_000, 12 << 20
+FIT_ROWS, FIT_BYTES = 5_000, 8 << 20
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, label: str, keep, rows: int = FIT_ROWS, limit: int = FIT_BYTES) -> tuple[list[str], list[int]]:
