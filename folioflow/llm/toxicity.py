@@ -55,9 +55,9 @@ def ngrams(raw: np.ndarray, a: np.ndarray, b: np.ndarray, h: np.ndarray, sizes:
 def windows_of(row: np.ndarray, rows: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Passage of each word and row of each passage: runs of ``window`` words of one row."""
     count = np.bincount(row, minlength=rows)
-    place = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     per = -(-count // window)
-    base = np.concatenate([[0], np.cumsum(per)[:-1]])
+    base = np.cumsum(per) - per
     return base[row] + place // window, np.repeat(np.arange(rows), per)
 
 
