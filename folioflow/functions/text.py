@@ -54,8 +54,10 @@ def json_string(text: Column) -> Column:
     """The text as a JSON string literal, non-ASCII kept, control escapes in lower case; null as ``null``."""
     quoted = F.to_json(F.struct(text.alias("x")))
     out = F.substring(quoted, F.lit(6), F.length(quoted) - 6)
+    lower = out
     for code in ("0B", "0E", "0F", *(f"1{d}" for d in "ABCDEF"), "7F"):
-        out = F.regexp_replace(out, f"(?<!\\\\)((?:\\\\\\\\)*)\\\\u00{code}", f"$1\\\\u00{code.lower()}")
+        lower = F.regexp_replace(lower, f"(?<!\\\\)((?:\\\\\\\\)*)\\\\u00{code}", f"$1\\\\u00{code.lower()}")
+    out = F.when(out.contains("\\u00"), lower).otherwise(out)  # control characters are rare
     return F.when(text.isNull(), "null").otherwise(out)
 
 
