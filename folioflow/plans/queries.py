@@ -9,9 +9,11 @@ from pyspark.sql import Window as W
 from folioflow.functions import geometry as G
 from folioflow.functions import text as X
 from folioflow.operators import blocks as B
+from folioflow.operators import integrity as I
 from folioflow.operators import layout as L
 from folioflow.operators import markdown as M
 from folioflow.operators import pages as P
+from folioflow.operators import planning as N
 from folioflow.operators import provenance as R
 from folioflow.operators import tables as T
 from folioflow.operators import versions as V
@@ -495,3 +497,96 @@ def view_page_states(spark, sf_dir):
 def view_blocks(spark, sf_dir):
     data = VW.view_data(_blocks(spark, sf_dir))
     return data.select("document_id", F.size(F.from_json("data", "blocks array<struct<ord: int>>")["blocks"]).cast("bigint").alias("blocks"), (~F.col("data").contains("<")).alias("shown"))
+
+
+# --- planning and integrity -----------------------------------------------------------------
+
+_KINDS = "k AS (SELECT *, box_id % 3 AS m FROM bx)"
+_OVER = "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)"
+
+
+@query(f"""WITH {_BOXES}, {_KINDS} SELECT DISTINCT a.page, a.box_id FROM k a JOIN k b ON a.page = b.page AND a.m = 0 AND b.m = 1 AND {_OVER} / ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {_OVER}) >= 0.5""")
+def confirmed_tables(spark, sf_dir):
+    b = _boxes(spark, sf_dir)
+    return N.confirmed(b.where("box_id % 3 = 0"), b.where("box_id % 3 = 1"), ["page"]).select("page", "box_id")
+
+
+@query(f"""WITH {_BOXES} SELECT page, box_id FROM bx a WHERE NOT EXISTS (SELECT 1 FROM bx b WHERE a.page = b.page AND a.box_id <> b.box_id AND a.x0 <= b.x0 AND a.y0 <= b.y0 AND a.x1 >= b.x1 AND a.y1 >= b.y1 AND (a.x1 - a.x0) * (a.y1 - a.y0) > (b.x1 - b.x0) * (b.y1 - b.y0))""")
+def inner_boxes(spark, sf_dir):
+    return N.inner_boxes(_boxes(spark, sf_dir), ["page"]).select("page", "box_id")
+
+
+@query(f"""WITH {_BOXES}, {_KINDS}, j AS (SELECT a.page, a.box_id AS figure, b.box_id AS photo, (a.box_id * 7 % 100)::DOUBLE AS score, row_number() OVER (PARTITION BY a.page, a.box_id ORDER BY (b.x1 - b.x0) * (b.y1 - b.y0), b.box_id) AS r FROM k a JOIN k b ON a.page = b.page AND a.m = 0 AND b.m = 1 AND {_OVER} / ((a.x1 - a.x0) * (a.y1 - a.y0)) >= 0.8)
+    SELECT page, photo, figure FROM (SELECT *, row_number() OVER (PARTITION BY page, photo ORDER BY score DESC, figure) AS z FROM j WHERE r = 1) WHERE z = 1""")
+def photo_hosts(spark, sf_dir):
+    b = _boxes(spark, sf_dir).withColumn("score", (F.col("box_id") * 7 % 100).cast("double"))
+    return N.photo_hosts(b.where("box_id % 3 = 0"), b.where("box_id % 3 = 1"), ["page"])
+
+
+_GAP = "CASE WHEN least(a.x1, b.x1) - greatest(a.x0, b.x0) >= 0.3 * least(a.x1 - a.x0, b.x1 - b.x0) THEN greatest(b.y0 - a.y1, a.y0 - b.y1, 0) END"
+
+
+@query(f"""WITH {_BOXES}, {_KINDS}, n AS (SELECT a.page, a.box_id AS caption, min({_GAP}) FILTER (b.m = 0) AS t, min({_GAP}) FILTER (b.m = 1) AS f FROM (SELECT * REPLACE (y0 + 10 AS y1) FROM k WHERE m = 2) a JOIN k b ON a.page = b.page AND b.m <> 2 GROUP BY ALL) SELECT page, caption, t FROM n WHERE t <= 30 AND (f IS NULL OR f > 30 OR t <= f)""")
+def table_titles(spark, sf_dir):
+    b = _boxes(spark, sf_dir)
+    return N.table_titles(b.where("box_id % 3 = 2").withColumn("y1", F.col("y0") + 10), b.where("box_id % 3 = 0"), b.where("box_id % 3 = 1"), ["page"])
+
+
+@query("""WITH s AS (SELECT o_custkey AS k, o_orderkey * 7 % 1000 AS lo, o_orderkey * 7 % 1000 + 20 + o_orderkey % 300 AS hi FROM orders), e AS (SELECT k, lo AS pos FROM s UNION SELECT k, hi FROM s), c AS (SELECT *, lead(pos) OVER (PARTITION BY k ORDER BY pos) AS nxt FROM e), n AS (SELECT c.k, c.pos, c.nxt, (SELECT count(*) FROM s WHERE s.k = c.k AND s.lo <= c.pos AND s.hi > c.pos) <= 1 AS ok FROM c WHERE nxt IS NOT NULL),
+    g AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY pos ROWS UNBOUNDED PRECEDING) AS grp FROM n) SELECT k, min(pos) AS lo, max(nxt) AS hi FROM g WHERE ok GROUP BY k, grp""")
+def free_runs(spark, sf_dir):
+    lo = F.col("o_orderkey") * 7 % 1000
+    return N.free_runs(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), lo.alias("lo"), (lo + 20 + F.col("o_orderkey") % 300).alias("hi")), ["k"], 1)
+
+
+@query(f"""WITH {_RULES}, e AS (SELECT o_orderkey // 100 AS page, o_orderkey AS edge_id, o_orderkey % 2 AS v, (o_orderkey * 17 % 700)::DOUBLE AS pos, (o_orderkey * 5 % 400)::DOUBLE AS lo, (o_orderkey * 5 % 400 + 90)::DOUBLE AS hi FROM orders), m AS (SELECT e.page, edge_id, lo, hi, greatest(s, lo) AS a, least(e, hi) AS z FROM e JOIN ru ON e.page = ru.page AND e.v = ru.v AND abs(e.pos - ru.pos) <= 1.5 WHERE least(e, hi) > greatest(s, lo)),
+    g AS (SELECT *, greatest(z - greatest(a, coalesce(max(z) OVER (PARTITION BY page, edge_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a)), 0) AS gain FROM m) SELECT page, edge_id, round(sum(gain) / 90, 6) AS cover FROM g GROUP BY page, edge_id""")
+def edge_cover(spark, sf_dir):
+    k = F.col("o_orderkey")
+    edges = _t(spark, sf_dir, "orders").select(F.floor(k / 100).alias("page"), k.alias("edge_id"), F.when(k % 2 == 0, "h").otherwise("v").alias("axis"), (k * 17 % 700).cast("double").alias("pos"), (k * 5 % 400).cast("double").alias("lo"), (k * 5 % 400 + 90).cast("double").alias("hi"))
+    return N.edge_cover(edges, _rules(spark, sf_dir), ["page"]).where("cover > 0").select("page", "edge_id", F.round("cover", 6).alias("cover"))
+
+
+@query(f"""WITH {_CHARS}, ln AS (SELECT DISTINCT document_id, page, line AS line_id, 70 + r * 14.0 AS base FROM p), m AS (SELECT ln.document_id, ln.page, line_id, count(*) FILTER (r = (line_id % 50) AND i % 80 < 40 AND document_id % 5 <> 0) AS n FROM ln JOIN p USING (document_id, page) GROUP BY ALL)
+    SELECT document_id, page, line_id, round(n * 6.0 / 240, 6)::DOUBLE AS covered FROM m""".replace("FROM ln JOIN p USING (document_id, page) GROUP BY ALL", "FROM ln JOIN (SELECT document_id, page, line AS line_id, r, i FROM p) q USING (document_id, page, line_id) GROUP BY ALL"))
+def covered_share(spark, sf_dir):
+    chars = _chars(spark, sf_dir)
+    line = F.floor(F.col("char_id") / 80)
+    lines = chars.select("document_id", "page", line.alias("line_id"), F.lit(60.0).alias("x0"), F.lit(300.0).alias("x1"), F.col("baseline").alias("b")).distinct().select("document_id", "page", "line_id", "x0", "x1", (F.col("b") - 7).alias("y0"), (F.col("b") + 1).alias("y1"))
+    return N.covered_share(lines, chars, ["document_id", "page"]).select("document_id", "page", "line_id", F.round("covered", 6).alias("covered"))
+
+
+@query("""WITH d AS (SELECT o_custkey AS page, o_orderkey % 50 AS row, count(*) AS n FROM orders GROUP BY ALL) SELECT page, row * 3.0::DOUBLE AS pos, 10.0::DOUBLE AS start, (10 + (n * 6 - 1) * 2 + 1)::DOUBLE AS "end", CAST(n * 6 AS INTEGER) AS pieces FROM d""")
+def dash_join(spark, sf_dir):
+    d = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("page"), (F.col("o_orderkey") % 50).alias("row")).agg(F.count("*").alias("n"))
+    p = d.select("page", F.lit("h").alias("axis"), (F.col("row") * 3.0).alias("pos"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") * 6 - 1)).alias("i"))
+    return N.join_dashes(p.select("page", "axis", "pos", (10.0 + F.col("i") * 2).alias("start"), (11.0 + F.col("i") * 2).alias("end")), ["page"]).select("page", "pos", "start", "end", "pieces")
+
+
+@query("""SELECT o_custkey AS document_id, CAST(1 AS INTEGER) AS version, o_orderkey AS ord, p.problem FROM orders, (VALUES (3, 'table'), (5, 'level'), (7, 'mixed'), (11, 'source'), (11, 'state')) p(m, problem) WHERE o_orderkey % p.m = 0 AND (p.m <> 11 OR o_orderkey % 7 <> 0)""")
+def block_problems(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), F.lit(1).alias("version"), k.alias("ord"), F.lit("paragraph").alias("kind"), (k % 3 == 0).alias("has_table"), F.when(k % 5 == 0, 2).alias("level"), F.when((k % 11 == 0) & (k % 7 != 0), "unverified").otherwise("det").alias("state"), F.when(k % 7 == 0, "mixed").when(k % 11 == 0, "vlm").otherwise("native").alias("text_source"))
+    return I.block_problems(o, o.select("document_id", "version").distinct().withColumn("layer_state", F.lit("det")))
+
+
+@query("""SELECT o_custkey AS document_id, CAST(o_orderkey + 1 AS INTEGER) AS page, p.problem FROM orders, (VALUES (4, 'rotation'), (6, 'ledger'), (10, 'replaced')) p(m, problem) WHERE o_orderkey % p.m = 0""")
+def page_problems(spark, sf_dir):
+    k = F.col("o_orderkey")
+    pages = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), (k + 1).cast("int").alias("page"), F.lit(600.0).alias("width_pt"), F.lit(800.0).alias("height_pt"), F.when(k % 4 == 0, 45).otherwise(90).alias("rotation"), F.lit("digital").alias("text_layer"), F.when(k % 6 == 0, 9).otherwise(F.when(k % 10 == 0, 8).otherwise(7)).alias("layer_chars"), F.lit(5).alias("in_blocks"), F.lit(2).alias("hidden"), F.when(k % 10 == 0, 1).otherwise(0).alias("replaced"), F.lit(0).alias("rescued"))
+    return I.page_problems(pages)
+
+
+@query("SELECT user_id AS document_id, max(event_id) AS version, count(*) AS changes FROM events GROUP BY user_id")
+def stream_latest(spark, sf_dir):
+    """The feed as a stream, every file once, folded into one table batch by batch."""
+    import uuid
+
+    from folioflow.sources.storage import shared_path
+    from folioflow.streaming import feed
+
+    root = f"{shared_path(spark)}/folio-stream-{uuid.uuid4().hex[:12]}"
+    events = spark.readStream.schema(_t(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").select(F.col("user_id").alias("document_id"), F.col("event_id").alias("version"))
+    feed.run_batches(feed.latest_per_document(events), lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}"), f"{root}/checkpoint", mode="update")
+    out = spark.read.parquet(f"{root}/out").withColumn("batch", F.col("batch").cast("bigint"))
+    return V.latest(out.select("document_id", "batch", F.struct("version", "changes").alias("s")), version="batch").select("document_id", "s.version", "s.changes")

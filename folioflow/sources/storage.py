@@ -23,12 +23,21 @@ class StoreConflict(Exception):
     """Another writer has committed the version or number first."""
 
 
+def shared_path(spark: SparkSession) -> str:
+    """The folder all executors share; a temporary one only where none is set (tests)."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.getCheckpointDir():
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folio-checkpoint-"))
+    return named or sc.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder (a temporary one only where none is set)."""
+    """Cut the lineage through the shared folder."""
     sc = df.sparkSession.sparkContext
+    where = shared_path(df.sparkSession)
     if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="folio-checkpoint-"))
+        sc.setCheckpointDir(where)
     return df.checkpoint()
 
 
