@@ -19,20 +19,11 @@ LIST_MARKER = "^\\s*(\\d+[.)](?!\\s*\\d+[.)](?:\\s|$|\\d+[.)]))|\\(\\d+\\)|[가
 def _unstable(form: str) -> str:
     """A Java character class with every code point that ``form`` may change or reorder.
 
-    From U+0300 on, runs of fewer than 64 stable code points between others
-    are taken in too: a short class is fast, and Python decides those rows.
+    From U+0250 on it takes in every code point: a short class is fast in the
+    JVM, and Python decides those rows.
     """
-    ranges: list[list[int]] = []
-    for c in range(0x80, 0x110000):
-        if 0xD800 <= c < 0xE000:
-            continue
-        s = chr(c)
-        if unicodedata.combining(s) or 0x1161 <= c <= 0x11C2 or unicodedata.normalize(form, s) != s:
-            if ranges and c - ranges[-1][1] <= (64 if ranges[-1][1] >= 0x300 else 1):
-                ranges[-1][1] = c
-            else:
-                ranges.append([c, c])
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+    odd = [c for c in range(0x80, 0x250) if unicodedata.normalize(form, chr(c)) != chr(c)]
+    return "[" + "".join(f"\\x{{{c:X}}}" for c in odd) + "\\x{250}-\\x{10FFFF}]"
 
 
 def unicode_normal(df: DataFrame, column: str, form: str = "NFKC") -> DataFrame:
