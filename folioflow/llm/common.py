@@ -6,6 +6,7 @@ slices of a few MB, so a task's memory does not follow its partition's size.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -21,7 +22,15 @@ SLICE_BYTES = 1 << 20
 BROADCAST_IDS = 200_000
 
 
+#: Rows of an Arrow batch of whole texts, where the session has no choice of its own.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver's; batches of texts to Python are kept small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # the default
+        spark.conf.set(key, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -98,6 +107,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at
 
 
+def trim() -> None:
+    """Give freed memory back: workers live on between tasks, and executors count what they hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def row_slices(raw: np.ndarray, at: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of texts of about ``limit`` bytes: (first, after, bytes, offsets from 0)."""
     lo, n = 0, len(at) - 1
@@ -112,6 +130,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
     """Runs of rows of about ``limit`` bytes of text: (rows, their bytes, offsets from 0)."""
     for lo, hi, raw, at in row_slices(*utf8(batch.column(text)), limit):
         yield batch.slice(lo, hi - lo), raw, at
+    trim()
 
 
 def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

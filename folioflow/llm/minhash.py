@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import BROADCAST_IDS, batch_of, binaries, drop_materialized, materialize, shingles, slices, words
+from folioflow.llm.common import BROADCAST_IDS, batch_of, binaries, drop_materialized, materialize, shingles, slices, trim, words
 from folioflow.llm.components import components
 
 #: Members up to which a list is paired directly.
@@ -95,6 +95,8 @@ def _estimate(batches, k: int, percent: int):
         sa, sb = batch.column("sa"), batch.column("sb")
         keep = np.array([passes(np.frombuffer(sa[i].as_buffer(), np.uint64), np.frombuffer(sb[i].as_buffer(), np.uint64), na[i], nb[i], k, percent) for i in range(len(batch))], bool)
         yield batch_of(schema, a[keep], b[keep], ((na <= k) & (nb <= k))[keep])
+        del batch, sa, sb
+        trim()
 
 
 def _verify(batches, width: int, percent: int):
@@ -113,6 +115,8 @@ def _verify(batches, width: int, percent: int):
             if both and 100 * both >= percent * (len(sa) + len(sb) - both):
                 keep.append(i)
         yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int64())), b.take(pa.array(keep, pa.int64()))], schema=schema)
+        del batch, ta, tb
+        trim()
 
 
 def _one_set(text: pa.Scalar, width: int) -> np.ndarray:
