@@ -7,13 +7,19 @@ so far.
 
 Training: every partition counts its (context, next) pairs of the largest
 order and sends distinct pairs with counts; shorter contexts' counts are sums
-of those.  A context may be kept when it makes up at least ``least_share`` of
-all training positions (so at most 1 / least_share of each length exist,
-whatever the corpus) and when its next-symbol distribution diverges from its
-suffix's by a test: n * KL > penalty * distinct nexts * ln(n) / 2.  Suffixes
-of kept contexts are kept.  Distributions are smoothed toward the suffix's
-with a weight of as many positions as it has distinct nexts (Witten-Bell).
-Scoring uses the longest kept suffix of what precedes each symbol.
+of those.  A context may be kept when it was seen ``least`` times, a fixed
+number whatever the corpus, and when its next-symbol distribution diverges
+from its suffix's by a test: n * KL > penalty * distinct nexts * ln(n) / 2.
+Suffixes of kept contexts are kept.  Distributions are smoothed toward the
+suffix's with a weight of as many positions as it has distinct nexts
+(Witten-Bell).  Scoring uses the longest kept suffix of what precedes each
+symbol.
+
+The tree grows with the corpus, so it is a table: contexts of up to ``ROOT``
+symbols (at most 256 ** ROOT, by the alphabet) are shared, and all longer ones
+lie in the bucket of their last ``ROOT + 1`` symbols, where their suffixes lie
+too.  Slices of texts ask the buckets for their distinct pairs and are then
+summed up with the answers.
 
 The base score needs an exact count for every word of every text.  Words'
 training counts are summed by hash bucket; texts' distinct words are sent,
@@ -23,6 +29,8 @@ word's lookups spread over as many tasks as the input needs.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +41,8 @@ from folioflow.llm.common import LOWER, batch_of, binaries, materialize, mix, sl
 END, BLANK = 0x0A, 0x20
 #: Text bytes of a scoring step, distinct pairs that a counting task holds, slices per salt.
 STEP, HELD, PER_SALT = 4 << 20, 2_000_000, 400
+#: Longest contexts that all tasks share; the longest that a 64-bit key holds; partitions per copy of a bucket.
+ROOT, DEEPEST, PER_COPY = 2, 7, 500
 _END_WORD = np.uint64(0x5E5D00DE0D0E5EED)
 
 
@@ -64,7 +74,7 @@ def grams(stream: np.ndarray, order: int) -> np.ndarray:
     alive = np.ones(n, bool)
     for j in range(1, order + 1):
         past = np.full(n, END, np.uint8)
-        past[j:] = stream[: n - j]
+        past[j:] = stream[: max(n - j, 0)]
         if j > 1:  # before the first text there is only its start
             past[: min(j - 1, n)] = 0
         key |= (past * alive).astype(np.uint64) << np.uint64(8 * j)
@@ -79,48 +89,59 @@ def _mask(d: int) -> int:
 class SuffixTree:
     """The kept contexts: per order sorted (context, next) entries with log10 p, and contexts with log10 of their rest weight."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], penalty: float = 1.0):
-        """``levels``: for each order from 0 the sorted (context, next) keys and their counts."""
-        self.order = len(levels) - 1
-        built, keep = [], [None] * len(levels)
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], penalty: float = 1.0, above: SuffixTree | None = None, needed: np.ndarray | None = None):
+        """``levels``: for each order from 0, or from the one after ``above``'s last, the sorted (context, next) keys and their counts.
+
+        ``needed``: contexts of the last order that stay as suffixes of longer ones elsewhere.
+        """
+        self.first = above.order + 1 if above else 0
+        self.order = self.first + len(levels) - 1
+        built, keep, probs = [], [], []
+        self.last = above.last if above else None
         for keys, n in levels:
             ctx, first, inverse = np.unique(keys >> np.uint64(8), return_index=True, return_inverse=True)
             total = np.add.reduceat(n, first).astype(float) if len(first) else np.zeros(0)
             kinds = np.diff(np.append(first, len(keys))).astype(float)
             built.append([keys, n.astype(float), ctx, total, kinds, inverse])
-        probs: list[np.ndarray] = []
-        for d, (keys, n, ctx, total, kinds, inverse) in enumerate(built):
+        for d, (keys, n, ctx, total, kinds, inverse) in enumerate(built, self.first):
             if d == 0:
                 parent = np.full(len(keys), 1 / 256)
-            else:
-                up = keys & np.uint64(_mask(d - 1))
-                parent = probs[d - 1][np.searchsorted(built[d - 1][0], up)]  # every entry's suffix entry exists
+            else:  # every entry's suffix entry exists
+                parent = self.last[1][np.searchsorted(self.last[0], keys & np.uint64(_mask(d - 1)))]
             p = (n + kinds[inverse] * parent) / (total + kinds)[inverse] if len(keys) else np.zeros(0)
             probs.append(p)
+            self.last = keys, p
             kl = np.bincount(inverse, n * np.log(np.maximum(n / total[inverse], 1e-300) / parent), len(ctx)) if len(keys) else np.zeros(0)
-            keep[d] = np.ones(len(ctx), bool) if d == 0 else kl > penalty * kinds * np.log(np.maximum(total, 2)) / 2
-        for d in range(self.order, 0, -1):  # suffixes of kept contexts stay
-            ctx = built[d][2][keep[d]]
+            keep.append(np.ones(len(ctx), bool) if d == 0 else kl > penalty * kinds * np.log(np.maximum(total, 2)) / 2)
+        if needed is not None and len(needed):
+            keep[-1][np.searchsorted(built[-1][2], needed)] = True
+        self.needs = np.zeros(0, np.uint64)
+        for i in range(len(built) - 1, -1, -1):  # suffixes of kept contexts stay
+            d, ctx = self.first + i, built[i][2][keep[i]]
             if d > 1 and len(ctx):
-                keep[d - 1][np.searchsorted(built[d - 1][2], ctx & np.uint64(_mask(d - 2)))] = True
+                up = np.unique(ctx & np.uint64(_mask(d - 2)))
+                if i:
+                    keep[i - 1][np.searchsorted(built[i - 1][2], up)] = True
+                else:
+                    self.needs = up
         self.entries, self.contexts = [], []
-        for d, (keys, n, ctx, total, kinds, inverse) in enumerate(built):
-            e = keep[d][inverse] if len(keys) else np.zeros(0, bool)
-            self.entries.append((keys[e], np.log10(probs[d][e])))
-            self.contexts.append((ctx[keep[d]], np.log10(kinds[keep[d]] / (total + kinds)[keep[d]])))
+        for i, (keys, n, ctx, total, kinds, inverse) in enumerate(built):
+            e = keep[i][inverse] if len(keys) else np.zeros(0, bool)
+            self.entries.append((keys[e], np.log10(probs[i][e])))
+            self.contexts.append((ctx[keep[i]], np.log10(kinds[keep[i]] / (total + kinds)[keep[i]])))
 
-    def log10(self, key: np.ndarray) -> np.ndarray:
+    def log10(self, key: np.ndarray, above: SuffixTree | None = None) -> np.ndarray:
         out, done = np.zeros(len(key)), np.zeros(len(key), bool)
-        for d in range(self.order, -1, -1):
-            own = key & np.uint64(_mask(d))
-            where, rest = _find(self.contexts[d][0], own >> np.uint64(8))
-            at, hit = _find(self.entries[d][0], own)
+        for i in range(len(self.entries) - 1, -1, -1):
+            own = key & np.uint64(_mask(self.first + i))
+            where, rest = _find(self.contexts[i][0], own >> np.uint64(8))
+            at, hit = _find(self.entries[i][0], own)
             hit &= ~done
-            out[hit] += self.entries[d][1][at[hit]]
+            out[hit] += self.entries[i][1][at[hit]]
             done |= hit
             falls = rest & ~done
-            out[falls] += self.contexts[d][1][where[falls]]
-        out[~done] += np.log10(1 / 256)
+            out[falls] += self.contexts[i][1][where[falls]]
+        out[~done] += above.log10(key[~done]) if above else np.log10(1 / 256)
         return out
 
     def score(self, stream: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -148,6 +169,34 @@ def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_counts=True)
 
 
+def levels_of(keys: np.ndarray, n: np.ndarray, first: int, order: int, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order the (context, next) keys, and their counts, of contexts seen ``least`` times, from keys of the largest order."""
+    levels = []
+    for d in range(first, order + 1):
+        k, c = _sum_by_key([(keys & np.uint64(_mask(d)), n)])
+        ctx, at, inverse = np.unique(k >> np.uint64(8), return_index=True, return_inverse=True)
+        ok = (np.add.reduceat(c, at) >= least)[inverse] if len(k) else np.zeros(0, bool)
+        levels.append((k[ok], c[ok]))
+    return levels
+
+
+def _spread(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order by bucket, where each bucket starts in it) of (context, next) keys: by the last symbols of the context."""
+    bucket = (mix((h >> np.uint64(8)) & np.uint64(_mask(ROOT))) % np.uint64(buckets)).astype(np.int16 if buckets < 32768 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte, for the shuffle's compression."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack(blob: pa.Scalar) -> np.ndarray:
+    raw = np.frombuffer(blob.as_buffer(), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 class LanguageModelScores:
     """Train on the rows of ``docs`` where ``train`` holds and score every row.
 
@@ -157,31 +206,38 @@ class LanguageModelScores:
     result.
     """
 
-    def __init__(self, order: int = 5, least_share: float = 1e-6, penalty: float = 1.0, fold: int = 1):
-        self.order, self.least_share, self.penalty, self.fold = order, least_share, penalty, fold
+    def __init__(self, order: int = 5, least: int = 2, penalty: float = 1.0, fold: int = 1):
+        if not 0 <= order <= DEEPEST:
+            raise ValueError(f"order {order} is not in 0 to {DEEPEST}")
+        self.order, self.least, self.penalty, self.fold = order, least, penalty, fold
 
     def scores(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         held = F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == self.fold
         # reading the flag with the row keeps the fold's rule in one place
         docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(held, F.lit(True)).alias("held_out"), F.col(text_col).alias("text"))
         self.parts = max(1, docs.rdd.getNumPartitions())
-        tree = self._tree(docs)
-        scored = self._scored(docs, tree)
+        self.buckets = 32 + self.parts // 2
+        root, branches = self._tree(docs)
+        scored = self._scored(docs, root, branches)
         return self._with_base(docs, scored)
 
     # --- the tree ------------------------------------------------------------
 
-    def _tree(self, docs: DataFrame) -> SuffixTree:
-        order = self.order
+    def _tree(self, docs: DataFrame) -> tuple[SuffixTree, DataFrame]:
+        """The shared short contexts, and the longer ones: a row of pickled arrays per bucket."""
+        order, buckets, least, penalty, top = self.order, self.buckets, self.least, self.penalty, min(ROOT, self.order)
+        spark = docs.sparkSession
 
         def count(batches):
-            schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+            schema = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("n", pa.binary())])
             held, size = [], 0
 
             def flush():
                 keys, n = _sum_by_key(held)
-                for i in range(0, len(keys), 100_000):
-                    yield batch_of(schema, keys[i : i + 100_000].view(np.int64), n[i : i + 100_000])
+                by, cut = _spread(keys, buckets)
+                keys, n = keys[by], n[by].astype(np.int64)
+                own = [slice(cut[b], cut[b + 1]) for b in range(buckets)]
+                yield batch_of(schema, np.arange(buckets), binaries([_pack(keys[o]) for o in own]), binaries([n[o].tobytes() for o in own]))
 
             for batch in batches:
                 for _, raw, at in slices(batch, "text", STEP):
@@ -196,47 +252,113 @@ class LanguageModelScores:
             if held:
                 yield from flush()
 
-        pairs = docs.where("NOT held_out").select("text").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-        pairs = materialize(pairs, "grams")
-        self.positions = pairs.agg(F.sum("n")).first()[0] or 0
-        floor = max(2, int(np.ceil(self.least_share * self.positions)))
-        found = None
-        for d in range(order + 1):
-            own = pairs.groupBy(F.col("key").bitwiseAND(_mask(d)).alias("key")).agg(F.sum("n").alias("n"))
-            own = own.withColumn("ctx", F.shiftrightunsigned("key", 8))
-            # at most 1 / least_share contexts, and 50 / least_share entries, of each order
-            total = own.groupBy("ctx").agg(F.sum("n").alias("total")).where(F.col("total") >= floor).select("ctx")
-            own = own.where(F.col("n") >= floor / 50).join(F.broadcast(total), "ctx").select(F.lit(d).alias("d"), "key", "n")
-            found = own if found is None else found.union(own)
-        found = materialize(found, "contexts").toArrow()
-        d, key, n = (found.column(c).to_numpy() for c in ("d", "key", "n"))
-        levels = []
-        for i in range(order + 1):
-            at = np.flatnonzero(d == i)
-            at = at[np.argsort(key[at].view(np.uint64))]
-            keys, counts = key[at].view(np.uint64), n[at]
-            if i:  # an entry's suffix entry counts at least as often, so it is there
-                _, ok = _find(levels[i - 1][0], keys & np.uint64(_mask(i - 1)))
-                keys, counts = keys[ok], counts[ok]
-            levels.append((keys, counts))
-        return SuffixTree(levels, self.penalty)
+        def pairs(table):
+            return _sum_by_key([(_unpack(a), np.frombuffer(b.as_buffer(), np.int64)) for a, b in zip(table.column("h"), table.column("n"))])
+
+        def add(key, group):
+            keys, n = pairs(group)
+            return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "h": binaries([_pack(keys)]), "n": binaries([n.tobytes()])})
+
+        counted = docs.where("NOT held_out").select("text").mapInArrow(count, "bucket int, h binary, n binary").groupBy("bucket").applyInArrow(add, "bucket int, h binary, n binary")
+        counted = materialize(counted, "grams")
+
+        def short(batches):
+            schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+            for batch in batches:
+                keys, n = pairs(batch)
+                keys, n = _sum_by_key([(keys & np.uint64(_mask(top)), n)])
+                yield batch_of(schema, keys.view(np.int64), n)
+
+        found = counted.mapInArrow(short, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # bounded by the alphabet
+        keys, n = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
+        levels = levels_of(keys, n, 0, top, least)
+        above = spark.sparkContext.broadcast(SuffixTree(levels, penalty))
+
+        def build(batches):
+            schema = pa.schema([("bucket", pa.int32()), ("tree", pa.binary()), ("needs", pa.binary())])
+            for batch in batches:
+                for r in range(len(batch)):
+                    tree = SuffixTree(levels_of(*pairs(batch.slice(r, 1)), top + 1, order, least), penalty, above.value)
+                    tree.last, needs = None, tree.needs
+                    yield batch_of(schema, batch.column("bucket")[r : r + 1], binaries([pickle.dumps(tree)]), binaries([needs.tobytes()]))
+
+        branches = materialize(counted.mapInArrow(build, "bucket int, tree binary, needs binary"), "branches")
+
+        def suffixes(batches):
+            for batch in batches:
+                for blob in batch.column("needs"):
+                    yield batch_of(pa.schema([("ctx", pa.int64())]), np.frombuffer(blob.as_buffer(), np.int64))
+
+        needed = branches.select("needs").mapInArrow(suffixes, "ctx bigint").distinct().toArrow().column("ctx").to_numpy().view(np.uint64)  # contexts of ROOT symbols
+        root = SuffixTree(levels, penalty, needed=needed)
+        root.last = None
+        return root, branches.select("bucket", "tree")
 
     # --- scores of the texts -------------------------------------------------
 
-    def _scored(self, docs: DataFrame, tree: SuffixTree) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(tree)  # bounded by least_share
+    def _scored(self, docs: DataFrame, root: SuffixTree, branches: DataFrame) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(root)  # bounded by the alphabet
+        order, buckets, copies = self.order, self.buckets, 1 + self.parts // PER_COPY
 
-        def run(batches):
-            schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("score", pa.float64())])
+        def ask(batches):
+            schema = pa.schema([("bucket", pa.int32()), ("copy", pa.int32()), ("first", pa.int64()), ("keys", pa.binary())])
+            row, turn = _first_row(), _first_row() >> 40
+            for batch in batches:
+                for part, raw, at in slices(batch, "text", STEP):
+                    keys = np.unique(grams(symbols(raw, at)[0], order))
+                    by, cut = _spread(keys, buckets)
+                    keys = keys[by]
+                    yield batch_of(schema, np.arange(buckets), np.full(buckets, turn % copies), np.full(buckets, row), binaries([_pack(keys[cut[b] : cut[b + 1]]) for b in range(buckets)]))
+                    row += len(part)
+                    turn += 1
+
+        def look_up(key, left, right):
+            schema = pa.schema([("first", pa.int64()), ("bucket", pa.int32()), ("logs", pa.binary())])
+            tree, out, r = pickle.loads(right.column("tree")[0].as_buffer()) if len(right) else None, [], 0
+            while r < len(left):
+                held, size = [], 0
+                while r + len(held) < len(left) and size < HELD // 4:
+                    held.append(_unpack(left.column("keys")[r + len(held)]))
+                    size += len(held[-1])
+                own, inverse = np.unique(np.concatenate(held), return_inverse=True)
+                logs = (tree.log10(own, shared.value) if tree else shared.value.log10(own))[inverse]
+                ends = np.cumsum([len(h) for h in held])
+                out += [logs[b - len(h) : b].tobytes() for b, h in zip(ends, held)]
+                r += len(held)
+            return pa.Table.from_batches([batch_of(schema, left.column("first").combine_chunks(), np.full(len(left), key[0].as_py()), binaries(out))], schema)
+
+        def cut_up(batches):
+            schema = pa.schema([("first", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("stream", pa.binary())])
             row = _first_row()
             for batch in batches:
                 for part, raw, at in slices(batch, "text", STEP):
                     stream, offsets, _, of = symbols(raw, at)
+                    whole = pa.array([0, len(part)], pa.int32())
                     n = np.bincount(of, minlength=len(part)) + 1
-                    yield batch_of(schema, np.arange(row, row + len(part)), part.column("doc_id"), part.column("held_out"), n, shared.value.score(stream, offsets))
+                    lists = [pa.ListArray.from_arrays(whole, x if isinstance(x, pa.Array) else pa.array(x, pa.int64())) for x in (part.column("doc_id"), part.column("held_out"), n, offsets[1:])]
+                    yield batch_of(schema, [row], *lists, binaries([stream.tobytes()]))
                     row += len(part)
 
-        return materialize(docs.mapInArrow(run, "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, score double"), "scored")
+        def sum_up(key, left, right):
+            schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("score", pa.float64())])
+            keys, inverse = np.unique(grams(np.frombuffer(left.column("stream")[0].as_buffer(), np.uint8), order), return_inverse=True)
+            by, cut = _spread(keys, buckets)
+            logs = np.full(len(keys), np.nan)
+            for b, blob in zip(right.column("bucket").to_pylist(), right.column("logs")):
+                logs[by[cut[b] : cut[b + 1]]] = np.frombuffer(blob.as_buffer(), np.float64)
+            total = np.concatenate([[0.0], np.cumsum(logs[inverse])])
+            doc, held, n, ends = (left.column(c)[0].values for c in ("doc_id", "held_out", "n", "ends"))
+            ends = ends.to_numpy()
+            score = total[ends] - total[np.append(0, ends[:-1])]
+            return pa.Table.from_batches([batch_of(schema, key[0].as_py() + np.arange(len(doc)), doc, held, n, score)], schema)
+
+        # both passes read the same columns, so they cut and number the rows alike
+        asked = docs.mapInArrow(ask, "bucket int, copy int, first bigint, keys binary")
+        texts = docs.mapInArrow(cut_up, "first bigint, doc_id array<bigint>, held_out array<boolean>, n array<bigint>, ends array<bigint>, stream binary")
+        trees = branches.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "tree")
+        answers = asked.groupBy("bucket", "copy").cogroup(trees.groupBy("bucket", "copy")).applyInArrow(look_up, "first bigint, bucket int, logs binary")
+        scored = texts.groupBy("first").cogroup(answers.groupBy("first")).applyInArrow(sum_up, "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, score double")
+        return materialize(scored, "scored")
 
     # --- the base ------------------------------------------------------------
 

@@ -222,6 +222,28 @@ def test_language_model_base_and_probability(spark, odd):
     assert tree.score(s, at)[0] == pytest.approx(tree.log10(grams(s, 3)).sum())
 
 
+@pytest.mark.parametrize("order", [1, 5, 7])
+def test_language_model_keeps_rare_contexts_of_large_corpora(spark, odd, order):
+    from folioflow.llm.pst import LanguageModelScores, SuffixTree, grams, symbols
+
+    rows = [r for r in odd if r[0] is not None and r[0] != 7] + [(1000 + i, "ab " * 100_000) for i in range(20)] + [(2000 + i, "rare zqxjk") for i in range(3)]
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert sum(len(t or "") for t in train) > 3_000_000
+    full, count = np.unique(grams(symbols(*C.utf8(pa.array(train)))[0], order), return_counts=True)
+    levels = []
+    for d in range(order + 1):
+        k, inverse = np.unique(full & np.uint64((1 << (8 * (d + 1))) - 1), return_inverse=True)
+        n = np.bincount(inverse, count).astype(np.int64)
+        _, ctx = np.unique(k >> np.uint64(8), return_inverse=True)
+        seen = np.bincount(ctx, n)[ctx] >= 2
+        levels.append((k[seen], n[seen]))
+    want = SuffixTree(levels)
+    texts = dict(rows)
+    for r in LanguageModelScores(order=order).scores(frame(spark, rows)).collect():
+        s, at, _, _ = symbols(*C.utf8(pa.array([texts[r["doc_id"]]])))
+        assert r["score"] == pytest.approx(want.score(s, at)[0], rel=1e-9, abs=1e-6), r["doc_id"]
+
+
 def test_wand_equals_full_scoring_and_finds_leaks(spark, odd):
     from folioflow.llm.decontaminate import ItemIndex, contaminated, without_contaminated
 
