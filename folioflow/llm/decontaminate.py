@@ -3,17 +3,20 @@
 Words are runs of letters, digits and non-ASCII characters in lower case.
 Every document is read in passages of twice the longest item's words that
 overlap by half, so any run of an item's length lies whole in one passage.
-Each passage is a query.  Scores are divided by the item's score for itself,
-so one threshold fits all items.
+Each passage is a query.  Indexed are the items and, as entries of their own,
+their questions (all but the last sentence or line) and answers of at least
+``PART_WORDS`` words.  Scores are divided by the entry's score for itself, so
+one threshold fits all; it is lower for entries whose rarest words weigh so
+much that a passage could lack them and still hold ``overlap`` of the shingles.
 
-1. Bounds rule out passages, vectorised: common terms that cannot come near
+1. Passages without a run of words of any entry verify nothing and are left out.
+   Bounds rule out more, vectorised: common terms that cannot come near
    the threshold even together are set aside with their sum as a bound for
    each item, and the impacts of the other terms must make up the difference.
 2. The other passages run block-max WAND over the postings and retrieve all
    items above the threshold, not a top few.
-3. A retrieved item counts when at least ``overlap`` of its five-word
-   shingles are in the passage; overlaps of its question (all but the last
-   sentence or line) and answer are reported.
+3. An item counts when at least ``overlap`` of its five-word shingles, or of
+   those of its question or answer of ``PART_WORDS`` words, are in the passage.
 
 The index is small and bounded: items are taken in shards of at most
 ``SHARD_BYTES`` of text, and each shard is one pass over the documents.
@@ -33,6 +36,8 @@ from folioflow.llm.common import bag, batch_of, shingles, short_runs, slices, ut
 
 SHARD_BYTES = 8 << 20
 BLOCK = 64
+#: Words that a question or an answer has at least to count without the rest of its item.
+PART_WORDS = 8
 K1, B = 1.2, 0.75
 
 
@@ -48,12 +53,22 @@ class ItemIndex:
         items = [(i, t.lower()) for i, t in items if t and len(bag(*utf8(pa.array([t])))[0])]
         self.ids = np.array([i for i, _ in items], np.int64)
         texts = [t for _, t in items]
-        raw, at = utf8(pa.array(texts, pa.large_string()))
-        h, row, _, _ = bag(raw, at)
-        n = len(items)
         self.shingles = self._sets(texts)
         parts = [_split(t) for t in texts]
-        self.question, self.answer = self._sets([q for q, _ in parts]), self._sets([a for _, a in parts])
+        sides = [[q for q, _ in parts], [a for _, a in parts]]
+        self.question, self.answer = map(self._sets, sides)
+        count = lambda ts: np.bincount(bag(*utf8(pa.array(ts, pa.large_string())))[1], minlength=len(ts))
+        self.long = [count(side) >= PART_WORDS for side in sides]
+        # entries: the items, then their long questions and answers
+        own = [np.flatnonzero(long & (np.array(side, object) != np.array(texts, object))) for long, side in zip(self.long, sides)]
+        self.of = np.concatenate([np.arange(len(items)), *own])
+        sets = [self.shingles[i] for i in range(len(items))] + [kind[i] for kind, o in zip((self.question, self.answer), own) for i in o]
+        self.ids = self.ids[self.of]
+        self.runs = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]))
+        self.short = [n for n in np.unique(count(texts)).tolist() if 0 < n < self.width]
+        raw, at = utf8(pa.array(texts + [side[i] for side, o in zip(sides, own) for i in o], pa.large_string()))
+        h, row, _, _ = bag(raw, at)
+        n, whole = len(self.of), len(items)
         length = np.bincount(row, minlength=n)
         self.passage = 2 * max(16, int(length.max(initial=0)))
         pair = np.unique(np.stack([h, row.astype(np.uint64)]), axis=1, return_counts=True) if n else (np.zeros((2, 0), np.uint64), np.zeros(0))
@@ -61,11 +76,20 @@ class ItemIndex:
         self.terms, start = np.unique(term, return_index=True)
         self.start = np.append(start, len(term))
         df = np.diff(self.start)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         item = item.astype(np.int64)
-        impact = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(length.mean(), 1e-9))) if n else np.zeros(0)
-        whole = np.bincount(item, impact, n)
-        self.item, self.impact = item, impact / whole[item] if n else impact
+        seen = np.bincount(np.repeat(np.arange(len(df)), df)[item < whole], minlength=len(df))  # items, not their parts
+        idf = np.log(1 + (whole - seen + 0.5) / (seen + 0.5))
+        impact = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(length[:whole].mean(), 1e-9))) if n else np.zeros(0)
+        impact = impact / np.bincount(item, impact, n)[item] if n else impact
+        # a verified passage lacks at most so many words as shingles; entries are scaled to share one threshold
+        self.least = np.full(n, threshold)
+        by = np.lexsort((-impact, item))
+        cut = np.searchsorted(item[by], np.arange(n + 1))
+        for i in range(n):
+            lost = int((1 - overlap) * len(sets[i]) + 1e-9)
+            self.least[i] = max(1e-6, min(threshold, 1 - impact[by[cut[i] : min(cut[i] + lost, cut[i + 1])]].sum() - 1e-9))
+        self.item, self.impact = item, impact * (threshold / self.least)[item]
+        self.words = [(term[by[cut[i] : cut[i + 1]]], impact[by[cut[i] : cut[i + 1]]]) for i in range(whole)]
         self.max = np.maximum.reduceat(self.impact, start) if n else np.zeros(0)
         self.block_max = [np.maximum.reduceat(self.impact[a:b], np.arange(0, b - a, BLOCK)) for a, b in zip(self.start[:-1], self.start[1:])]
         # common terms that together stay below three quarters of the threshold for every item
@@ -84,7 +108,7 @@ class ItemIndex:
         return [np.unique(s[of == i]) for i in range(len(texts))]
 
     def wand(self, terms: np.ndarray) -> list[tuple[int, float]]:
-        """All items whose score for the distinct ``terms`` is above the threshold, by block-max WAND."""
+        """All entries whose scaled score for the distinct ``terms`` is above the threshold, by block-max WAND."""
         least = self.threshold - 1e-9
         # a cursor: [item, position, end, term]
         live = sorted([int(self.item[self.start[t]]), int(self.start[t]), int(self.start[t + 1]), int(t)] for t in terms)
@@ -144,27 +168,51 @@ class ItemIndex:
         lo = base[owner] + place * step
         hi = np.minimum(lo + self.passage, base[owner + 1])
         best: dict[tuple[int, int], tuple] = {}
-        for w in self._hopeful(np.flatnonzero(known & ~self.aside[term]), term, row, base, per, step):
+        mark = np.flatnonzero(self._marked(h))
+        some = np.zeros(len(count), bool)
+        some[row[mark]] = True
+        near = self._around(mark, row, base, per, step)
+        for w in np.intersect1d(near, self._hopeful(np.flatnonzero(known & ~self.aside[term] & some[row]), term, row, base, per, step)):
             own = slice(lo[w], hi[w])
             terms = np.unique(term[own][known[own]])
             found = self.wand(terms)
             if not found:
                 continue
             seen, _ = shingles(h[own], np.zeros(hi[w] - lo[w], np.int64), 1, self.width)
-            for item, score in found:
+            for item in sorted({int(self.of[e]) for e, _ in found}):
                 part = [np.isin(s, seen).mean() if len(s) else 0.0 for s in (self.shingles[item], self.question[item], self.answer[item])]
-                if len(self.shingles[item]) == 1 and len(h[own]) >= self.width and not part[0]:
-                    part[0] = self._short(h[own], item)
-                if part[0] >= self.overlap:
+                for i, sets in enumerate((self.shingles, self.question, self.answer)):
+                    if len(sets[item]) == 1 and len(h[own]) >= self.width and not part[i]:
+                        part[i] = self._short(h[own], sets[item])
+                if part[0] >= self.overlap or any(long[item] and p >= self.overlap for long, p in zip(self.long, part[1:])):
+                    score = float(self.words[item][1][np.isin(self.words[item][0], h[own])].sum())
                     key = (int(owner[w]), item)
                     best[key] = max(best.get(key, (-1.0,)), (part[0], score, -int(place[w]), part[1], part[2]))
         return [(r, i, -v[2], v[1], v[0], v[3], v[4]) for (r, i), v in sorted(best.items())]
 
-    def _hopeful(self, at: np.ndarray, term: np.ndarray, row: np.ndarray, base: np.ndarray, per: np.ndarray, step: int) -> np.ndarray:
-        """Passages in which some item's terms, with all that was set aside for it, could reach the threshold."""
+    def _marked(self, h: np.ndarray) -> np.ndarray:
+        """Words at which a run of some entry starts."""
+        out = np.zeros(len(h), bool)
+        if len(h) >= self.width:
+            full, _ = shingles(h, np.zeros(len(h), np.int64), 1, self.width)
+            out[: len(full)] = self._known(full)
+        for n in self.short:
+            part = short_runs(h, n, self.width)
+            out[: len(part)] |= self._known(part)
+        return out
+
+    def _known(self, run: np.ndarray) -> np.ndarray:
+        return self.runs[np.minimum(np.searchsorted(self.runs, run), len(self.runs) - 1)] == run
+
+    def _around(self, at: np.ndarray, row: np.ndarray, base: np.ndarray, per: np.ndarray, step: int) -> np.ndarray:
+        """The passages that hold the words ``at``, for each word twice."""
         owner, last = row[at], (at - base[row[at]]) // step
         first = np.cumsum(per) - per
-        window = np.concatenate([first[owner] + np.minimum(last, per[owner] - 1), first[owner] + np.clip(last - 1, 0, per[owner] - 1)])
+        return np.concatenate([first[owner] + np.minimum(last, per[owner] - 1), first[owner] + np.clip(last - 1, 0, per[owner] - 1)])
+
+    def _hopeful(self, at: np.ndarray, term: np.ndarray, row: np.ndarray, base: np.ndarray, per: np.ndarray, step: int) -> np.ndarray:
+        """Passages in which some item's terms, with all that was set aside for it, could reach the threshold."""
+        window = self._around(at, row, base, per, step)
         window, t = np.divmod(np.unique(window * len(self.terms) + np.tile(term[at], 2)), len(self.terms))
         n = self.start[t + 1] - self.start[t]
         post = np.repeat(self.start[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -172,11 +220,11 @@ class ItemIndex:
         total = np.bincount(inverse, self.impact[post], len(cell)) + self.left[cell % len(self.ids)]
         return np.unique(cell[total >= self.threshold - 1e-9] // len(self.ids))
 
-    def _short(self, h: np.ndarray, item: int) -> float:
-        """Items of fewer words than a shingle are looked for as runs of their own length."""
+    def _short(self, h: np.ndarray, own: np.ndarray) -> float:
+        """Texts of fewer words than a shingle are looked for as runs of their own length."""
         for n in range(1, self.width):
             runs = short_runs(h, n, self.width)
-            if np.isin(self.shingles[item], runs).any():
+            if np.isin(own, runs).any():
                 return 1.0
         return 0.0
 

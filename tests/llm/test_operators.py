@@ -276,6 +276,25 @@ def test_wand_equals_full_scoring_and_finds_leaks(spark, odd):
     assert contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_a_whole_question_or_answer_is_a_leak(spark):
+    from folioflow.llm.decontaminate import ItemIndex, contaminated, without_contaminated
+
+    r = np.random.default_rng(5)
+    text = lambda n: " ".join(r.choice(WORDS, n))
+    question, answer, brief = text(12), text(30), text(4)
+    items = [(1, f"{question}? {answer}"), (2, f"{text(30)}? {brief}."), *((10 + i, text(15)) for i in range(40))]
+    docs = [(1, f"{text(60)} {question.upper()}? {text(60)}"), (2, f"{text(200)} {answer}"), (3, f"{text(80)} {brief}. {text(9)}"), (4, text(300)), (5, f"{text(50)} {items[1][1]}"), (6, f"{text(9)} {question.rsplit(' ', 6)[0]} {text(9)}")]
+    bench, df = spark.createDataFrame(items, "item_id bigint, text string"), frame(spark, docs)
+    got = {(x["doc_id"], x["item_id"]): (x["overlap"] < 0.8, x["question_overlap"] == 1, x["answer_overlap"] == 1) for x in contaminated(df, bench).collect()}
+    assert got == {(1, 1): (True, True, False), (2, 1): (True, False, True), (5, 2): (False, True, True)}
+    assert {x["doc_id"] for x in without_contaminated(df, bench).collect()} == {3, 4, 6}
+    # rare words at an end, less than a fifth of the shingles, hold most of the score
+    common = [" ".join(f"c{j}" for j in r.permutation(30)) for _ in range(200)]
+    index = ItemIndex([(i, t + (" r1 r2 r3 r4 r5" if i == 7 else "")) for i, t in enumerate(common)])
+    found = [m for m in index.matches(*C.utf8(pa.array([common[7]]))) if m[1] == 7]
+    assert len(found) == 1 and found[0][3] < 0.6 and found[0][4] >= 0.8
+
+
 def test_license_windows(spark):
     from folioflow.llm.licenses import TEMPLATES, license_matches
 
