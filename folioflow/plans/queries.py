@@ -467,6 +467,13 @@ def markdown_blocks(spark, sf_dir):
     return M.markdown_blocks(docs, "conv_id", "md").select("document_id", "ord", "kind", "text", "level")
 
 
+@query()
+def markdown_blocks_all(spark, sf_dir):
+    """Every turn's whole text, each a document of its own; `markdown_blocks` keeps to the turns that its SQL can follow."""
+    turns = _t(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text")
+    return M.markdown_blocks(turns, "id", "text").select("document_id.conv_id", "document_id.turn", "ord", "kind", "text", "level", "section_path", "line_start", "line_end", "rows", "error")
+
+
 @query("SELECT o_orderkey, o_orderkey % 3 <> 0 AND o_totalprice > 100000 AS passed FROM orders")
 def gate_results(spark, sf_dir):
     check = lambda name, ok: F.struct(F.lit(name).alias("name"), ok.alias("passed"))

@@ -251,3 +251,14 @@ def test_decode_and_dispatch(spark):
     assert {r["name"]: r["text"] for r in texts.collect()} == {"a.MD": "x\ny", "b.txt": "한글"}
     assert [r["name"] for r in rejects.collect()] == ["c.md"]
     assert X.LIST_MARKER
+
+
+def test_markdown_query_reads_every_turn(spark, tmp_path):
+    from folioflow.plans.queries import QUERIES
+
+    texts = ["plain words", "# Title 1\n\nSome *text* with 3 digits.\n\n- a\n- b", "```py\nx = 1\n", "| a | b |\n| --- | --- |\n| 1 | 2 |", "[link](http://x.y)  two  blanks ", "", None]
+    rows = [(i // 3, i % 3, "user", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = [tuple(r)[:6] for r in QUERIES["markdown_blocks_all"](spark, str(tmp_path)).collect()]
+    want = [(c, n, i, b["kind"], b["text"], b["level"]) for c, n, _, t in rows for i, b in enumerate(M.scan(t or ""))]
+    assert sorted(got, key=lambda r: r[:3]) == want and {r[3] for r in got} >= {"heading", "list_item", "table", "paragraph"}
