@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -347,30 +349,43 @@ def _first_lines(spark, sf_dir):
 _FIRST = "SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_discount DESC, l_returnflag DESC"
 
 
-def _boxes(spark, sf_dir):
+def _all_lines(spark, sf_dir):
+    """Every row, repeated ones too."""
+    return _t(spark, sf_dir, "lineitem")
+
+
+def _numbered(rows, name, *keys):
+    """Rows with a number within ``keys`` that all other columns decide."""
+    return rows.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*[c for c in rows.columns if c not in (*keys, name)])).cast("bigint"))
+
+
+def _boxes(spark, sf_dir, lines=_first_lines):
     """Boxes of a page from the lines of 25 orders."""
-    li = _first_lines(spark, sf_dir)
+    li = lines(spark, sf_dir)
     x, y = (F.col("l_partkey") * 37 % 400).cast("double"), (F.col("l_suppkey") * 91 % 600).cast("double")
-    return li.select(F.floor(F.col("l_orderkey") / 25).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("box_id"), F.when(F.col("l_returnflag") == "A", "table").otherwise("image").alias("cls"), (F.lit(0.15) + F.col("l_discount") * 8).alias("score"), x.alias("x0"), y.alias("y0"), (x + 60 + F.col("l_quantity") * 4).alias("x1"), (y + 40 + F.col("l_quantity") * 4).alias("y1"))
+    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    if lines is not _first_lines:  # keys repeat
+        li, key = _numbered(li.withColumn("page", F.floor(F.col("l_orderkey") / 25)), "box_id", "page"), F.col("box_id")
+    return li.select(F.floor(F.col("l_orderkey") / 25).alias("page"), key.alias("box_id"), F.when(F.col("l_returnflag") == "A", "table").otherwise("image").alias("cls"), (F.lit(0.15) + F.col("l_discount") * 8).alias("score"), x.alias("x0"), y.alias("y0"), (x + 60 + F.col("l_quantity") * 4).alias("x1"), (y + 40 + F.col("l_quantity") * 4).alias("y1"))
 
 
 _BOXES = f"bx AS (SELECT l_orderkey // 25 AS page, l_orderkey * 10 + l_linenumber AS box_id, (l_partkey * 37 % 400)::DOUBLE AS x0, (l_suppkey * 91 % 600)::DOUBLE AS y0, (l_partkey * 37 % 400)::DOUBLE + 60 + l_quantity * 4 AS x1, (l_suppkey * 91 % 600)::DOUBLE + 40 + l_quantity * 4 AS y1 FROM ({_FIRST}))"
 
 
 @query(f"""WITH {_BOXES}, j AS (SELECT a.page, a.box_id AS a, b.box_id AS b, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s FROM bx a JOIN bx b ON a.page = b.page AND a.box_id < b.box_id) SELECT page, a, b, round(i / (s - i), 6) AS iou FROM j WHERE i / (s - i) >= 0.3""")
-def box_iou(spark, sf_dir):
-    return L.overlapping(_boxes(spark, sf_dir), ["page"], 0.3).withColumn("iou", F.round("iou", 6))
+def box_iou(spark, sf_dir, lines=_first_lines):
+    return L.overlapping(_boxes(spark, sf_dir, lines), ["page"], 0.3).withColumn("iou", F.round("iou", 6))
 
 
 @query(f"""WITH RECURSIVE {_BOXES}, e AS (SELECT a.page, a.box_id AS a, b.box_id AS b FROM bx a JOIN bx b ON a.page = b.page AND a.box_id <> b.box_id WHERE a.page < 40 AND (greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)) / ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)) >= 0.6),
     r(page, a, b) AS (SELECT page, a, b FROM e UNION SELECT r.page, r.a, e.b FROM r JOIN e ON r.page = e.page AND r.b = e.a) SELECT page, a AS node, least(a, min(b)) AS component FROM r GROUP BY page, a""".replace("a.page < 40 AND ", ""))
-def connected_components(spark, sf_dir):
-    return L.components(L.overlapping(_boxes(spark, sf_dir), ["page"], 0.6).select("page", "a", "b"), ["page"])
+def connected_components(spark, sf_dir, lines=_first_lines):
+    return L.components(L.overlapping(_boxes(spark, sf_dir, lines), ["page"], 0.6).select("page", "a", "b"), ["page"])
 
 
 @query()
-def nms_greedy(spark, sf_dir):
-    return L.suppress(_boxes(spark, sf_dir), ["page"])
+def nms_greedy(spark, sf_dir, lines=_first_lines):
+    return L.suppress(_boxes(spark, sf_dir, lines), ["page"])
 
 
 @query("""WITH s AS (SELECT o_custkey AS k, (o_orderkey * 7 % 1000)::DOUBLE AS a, (o_orderkey * 7 % 1000 + 20 + o_orderkey % 30)::DOUBLE AS b FROM orders), m AS (SELECT *, max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS z FROM s), g AS (SELECT *, sum(CASE WHEN z IS NULL OR a > z THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS grp FROM m) SELECT k, min(a) AS start, max(b) AS "end", count(*) AS pieces FROM g GROUP BY k, grp""")
@@ -401,16 +416,16 @@ def rule_merge(spark, sf_dir):
 
 
 @query(f"""WITH {_BOXES}, g AS (SELECT o_orderkey // 25 AS page, o_orderkey AS id, (o_orderkey * 17 % 500 + 3)::DOUBLE AS cx, (o_orderkey * 29 % 700 + 5)::DOUBLE AS cy FROM orders) SELECT bx.page, box_id, count(*) AS glyphs FROM g JOIN bx ON g.page = bx.page AND cx BETWEEN x0 - 1 AND x1 + 1 AND cy BETWEEN y0 - 1 AND y1 + 1 GROUP BY ALL""")
-def glyphs_in_boxes(spark, sf_dir):
+def glyphs_in_boxes(spark, sf_dir, lines=_first_lines):
     k = F.col("o_orderkey")
     x, y = (k * 17 % 500).cast("double"), (k * 29 % 700).cast("double")
     chars = _t(spark, sf_dir, "orders").select(F.floor(k / 25).alias("page"), k.alias("char_id"), x.alias("x0"), y.alias("y0"), (x + 6).alias("x1"), (y + 10).alias("y1"))
-    return L.glyphs_in_boxes(chars, _boxes(spark, sf_dir), ["page"], 1.0).groupBy("page", "box_id").agg(F.count("*").alias("glyphs"))
+    return L.glyphs_in_boxes(chars, _boxes(spark, sf_dir, lines), ["page"], 1.0).groupBy("page", "box_id").agg(F.count("*").alias("glyphs"))
 
 
 @query()
-def caption_pairs(spark, sf_dir):
-    b = _boxes(spark, sf_dir)
+def caption_pairs(spark, sf_dir, lines=_first_lines):
+    b = _boxes(spark, sf_dir, lines)
     captions = b.where("cls = 'table'").withColumn("y1", F.col("y0") + 12)
     return L.caption_pairs(b.where("cls = 'image'"), captions, ["page"])
 
@@ -422,21 +437,23 @@ def visible_points(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", p.alias("p")).select("o_orderkey", "p.x", "p.y")
 
 
-def _ocr(spark, sf_dir):
+def _ocr(spark, sf_dir, lines=_first_lines):
     """Lines of a two-column page from order lines."""
-    li = _first_lines(spark, sf_dir)
+    li, key = lines(spark, sf_dir), F.col("l_linenumber")
+    if lines is not _first_lines:
+        li, key = _numbered(li, "line_id", "l_orderkey"), F.col("line_id")
     x, y = F.when(F.col("l_linenumber") % 2 == 0, 320.0).otherwise(40.0), 60 + F.floor(F.col("l_linenumber") / 2) * 14.0 + F.col("l_quantity") % 3
-    return li.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("line_id"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("text"), (1 - F.col("l_discount") * 5).alias("score"), x.alias("x0"), y.alias("y0"), (x + 200).alias("x1"), (y + 10).alias("y1"))
+    return li.select(F.col("l_orderkey").alias("page"), key.alias("line_id"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("text"), (1 - F.col("l_discount") * 5).alias("score"), x.alias("x0"), y.alias("y0"), (x + 200).alias("x1"), (y + 10).alias("y1"))
 
 
 @query(f"""WITH o AS (SELECT l_orderkey AS page, l_linenumber AS line_id, l_linenumber % 2 = 0 AS rgt, 60 + l_linenumber // 2 * 14.0 + l_quantity % 3 AS y FROM ({_FIRST})) SELECT page, line_id, CAST(row_number() OVER (PARTITION BY page ORDER BY rgt, y, line_id) - 1 AS BIGINT) AS seq FROM o""")
-def reading_order(spark, sf_dir):
-    return L.reading_order(_ocr(spark, sf_dir), ["page"]).select("page", "line_id", "seq")
+def reading_order(spark, sf_dir, lines=_first_lines):
+    return L.reading_order(_ocr(spark, sf_dir, lines), ["page"]).select("page", "line_id", "seq")
 
 
 @query()
-def ocr_paragraphs(spark, sf_dir):
-    lines = P.paragraphs(L.reading_order(P.ocr_keep(_ocr(spark, sf_dir).withColumn("covered", F.lit(0.0))), ["page"]), ["page"])
+def ocr_paragraphs(spark, sf_dir, lines=_first_lines):
+    lines = P.paragraphs(L.reading_order(P.ocr_keep(_ocr(spark, sf_dir, lines).withColumn("covered", F.lit(0.0))), ["page"]), ["page"])
     return lines.groupBy("page", "group_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]), "\n").alias("text"), F.round(F.avg("score") * 0.5, 3).alias("confidence"))
 
 
@@ -513,20 +530,20 @@ _OVER = "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(
 
 
 @query(f"""WITH {_BOXES}, {_KINDS} SELECT DISTINCT a.page, a.box_id FROM k a JOIN k b ON a.page = b.page AND a.m = 0 AND b.m = 1 AND {_OVER} / ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {_OVER}) >= 0.5""")
-def confirmed_tables(spark, sf_dir):
-    b = _boxes(spark, sf_dir)
+def confirmed_tables(spark, sf_dir, lines=_first_lines):
+    b = _boxes(spark, sf_dir, lines)
     return N.confirmed(b.where("box_id % 3 = 0"), b.where("box_id % 3 = 1"), ["page"]).select("page", "box_id")
 
 
 @query(f"""WITH {_BOXES} SELECT page, box_id FROM bx a WHERE NOT EXISTS (SELECT 1 FROM bx b WHERE a.page = b.page AND a.box_id <> b.box_id AND a.x0 <= b.x0 AND a.y0 <= b.y0 AND a.x1 >= b.x1 AND a.y1 >= b.y1 AND (a.x1 - a.x0) * (a.y1 - a.y0) > (b.x1 - b.x0) * (b.y1 - b.y0))""")
-def inner_boxes(spark, sf_dir):
-    return N.inner_boxes(_boxes(spark, sf_dir), ["page"]).select("page", "box_id")
+def inner_boxes(spark, sf_dir, lines=_first_lines):
+    return N.inner_boxes(_boxes(spark, sf_dir, lines), ["page"]).select("page", "box_id")
 
 
 @query(f"""WITH {_BOXES}, {_KINDS}, j AS (SELECT a.page, a.box_id AS figure, b.box_id AS photo, (a.box_id * 7 % 100)::DOUBLE AS score, row_number() OVER (PARTITION BY a.page, a.box_id ORDER BY (b.x1 - b.x0) * (b.y1 - b.y0), b.box_id) AS r FROM k a JOIN k b ON a.page = b.page AND a.m = 0 AND b.m = 1 AND {_OVER} / ((a.x1 - a.x0) * (a.y1 - a.y0)) >= 0.8)
     SELECT page, photo, figure FROM (SELECT *, row_number() OVER (PARTITION BY page, photo ORDER BY score DESC, figure) AS z FROM j WHERE r = 1) WHERE z = 1""")
-def photo_hosts(spark, sf_dir):
-    b = _boxes(spark, sf_dir).withColumn("score", (F.col("box_id") * 7 % 100).cast("double"))
+def photo_hosts(spark, sf_dir, lines=_first_lines):
+    b = _boxes(spark, sf_dir, lines).withColumn("score", (F.col("box_id") * 7 % 100).cast("double"))
     return N.photo_hosts(b.where("box_id % 3 = 0"), b.where("box_id % 3 = 1"), ["page"])
 
 
@@ -534,8 +551,8 @@ _GAP = "CASE WHEN least(a.x1, b.x1) - greatest(a.x0, b.x0) >= 0.3 * least(a.x1 -
 
 
 @query(f"""WITH {_BOXES}, {_KINDS}, n AS (SELECT a.page, a.box_id AS caption, min({_GAP}) FILTER (b.m = 0) AS t, min({_GAP}) FILTER (b.m = 1) AS f FROM (SELECT * REPLACE (y0 + 10 AS y1) FROM k WHERE m = 2) a JOIN k b ON a.page = b.page AND b.m <> 2 GROUP BY ALL) SELECT page, caption, t FROM n WHERE t <= 30 AND (f IS NULL OR f > 30 OR t <= f)""")
-def table_titles(spark, sf_dir):
-    b = _boxes(spark, sf_dir)
+def table_titles(spark, sf_dir, lines=_first_lines):
+    b = _boxes(spark, sf_dir, lines)
     return N.table_titles(b.where("box_id % 3 = 2").withColumn("y1", F.col("y0") + 10), b.where("box_id % 3 = 0"), b.where("box_id % 3 = 1"), ["page"])
 
 
@@ -597,3 +614,8 @@ def stream_latest(spark, sf_dir):
     feed.run_batches(feed.latest_per_document(events), lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}"), f"{root}/checkpoint", mode="update")
     out = spark.read.parquet(f"{root}/out").withColumn("batch", F.col("batch").cast("bigint"))
     return V.latest(out.select("document_id", "batch", F.struct("version", "changes").alias("s")), version="batch").select("document_id", "s.version", "s.changes")
+
+
+#: The same over every row; the SQL of the queries above keeps one row of each repeated key.
+for _f in (box_iou, connected_components, nms_greedy, caption_pairs, glyphs_in_boxes, confirmed_tables, inner_boxes, photo_hosts, table_titles, reading_order, ocr_paragraphs):
+    QUERIES[f"{_f.__name__}_all"] = partial(_f, lines=_all_lines)

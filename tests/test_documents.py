@@ -262,3 +262,29 @@ def test_markdown_query_reads_every_turn(spark, tmp_path):
     got = [tuple(r)[:6] for r in QUERIES["markdown_blocks_all"](spark, str(tmp_path)).collect()]
     want = [(c, n, i, b["kind"], b["text"], b["level"]) for c, n, _, t in rows for i, b in enumerate(M.scan(t or ""))]
     assert sorted(got, key=lambda r: r[:3]) == want and {r[3] for r in got} >= {"heading", "list_item", "table", "paragraph"}
+
+
+def test_box_queries_keep_repeated_line_keys(spark, tmp_path):
+    from folioflow.plans import queries as Q
+
+    r = random.Random(3)
+    rows = [(k, n, r.randrange(200), r.randrange(100), float(r.randrange(1, 50)), r.randrange(11) / 100, r.choice("ANR")) for k in range(60) for n in (1, 1, 2, 3, 3)]
+    rows += rows[:4]  # equal in all columns
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber bigint, l_partkey bigint, l_suppkey bigint, l_quantity double, l_discount double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    box = lambda x: (x[2] * 37 % 400, x[3] * 91 % 600, x[2] * 37 % 400 + 60 + x[4] * 4, x[3] * 91 % 600 + 40 + x[4] * 4)
+    want = []
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            if a[0] // 25 == b[0] // 25:
+                p, q = box(a), box(b)
+                both = max(min(p[2], q[2]) - max(p[0], q[0]), 0) * max(min(p[3], q[3]) - max(p[1], q[1]), 0)
+                area = (p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1]) - both
+                if both / area >= 0.3:
+                    want.append((a[0] // 25, round(both / area, 6)))
+    got = Q.QUERIES["box_iou_all"](spark, str(tmp_path)).collect()
+    assert [x[0] for x in sorted((x["page"], x["iou"]) for x in got)] == [x[0] for x in sorted(want)]
+    assert sorted(x["iou"] for x in got) == pytest.approx(sorted(x[1] for x in want)) and len({(x["page"], x["a"], x["b"]) for x in got}) == len(want)
+    order = Q.QUERIES["reading_order_all"](spark, str(tmp_path)).collect()
+    assert len(order) == len({(x["page"], x["seq"]) for x in order}) == len(rows)
+    for name in ("connected_components", "nms_greedy", "caption_pairs", "confirmed_tables", "inner_boxes", "photo_hosts", "table_titles", "ocr_paragraphs"):
+        Q.QUERIES[f"{name}_all"](spark, str(tmp_path)).count()
