@@ -83,12 +83,12 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
-        if tag in _RAW and not m["close"]:
+        if tag in _RAW and tag != "math" and not m["close"]:
             if m["attrs"].endswith("/"):
                 continue
             close = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)" + (r"|(?=<body\b)" if tag == "head" else ""), re.I).search(page, at)
-            at = close.end() if close else (at if tag == "head" else n)
-            if tag not in ("svg", "math"):
+            at = close.end() if close else (n if tag in ("script", "style", "textarea", "title") else at)
+            if tag != "svg":
                 parts.append(" ")
             continue
         if tag == "a":

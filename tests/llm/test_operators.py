@@ -349,6 +349,16 @@ def test_html_extraction(spark):
     assert score(crf.decode(fs)) == pytest.approx(max(score([k >> i & 1 for i in range(6)]) for k in range(64)))
 
 
+@pytest.mark.parametrize("tag", ["svg", "select", "noscript", "object", "canvas", "audio", "video", "iframe"])
+def test_unclosed_tags_do_not_swallow_the_page(tag):
+    from folioflow.llm import html_crf as H
+
+    text = lambda page: [b.text for b in H.blocks(page)]
+    assert text(f"<article><p>One.<{tag}><p>Two <math><mi>x</mi></math> three.</article>") == ["One.", "Two x three."]
+    assert text(f"<article><p>One.<{tag}><p>hidden</p></{tag}><p>Two.</article>") == ["One.", "Two."]
+    assert text("<article><p>One.<script><p>Two.</article>") == ["One."]
+
+
 def test_site_quality_shrinks_sparse_sites(spark):
     from folioflow.llm.quality import Logistic, features, site_quality, url_host, url_path
 
