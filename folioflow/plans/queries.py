@@ -194,6 +194,12 @@ def documents_listing(spark, sf_dir):
     return V.listing(e, ids=list(range(100)), states=["click", "view"])
 
 
+@query("""WITH l AS (SELECT user_id AS document_id, max(event_id) AS version, arg_max(event_type, event_id) AS layer_state FROM events GROUP BY user_id) SELECT * FROM l""")
+def documents_listing_all(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), F.col("event_id").alias("version"), F.col("event_type").alias("layer_state"))
+    return V.listing(e)
+
+
 def _two_versions(spark, sf_dir):
     lines = B.line_blocks(_t(spark, sf_dir, "documents"))
     edited = lines.where("ord % 7 <> 3").withColumn("text", F.when(F.col("ord") % 13 == 5, F.concat("text", F.lit(" edited"))).otherwise(F.col("text")))

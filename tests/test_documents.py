@@ -288,3 +288,12 @@ def test_box_queries_keep_repeated_line_keys(spark, tmp_path):
     assert len(order) == len({(x["page"], x["seq"]) for x in order}) == len(rows)
     for name in ("connected_components", "nms_greedy", "caption_pairs", "confirmed_tables", "inner_boxes", "photo_hosts", "table_titles", "ocr_paragraphs"):
         Q.QUERIES[f"{name}_all"](spark, str(tmp_path)).count()
+
+
+def test_the_unfiltered_listing_holds_every_document(spark, tmp_path):
+    from folioflow.plans.queries import QUERIES
+
+    rows = [(u, e, ("click", "view", "buy")[(u + e) % 3]) for u in range(0, 500, 7) for e in range(u, u + 3)]
+    spark.createDataFrame(rows, "user_id bigint, event_id bigint, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["document_id"]: (r["version"], r["layer_state"]) for r in QUERIES["documents_listing_all"](spark, str(tmp_path)).collect()}
+    assert got == {u: (e, t) for u, e, t in sorted(rows)}
