@@ -14,7 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
 SLICE_BYTES = 1 << 20
@@ -226,9 +227,12 @@ def binaries(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows of ``ids`` (one column); broadcast only while the ids are few."""
-    ids = materialize(ids.distinct(), "dropped")
-    if ids.count() <= BROADCAST_IDS:
-        ids = ids.hint("broadcast")
-    return docs.join(ids, id_col, "left_anti")
+def without(docs: DataFrame, gone: DataFrame, digest: Column, name: str, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows of ``gone`` (doc_id, ``name``): those of one id and of one text, whose digest ``digest`` is.
+
+    Null ids are equal to each other here; broadcast only while the rows are few.
+    """
+    gone = materialize(gone.select(F.col("doc_id").alias("_gone_id"), F.col(name).alias("_gone_digest")).distinct(), "dropped")
+    if gone.count() <= BROADCAST_IDS:
+        gone = gone.hint("broadcast")
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (digest == F.col("_gone_digest")), "left_anti")

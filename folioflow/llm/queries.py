@@ -12,7 +12,8 @@ from folioflow.llm.licenses import oracle_sql as _license_sql
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.minhash import NearDuplicates
 
-    return NearDuplicates(width=3, percent=85).classes(table(spark, sf_dir, "documents"))
+    found = NearDuplicates(width=3, percent=85).classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

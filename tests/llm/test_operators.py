@@ -103,6 +103,34 @@ def test_near_duplicates_equal_brute_force(spark, odd, monkeypatch, short, block
             assert r["kept"] == (r["component_id"] == r["doc_id"])
 
 
+def test_long_lists_with_open_sketches_equal_brute_force(spark, monkeypatch):
+    """Long texts on one template: sketches leave pairs near the threshold open; every path is forced."""
+    from folioflow.llm import minhash as M
+
+    for name, value in (("SHORT_LIST", 6), ("SKETCHES", 16), ("BLOCK", 8), ("FAN", 4), ("HEAVY", 20)):
+        monkeypatch.setattr(M, name, value)
+    r = np.random.default_rng(3)
+    base = r.choice(WORDS, 300)
+    rows = []
+    for i in range(90):
+        w = base.copy()
+        at = r.choice(300, int(r.integers(3, 22)), replace=False)
+        w[at] = r.choice(WORDS, len(at))
+        rows.append((i, " ".join(w)))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in M.NearDuplicates(width=3, percent=85).classes(frame(spark, rows)).collect()}
+    want = brute_components(rows, 3, 85)
+    assert got == want and 1 < len({c for _, c in want.values()}) < 90
+
+
+def test_one_id_with_two_texts_and_an_empty_table(spark):
+    from folioflow.llm.minhash import NearDuplicates
+
+    rows = [(5, "a b c d e f g"), (5, "h i j k l m n"), (3, "H i j k l m n"), (8, "a b c d e f g")]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in NearDuplicates().classes(frame(spark, rows)).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (8, 5, False)]
+    assert NearDuplicates().classes(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def test_sketch_bound_never_refuses_a_link():
     from folioflow.llm.minhash import passes
 
@@ -117,6 +145,7 @@ def test_sketch_bound_never_refuses_a_link():
                 assert passes(a[:64], b[:64], len(a), len(b), 64, 85)
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\u00a0"])
 def test_components_of_long_chains(spark):
     from folioflow.llm.components import components
 
