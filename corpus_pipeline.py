@@ -2,7 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of ``documents``.  Null text counts as empty
-throughout and an empty table passes through every stage.
+throughout and an empty table passes through every stage.  Where rows share a
+doc_id but not the text, each is judged by its own text; repeated rows count
+as exact copies of each other, rows without doc_id too.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import materialize, table, without
 from folioflow.llm.decontaminate import without_contaminated
-from folioflow.llm.exact import exact_duplicates
+from folioflow.llm.exact import exact_duplicates, normalized
 from folioflow.llm.minhash import NearDuplicates
 from folioflow.llm.packing import pack
 from folioflow.llm.toxicity import train, without_toxic
@@ -24,13 +26,24 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id stays."""
-    return without(docs, exact_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id"))
+    """Of equal texts one row with the smallest doc_id stays; of repeated rows of that id (or of null ids) the smallest row."""
+    verdicts = materialize(exact_duplicates(docs), "verdicts")
+    digest, columns = F.sha2(normalized(F.col("text")), 256), docs.columns
+    rest = without(docs, verdicts.where("NOT kept"), digest, "text_sha256")
+    twins = verdicts.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1")
+    twins = materialize(twins.select("doc_id", "text_sha256"), "twins")
+    if twins.isEmpty():
+        return rest
+    twin = twins.select(F.col("doc_id").alias("_twin_id"), F.col("text_sha256").alias("_twin_digest"))
+    again = rest.withColumn("_digest", digest).join(twin, F.col("doc_id").eqNullSafe(F.col("_twin_id")) & (F.col("_digest") == F.col("_twin_digest")))
+    one = again.groupBy("_twin_id", "_twin_digest").agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
+    return without(rest, twins, digest, "text_sha256").unionByName(one)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, Jaccard 0.8) the smallest doc_id stays."""
-    return without(docs, NearDuplicates(width=5, percent=80).classes(docs).where("NOT kept").select("doc_id"))
+    """Of each group of near duplicates (five-word shingles, Jaccard 0.8) the smallest doc_id stays; null ids are in no group."""
+    gone = NearDuplicates(width=5, percent=80).classes(docs).where("NOT kept")
+    return without(docs, gone, F.xxhash64("text"), "text_hash")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
