@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import SEPARATOR, bag, batch_of, materialize, row_slices, slices, utf8
-from folioflow.llm.toxicity import fit_sample
+from folioflow.llm.toxicity import fit_sample, fitted
 
 FEATURES = 12
 
@@ -65,9 +65,11 @@ class Logistic:
 
 
 def train(docs: DataFrame, labels: DataFrame, keep) -> Logistic:
-    texts, ys = fit_sample(docs, labels, "quality", keep)
-    x = np.concatenate([np.zeros((0, FEATURES)), *(features(raw, at) for _, _, raw, at in row_slices(*utf8(pa.array(texts, pa.large_string()))))])
-    return Logistic().fit(x, np.asarray(ys, float))
+    def fit(texts, ys):
+        x = np.concatenate([np.zeros((0, FEATURES)), *(features(raw, at) for _, _, raw, at in row_slices(*utf8(pa.array(texts, pa.large_string()))))])
+        return Logistic().fit(x, np.asarray(ys, float))
+
+    return fitted(fit_sample(docs, labels, "quality", keep), fit)
 
 
 def url_host(url: Column) -> Column:

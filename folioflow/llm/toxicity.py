@@ -18,15 +18,21 @@ Labels, language, source and ids never enter a score.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import BYTE_CODE, LOWER, bag, batch_of, mix, row_slices, slices, utf8
+from folioflow.llm.common import BYTE_CODE, LOWER, SLICE_BYTES, bag, batch_of, binaries, mix, row_slices, slices, trim, utf8
 
-def ngrams(raw: np.ndarray, a: np.ndarray, b: np.ndarray, h: np.ndarray, sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the subwords of the words raw[a:b], as (bucket, word index), the whole word first."""
+def ngrams(raw: np.ndarray, a: np.ndarray, b: np.ndarray, h: np.ndarray, sizes: tuple[int, ...], buckets: int, step: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the subwords of the words raw[a:b], as (bucket, word index), the whole word first; ``step`` words at once."""
+    if len(a) > step:
+        parts = [ngrams(raw, a[k : k + step], b[k : k + step], h[k : k + step], sizes, buckets, step) for k in range(0, len(a), step)]
+        return np.concatenate([p for p, _ in parts]), np.concatenate([of + k * step for k, (_, of) in enumerate(parts)])
     size = b - a + 2  # with both ends marked
     start = np.concatenate([[0], np.cumsum(size)])
     text = np.full(start[-1], 256, np.int64)
@@ -47,18 +53,39 @@ def ngrams(raw: np.ndarray, a: np.ndarray, b: np.ndarray, h: np.ndarray, sizes:
         whole = word[:m] == word[n - 1 :]
         out.append(mix(run[whole] + np.uint64(n)) % np.uint64(buckets))
         of.append(word[:m][whole])
-    out, of = np.concatenate(out).astype(np.int64), np.concatenate(of)
+    out, of = np.concatenate(out).astype(np.int32), np.concatenate(of).astype(np.int32)
     order = np.argsort(of, kind="stable")
     return out[order], of[order]
 
 
+def vocabulary(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word number, row) of each word of the texts, and for each number its hash, first byte and byte after; slice by slice."""
+    numbers, rows, kinds, starts, ends, held = [], [], [], [], [], 0
+    for lo, _, part, own in row_slices(raw, at, SLICE_BYTES // 4):
+        h, row, a, b = bag(part, own)
+        kind, first, number = np.unique(h, return_index=True, return_inverse=True)
+        numbers.append((number + held).astype(np.int32))
+        rows.append((row + lo).astype(np.int32))
+        kinds.append(kind)
+        starts.append(a[first] + at[lo])
+        ends.append(b[first] + at[lo])
+        held += len(kind)
+    if not held:
+        z = np.zeros(0, np.int64)
+        return z, z, z.view(np.uint64), z, z
+    vocab, first, number = np.unique(np.concatenate(kinds), return_index=True, return_inverse=True)
+    return number.astype(np.int32)[np.concatenate(numbers)], np.concatenate(rows), vocab, np.concatenate(starts)[first], np.concatenate(ends)[first]
+
+
 def windows_of(row: np.ndarray, rows: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Passage of each word and row of each passage: runs of ``window`` words of one row."""
     count = np.bincount(row, minlength=rows)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    kind = np.int32 if len(row) < 1 << 31 else np.int64
+    place = np.arange(len(row), dtype=kind) - np.repeat((np.cumsum(count) - count).astype(kind), count)
     per = -(-count // window)
-    base = np.cumsum(per) - per
-    return base[row] + place // window, np.repeat(np.arange(rows), per)
+    place //= window
+    place += np.repeat((np.cumsum(per) - per).astype(kind), count)
+    return place, np.repeat(np.arange(rows, dtype=kind), per)
 
 
 class SubwordSoftmax:
@@ -77,16 +104,14 @@ class SubwordSoftmax:
         texts, labels = zip(*dict.fromkeys(zip(texts, labels))) if len(texts) else ((), ())  # copies count once
         y = np.asarray(labels, float)
         raw, at = utf8(pa.array(texts, pa.large_string()))
-        found = [(h, row + lo, a + at[lo], b + at[lo]) for lo, _, part, own in row_slices(raw, at) for h, row, a, b in [bag(part, own)]]
-        h, row, a, b = (np.concatenate(x) for x in zip(*found)) if found else bag(raw, at)
-        vocab, first, word = np.unique(h, return_index=True, return_inverse=True)
-        sub, of = ngrams(raw, a[first], b[first], vocab, self.sizes, self.buckets)
-        del found, h, a, b
-        sub, word = sub.astype(np.int32), word.astype(np.int32)
+        del texts
+        word, row, vocab, a, b = vocabulary(raw, at)
+        sub, of = ngrams(raw, a, b, vocab, self.sizes, self.buckets)
         cut = np.searchsorted(of, np.arange(len(vocab) + 1))
         spans = np.diff(cut)
         passage, passage_row = windows_of(row, len(y), self.window)
         pcut = np.searchsorted(passage, np.arange(len(passage_row) + 1))
+        del row, a, b, vocab, of, passage
         size = np.diff(pcut)
         start = np.flatnonzero(np.diff(passage_row, prepend=-1))  # first passage of each text that has words
         toxic = y[passage_row] > 0 if len(passage_row) else np.zeros(0, bool)
@@ -126,7 +151,10 @@ class SubwordSoftmax:
         self.fold = (E @ (W[:, 1] - W[:, 0])).astype(np.float32)
         self.bias = float(bias)
         self.scale, self.shift = 1.0, 0.0
-        self._calibrate(np.concatenate([np.zeros(0), *(self.logits(part, own) for _, _, part, own in row_slices(raw, at))]), y)
+        del E, hE, sub, word
+        self._calibrate(np.concatenate([np.zeros(0), *(self.logits(part, own) for _, _, part, own in row_slices(raw, at, SLICE_BYTES // 4))]), y)
+        del raw, at
+        trim()
         return self
 
     def _calibrate(self, z: np.ndarray, y: np.ndarray) -> None:
@@ -161,28 +189,40 @@ class SubwordSoftmax:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(raw, at) + self.shift, -30, 30)))
 
 
-#: Labelled rows that a fit may see at most, and bytes of their texts.
-FIT_ROWS, FIT_BYTES = 5_000, 8 << 20
+#: Labelled rows that a fit may see at most, bytes of their texts, and bytes of one text.
+FIT_ROWS, FIT_BYTES, FIT_TEXT = 5_000, 8 << 20, 128 << 10
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, label: str, keep, rows: int = FIT_ROWS, limit: int = FIT_BYTES) -> tuple[list[str], list[int]]:
-    """A bounded, repeatable sample of labelled texts: the rows with the smallest hash of their id.
+def fit_sample(docs: DataFrame, labels: DataFrame, label: str, keep, rows: int = FIT_ROWS, longest: int = FIT_TEXT) -> DataFrame:
+    """(text, label) of a bounded, repeatable sample in one sorted partition: the labelled rows with the smallest hash of their id.
 
-    ``keep`` is a condition on doc_id.  Rows without label are left out.
+    ``keep`` is a condition on doc_id.  Rows without label are left out, and
+    texts of over ``longest`` bytes.  Where labels of one id differ, the
+    greatest counts; where its texts do, the one with the smallest hash.
     """
-    marked = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & keep).dropDuplicates(["doc_id"])
-    order = F.xxhash64("doc_id")
-    marked = marked.orderBy(order, "doc_id").limit(rows)  # at most `rows` rows of 12 bytes
-    got = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
-    sized = got.withColumn("size", F.octet_length("text")).where(F.col("size") <= limit // 64)
-    texts, ys, used = [], [], 0
-    for r in sized.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
-        used += r["size"]
-        if used > limit:
-            break
-        texts.append(r["text"])
-        ys.append(r["label"])
-    return texts, ys
+    marked = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & keep).groupBy("doc_id").agg(F.max("label").alias("label"))
+    marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # at most `rows` rows of 12 bytes
+    text = F.coalesce("text", F.lit(""))
+    got = docs.select("doc_id", text.alias("text")).where(F.octet_length("text") <= longest).join(F.broadcast(marked), "doc_id")
+    got = got.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("s"))
+    return got.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("s.text", "label")
+
+
+def fitted(sample: DataFrame, fit: Callable[[list[str], list[int]], object], limit: int = FIT_BYTES) -> object:
+    """``fit`` on the sample's first ``limit`` bytes of text, in one task of an executor; only the model comes back."""
+
+    def run(batches):
+        texts, ys, used = [], [], 0
+        for batch in batches:
+            for t, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+                used += len(t.encode())
+                if used <= limit:
+                    texts.append(t)
+                    ys.append(y)
+        yield batch_of(pa.schema([("model", pa.binary())]), binaries([pickle.dumps(fit(texts, ys))]))
+
+    made = sample.mapInArrow(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else fit([], [])
 
 
 def held_out(id_col: str = "doc_id", fold: int = 0):
@@ -212,8 +252,7 @@ def score_texts(docs: DataFrame, model: SubwordSoftmax, id_col: str = "doc_id",
 def train(docs: DataFrame, labels: DataFrame, fold: int | None = 0) -> SubwordSoftmax:
     """Fit on labelled documents outside the held-out fold (all if ``fold`` is None); an empty sample gives a constant score."""
     keep = ~held_out(fold=fold) if fold is not None else F.lit(True)
-    texts, ys = fit_sample(docs, labels, "toxic", keep)
-    return SubwordSoftmax().fit(texts, ys)
+    return fitted(fit_sample(docs, labels, "toxic", keep), lambda texts, ys: SubwordSoftmax().fit(texts, ys))
 
 
 def without_toxic(docs: DataFrame, model: SubwordSoftmax, text_col: str = "text") -> DataFrame:
