@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
+#: Blanks in a row up to which ``tiktoken`` is given a text; its pattern recurses on them and fails beyond some 100,000.
+SAFE_RUN = 50_000
+_LONG_RUN = re.compile(r"\s{1000}\s*")
 SPECIAL = "<|endoftext|>"
 _encoders: dict = {}
 
@@ -13,7 +18,7 @@ class Encoder:
 
     The same merges as ranks run several times faster in ``tiktoken``; texts
     that spell the special token, which ``tokenizers`` reads as one id, go to
-    ``tokenizers`` itself.
+    ``tokenizers`` itself, and so do texts with very long runs of blanks.
     """
 
     def __init__(self, name: str = "byte_bpe_50k"):
@@ -33,7 +38,7 @@ class Encoder:
         self.slow = None
 
     def __call__(self, text: str) -> np.ndarray:
-        if SPECIAL in text:
+        if SPECIAL in text or (len(text) > SAFE_RUN and any(m.end() - m.start() > SAFE_RUN for m in _LONG_RUN.finditer(text))):
             if self.slow is None:
                 from tokenizers import Tokenizer
 

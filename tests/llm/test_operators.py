@@ -146,6 +146,18 @@ def test_sketch_bound_never_refuses_a_link():
 
 
 @pytest.mark.parametrize("blank", [" ", "\n", "\u00a0"])
+def test_long_runs_of_blanks_are_encoded(blank):
+    from tokenizers import Tokenizer
+
+    from folioflow.llm.tokens import Encoder
+
+    encode = Encoder()
+    whole = Tokenizer.from_file(encode.json)
+    for n in (10**5, 10**6) + ((10**7,) if blank == " " else ()):
+        text = "a" + blank * n + "b c"
+        assert encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_components_of_long_chains(spark):
     from folioflow.llm.components import components
 
