@@ -10,21 +10,24 @@ one threshold fits all; it is lower for entries whose rarest words weigh so
 much that a passage could lack them and still hold ``overlap`` of the shingles.
 
 1. Passages without a run of words of any entry verify nothing and are left out.
-   Bounds rule out more, vectorised: common terms that cannot come near
-   the threshold even together are set aside with their sum as a bound for
-   each item, and the impacts of the other terms must make up the difference.
 2. The other passages run block-max WAND over the postings and retrieve all
    items above the threshold, not a top few.
 3. An item counts when at least ``overlap`` of its five-word shingles, or of
    those of its question or answer of ``PART_WORDS`` words, are in the passage.
 
-The index is small and bounded: items are taken in shards of at most
+The index is small and bounded: items are taken in shards of about
 ``SHARD_BYTES`` of text, and each shard is one pass over the documents.
+Document frequencies, the number of items and their mean length are those of
+all items whatever the shards.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import bag, batch_of, shingles, short_runs, slices, utf8
+from folioflow.llm.common import bag, batch_of, materialize, shingles, short_runs, slices, utf8
 
 SHARD_BYTES = 8 << 20
 BLOCK = 64
@@ -47,10 +50,23 @@ def _split(text: str) -> tuple[str, str]:
     return (text[:cut], text[cut + 1 :]) if cut > 0 else (text, "")
 
 
+class Corpus(NamedTuple):
+    """What is known of all items: their number, mean and most words, and for each word (hashes in order) the items that hold it."""
+
+    items: int
+    length: float
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
 class ItemIndex:
-    def __init__(self, items: list[tuple[int, str]], threshold: float = 0.6, overlap: float = 0.8, width: int = 5):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = 0.6, overlap: float = 0.8, width: int = 5, whole: Corpus | None = None):
+        """``whole``: the statistics of all items, where these are a shard of them."""
         self.threshold, self.overlap, self.width = threshold, overlap, width
-        items = [(i, t.lower()) for i, t in items if t and len(bag(*utf8(pa.array([t])))[0])]
+        lower = pc.utf8_lower(pa.array([t for _, t in items], pa.large_string())).to_pylist()  # as the documents' texts
+        n_words = np.bincount(bag(*utf8(pa.array(lower, pa.large_string())))[1], minlength=len(items))
+        items = [(i, t) for (i, _), t, n in zip(items, lower, n_words) if n]
         self.ids = np.array([i for i, _ in items], np.int64)
         texts = [t for _, t in items]
         self.shingles = self._sets(texts)
@@ -68,18 +84,21 @@ class ItemIndex:
         self.short = [n for n in np.unique(count(texts)).tolist() if 0 < n < self.width]
         raw, at = utf8(pa.array(texts + [side[i] for side, o in zip(sides, own) for i in o], pa.large_string()))
         h, row, _, _ = bag(raw, at)
-        n, whole = len(self.of), len(items)
+        n, own_items = len(self.of), len(items)
         length = np.bincount(row, minlength=n)
-        self.passage = 2 * max(16, int(length.max(initial=0)))
         pair = np.unique(np.stack([h, row.astype(np.uint64)]), axis=1, return_counts=True) if n else (np.zeros((2, 0), np.uint64), np.zeros(0))
         (term, item), tf = pair
         self.terms, start = np.unique(term, return_index=True)
         self.start = np.append(start, len(term))
         df = np.diff(self.start)
         item = item.astype(np.int64)
-        seen = np.bincount(np.repeat(np.arange(len(df)), df)[item < whole], minlength=len(df))  # items, not their parts
-        idf = np.log(1 + (whole - seen + 0.5) / (seen + 0.5))
-        impact = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(length[:whole].mean(), 1e-9))) if n else np.zeros(0)
+        seen = np.bincount(np.repeat(np.arange(len(df)), df)[item < own_items], minlength=len(df))  # items, not their parts
+        if whole is None:
+            whole = Corpus(own_items, float(length[:own_items].mean()) if n else 0.0, int(length.max(initial=0)), self.terms, seen)
+        self.passage = 2 * max(16, whole.longest)
+        seen = whole.df[np.searchsorted(whole.terms, self.terms)]
+        idf = np.log(1 + (whole.items - seen + 0.5) / (seen + 0.5))
+        impact = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(whole.length, 1e-9))) if n else np.zeros(0)
         impact = impact / np.bincount(item, impact, n)[item] if n else impact
         # a verified passage lacks at most so many words as shingles; entries are scaled to share one threshold
         self.least = np.full(n, threshold)
@@ -89,66 +108,62 @@ class ItemIndex:
             lost = int((1 - overlap) * len(sets[i]) + 1e-9)
             self.least[i] = max(1e-6, min(threshold, 1 - impact[by[cut[i] : min(cut[i] + lost, cut[i + 1])]].sum() - 1e-9))
         self.item, self.impact = item, impact * (threshold / self.least)[item]
-        self.words = [(term[by[cut[i] : cut[i + 1]]], impact[by[cut[i] : cut[i + 1]]]) for i in range(whole)]
+        self.words = [(term[by[cut[i] : cut[i + 1]]], impact[by[cut[i] : cut[i + 1]]]) for i in range(own_items)]
         self.max = np.maximum.reduceat(self.impact, start) if n else np.zeros(0)
-        self.block_max = [np.maximum.reduceat(self.impact[a:b], np.arange(0, b - a, BLOCK)) for a, b in zip(self.start[:-1], self.start[1:])]
-        # common terms that together stay below three quarters of the threshold for every item
-        self.left, self.aside = np.zeros(n), np.zeros(len(self.terms), bool)
-        for t in np.argsort(-df, kind="stable"):
-            own = self.item[self.start[t] : self.start[t + 1]]
-            grown = self.left[own] + self.impact[self.start[t] : self.start[t + 1]]
-            if (grown <= 0.75 * threshold).all():
-                self.left[own] = grown
-                self.aside[t] = True
+        self.block_max = [np.maximum.reduceat(self.impact[a:b], np.arange(0, b - a, BLOCK)).tolist() for a, b in zip(self.start[:-1], self.start[1:])]
+        self._items, self._impacts = array("q", self.item.tobytes()), array("d", self.impact.tobytes())
+        self._starts, self._most = self.start.tolist(), self.max.tolist()
 
     def _sets(self, texts: list[str]) -> list[np.ndarray]:
         raw, at = utf8(pa.array(texts, pa.large_string()))
         h, row, _, _ = bag(raw, at)
         s, of = shingles(h, row, len(texts), self.width)
-        return [np.unique(s[of == i]) for i in range(len(texts))]
+        cut = np.searchsorted(of, np.arange(len(texts) + 1))
+        return [np.unique(s[a:b]) for a, b in zip(cut[:-1], cut[1:])]
 
     def wand(self, terms: np.ndarray) -> list[tuple[int, float]]:
         """All entries whose scaled score for the distinct ``terms`` is above the threshold, by block-max WAND."""
-        least = self.threshold - 1e-9
+        least, item, impact, start, most = self.threshold - 1e-9, self._items, self._impacts, self._starts, self._most
         # a cursor: [item, position, end, term]
-        live = sorted([int(self.item[self.start[t]]), int(self.start[t]), int(self.start[t + 1]), int(t)] for t in terms)
+        live = sorted([item[start[t]], start[t], start[t + 1], t] for t in terms.tolist())
         out = []
         while live:
             bound, pivot = 0.0, -1
             for i, c in enumerate(live):
-                bound += self.max[c[3]]
+                bound += most[c[3]]
                 if bound >= least:
                     pivot = i
                     break
             if pivot < 0:
                 break
-            item = live[pivot][0]
-            while pivot + 1 < len(live) and live[pivot + 1][0] == item:
+            at = live[pivot][0]
+            while pivot + 1 < len(live) and live[pivot + 1][0] == at:
                 pivot += 1
             # the blocks that could hold the pivot item
-            bound, reach = 0.0, np.iinfo(np.int64).max
+            bound, reach = 0.0, live[pivot + 1][0] if pivot + 1 < len(live) else 1 << 62
             for c in live[: pivot + 1]:
-                at = c[1] + int(np.searchsorted(self.item[c[1] : c[2]], item)) if c[0] < item else c[1]
-                if at < c[2]:
-                    block = (at - int(self.start[c[3]])) // BLOCK
-                    bound += self.block_max[c[3]][block]
-                    end = min(int(self.start[c[3]]) + (block + 1) * BLOCK, c[2])
-                    if end < c[2]:
-                        reach = min(reach, int(self.item[end]))
-            if bound < least:
-                target = max(item + 1, min(reach, live[pivot + 1][0] if pivot + 1 < len(live) else reach))
-            else:
-                score = 0.0
-                for c in live[: pivot + 1]:
-                    c[1] += int(np.searchsorted(self.item[c[1] : c[2]], item))
-                    if c[1] < c[2] and self.item[c[1]] == item:
-                        score += self.impact[c[1]]
+                if c[0] < at:
+                    c[1] = bisect_left(item, at, c[1], c[2])
+                    if c[1] == c[2]:
+                        continue
+                    c[0] = item[c[1]]
+                block = (c[1] - start[c[3]]) // BLOCK
+                bound += self.block_max[c[3]][block]
+                end = start[c[3]] + (block + 1) * BLOCK
+                if end < c[2]:
+                    reach = min(reach, item[end])
+            target = at + 1
+            if bound >= least:
+                score = sum(impact[c[1]] for c in live[: pivot + 1] if c[0] == at and c[1] < c[2])
                 if score >= least:
-                    out.append((item, float(score)))
-                target = item + 1
+                    out.append((at, score))
+            else:
+                target = max(target, reach)
             for c in live[: pivot + 1]:
-                c[1] += int(np.searchsorted(self.item[c[1] : c[2]], target))
-                c[0] = int(self.item[c[1]]) if c[1] < c[2] else -1
+                if c[1] < c[2] and c[0] < target:
+                    c[1] = bisect_left(item, target, c[1], c[2])
+                    if c[1] < c[2]:
+                        c[0] = item[c[1]]
             live = sorted(c for c in live if c[1] < c[2])
         return out
 
@@ -157,8 +172,6 @@ class ItemIndex:
         h, row, _, _ = bag(raw, at)
         if not len(h) or not len(self.terms):
             return []
-        term = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
-        known = self.terms[term] == h
         step = self.passage // 2
         count = np.bincount(row, minlength=len(at) - 1)
         base = np.concatenate([[0], np.cumsum(count)])
@@ -169,13 +182,10 @@ class ItemIndex:
         hi = np.minimum(lo + self.passage, base[owner + 1])
         best: dict[tuple[int, int], tuple] = {}
         mark = np.flatnonzero(self._marked(h))
-        some = np.zeros(len(count), bool)
-        some[row[mark]] = True
         near = self._around(mark, row, base, per, step)
-        for w in np.intersect1d(near, self._hopeful(np.flatnonzero(known & ~self.aside[term] & some[row]), term, row, base, per, step)):
+        for w in np.unique(near):
             own = slice(lo[w], hi[w])
-            terms = np.unique(term[own][known[own]])
-            found = self.wand(terms)
+            found = self.wand(self._terms(h[own]))
             if not found:
                 continue
             seen, _ = shingles(h[own], np.zeros(hi[w] - lo[w], np.int64), 1, self.width)
@@ -190,6 +200,11 @@ class ItemIndex:
                     best[key] = max(best.get(key, (-1.0,)), (part[0], score, -int(place[w]), part[1], part[2]))
         return [(r, i, -v[2], v[1], v[0], v[3], v[4]) for (r, i), v in sorted(best.items())]
 
+    def _terms(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the distinct indexed words among ``h``."""
+        at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
+        return np.unique(at[self.terms[at] == h])
+
     def _marked(self, h: np.ndarray) -> np.ndarray:
         """Words at which a run of some entry starts."""
         out = np.zeros(len(h), bool)
@@ -210,16 +225,6 @@ class ItemIndex:
         first = np.cumsum(per) - per
         return np.concatenate([first[owner] + np.minimum(last, per[owner] - 1), first[owner] + np.clip(last - 1, 0, per[owner] - 1)])
 
-    def _hopeful(self, at: np.ndarray, term: np.ndarray, row: np.ndarray, base: np.ndarray, per: np.ndarray, step: int) -> np.ndarray:
-        """Passages in which some item's terms, with all that was set aside for it, could reach the threshold."""
-        window = self._around(at, row, base, per, step)
-        window, t = np.divmod(np.unique(window * len(self.terms) + np.tile(term[at], 2)), len(self.terms))
-        n = self.start[t + 1] - self.start[t]
-        post = np.repeat(self.start[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        cell, inverse = np.unique(np.repeat(window, n) * len(self.ids) + self.item[post], return_inverse=True)
-        total = np.bincount(inverse, self.impact[post], len(cell)) + self.left[cell % len(self.ids)]
-        return np.unique(cell[total >= self.threshold - 1e-9] // len(self.ids))
-
     def _short(self, h: np.ndarray, own: np.ndarray) -> float:
         """Texts of fewer words than a shingle are looked for as runs of their own length."""
         for n in range(1, self.width):
@@ -234,12 +239,40 @@ def lowered(batch: pa.RecordBatch, text: str) -> pa.RecordBatch:
     return batch.set_column(batch.schema.get_field_index(text), text, pc.utf8_lower(batch.column(text)))
 
 
-def item_shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: int = SHARD_BYTES) -> list[list[tuple[int, str]]]:
-    """The items, read in shards of about ``limit`` bytes; null or wordless items and null ids are left out."""
-    items = benchmark.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").dropDuplicates(["i"])
+def item_indexes(benchmark: DataFrame, threshold: float, overlap: float, id_col: str = "item_id", text_col: str = "text", limit: int | None = None) -> Iterator[ItemIndex]:
+    """Indexes of shards of about ``limit`` bytes of items, one after the other, under the statistics of all items.
+
+    Null or wordless items and null ids are left out; items that repeat both
+    id and text count once, those that repeat only an id count each.
+    """
+    items = benchmark.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").dropDuplicates(["i", "t"])
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    shards = max(1, -(-size // limit))
-    return [[(r["i"], r["t"]) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == s).orderBy("i").collect()] for s in range(shards)]
+    shards = max(1, -(-size // (limit or SHARD_BYTES)))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("i", "t"), F.lit(shards)))
+    words = None
+    if shards > 1:
+        words = materialize(items.select("shard", F.col("t").alias("text")).mapInArrow(_item_words, "shard bigint, n bigint, terms array<bigint>"), "itemwords")
+        n, length, longest = words.where("n > 0").agg(F.count("*"), F.avg("n"), F.max("n")).first()
+        each = words.select("shard", F.explode("terms").alias("term"))
+        df = materialize(each.groupBy("term").agg(F.count("*").alias("df")), "itemterms")
+    for s in range(shards):
+        rows = [(r["i"], r["t"]) for r in items.where(F.col("shard") == s).orderBy("i", "t").collect()]  # about `limit` bytes
+        whole = None
+        if words is not None:  # the words of one shard
+            own = df.join(each.where(F.col("shard") == s).select("term").distinct(), "term").toArrow()
+            term = own.column("term").to_numpy().view(np.uint64)
+            order = np.argsort(term)
+            whole = Corpus(int(n), float(length), int(longest), term[order], own.column("df").to_numpy()[order])
+        yield ItemIndex(rows, threshold, overlap, whole=whole)
+
+
+def _item_words(batches):
+    schema = pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("terms", pa.list_(pa.int64()))])
+    for batch in batches:
+        for part, raw, at in slices(lowered(batch, "text"), "text"):
+            h, row, _, _ = bag(raw, at)
+            cut = np.searchsorted(row, np.arange(len(part) + 1))
+            yield batch_of(schema, part.column("shard"), np.diff(cut), [np.unique(h[a:b]).view(np.int64) for a, b in zip(cut[:-1], cut[1:])])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.6, overlap: float = 0.8) -> DataFrame:
@@ -251,8 +284,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
-    for items in item_shards(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(items, threshold, overlap))
+    for index in item_indexes(benchmark, threshold, overlap):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        del index
 
         def run(batches, shared=shared):
             schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("passage", pa.int64()), *((c, pa.float64()) for c in ("score", "overlap", "question_overlap", "answer_overlap"))])
@@ -270,8 +304,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = 0.6, overlap: float = 0.8) -> DataFrame:
     """``docs`` without the rows in which an item is found; decided where the row is read, without a shuffle."""
-    for items in item_shards(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(items, threshold, overlap))
+    for index in item_indexes(benchmark, threshold, overlap):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        del index
 
         def run(batches, shared=shared):
             for batch in batches:

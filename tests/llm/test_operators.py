@@ -317,6 +317,23 @@ def test_wand_equals_full_scoring_and_finds_leaks(spark, odd):
     assert contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_item_shards_give_what_one_index_gives(spark, odd, monkeypatch):
+    from folioflow.llm import decontaminate as D
+
+    r = np.random.default_rng(21)
+    items = [(i, " ".join(r.choice(WORDS, int(r.integers(12, 60))))) for i in range(120)] + [(7, " ".join(r.choice(WORDS, 25)))]  # one id, two texts
+    docs = [*odd, *((2000 + k, " ".join([*r.choice(WORDS, 80), items[k * 3][1], *r.choice(WORDS, 150)])) for k in range(40)), (3000, items[-1][1]), (None, items[0][1])]
+    bench, df = spark.createDataFrame([*items, items[0]], "item_id bigint, text string"), frame(spark, docs).withColumn("item_id", F.lit(1)).withColumn("score", F.lit(2))
+    rows = lambda: sorted((x["doc_id"] or -1, x["item_id"], x["passage"], round(x["score"], 9), x["overlap"]) for x in D.contaminated(df, bench).collect())
+    whole = rows()
+    monkeypatch.setattr(D, "SHARD_BYTES", 4000)
+    assert len(list(D.item_indexes(bench, 0.6, 0.8))) > 3
+    assert rows() == whole
+    assert {(2000 + k, k * 3) for k in range(40)} | {(3000, 7), (-1, 0)} <= {x[:2] for x in whole}
+    empty = spark.createDataFrame([], DOCS)
+    assert D.contaminated(empty, bench).count() == 0 and D.without_contaminated(empty, bench).count() == 0
+
+
 def test_a_whole_question_or_answer_is_a_leak(spark):
     from folioflow.llm.decontaminate import ItemIndex, contaminated, without_contaminated
 
