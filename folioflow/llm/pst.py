@@ -15,16 +15,16 @@ suffix's with a weight of as many positions as it has distinct nexts
 (Witten-Bell).  Scoring uses the longest kept suffix of what precedes each
 symbol.
 
-The tree grows with the corpus, so it is a table: contexts of up to ``ROOT``
-symbols (at most 256 ** ROOT, by the alphabet) are shared, and all longer ones
-lie in the bucket of their last ``ROOT + 1`` symbols, where their suffixes lie
-too.  Slices of texts ask the buckets for their distinct pairs and are then
-summed up with the answers.
-
-The base score needs an exact count for every word of every text.  Words'
-training counts are summed by hash bucket; texts' distinct words are sent,
-packed as arrays, to the bucket of their word and a salt, so that a frequent
-word's lookups spread over as many tasks as the input needs.
+The texts' symbols are written once, in numbered slices that every later step
+reads.  The tree grows with the corpus, so it is a table: contexts of up to
+``ROOT`` symbols (at most 256 ** ROOT, by the alphabet) are shared, and all
+longer ones lie in the bucket of their last ``ROOT + 1`` symbols, where their
+suffixes lie too.  Words' exact training counts, which the base score needs,
+lie in buckets of their hash.  A slice asks each bucket for its distinct keys
+or words, packed as one array, and is then summed up with the answers; as a
+slice asks for a frequent word once, no bucket is hot.  There are at most
+``BUCKETS`` of them, so rows and bytes grow in proportion to the input, and a
+bucket's table is copied once for ``PER_COPY`` partitions.
 """
 
 from __future__ import annotations
@@ -36,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import LOWER, batch_of, binaries, materialize, mix, slices, words
+from folioflow.llm.common import LOWER, batch_of, binaries, drop_materialized, materialize, mix, slices, trim, words
 
 END, BLANK = 0x0A, 0x20
-#: Text bytes of a scoring step, distinct pairs that a counting task holds, slices per salt.
-STEP, HELD, PER_SALT = 4 << 20, 2_000_000, 400
-#: Longest contexts that all tasks share; the longest that a 64-bit key holds; partitions per copy of a bucket.
-ROOT, DEEPEST, PER_COPY = 2, 7, 500
+#: Text bytes of a slice, distinct pairs that a task holds.
+STEP, HELD = 6 << 20, 2_000_000
+#: Symbols of shared contexts, of the longest ones, most buckets, and input partitions that share a copy of a bucket's table.
+ROOT, DEEPEST, BUCKETS, PER_COPY = 2, 7, 4096, 20_000
 _END_WORD = np.uint64(0x5E5D00DE0D0E5EED)
 
 
@@ -188,13 +188,13 @@ def _spread(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte by byte, for the shuffle's compression."""
-    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Sorted keys as differences, in planes of bytes, compressed."""
+    return _packed(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def _unpack(blob: pa.Scalar) -> np.ndarray:
-    raw = np.frombuffer(blob.as_buffer(), np.uint8)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    raw = _unpacked(blob)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, len(raw) // 8).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 class LanguageModelScores:
@@ -213,247 +213,280 @@ class LanguageModelScores:
 
     def scores(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         held = F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == self.fold
-        # reading the flag with the row keeps the fold's rule in one place
         docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(held, F.lit(True)).alias("held_out"), F.col(text_col).alias("text"))
-        self.parts = max(1, docs.rdd.getNumPartitions())
-        self.buckets = 32 + self.parts // 2
-        root, branches = self._tree(docs)
-        scored = self._scored(docs, root, branches)
-        return self._with_base(docs, scored)
+        parts = max(1, docs.rdd.getNumPartitions())
+        self.buckets, self.copies = min(32 + parts // 2, BUCKETS), 1 + parts // PER_COPY
+        texts = materialize(docs.mapInArrow(_cut_up, _TEXTS), "symbols")
+        root, tables, known = self._learned(texts)
+        return self._scored(texts, root, tables, *known)
 
-    # --- the tree ------------------------------------------------------------
+    # --- counts and the tree -------------------------------------------------
 
-    def _tree(self, docs: DataFrame) -> tuple[SuffixTree, DataFrame]:
-        """The shared short contexts, and the longer ones: a row of pickled arrays per bucket."""
+    def _learned(self, texts: DataFrame) -> tuple[SuffixTree, DataFrame, tuple[int, int]]:
+        """The shared short contexts; per kind and bucket the longer ones (a pickled tree) or the words' counts; all tokens and kinds of words."""
         order, buckets, least, penalty, top = self.order, self.buckets, self.least, self.penalty, min(ROOT, self.order)
-        spark = docs.sparkSession
+        spark = texts.sparkSession
 
         def count(batches):
-            schema = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("n", pa.binary())])
-            held, size = [], 0
+            schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("h", pa.binary()), ("n", pa.binary())])
+            held, size = ([], []), [0, 0]
 
-            def flush():
-                keys, n = _sum_by_key(held)
-                by, cut = _spread(keys, buckets)
+            def flush(kind):
+                keys, n = _sum_by_key(held[kind])
+                by, cut = _SPREAD[kind](keys, buckets)
                 keys, n = keys[by], n[by].astype(np.int64)
                 own = [slice(cut[b], cut[b + 1]) for b in range(buckets)]
-                yield batch_of(schema, np.arange(buckets), binaries([_pack(keys[o]) for o in own]), binaries([n[o].tobytes() for o in own]))
-
-            for batch in batches:
-                for _, raw, at in slices(batch, "text", STEP):
-                    held.append(_unique(grams(symbols(raw, at)[0], order)))
-                    size += len(held[-1][0])
-                    if size > 2 * HELD:
-                        held = [_sum_by_key(held)]
-                        size = len(held[0][0])
-                        if size > HELD:
-                            yield from flush()
-                            held, size = [], 0
-            if held:
-                yield from flush()
-
-        def pairs(table):
-            return _sum_by_key([(_unpack(a), np.frombuffer(b.as_buffer(), np.int64)) for a, b in zip(table.column("h"), table.column("n"))])
+                yield batch_of(schema, np.full(buckets, kind), np.arange(buckets), binaries([_pack(keys[o]) for o in own]), binaries([_packed(n[o].tobytes()) for o in own]))
+
+            for s in _rows(batches):
+                keep = ~s.held
+                stream = s.stream[np.repeat(keep, np.diff(s.ends, prepend=0))]
+                if not len(stream):
+                    continue
+                seen = words(stream, np.array([0, len(stream)]))[0]
+                for kind, keys in enumerate((grams(stream, order), np.concatenate([seen, np.full(int(keep.sum()), _END_WORD)]))):
+                    held[kind].append(_unique(keys))
+                    size[kind] += len(held[kind][-1][0])
+                    if size[kind] > 2 * HELD:
+                        held[kind][:] = [_sum_by_key(held[kind])]
+                        size[kind] = len(held[kind][0][0])
+                        if size[kind] > HELD:
+                            yield from flush(kind)
+                            held[kind].clear()
+                            size[kind] = 0
+            for kind in KINDS:
+                if held[kind]:
+                    yield from flush(kind)
 
         def add(key, group):
-            keys, n = pairs(group)
-            return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "h": binaries([_pack(keys)]), "n": binaries([n.tobytes()])})
+            keys, n = _pairs(group)
+            return pa.table({"kind": pa.array([key[0].as_py()], pa.int32()), "bucket": pa.array([key[1].as_py()], pa.int32()), "kinds": pa.array([len(keys)], pa.int64()), "total": pa.array([int(n.sum())], pa.int64()), "h": binaries([_pack(keys)]), "n": binaries([_packed(n.tobytes())])})
 
-        counted = docs.where("NOT held_out").select("text").mapInArrow(count, "bucket int, h binary, n binary").groupBy("bucket").applyInArrow(add, "bucket int, h binary, n binary")
-        counted = materialize(counted, "grams")
+        counted = texts.mapInArrow(count, "kind int, bucket int, h binary, n binary").groupBy("kind", "bucket").applyInArrow(add, "kind int, bucket int, kinds bigint, total bigint, h binary, n binary")
+        counted = materialize(counted, "counts")
+        grams_of, words_of = counted.where(F.col("kind") == GRAM), counted.where(F.col("kind") == WORD)
 
         def short(batches):
             schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
             for batch in batches:
-                keys, n = pairs(batch)
+                keys, n = _pairs(batch)
                 keys, n = _sum_by_key([(keys & np.uint64(_mask(top)), n)])
                 yield batch_of(schema, keys.view(np.int64), n)
 
-        found = counted.mapInArrow(short, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # bounded by the alphabet
-        keys, n = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
-        levels = levels_of(keys, n, 0, top, least)
+        # keys of ROOT + 1 bytes: at most 256 ** 3 of 16 bytes by the alphabet, in UTF-8 text far fewer
+        found = grams_of.mapInArrow(short, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+        levels = levels_of(found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy(), 0, top, least)
         above = spark.sparkContext.broadcast(SuffixTree(levels, penalty))
 
         def build(batches):
-            schema = pa.schema([("bucket", pa.int32()), ("tree", pa.binary()), ("needs", pa.binary())])
+            schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
             for batch in batches:
                 for r in range(len(batch)):
-                    tree = SuffixTree(levels_of(*pairs(batch.slice(r, 1)), top + 1, order, least), penalty, above.value)
+                    tree = SuffixTree(levels_of(*_pairs(batch.slice(r, 1)), top + 1, order, least), penalty, above.value)
                     tree.last, needs = None, tree.needs
-                    yield batch_of(schema, batch.column("bucket")[r : r + 1], binaries([pickle.dumps(tree)]), binaries([needs.tobytes()]))
+                    yield batch_of(schema, [GRAM], batch.column("bucket")[r : r + 1], binaries([pickle.dumps(tree)]), binaries([needs.tobytes()]))
 
-        branches = materialize(counted.mapInArrow(build, "bucket int, tree binary, needs binary"), "branches")
+        trees = grams_of.mapInArrow(build, "kind int, bucket int, a binary, b binary")
+        tables = materialize(trees.unionByName(words_of.select("kind", "bucket", F.col("h").alias("a"), F.col("n").alias("b"))), "tables")
 
         def suffixes(batches):
             for batch in batches:
-                for blob in batch.column("needs"):
+                for blob in batch.column("b"):
                     yield batch_of(pa.schema([("ctx", pa.int64())]), np.frombuffer(blob.as_buffer(), np.int64))
 
-        needed = branches.select("needs").mapInArrow(suffixes, "ctx bigint").distinct().toArrow().column("ctx").to_numpy().view(np.uint64)  # contexts of ROOT symbols
+        needed = tables.where(F.col("kind") == GRAM).select("b").mapInArrow(suffixes, "ctx bigint").distinct().toArrow().column("ctx").to_numpy().view(np.uint64)  # contexts of ROOT symbols
         root = SuffixTree(levels, penalty, needed=needed)
         root.last = None
-        return root, branches.select("bucket", "tree")
+        known = words_of.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("N"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("V")).first()  # two numbers
+        drop_materialized(counted)
+        return root, tables, (int(known["N"]), int(known["V"]))
 
     # --- scores of the texts -------------------------------------------------
 
-    def _scored(self, docs: DataFrame, root: SuffixTree, branches: DataFrame) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(root)  # bounded by the alphabet
-        order, buckets, copies = self.order, self.buckets, 1 + self.parts // PER_COPY
+    def _scored(self, texts: DataFrame, root: SuffixTree, tables: DataFrame, total: int, kinds: int) -> DataFrame:
+        """Slices ask the buckets for their distinct keys and words and are summed up with the answers."""
+        shared = texts.sparkSession.sparkContext.broadcast(root)  # bounded by the alphabet
+        order, buckets, copies, log_all = self.order, self.buckets, self.copies, float(np.log10(total + 0.5 * (kinds + 1)))
 
         def ask(batches):
-            schema = pa.schema([("bucket", pa.int32()), ("copy", pa.int32()), ("first", pa.int64()), ("keys", pa.binary())])
-            row, turn = _first_row(), _first_row() >> 40
-            for batch in batches:
-                for part, raw, at in slices(batch, "text", STEP):
-                    keys = np.unique(grams(symbols(raw, at)[0], order))
-                    by, cut = _spread(keys, buckets)
+            schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("copy", pa.int32()), ("first", pa.int64()), ("keys", pa.binary())])
+            for s in _rows(batches):
+                for kind, keys in enumerate((np.unique(grams(s.stream, order)), _own_words(s)[2])):
+                    by, cut = _SPREAD[kind](keys, buckets)
                     keys = keys[by]
-                    yield batch_of(schema, np.arange(buckets), np.full(buckets, turn % copies), np.full(buckets, row), binaries([_pack(keys[cut[b] : cut[b + 1]]) for b in range(buckets)]))
-                    row += len(part)
-                    turn += 1
+                    yield batch_of(schema, np.full(buckets, kind), np.arange(buckets), np.full(buckets, (s.first >> 40) % copies), np.full(buckets, s.first), binaries([_pack(keys[cut[b] : cut[b + 1]]) for b in range(buckets)]))
 
         def look_up(key, left, right):
-            schema = pa.schema([("first", pa.int64()), ("bucket", pa.int32()), ("logs", pa.binary())])
-            tree, out, r = pickle.loads(right.column("tree")[0].as_buffer()) if len(right) else None, [], 0
+            schema = pa.schema([("first", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("found", pa.binary())])
+            kind, out = key[0].as_py(), []
+            if kind == GRAM:
+                tree = pickle.loads(right.column("a")[0].as_buffer()) if len(right) else None
+                answer = lambda own: tree.log10(own, shared.value) if tree else shared.value.log10(own)
+            else:
+                table = _pairs(right, "a", "b") if len(right) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+                def answer(own):
+                    at, hit = _find(table[0], own)
+                    n = np.zeros(len(own), np.int64)
+                    n[hit] = table[1][at[hit]]
+                    return n
+
+            r = 0
             while r < len(left):
                 held, size = [], 0
-                while r + len(held) < len(left) and size < HELD // 4:
+                while r + len(held) < len(left) and size < HELD // 2:
                     held.append(_unpack(left.column("keys")[r + len(held)]))
                     size += len(held[-1])
                 own, inverse = np.unique(np.concatenate(held), return_inverse=True)
-                logs = (tree.log10(own, shared.value) if tree else shared.value.log10(own))[inverse]
+                found = answer(own)[inverse]
                 ends = np.cumsum([len(h) for h in held])
-                out += [logs[b - len(h) : b].tobytes() for b, h in zip(ends, held)]
+                pack = _pack_logs if kind == GRAM else lambda n: _packed(n.tobytes())
+                out += [pack(found[b - len(h) : b]) for b, h in zip(ends, held)]
                 r += len(held)
-            return pa.Table.from_batches([batch_of(schema, left.column("first").combine_chunks(), np.full(len(left), key[0].as_py()), binaries(out))], schema)
-
-        def cut_up(batches):
-            schema = pa.schema([("first", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("stream", pa.binary())])
-            row = _first_row()
-            for batch in batches:
-                for part, raw, at in slices(batch, "text", STEP):
-                    stream, offsets, _, of = symbols(raw, at)
-                    whole = pa.array([0, len(part)], pa.int32())
-                    n = np.bincount(of, minlength=len(part)) + 1
-                    lists = [pa.ListArray.from_arrays(whole, x if isinstance(x, pa.Array) else pa.array(x, pa.int64())) for x in (part.column("doc_id"), part.column("held_out"), n, offsets[1:])]
-                    yield batch_of(schema, [row], *lists, binaries([stream.tobytes()]))
-                    row += len(part)
+            trim()
+            return pa.Table.from_batches([batch_of(schema, left.column("first").combine_chunks(), np.full(len(left), kind), np.full(len(left), key[1].as_py()), binaries(out))], schema)
 
         def sum_up(key, left, right):
-            schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("score", pa.float64())])
-            keys, inverse = np.unique(grams(np.frombuffer(left.column("stream")[0].as_buffer(), np.uint8), order), return_inverse=True)
-            by, cut = _spread(keys, buckets)
-            logs = np.full(len(keys), np.nan)
-            for b, blob in zip(right.column("bucket").to_pylist(), right.column("logs")):
-                logs[by[cut[b] : cut[b + 1]]] = np.frombuffer(blob.as_buffer(), np.float64)
-            total = np.concatenate([[0.0], np.cumsum(logs[inverse])])
-            doc, held, n, ends = (left.column(c)[0].values for c in ("doc_id", "held_out", "n", "ends"))
-            ends = ends.to_numpy()
-            score = total[ends] - total[np.append(0, ends[:-1])]
-            return pa.Table.from_batches([batch_of(schema, key[0].as_py() + np.arange(len(doc)), doc, held, n, score)], schema)
-
-        # both passes read the same columns, so they cut and number the rows alike
-        asked = docs.mapInArrow(ask, "bucket int, copy int, first bigint, keys binary")
-        texts = docs.mapInArrow(cut_up, "first bigint, doc_id array<bigint>, held_out array<boolean>, n array<bigint>, ends array<bigint>, stream binary")
-        trees = branches.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "tree")
-        answers = asked.groupBy("bucket", "copy").cogroup(trees.groupBy("bucket", "copy")).applyInArrow(look_up, "first bigint, bucket int, logs binary")
-        scored = texts.groupBy("first").cogroup(answers.groupBy("first")).applyInArrow(sum_up, "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, score double")
-        return materialize(scored, "scored")
-
-    # --- the base ------------------------------------------------------------
-
-    def _with_base(self, docs: DataFrame, scored: DataFrame) -> DataFrame:
-        buckets = 16 + self.parts // 4
-        salts = -(-self.parts * 32 // PER_SALT)
-
-        def spread(h):  # order by bucket
-            bucket = (h >> np.uint64(20)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+            s = next(_rows(left.select(["first", "doc_id", "held_out", "ends", "stream"]).combine_chunks().to_batches()))
+            kinds_of = _Kinds(grams(s.stream, order))
+            row, h, known = _own_words(s)
+            own, answers = (kinds_of.own, known), []
+            for kind in KINDS:
+                by, cut = _SPREAD[kind](own[kind], buckets)
+                answers.append((by, cut, np.full(len(own[kind]), np.nan)))
+            for kind, b, blob in zip(right.column("kind").to_pylist(), right.column("bucket").to_pylist(), right.column("found")):
+                by, cut, got = answers[kind]
+                got[by[cut[b] : cut[b + 1]]] = _unpack_logs(blob) if kind == GRAM else _unpacked(blob).view(np.int64)
+            logs = kinds_of.spread(answers[GRAM][2])
+            del kinds_of, own
+            total = np.concatenate([[0.0], np.cumsum(logs, out=logs)])
+            n_of, rows = answers[WORD][2], len(s.ends)
+            n = n_of[np.searchsorted(known, h)]
+            at_end = n_of[np.searchsorted(known, _END_WORD)]  # every text ends once
+            tokens = np.bincount(row, minlength=rows) + 1
+            seen = np.bincount(row, n > 0, rows).astype(np.int64) + int(at_end > 0)
+            base = np.bincount(row, np.log10(n + 0.5), rows) + np.log10(at_end + 0.5)
+            score = total[s.ends] - total[np.append(0, s.ends[:-1])]
+            trim()
+            return pa.Table.from_batches([batch_of(_SCORES, s.doc_id, s.held, tokens, seen, np.full(rows, train), base - tokens * log_all, score)], _SCORES)
+
+        train = total
+        asked = texts.mapInArrow(ask, "kind int, bucket int, copy int, first bigint, keys binary")
+        spread = tables.select("kind", "bucket", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "a", "b")
+        key = ["kind", "bucket", "copy"]
+        answers = asked.groupBy(*key).cogroup(spread.groupBy(*key)).applyInArrow(look_up, "first bigint, kind int, bucket int, found binary")
+        return texts.groupBy("first").cogroup(answers.groupBy("first")).applyInArrow(sum_up, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+
+
+# --- slices of texts -----------------------------------------------------------------
+
+GRAM, WORD = KINDS = (0, 1)
+_TEXTS = "first bigint, doc_id array<bigint>, held_out array<boolean>, ends array<bigint>, stream binary"
+_SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+class _Slice:
+    """A row of the symbols' table: some texts' symbols, where each ends, and a number of its own."""
+
+    def __init__(self, batch: pa.RecordBatch, r: int):
+        self.first = batch.column("first")[r].as_py()
+        self.doc_id, held, ends = (batch.column(c)[r].values for c in ("doc_id", "held_out", "ends"))
+        self.held, self.ends = held.to_numpy(zero_copy_only=False).astype(bool), ends.to_numpy()
+        self.stream = _unpacked(batch.column("stream")[r])
+
+
+def _rows(batches):
+    for batch in batches:
+        for r in range(len(batch)):
+            yield _Slice(batch, r)
+        trim()
+
+
+def _cut_up(batches):
+    """Texts to symbols, a row for each slice; what follows reads the slices written here, each under the number given here."""
+    schema = pa.schema([("first", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("ends", pa.list_(pa.int64())), ("stream", pa.binary())])
+    number, held, size = _first_row(), [], 0
+
+    def filled():
+        streams, ends, ids, kept = zip(*held)
+        shift = np.cumsum([0, *(len(x) for x in streams[:-1])])
+        ends = np.concatenate([e + k for e, k in zip(ends, shift)])
+        whole = pa.array([0, len(ends)], pa.int32())
+        lists = [pa.ListArray.from_arrays(whole, x) for x in (pa.concat_arrays(ids), pa.concat_arrays(kept), pa.array(ends, pa.int64()))]
+        return batch_of(schema, [number], *lists, binaries([_packed(b"".join(x.tobytes() for x in streams))]))
+
+    for batch in batches:
+        for part, raw, at in slices(batch, "text", STEP // 4):
+            stream, offsets, _, _ = symbols(raw, at)
+            if held and size + len(stream) > STEP:
+                yield filled()
+                number, held, size = number + 1, [], 0
+            held.append((stream, offsets[1:], part.column("doc_id"), part.column("held_out")))
+            size += len(stream)
+    if held:
+        yield filled()
+
+
+def _own_words(s: _Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row and hash of each word, distinct words and the end in order)."""
+    h, row, _, _ = words(s.stream, np.append(0, s.ends))
+    return row, h, np.unique(np.append(h, _END_WORD))
+
+
+class _Kinds:
+    """Distinct keys in order, and their values put back in the places of all keys; leaner than an inverse."""
+
+    def __init__(self, keys: np.ndarray):
+        self.places = np.argsort(keys)
+        keys = keys[self.places]
+        self.first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+        self.own = keys[self.first]
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        out = np.empty(len(self.places))
+        out[self.places] = np.repeat(values, np.diff(np.append(np.flatnonzero(self.first), len(self.places))))
+        return out
 
-        def count(batches):
-            schema = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("n", pa.binary())])
-            held, size = [], 0
 
-            def flush():
-                h, n = _sum_by_key(held)
-                order, cut = spread(h)
-                h, n = h[order], n[order].astype(np.int64)
-                yield batch_of(schema, np.arange(buckets), binaries([h[cut[b] : cut[b + 1]].tobytes() for b in range(buckets)]), binaries([n[cut[b] : cut[b + 1]].tobytes() for b in range(buckets)]))
+def _packed(raw: bytes) -> bytes:
+    """Length and compressed bytes: denser than what the shuffle does by itself."""
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
-            for batch in batches:
-                for part, raw, at in slices(batch, "text", STEP):
-                    h = np.concatenate([words(raw, at)[0], np.full(len(part), _END_WORD)])
-                    held.append(_unique(h))
-                    size += len(held[-1][0])
-                    if size > 2 * HELD:
-                        yield from flush()
-                        held, size = [], 0
-            if held:
-                yield from flush()
 
-        def add(key, group):
-            h, n = _sum_by_key([(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.int64)) for a, b in zip(group.column("h"), group.column("n"))])
-            return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "kinds": pa.array([len(h)], pa.int64()), "total": pa.array([int(n.sum())], pa.int64()), "h": binaries([h.tobytes()]), "n": binaries([n.tobytes()])})
+def _unpacked(blob: pa.Scalar) -> np.ndarray:
+    raw = blob.as_buffer()
+    n = int.from_bytes(raw[:8].to_pybytes(), "little")
+    return np.frombuffer(pa.decompress(raw.slice(8), n, codec="zstd"), np.uint8) if n else np.zeros(0, np.uint8)
 
-        counted = docs.where("NOT held_out").select("text").mapInArrow(count, "bucket int, h binary, n binary").groupBy("bucket").applyInArrow(add, "bucket int, kinds bigint, total bigint, h binary, n binary")
-        counted = materialize(counted, "words")
 
-        def ask(batches):
-            schema = pa.schema([("bucket", pa.int32()), ("salt", pa.int32()), ("first", pa.int64()), ("h", pa.binary()), ("runs", pa.binary()), ("row", pa.binary()), ("n", pa.binary())])
-            row, salt = _first_row(), _first_row() >> 40
-            for batch in batches:
-                for part, raw, at in slices(batch, "text", STEP):
-                    h, of, _, _ = words(raw, at)
-                    h, of = np.concatenate([h, np.full(len(part), _END_WORD)]), np.concatenate([of, np.arange(len(part))])
-                    order = np.lexsort((of, h))
-                    h, of = h[order], of[order]
-                    new = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])
-                    at_new = np.flatnonzero(new)
-                    n = np.diff(np.append(at_new, len(h)))
-                    h, of = h[at_new], of[at_new]
-                    order, cut = spread(h)
-                    h, of, n = h[order], of[order].astype(np.uint32), n[order].astype(np.uint32)
-                    blobs = [[], [], [], []]
-                    for b in range(buckets):
-                        own = h[cut[b] : cut[b + 1]]
-                        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
-                        for blob, x in zip(blobs, (own[first], np.diff(np.append(first, len(own))).astype(np.uint32), of[cut[b] : cut[b + 1]], n[cut[b] : cut[b + 1]])):
-                            blob.append(x.tobytes())
-                    yield batch_of(schema, np.arange(buckets), np.full(buckets, salt % salts), np.full(buckets, row), *map(binaries, blobs))
-                    row += len(part)
-                    salt += 1
-
-        # the same columns as in the scoring pass, so both number the same rows alike
-        asked = docs.mapInArrow(ask, "bucket int, salt int, first bigint, h binary, runs binary, row binary, n binary")
+#: Answers are fixed-point numbers of six bytes, in planes for the shuffle's compression: log10 p above -16 to 2 ** -44.
+_POINT = float(1 << 44)
 
-        def look_up(key, left, right):
-            schema = pa.schema([("row", pa.int64()), ("known", pa.int64()), ("logs", pa.float64())])
-            h, n = (np.frombuffer(right.column(c)[0].as_buffer(), t) if len(right) else np.zeros(0, t) for c, t in (("h", np.uint64), ("n", np.int64)))
-            out = []
-            for r in range(len(left)):
-                own, runs, row, times = (np.frombuffer(left.column(c)[r].as_buffer(), t) for c, t in (("h", np.uint64), ("runs", np.uint32), ("row", np.uint32), ("n", np.uint32)))
-                at, hit = _find(h, own)
-                c = np.zeros(len(own))
-                c[hit] = n[at[hit]]
-                c = np.repeat(c, runs)
-                if len(row):
-                    top = int(row.max()) + 1
-                    known = np.bincount(row, times * (c > 0), top).astype(np.int64)
-                    logs = np.bincount(row, times * np.log10(c + 0.5), top)
-                    some = np.flatnonzero(np.bincount(row, minlength=top))
-                    out.append((some + left.column("first")[r].as_py(), known[some], logs[some]))
-            cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-            return pa.Table.from_batches([batch_of(schema, *cols)], schema)
-
-        copies = counted.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "h", "n")
-        sums = asked.groupBy("bucket", "salt").cogroup(copies.groupBy("bucket", "salt")).applyInArrow(look_up, "row bigint, known bigint, logs double").groupBy("row").agg(F.sum("known").alias("n_known"), F.sum("logs").alias("logs"))
-        whole = counted.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("N"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("V")).first()  # two numbers
-        N, V = int(whole["N"]), int(whole["V"])
-        return scored.join(sums, "row").select(
-            "doc_id", "held_out", "n_tokens", "n_known", F.lit(N).cast("bigint").alias("train_tokens"),
-            (F.col("logs") - F.col("n_tokens") * F.log10(F.lit(N + 0.5 * (V + 1)))).alias("base_score"), "score",
-        )
+
+def _pack_logs(values: np.ndarray) -> bytes:
+    return _packed(np.round(-values * _POINT).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes())
+
+
+def _unpack_logs(blob: pa.Scalar) -> np.ndarray:
+    raw = _unpacked(blob)
+    planes = raw.reshape(6, len(raw) // 6)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :6] = planes.T
+    return out.view("<u8").ravel() / -_POINT
+
+
+def _pairs(table, keys: str = "h", n: str = "n") -> tuple[np.ndarray, np.ndarray]:
+    return _sum_by_key([(_unpack(a), _unpacked(b).view(np.int64)) for a, b in zip(table.column(keys), table.column(n))])
+
+
+def _spread_words(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order by bucket, where each bucket starts in it) of word hashes."""
+    bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+_SPREAD = (_spread, _spread_words)
 
 
 def _first_row() -> int:
