@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,16 +31,53 @@ def inside_ratio(inner: Column, outer: Column) -> Column:
     return F.when(area(inner) > 0, intersection(inner, outer) / area(inner)).otherwise(0.0)
 
 
-def unit_box(a: Column, digits: int = 3) -> Column:
-    """Clamped to 0..1 and rounded; an empty side is widened by one step, inward at 1."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once and named, so that nested formulas stay as long as they are written."""
+    return F.transform(F.array(value), body)[0]
+
+
+def rounded(x: Column, digits: int = 3) -> Column:
+    """x to ``digits`` decimals as Python rounds: by the exact binary value, ties to even.
+
+    Spark's own functions round the shortest decimal instead (0.1235 to
+    0.124).  The product with 10 ** digits is taken exactly, as a sum of two
+    doubles, so the comparison with the half has no error.
+    """
+    scale, part = float(10**digits), 134217729.0
+    high = scale * part - (scale * part - scale)
+    low = scale - high
+
+    def halves(v):
+        big = v * part - (v * part - v)
+        return F.struct(v.alias("v"), big.alias("h"), (v - big).alias("l"), (v * scale).alias("p"), F.floor(v * scale).cast("double").alias("f"))
+
+    def nearest(s):
+        rest = ((s["h"] * high - s["p"]) + s["h"] * low + s["l"] * high) + s["l"] * low
+        over = (s["p"] - (s["f"] + 0.5)) + rest
+        return F.when((over > 0) | ((over == 0) & (s["f"] % 2 != 0)), s["f"] + 1.0).otherwise(s["f"]) / scale
+
+    return _let(_let(x.cast("double"), halves), nearest)
+
+
+def widened(lo: Column, hi: Column, digits: int = 3) -> tuple[Column, Column]:
+    """An interval clamped to 0..1 and rounded; an empty one is widened by one step, inward at 1."""
     step = 10.0**-digits
+    lo, hi = (rounded(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)), digits) for v in (lo, hi))
 
-    def side(lo: Column, hi: Column) -> tuple[Column, Column]:
-        lo, hi = (F.bround(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)), digits) for v in (lo, hi))
-        flat = lo >= hi
-        return F.when(flat & (lo >= 1), F.bround(lo - step, digits)).otherwise(lo), F.when(flat & (lo < 1), F.bround(lo + step, digits)).otherwise(hi)
+    def spread(s):
+        flat = s["lo"] >= s["hi"]
+        return F.struct(
+            F.when(flat & (s["lo"] >= 1), rounded(s["lo"] - step, digits)).otherwise(s["lo"]).alias("lo"),
+            F.when(flat & (s["lo"] < 1), rounded(s["lo"] + step, digits)).otherwise(s["hi"]).alias("hi"),
+        )
 
-    (x0, x1), (y0, y1) = side(a["x0"], a["x1"]), side(a["y0"], a["y1"])
+    out = _let(F.struct(lo.alias("lo"), hi.alias("hi")), spread)
+    return out["lo"], out["hi"]
+
+
+def unit_box(a: Column, digits: int = 3) -> Column:
+    """A box clamped to 0..1 and rounded; an empty side is widened by one step, inward at 1."""
+    (x0, x1), (y0, y1) = widened(a["x0"], a["x1"], digits), widened(a["y0"], a["y1"], digits)
     return F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import functools
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,25 +15,47 @@ SPACE = "(?U)[\\s\\x1c-\\x1f]+"
 LIST_MARKER = "^\\s*(\\d+[.)](?!\\s*\\d+[.)](?:\\s|$|\\d+[.)]))|\\(\\d+\\)|[가나다라마바사아자차카타파하][.)]|[①-⑳]|[□■○●◦◆◇▶▷\\-–•※ㅇㆍ·∙‣▸▪⇨→])\\s"
 
 
-@functools.lru_cache(2)
-def _unstable(form: str) -> str:
-    """A Java character class with every code point that ``form`` may change or reorder.
+def _normalized(values: pa.Array, form: str, one) -> pa.Array:
+    """``one`` of each text in a Unicode normal form; texts of ASCII alone are in every form."""
+    plain = pc.string_is_ascii(values).to_pylist()
+    out = []
+    for text, ascii_only in zip(values.to_pylist(), plain):
+        if text is not None and not ascii_only and not unicodedata.is_normalized(form, text):
+            text = unicodedata.normalize(form, text)
+        out.append(None if text is None else one(text))
+    return out
 
-    From U+0250 on it takes in every code point: a short class is fast in the
-    JVM, and Python decides those rows.
-    """
-    odd = [c for c in range(0x80, 0x250) if unicodedata.normalize(form, chr(c)) != chr(c)]
-    return "[" + "".join(f"\\x{{{c:X}}}" for c in odd) + "\\x{250}-\\x{10FFFF}]"
 
+def normalized(text: Column, form: str = "NFKC") -> Column:
+    """The text in a Unicode normal form, in one Arrow pass."""
+    @F.arrow_udf("string")
+    def normal(values: pa.Array) -> pa.Array:
+        return pa.array(_normalized(values, form, lambda t: t), pa.string())
 
-def unicode_normal(df: DataFrame, column: str, form: str = "NFKC") -> DataFrame:
-    """``column`` in a Unicode normal form; only rows that may change visit Python."""
-    @F.pandas_udf("string")
-    def normal(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize(form, x))
+    return normal(text)
+
+
+def normal_text(text: Column) -> Column:
+    """NFKC with whitespace runs as one blank and none at the ends, in one Arrow pass."""
+    @F.arrow_udf("string")
+    def normal(values: pa.Array) -> pa.Array:
+        return pa.array(_normalized(values, "NFKC", lambda t: " ".join(t.split())), pa.string())
+
+    return normal(text)
 
-    odd = F.coalesce(F.col(column).rlike(_unstable(form)), F.lit(False))
-    return df.where(~odd).unionByName(df.where(odd).withColumn(column, normal(column)))
+
+def normal_lines(text: Column) -> Column:
+    """:func:`normal_text` of each line of a text: whole texts visit Python, once."""
+    @F.arrow_udf("array<string>")
+    def normal(values: pa.Array) -> pa.Array:
+        return pa.array(_normalized(values, "NFKC", lambda t: [" ".join(line.split()) for line in t.split("\n")]), pa.list_(pa.string()))
+
+    return normal(text)
+
+
+def unicode_normal(df: DataFrame, column: str, form: str = "NFKC") -> DataFrame:
+    """``column`` in a Unicode normal form; the input is read once."""
+    return df.withColumn(column, normalized(F.col(column), form))
 
 
 def collapse(text: Column) -> Column:

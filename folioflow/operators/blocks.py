@@ -10,20 +10,22 @@ from folioflow.functions import text as X
 
 
 def line_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One paragraph spec per non-blank line: document_id, ord, kind, text, line_start, line_end."""
-    lines = docs.select(F.col(id_col).alias("document_id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("ord", "text"))
-    return lines.select("document_id", "ord", F.lit("paragraph").alias("kind"), "text", (F.col("ord") + 1).alias("line_start"), (F.col("ord") + 1).alias("line_end")).where(X.collapse(F.col("text")) != "")
+    """One paragraph spec per non-blank line: document_id, ord, kind, text, line_start, line_end, and its normal text (``_norm``)."""
+    text = F.coalesce(text_col, F.lit(""))
+    lines = docs.select(F.col(id_col).alias("document_id"), F.split(text, "\n").alias("raw"), X.normal_lines(text).alias("norm"))
+    lines = lines.select("document_id", F.posexplode(F.arrays_zip("raw", "norm")).alias("ord", "z")).where("z.norm <> ''")
+    return lines.select("document_id", "ord", F.lit("paragraph").alias("kind"), F.col("z.raw").alias("text"), (F.col("ord") + 1).alias("line_start"), (F.col("ord") + 1).alias("line_end"), F.col("z.norm").alias("_norm"))
 
 
 def with_ids(specs: DataFrame, level: Column | None = None, table_json: Column | None = None, asset: Column | None = None, nfkc: bool = True) -> DataFrame:
     """Specs (document_id, ord, kind, text) with content_hash, occ and block_id.
 
-    An occurrence counts the earlier blocks of the document with the same
-    hash; one shuffle by document and hash, sorted within.
+    A ``_norm`` column is the normal text, where there is one.  An occurrence
+    counts the earlier blocks of the document with the same hash; one shuffle
+    by document and hash, sorted within.
     """
-    df = specs.withColumn("_norm", F.col("text"))
-    df = X.unicode_normal(df, "_norm") if nfkc else df
-    df = df.withColumn("content_hash", X.content_hash(F.col("kind"), X.collapse(F.col("_norm")), level, table_json, asset))
+    norm = F.col("_norm") if "_norm" in specs.columns else X.normal_text(F.col("text")) if nfkc else X.collapse(F.col("text"))
+    df = specs.withColumn("content_hash", X.content_hash(F.col("kind"), norm, level, table_json, asset))
     w = W.partitionBy("document_id", "content_hash").orderBy("ord")
     df = df.withColumn("occ", F.row_number().over(w) - 1)
     return df.withColumn("block_id", X.block_id(F.col("document_id"), F.col("content_hash"), F.col("occ"))).drop("_norm")

@@ -41,5 +41,41 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[li
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+def per_group_arrays(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[dict], list[dict]], schema: str) -> DataFrame:
+    """Like :func:`per_group`, but ``fn`` takes a group's columns as arrays and returns rows without keys; ``schema`` names those."""
+    from pyspark.sql import types as T
+
+    kinds = T.StructType([*df.select(*keys).schema.fields, *T.StructType.fromDDL(schema).fields])
+    arrow, rest = to_arrow_schema(kinds), [c for c in df.columns if c not in keys]
+
+    def made(key: tuple, parts: list[pa.RecordBatch]) -> list[dict]:
+        table = pa.Table.from_batches(parts)
+        named = dict(zip(keys, key))
+        return [{**named, **row} for row in fn({c: table.column(c).to_numpy() for c in rest})]
+
+    def run(batches):
+        held, key, out = [], None, []
+        for batch in batches:
+            own = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+            cuts = [0, *(i for i in range(1, len(own)) if own[i] != own[i - 1]), len(own)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if held and own[a] != key:
+                    out += made(key, held)
+                    held = []
+                key = own[a]
+                held.append(batch.slice(a, b - a))
+                if len(out) >= 5000:
+                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                    out = []
+        if held:
+            out += made(key, held)
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, kinds)
+
+
 def ddl(df: DataFrame, extra: str = "") -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + extra

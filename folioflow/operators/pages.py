@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from folioflow import config as C
-from folioflow.functions.text import is_private_use
+from folioflow.functions.geometry import rounded
+from folioflow.functions.text import is_private_use, normalized
 
 PAGE = ["document_id", "page"]
 
@@ -16,11 +17,11 @@ def statistics(chars: DataFrame, coverage: DataFrame | None = None) -> DataFrame
     """Per page: visible non-blank glyphs, shares of hidden, unmapped and private-use ones among all non-blank, image coverage."""
     ink = F.trim("text") != ""
     n = F.count_if(ink)
-    share = lambda cond: F.when(n > 0, F.round(F.count_if(ink & cond) / n, 4)).otherwise(0.0)
+    share = lambda cond: F.when(n > 0, rounded(F.count_if(ink & cond) / n, 4)).otherwise(0.0)
     out = chars.groupBy(PAGE).agg(F.count_if(ink & ~F.col("invisible")).alias("chars"), share(F.col("invisible")).alias("invisible_ratio"), share(F.col("unmapped")).alias("unmapped_ratio"), share(is_private_use(F.col("text"))).alias("pua_ratio"))
     if coverage is None:
         return out.withColumn("max_image_coverage", F.lit(0.0))
-    return out.join(coverage.groupBy(PAGE).agg(F.round(F.max("coverage"), 4).alias("max_image_coverage")), PAGE, "left").fillna(0.0, ["max_image_coverage"])
+    return out.join(coverage.groupBy(PAGE).agg(rounded(F.max("coverage"), 4).alias("max_image_coverage")), PAGE, "left").fillna(0.0, ["max_image_coverage"])
 
 
 def classify(stats: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def repeated_margins(lines: DataFrame, pages: DataFrame) -> DataFrame:
     Pairs are formed within a page-position bucket, not over all lines.
     """
     zone = F.when(F.col("centre") <= C.MARGIN_ZONE, "page_header").when(F.col("centre") >= 1 - C.MARGIN_ZONE, "page_footer")
-    df = lines.withColumn("zone", zone).where("zone IS NOT NULL").withColumn("key", F.regexp_replace("text", "(?U)[\\d\\s]+", ""))
+    df = lines.withColumn("zone", zone).where("zone IS NOT NULL").withColumn("key", F.regexp_replace(normalized(F.col("text"), "NFC"), "(?U)[\\d\\s]+", ""))
     letterless = ~F.col("key").rlike("\\p{L}")
     alone = F.count_if(letterless).over(W.partitionBy(*PAGE, "zone"))
     df = df.withColumn("_alone", alone).where(~letterless | (F.col("_alone") == 1)).drop("_alone")
@@ -87,17 +88,18 @@ def gap_groups(df: DataFrame, keys: list[str], start: str, end: str, limit: Colu
 
 
 def text_of_lines(fragments: DataFrame, keys: list[str]) -> DataFrame:
-    """Glyphs of a line as text, with a blank where the gap over the tracking exceeds a fifth of the size.
+    """Glyphs of a line as text, with a blank where the gap over the tracking exceeds a fifth of the size and no blank stands.
 
-    fragments: keys, x0, x1, size, text; tracking is the upper median gap, at most 0.
+    fragments: keys, x0, x1, size, text; tracking is the upper median of the
+    gaps between letters and digits, at most 0.
     """
     w = W.partitionBy(*keys).orderBy("x0", "x1", "text")
-    gap = F.col("x0") - F.lag("x1").over(w)
-    big = F.greatest("size", F.lag("size").over(w))
-    df = fragments.withColumns({"_gap": gap, "_big": big})
-    every = F.array_sort(F.collect_list("_gap").over(W.partitionBy(*keys)))
+    word = lambda c: c.rlike("^[\\p{L}\\p{N}]+$")
+    before = F.lag("text").over(w)
+    df = fragments.withColumns({"_gap": F.col("x0") - F.lag("x1").over(w), "_big": F.greatest("size", F.lag("size").over(w)), "_in": F.coalesce(word(F.col("text")) & word(before), F.lit(False)), "_open": ~F.trim("text").eqNullSafe("") & ~F.trim(before).eqNullSafe("")})
+    every = F.array_sort(F.collect_list(F.when(F.col("_in"), F.col("_gap"))).over(W.partitionBy(*keys)))
     tracking = F.least(F.coalesce(F.get(every, F.floor(F.size(every) / 2).cast("int")), F.lit(0.0)), F.lit(0.0))
-    df = df.withColumn("_piece", F.concat(F.when(F.col("_gap") - tracking > C.SPACE_GAP * F.col("_big"), " ").otherwise(""), "text"))
+    df = df.withColumn("_piece", F.concat(F.when(F.col("_open") & (F.col("_gap") - tracking > C.SPACE_GAP * F.col("_big")), " ").otherwise(""), "text"))
     return df.groupBy(*keys).agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "x1", "text", "_piece"))), lambda s: s["_piece"]), "")).alias("line_text"), F.count("*").alias("glyphs"))
 
 
