@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from folioflow.config import MAX_ASSET_BYTES
+
 _STATES = {"det": ["det"], "vlm_running": ["det", "unverified"], "vlm_done": ["det", "vlm"], "vlm_failed": ["det"]}
 
 
@@ -33,6 +35,34 @@ def block_problems(blocks: DataFrame, versions: DataFrame) -> DataFrame:
     return df.withColumn("found", found).select(*key, "ord", F.explode("found").alias("problem"))
 
 
+def commit_problems(versions: DataFrame, changes: DataFrame, history: DataFrame, current: DataFrame, referenced: DataFrame, given: DataFrame, stored: DataFrame, most: int = MAX_ASSET_BYTES) -> DataFrame:
+    """document_id, problem: what keeps a batch of new versions from being committed.
+
+    versions, changes (with previous_version) and history name the same
+    (document_id, version), one after the stored latest (current); assets
+    given (document_id, asset, bytes) are referenced by their document and
+    hash to their key; referenced ones are given or stored (asset, size), and
+    add up to at most ``most`` bytes a document.
+    """
+    new = versions.select("document_id", "version").join(current.select("document_id", F.col("version").alias("latest")), "document_id", "left")
+    conflict = new.where("version <> coalesce(latest, 0) + 1").select("document_id", F.lit("version").alias("problem"))
+    pair = lambda df, name, *more: df.select("document_id", F.col("version").alias("_v"), F.lit(True).alias("_there"), *more)
+    own = new.join(pair(changes, "change", "previous_version"), "document_id", "left")
+    change = own.where("_there IS NULL OR _v <> version").select("document_id", F.lit("change").alias("problem"))
+    previous = own.where("_there AND NOT (previous_version <=> latest)").select("document_id", F.lit("previous").alias("problem"))
+    past = new.join(pair(history, "history"), "document_id", "left").where("_there IS NULL OR _v <> version").select("document_id", F.lit("history").alias("problem"))
+    extra = given.join(referenced, ["document_id", "asset"], "left_anti").select("document_id", F.lit("unreferenced asset").alias("problem"))
+    wrong = given.where(F.col("asset") != F.concat(F.lit("sha256:"), F.sha2("bytes", 256))).select("document_id", F.lit("asset hash").alias("problem"))
+    sizes = referenced.select("document_id", "asset").distinct().join(given.groupBy("document_id", "asset").agg(F.max(F.octet_length("bytes")).alias("_new")), ["document_id", "asset"], "left").join(stored.select("asset", F.col("size").alias("_old")), "asset", "left")
+    sizes = sizes.withColumn("_size", F.coalesce("_new", "_old"))
+    missing = sizes.where("_size IS NULL").select("document_id", F.lit("missing asset").alias("problem"))
+    large = sizes.groupBy("document_id").agg(F.sum(F.col("_size").cast("bigint")).alias("n")).where(F.col("n") > most).select("document_id", F.lit("asset bytes").alias("problem"))
+    out = conflict
+    for more in (change, previous, past, extra, wrong, missing, large):
+        out = out.union(more)
+    return out.distinct()
+
+
 def caption_problems(blocks: DataFrame) -> DataFrame:
     """Figures whose caption is no caption block of the tree, and captions with two figures."""
     key = ["document_id", "version"]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from folioflow.functions.geometry import area, box, inside_ratio, iou
-from folioflow.operators.grouped import ddl, per_group
+from folioflow.operators.grouped import per_group_arrays
 
 _SIDES = ("x0", "y0", "x1", "y1")
 
@@ -19,7 +20,9 @@ def _renamed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
 def covered_share(lines: DataFrame, chars: DataFrame, keys: list[str]) -> DataFrame:
     """lines with covered: share of a line's x-span under visible glyphs whose centre lies in its height."""
     c = chars.where("NOT invisible").select(*keys, F.col("x0").alias("cx0"), F.col("x1").alias("cx1"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
-    met = lines.join(c, keys).where("cy >= y0 AND cy <= y1").select(*keys, "line_id", "x0", "x1", F.greatest("cx0", "x0").alias("a"), F.least("cx1", "x1").alias("b")).where("b > a")
+    band = 16.0  # lines and glyphs meet in bands of the page
+    at = lines.withColumn("_by", F.explode(F.sequence(F.floor(F.col("y0") / band), F.floor(F.col("y1") / band))))
+    met = at.join(c.withColumn("_by", F.floor(F.col("cy") / band)), [*keys, "_by"]).where("cy >= y0 AND cy <= y1").select(*keys, "line_id", "x0", "x1", F.greatest("cx0", "x0").alias("a"), F.least("cx1", "x1").alias("b")).where("b > a")
     w = W.partitionBy(*keys, "line_id").orderBy("a", "b").rowsBetween(W.unboundedPreceding, -1)
     gain = F.greatest(F.col("b") - F.greatest("a", F.coalesce(F.max("b").over(w), F.col("a"))), F.lit(0.0))
     total = met.withColumn("g", gain).groupBy(*keys, "line_id").agg((F.sum("g") / F.first(F.col("x1") - F.col("x0"))).alias("covered"))
@@ -82,37 +85,37 @@ def free_runs(spans: DataFrame, keys: list[str], allowed: int, lo: str = "lo", h
     return ok.where("ok = 1").groupBy(*keys, "g").agg(F.min("at").alias(lo), F.max("next").alias(hi)).drop("g")
 
 
-def join_dashes(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """Dashes (0.2 to 2 long) of an axis as rules: positions within 0.5 of the last and 1 of the first, gaps of at most 2.
+def dash_runs(pos: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[float, float, float, int]]:
+    """Rules (position, start, end, pieces) that dashes of one axis draw, from arrays sorted by position.
 
-    A rule takes two pieces, 2 points of length, and a drift of at most 0.5
-    or 5 % of its length; its position is the mean.
+    A line of dashes holds steps of at most 0.5 and lies within 1 of its
+    first; along it gaps of at most 2 join.  A rule takes two pieces, 2
+    points of length, and a drift of at most 0.5 or 5 % of its length; its
+    position is the mean.
     """
+    jump = np.append(np.flatnonzero(np.diff(pos) > 0.5) + 1, len(pos))
+    out, lo = [], 0
+    while lo < len(pos):
+        hi = int(min(jump[np.searchsorted(jump, lo, "right")], np.searchsorted(pos, pos[lo] + 1.0, "right")))
+        order = lo + np.lexsort((end[lo:hi], start[lo:hi]))
+        reach = np.maximum.accumulate(end[order])
+        first = np.concatenate([[0], np.flatnonzero(start[order][1:] - reach[:-1] > 2.0) + 1])
+        n = np.diff(np.append(first, len(order)))
+        a, z = start[order][first], np.maximum.reduceat(end[order], first)
+        drift = np.maximum.reduceat(pos[order], first) - np.minimum.reduceat(pos[order], first)
+        for k in np.flatnonzero((n > 1) & (z - a >= 2.0) & (drift <= np.maximum(0.5, 0.05 * (z - a)))):
+            own = pos[order][first[k] : first[k] + n[k]]
+            out.append((float(own.sum() / n[k]), float(a[k]), float(z[k]), int(n[k])))
+        lo = hi
+    return out
+
 
-    def one(rows: list[dict]) -> list[dict]:
-        groups: list[list[dict]] = []
-        for r in rows:
-            g = groups[-1] if groups else None
-            if g and r["pos"] - g[-1]["pos"] <= 0.5 and r["pos"] - g[0]["pos"] <= 1.0:
-                g.append(r)
-            else:
-                groups.append([r])
-        out = []
-        for g in groups:
-            chain: list[dict] = []
-            for r in [*sorted(g, key=lambda r: (r["start"], r["end"])), None]:
-                if r is not None and chain and r["start"] - max(x["end"] for x in chain) <= 2.0:
-                    chain.append(r)
-                    continue
-                if len(chain) > 1:
-                    a, b, p = min(x["start"] for x in chain), max(x["end"] for x in chain), [x["pos"] for x in chain]
-                    if b - a >= 2.0 and max(p) - min(p) <= max(0.5, 0.05 * (b - a)):
-                        out.append({**{k: chain[0][k] for k in keys}, "axis": chain[0]["axis"], "pos": sum(p) / len(p), "start": a, "end": b, "pieces": len(chain)})
-                chain = [r]
-        return out
-
-    short = pieces.where("`end` - start >= 0.2 AND `end` - start < 2.0").select(*keys, "axis", F.col("pos").cast("double"), F.col("start").cast("double"), F.col("end").cast("double"))
-    return per_group(short, [*keys, "axis"], ["pos", "start", "end"], one, ddl(short, ", pieces int"))
+def join_dashes(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """Dashes (0.2 to 2 long) of an axis as rules (:func:`dash_runs`): keys, axis, pos, start, end, pieces."""
+    number = lambda c: F.col(c).cast("double").alias(c)
+    short = pieces.where("`end` - start >= 0.2 AND `end` - start < 2.0").select(*keys, "axis", *map(number, ("pos", "start", "end")))
+    one = lambda g: [dict(zip(("pos", "start", "end", "pieces"), r)) for r in dash_runs(g["pos"], g["start"], g["end"])]
+    return per_group_arrays(short, [*keys, "axis"], ["pos", "start", "end"], one, "pos double, start double, `end` double, pieces int")
 
 
 def figure_kind(page_area: Column, glyphs: Column) -> Column:

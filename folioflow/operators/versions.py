@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from folioflow.errors import DocumentNotFound, VersionNotFound
+from folioflow.operators.grouped import per_group_arrays
+
 
 def latest(versions: DataFrame, key: str = "document_id", version: str = "version") -> DataFrame:
     """The row of each document's greatest version; combines before its one shuffle."""
@@ -24,12 +27,12 @@ def listing(versions: DataFrame, ids: list | None = None, states: list[str] | No
 
 
 def tree(blocks: DataFrame, versions: DataFrame, document_id, version: int | None = None) -> DataFrame:
-    """Blocks of a document's given or latest version, in order; LookupError tells a missing document from a missing version."""
+    """Blocks of a document's given or latest version, in order; DocumentNotFound and VersionNotFound tell what is missing."""
     known = versions.where(F.col("document_id") == document_id).select(F.max("version").alias("top"), F.max((F.col("version") == version if version is not None else F.lit(True)).cast("int")).alias("there")).first()
     if known["top"] is None:
-        raise LookupError(f"document not found: {document_id}")
+        raise DocumentNotFound(f"document not found: {document_id}")
     if not known["there"]:
-        raise LookupError(f"version not found: {document_id} {version}")
+        raise VersionNotFound(f"version not found: {document_id} {version}")
     return blocks.where((F.col("document_id") == document_id) & (F.col("version") == (version or known["top"]))).orderBy("ord")
 
 
@@ -92,14 +95,18 @@ def new_assets(supplied: DataFrame, stored: DataFrame) -> DataFrame:
 def asset_budget(items: DataFrame, key: str, order: str, asset: str, size: str, budget: int) -> DataFrame:
     """Greedy in order: an asset already taken is free, one that would exceed the budget is skipped, later smaller ones may fit.
 
-    A fold over the group's ordered items; the state is the spent bytes and
-    the taken assets.
+    What is spent only grows, so of an asset its first occurrence decides; a
+    group's first occurrences stream in order, with one number as state.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(asset).alias("a"), F.col(size).cast("bigint").alias("s"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("spent"), F.array().cast("array<string>").alias("taken"))
-
-    def step(acc, x):
-        fits = ~F.array_contains(acc["taken"], x["a"]) & (acc["spent"] + x["s"] <= budget)
-        return F.struct(F.when(fits, acc["spent"] + x["s"]).otherwise(acc["spent"]).alias("spent"), F.when(fits, F.array_append(acc["taken"], x["a"])).otherwise(acc["taken"]).alias("taken"))
-
-    return items.groupBy(key).agg(F.aggregate(ordered, start, step).alias("s")).select(key, F.col("s.spent").alias("spent"), F.size("s.taken").alias("assets"), F.array_join(F.array_sort("s.taken"), ",").alias("taken"))
+    first = F.row_number().over(W.partitionBy(key, asset).orderBy(order))
+    rows = items.withColumn("_r", first).where("_r = 1").select(key, F.col(order).alias("_o"), F.col(asset).alias("_a"), F.col(size).cast("bigint").alias("_s"))
+
+    def one(g) -> list[dict]:
+        spent, taken = 0, []
+        for a, s in zip(g["_a"].tolist(), g["_s"].tolist()):
+            if spent + s <= budget:
+                spent += s
+                taken.append(a)
+        return [{"spent": spent, "assets": len(taken), "taken": ",".join(sorted(taken))}]
+
+    return per_group_arrays(rows, [key], ["_o"], one, "spent bigint, assets int, taken string")
