@@ -3,8 +3,11 @@
 A store is a folder of Parquet batches and numbered commit markers.  Data is
 written first, under a batch id; creating the next marker publishes it.  The
 marker is created exclusively through Hadoop's file system, so of two writers
-with the same number one fails, re-reads and retries once.  Readers see only
-batches that markers name.
+with the same number one fails; :func:`retried` reads again and tries once
+more.  Object stores do not create exclusively: there a store needs a single
+writer.  Readers see only batches that markers name.  Every ``MANIFEST``
+commits a manifest sums up the markers so far, so a reader opens one manifest
+and the few markers after it.
 """
 
 from __future__ import annotations
@@ -12,15 +15,22 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FORMAT = 1
+from folioflow.errors import AssetNotFound, DocumentNotFound, StoreConflict, VersionNotFound
 
+FORMAT, MANIFEST = 1, 100
 
-class StoreConflict(Exception):
-    """Another writer has committed the version or number first."""
+
+def retried(attempt: Callable[[], object]) -> object:
+    """``attempt``, once more after a conflict; what it reads it reads again."""
+    try:
+        return attempt()
+    except StoreConflict:
+        return attempt()
 
 
 def shared_path(spark: SparkSession) -> str:
@@ -28,6 +38,8 @@ def shared_path(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named and not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folio-checkpoint-"))
     return named or sc.getCheckpointDir()
 
@@ -73,12 +85,14 @@ class Store:
         return json.loads(data)
 
     def commits(self) -> list[dict]:
-        """Markers in order: n, batch, tables, first_seq, last_seq.  One small file per commit."""
+        """Markers in order: n, batch, tables, first_seq, last_seq."""
         folder = self._path(f"{self.root}/_commits")
         if not self._fs.exists(folder):
             return []
-        names = sorted(str(s.getPath()) for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
-        return [self._read(n) for n in names]
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(folder))
+        sums = [n for n in names if n.endswith(".sum")]
+        known = self._read(f"{folder}/{sums[-1]}")["commits"] if sums else []
+        return known + [self._read(f"{folder}/{n}") for n in names if n.endswith(".json") and int(n[:12]) > len(known)]
 
     def read(self, name: str, schema: str) -> DataFrame:
         batches = [c["batch"] for c in self.commits() if name in c["tables"]]
@@ -114,9 +128,37 @@ class Store:
         frames = {**frames, "change_log": numbered.select(*[c.strip().split(" ")[0] for c in _top_level(log_schema)])}
         for name, df in frames.items():
             df.write.parquet(f"{self.root}/{name}/batch={batch}")
-        self._create(f"{self.root}/_commits/{len(commits) + 1:012d}.json", {"n": len(commits) + 1, "batch": batch, "tables": sorted(frames), "first_seq": last + 1, "last_seq": offset})
+        made = {"n": len(commits) + 1, "batch": batch, "tables": sorted(frames), "first_seq": last + 1, "last_seq": offset}
+        self._create(f"{self.root}/_commits/{made['n']:012d}.json", made)
+        if made["n"] % MANIFEST == 0:
+            try:
+                self._create(f"{self.root}/_commits/{made['n']:012d}.sum", {"commits": [*commits, made]})
+            except StoreConflict:  # someone else has summed up the same markers
+                pass
         return last + 1, offset
 
+    # --- point reads ---------------------------------------------------------
+
+    def _version(self, document_id: str, version: int | None, schema: str) -> int:
+        known = self.read("versions", schema).where(F.col("document_id") == document_id)
+        top = known.agg(F.max("version")).first()[0]
+        if top is None:
+            raise DocumentNotFound(f"document not found: {document_id}")
+        if version is not None and known.where(F.col("version") == version).isEmpty():
+            raise VersionNotFound(f"version not found: {document_id} {version}")
+        return top if version is None else version
+
+    def rows(self, name: str, schema: str, versions: str, document_id: str, version: int | None = None) -> DataFrame:
+        """A table's rows of one document's given or latest version; NotFound tells a missing document from a missing version."""
+        at = self._version(document_id, version, versions)
+        return self.read(name, schema).where((F.col("document_id") == document_id) & (F.col("version") == at))
+
+    def asset(self, key: str, schema: str) -> bytes:
+        row = self.read("assets", schema).where(F.col("asset") == key).first()
+        if row is None:
+            raise AssetNotFound(f"asset not found: {key}")
+        return bytes(row["bytes"])
+
 
 def _top_level(ddl: str) -> list[str]:
     out, depth, cur = [], 0, ""
