@@ -17,6 +17,7 @@ from folioflow.operators import markdown as M
 from folioflow.operators import pages as P
 from folioflow.operators import planning as N
 from folioflow.operators import provenance as R
+from folioflow.operators import ruled as RT
 from folioflow.operators import tables as T
 from folioflow.operators import versions as V
 from folioflow.operators import view as VW
@@ -65,7 +66,7 @@ def block_duplicates(spark, sf_dir):
 
 @query(f"SELECT doc_id, sha256(trim(regexp_replace(text, {_WS}, ' ', 'g'))) AS digest, length(trim(regexp_replace(text, {_WS}, ' ', 'g'))) AS n FROM documents")
 def normalize_text(spark, sf_dir):
-    df = X.unicode_normal(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text").withColumn("t", X.collapse(F.col("text")))
+    df = _t(spark, sf_dir, "documents").select("doc_id", X.normal_text(F.col("text")).alias("t"))
     return df.select("doc_id", F.sha2("t", 256).alias("digest"), F.length("t").cast("bigint").alias("n"))
 
 
@@ -202,7 +203,8 @@ def documents_listing_all(spark, sf_dir):
 
 def _two_versions(spark, sf_dir):
     lines = B.line_blocks(_t(spark, sf_dir, "documents"))
-    edited = lines.where("ord % 7 <> 3").withColumn("text", F.when(F.col("ord") % 13 == 5, F.concat("text", F.lit(" edited"))).otherwise(F.col("text")))
+    more = lambda c: F.when(F.col("ord") % 13 == 5, F.concat(c, F.lit(" edited"))).otherwise(F.col(c))
+    edited = lines.where("ord % 7 <> 3").withColumns({"text": more("text"), "_norm": more("_norm")})
     return B.with_ids(lines), B.with_ids(edited)
 
 
@@ -389,7 +391,15 @@ def connected_components(spark, sf_dir, lines=_first_lines):
     return L.components(L.overlapping(_boxes(spark, sf_dir, lines), ["page"], 0.6).select("page", "a", "b"), ["page"])
 
 
-@query()
+_IOU_K = "greatest(least(k.x1, s.x1) - greatest(k.x0, s.x0), 0) * greatest(least(k.y1, s.y1) - greatest(k.y0, s.y0), 0)"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, box_id) AS n FROM (SELECT l_orderkey // 25 AS page, l_orderkey * 10 + l_linenumber AS box_id, CASE l_returnflag WHEN 'A' THEN 'table' ELSE 'image' END AS cls, 0.15::DOUBLE + l_discount * 8 AS score,
+        (l_partkey * 37 % 400)::DOUBLE AS x0, (l_suppkey * 91 % 600)::DOUBLE AS y0, (l_partkey * 37 % 400)::DOUBLE + 60 + l_quantity * 4 AS x1, (l_suppkey * 91 % 600)::DOUBLE + 40 + l_quantity * 4 AS y1 FROM ({_FIRST})) WHERE score >= 0.2),
+    f(page, n, kept) AS (SELECT page, 0::BIGINT, []::STRUCT(box_id BIGINT, cls VARCHAR, score DOUBLE, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[] FROM (SELECT DISTINCT page FROM s)
+        UNION ALL SELECT f.page, s.n, CASE WHEN len(list_filter(f.kept, lambda k: {_IOU_K} > CASE WHEN k.cls = s.cls THEN 0.6 ELSE 0.98 END * ((k.x1 - k.x0) * (k.y1 - k.y0) + (s.x1 - s.x0) * (s.y1 - s.y0) - {_IOU_K}))) = 0
+            THEN list_append(f.kept, {{'box_id': s.box_id, 'cls': s.cls, 'score': s.score, 'x0': s.x0, 'y0': s.y0, 'x1': s.x1, 'y1': s.y1}}) ELSE f.kept END FROM f JOIN s ON s.page = f.page AND s.n = f.n + 1)
+    SELECT page, u.box_id, u.cls, u.score, u.x0, u.y0, u.x1, u.y1 FROM (SELECT page, unnest(kept) AS u FROM (SELECT page, arg_max(kept, n) AS kept FROM f GROUP BY page))""")
 def nms_greedy(spark, sf_dir, lines=_first_lines):
     return L.suppress(_boxes(spark, sf_dir, lines), ["page"])
 
@@ -429,7 +439,13 @@ def glyphs_in_boxes(spark, sf_dir, lines=_first_lines):
     return L.glyphs_in_boxes(chars, _boxes(spark, sf_dir, lines), ["page"], 1.0).groupBy("page", "box_id").agg(F.count("*").alias("glyphs"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BOXES}, c AS (SELECT bx.*, l_returnflag = 'A' AS cap FROM bx JOIN ({_FIRST}) l ON bx.box_id = l.l_orderkey * 10 + l.l_linenumber),
+    p AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY gap, figure, caption) AS n FROM (SELECT a.page, a.box_id AS figure, b.box_id AS caption, greatest(b.y0 - a.y1, a.y0 - b.y0 - 12, 0)::DOUBLE AS gap FROM c a JOIN c b ON a.page = b.page AND NOT a.cap AND b.cap
+        WHERE least(a.x1, b.x1) - greatest(a.x0, b.x0) >= 0.3 * least(a.x1 - a.x0, b.x1 - b.x0)) WHERE gap <= 30),
+    f(page, n, fs, cs) AS (SELECT page, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM (SELECT DISTINCT page FROM p)
+        UNION ALL SELECT f.page, p.n, CASE WHEN list_contains(fs, figure) OR list_contains(cs, caption) THEN fs ELSE list_append(fs, figure) END, CASE WHEN list_contains(fs, figure) OR list_contains(cs, caption) THEN cs ELSE list_append(cs, caption) END FROM f JOIN p ON p.page = f.page AND p.n = f.n + 1),
+    t AS (SELECT page, arg_max(fs, n) AS fs, arg_max(cs, n) AS cs FROM f GROUP BY page)
+    SELECT u.page, u.figure, u.caption, p.gap FROM (SELECT page, unnest(fs) AS figure, unnest(cs) AS caption FROM t) u JOIN p USING (page, figure, caption)""")
 def caption_pairs(spark, sf_dir, lines=_first_lines):
     b = _boxes(spark, sf_dir, lines)
     captions = b.where("cls = 'table'").withColumn("y1", F.col("y0") + 12)
@@ -457,26 +473,29 @@ def reading_order(spark, sf_dir, lines=_first_lines):
     return L.reading_order(_ocr(spark, sf_dir, lines), ["page"]).select("page", "line_id", "seq")
 
 
-@query()
+@query(f"""WITH o AS (SELECT l_orderkey AS page, l_linenumber AS line_id, l_linenumber % 2 = 0 AS rgt, 60 + l_linenumber // 2 * 14.0::DOUBLE + l_quantity % 3 AS y, 1 - l_discount * 5 AS score FROM ({_FIRST})),
+    q AS (SELECT *, row_number() OVER w AS seq, lag(y) OVER w AS py, lag(rgt) OVER w AS pr FROM o WHERE score >= 0.5 WINDOW w AS (PARTITION BY page ORDER BY rgt, y, line_id)),
+    g AS (SELECT *, sum(CASE WHEN py IS NOT NULL AND y > py + 5 AND y - py - 10 <= 8 AND rgt = pr THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY seq) - 1 AS group_id FROM q)
+    SELECT page, group_id, string_agg('line ' || line_id, chr(10) ORDER BY seq) AS text, round(avg(score) * 0.5, 3) AS confidence FROM g GROUP BY ALL""")
 def ocr_paragraphs(spark, sf_dir, lines=_first_lines):
     lines = P.paragraphs(L.reading_order(P.ocr_keep(_ocr(spark, sf_dir, lines).withColumn("covered", F.lit(0.0))), ["page"]), ["page"])
     return lines.groupBy("page", "group_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]), "\n").alias("text"), F.round(F.avg("score") * 0.5, 3).alias("confidence"))
 
 
 def _drawn(spark, sf_dir):
-    """The nation tables drawn with rules: rows of 20 points, columns of 100, the first column merged."""
+    """The nation tables drawn with rules: rows of 20 points, columns of 100, the first column merged, its text at the top."""
     cells = _nation_cells(spark, sf_dir).withColumn("page", F.col("table_id"))
     size = cells.select("page", "n_rows").distinct()
     h = size.select("page", F.lit("h").alias("axis"), F.explode(F.sequence(F.lit(0), F.col("n_rows"))).alias("i"), "n_rows").select("page", "axis", (100 + F.col("i") * 20.0).alias("pos"), F.when((F.col("i") > 1) & (F.col("i") < F.col("n_rows")), 150.0).otherwise(50.0).alias("start"), F.lit(350.0).alias("end"))
     v = size.select("page", F.lit("v").alias("axis"), F.explode(F.array(*[F.lit(50.0 + 100 * i) for i in range(4)])).alias("pos"), F.lit(100.0).alias("start"), (100 + F.col("n_rows") * 20.0).alias("end"))
-    glyphs = cells.select("page", (55 + F.col("col") * 100.0).alias("x"), (100 + F.col("row") * 20.0 + 12).alias("baseline"), F.posexplode(F.split(F.regexp_replace("text", "\n", " "), "")).alias("i", "text"))
+    glyphs = cells.select("page", (55 + F.col("col") * 100.0).alias("x"), (100 + F.col("row") * 20.0 + F.when(F.col("rowspan") > 1, 9).otherwise(12)).alias("baseline"), F.posexplode(F.split(F.regexp_replace("text", "\n", " "), "")).alias("i", "text"))
     return h.union(v), glyphs.select("page", "text", (F.col("x") + F.col("i") * 5).alias("x0"), (F.col("baseline") - 8).alias("y0"), (F.col("x") + F.col("i") * 5 + 5).alias("x1"), (F.col("baseline") + 2).alias("y1"), "baseline")
 
 
 @query(f"""WITH {_CELLS} SELECT t AS page, CAST(0 AS INTEGER) AS table_no, CAST(k + 1 AS INTEGER) AS n_rows, CAST(3 AS INTEGER) AS n_cols, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, CAST(h AS INTEGER) AS rowspan, CAST(1 AS INTEGER) AS colspan, x AS text FROM (
     SELECT t, k, 1 AS r, 0 AS c, k AS h, r_name AS x FROM n WHERE r = 1 UNION ALL SELECT t, k, r, 1, 1, n_name FROM n UNION ALL SELECT t, k, r, 2, 1, CAST(n_nationkey AS VARCHAR) FROM n UNION ALL SELECT t, k, 0, c, 1, x FROM n, (VALUES (0, 'region'), (1, 'nation'), (2, 'a|b key')) v(c, x) WHERE r = 1)""")
 def ruled_tables(spark, sf_dir):
-    return L.ruled_tables(*_drawn(spark, sf_dir), ["page"])
+    return RT.ruled_tables(*_drawn(spark, sf_dir), ["page"]).select("page", "table_no", "n_rows", "n_cols", "row", "col", "rowspan", "colspan", "text")
 
 
 # --- Markdown, provenance, views -----------------------------------------------------------
