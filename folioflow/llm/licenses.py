@@ -11,9 +11,15 @@ shingles or more use c = 4; at a containment of 0.8 a whole edited word costs
 five shingles, so such a run is always left.  Shorter templates use c = 1,
 where the signature is the shingle.
 
+A band that agrees is a shingle in common, so only windows that hold one of
+the templates' shingles are looked at, and a shingle is hashed only where its
+first, middle and last word are templates' words.  Signatures meet in a join
+with the small table of the templates' signatures (as many as the caller
+lists), and what goes on is the stretch of shingles around the window.
+
 Candidates are then verified: the share of the template's shingles that lie
-in a window of as many shingles must reach ``containment``.  All of it
-happens in the document's own row; only matches are shuffled.
+in a window of as many shingles must reach ``containment``.  Only matches are
+shuffled.
 """
 
 from __future__ import annotations
@@ -34,6 +40,20 @@ TEMPLATES = {
     "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "mit-conditions": "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "mit-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "apache-2.0-terms": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "agpl": "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "bsd-conditions": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-names": "may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
 }
 WIDTH, WIDE, BANDS = 5, 4, 4
 
@@ -42,11 +62,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
 
-def shingles(w: Column) -> Column:
-    """64-bit hashes of runs of five words; none for fewer words."""
-    n = F.size(w)
-    some = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(WIDTH)) - WIDTH), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WIDTH)]))
-    return F.when(n >= WIDTH, some).otherwise(F.array().cast("array<bigint>"))
+def word_hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def _shingle(hashes: Column, i: Column) -> Column:
+    """64-bit hash of the run of five words from word i on, given the words' hashes."""
+    return F.xxhash64(*[F.get(hashes, i + k) for k in range(WIDTH)])
+
+
+def _starts(hashes: Column) -> Column:
+    """Word numbers at which a shingle starts; none for fewer than five words."""
+    n = F.size(hashes)
+    return F.when(n >= WIDTH, F.sequence(F.lit(0), F.greatest(n, F.lit(WIDTH)) - WIDTH)).otherwise(F.array().cast("array<int>"))
 
 
 def _band(window: Column, seed: int) -> Column:
@@ -62,30 +90,15 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def _templates(spark, templates: dict[str, str]) -> list[dict]:
-    """Shingles and window signatures of the templates: as many as the caller lists, computed like the documents'."""
-    rows = spark.createDataFrame(list(templates.items()), "template string, text string").select("template", shingles(words(F.col("text"))).alias("h"))
+def _templates(spark, templates: dict[str, str]) -> tuple[list[dict], set[int]]:
+    """Shingles and window signatures of the templates, computed like the documents', and their words' hashes."""
+    rows = spark.createDataFrame(list(templates.items()), "template string, text string").select("template", _once(word_hashes(words(F.col("text")))).alias("w"))
+    rows = rows.select("template", "w", _once(F.transform(_starts(F.col("w")), lambda i: _shingle(F.col("w"), i))).alias("h"))
     windows = F.when(F.size("h") >= WIDE, F.transform(F.sequence(F.lit(1), F.greatest(F.size("h"), F.lit(WIDE)) - WIDE + 1), lambda i: F.array(*[_band(F.slice("h", i, WIDE), s) for s in range(BANDS)])))
-    out = [r.asDict() for r in rows.select("template", F.array_distinct("h").alias("set"), "h", windows.alias("bands")).orderBy("template").collect()]
+    out = [r.asDict() for r in rows.select("template", "w", F.array_distinct("h").alias("set"), "h", windows.alias("bands")).orderBy("template").collect()]
     if short := [r["template"] for r in out if not r["h"]]:
         raise ValueError(f"templates of fewer than {WIDTH} words: {short}")
-    return out
-
-
-def _verified(t: dict) -> Column:
-    """The best window around the candidates ``at`` of shingles ``h`` for one template; null where no shingle is shared."""
-    m, goal, size = len(t["h"]), F.array(*[F.lit(x) for x in t["set"]]), len(t["set"])
-    last = F.greatest(F.size("h") - m, F.lit(0))
-
-    def around(i):
-        return F.sequence(F.least(F.greatest(i - m, F.lit(0)), last), F.least(i + m, last))
-
-    def share(s):
-        got = F.size(F.array_intersect(F.slice("h", s + 1, m), goal)) / F.lit(size)
-        return F.struct(got.alias("containment"), (-s).cast("bigint").alias("back"))
-
-    best = F.array_max(F.transform(F.array_distinct(F.flatten(F.transform("at", around))), share))
-    return F.when(F.arrays_overlap("h", goal), F.struct(F.lit(t["template"]).alias("template"), best.alias("best")))
+    return out, {x for r in out for x in r["w"]}
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,39 +108,41 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, co
     repeated rows count once; other columns are ignored; an empty table gives
     an empty result.
     """
-    known = _templates(docs.sparkSession, TEMPLATES if templates is None else templates)
-    low = [t for t in known if len(t["h"]) < 2 * WIDE]
-    high = [t for t in known if len(t["h"]) >= 2 * WIDE]
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _once(words(F.col(text_col))).alias("w")).select("doc_id", _once(shingles(F.col("w"))).alias("h"))
-    n = F.size("h")
-    # windows whose signature is one of the templates'
-    hits = []
-    if low:
-        single = sorted({x for t in low for x in t["h"]})
-        hits.append(F.filter(F.transform("h", lambda x, i: F.when(x.isin(single), i)), lambda i: i.isNotNull()))
-    if high:
-        sets = [sorted({w[s] for t in high for w in t["bands"]}) for s in range(BANDS)]
-
-        def meets(i):
-            window = F.slice("h", i + 1, WIDE)
-            found = _band(window, 0).isin(sets[0])
-            for s in range(1, BANDS):
-                found = found | _band(window, s).isin(sets[s])
-            return found
-
-        starts = F.sequence(F.lit(0), F.greatest(n, F.lit(WIDE)) - WIDE, F.lit(WIDE // 2))
-        hits.append(F.when(n >= WIDE, F.filter(starts, meets)).otherwise(F.array().cast("array<int>")))
-    rows = rows.select("doc_id", "h", _once(F.array_distinct(F.flatten(F.array(*hits)))).alias("at")).where("size(at) > 0")
-    # in the few rows left, every window around a candidate is verified against the templates
-    verified = [_verified(t) for t in known]
-    found = rows.select("doc_id", F.explode(F.array_compact(F.array(*verified))).alias("v"))
+    spark = docs.sparkSession
+    known, vocabulary = _templates(spark, TEMPLATES if templates is None else templates)
+    low, high = [t for t in known if len(t["h"]) < 2 * WIDE], [t for t in known if len(t["h"]) >= 2 * WIDE]
+    longest = max((len(t["h"]) for t in known), default=1)
+    wanted = sorted({x for t in known for x in t["set"]})
+    w, at = F.col("w"), F.col("at")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _once(word_hashes(words(F.col(text_col)))).alias("w"))
+    # where a shingle of a template starts
+    of = lambda i, k: F.get(w, i + k).isin(sorted(vocabulary))
+    rows = rows.select("doc_id", "w", _once(F.filter(_starts(w), lambda i: of(i, 0) & of(i, 2) & of(i, 4) & _shingle(w, i).isin(wanted))).alias("at")).where("size(at) > 0")
+    rows = rows.select("doc_id", "at", _once(F.transform(_starts(w), lambda i: _shingle(w, i))).alias("h"))
+    # signatures: of single shingles, and of the windows, every second one, that hold such a place
+    single = F.transform(at, lambda i: F.struct(F.lit(-1).alias("band"), F.get("h", i).alias("sig"), i.alias("pos")))
+    last = F.floor((F.size("h") - WIDE) / (WIDE // 2)) * (WIDE // 2)
+    near = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(0), F.lit(WIDE // 2)), lambda k: (F.floor(i / (WIDE // 2)) * (WIDE // 2) - k * (WIDE // 2)).cast("int")))))
+    windows = F.filter(near, lambda i: (i >= 0) & (i <= last))
+    banded = F.flatten(F.transform(windows, lambda i: F.array(*[F.struct(F.lit(s).alias("band"), _band(F.slice("h", i + 1, WIDE), s).alias("sig"), i.alias("pos")) for s in range(BANDS)])))
+    rows = rows.select("doc_id", "h", F.explode(F.array_distinct(F.concat(single, F.when(F.size("h") >= WIDE, banded).otherwise(F.array().cast("array<struct<band: int, sig: bigint, pos: int>>"))))).alias("s"))
+    start = F.greatest(F.col("s.pos") - longest, F.lit(0))
+    rows = rows.select("doc_id", "s.*", F.size("h").alias("n"), start.alias("from"), F.slice("h", start + 1, F.lit(3 * longest)).alias("part"))
+    # the templates' signatures: a table of as many rows as the caller's templates have windows
+    signed = {(t["template"], -1, x) for t in low for x in t["h"]} | {(t["template"], s, b[s]) for t in high for b in t["bands"] for s in range(BANDS)}
+    signatures = spark.createDataFrame(sorted(signed), "template string, band int, sig bigint")
+    sets = spark.createDataFrame([(t["template"], len(t["h"]), t["set"]) for t in known], "template string, m int, goal array<bigint>")
+    found = rows.join(F.broadcast(signatures.join(F.broadcast(sets), "template")), ["band", "sig"])
+    # windows of as many shingles as the template around the place, within the document
+    end = F.greatest(F.col("n") - F.col("m"), F.lit(0))
+    tried = F.sequence(F.least(F.greatest(F.col("pos") - F.col("m"), F.lit(0)), end), F.least(F.col("pos") + F.col("m"), end))
+    share = lambda s: F.size(F.array_intersect(F.slice("part", s - F.col("from") + 1, F.col("m")), "goal")) / F.size("goal")
+    best = F.array_max(F.transform(tried, lambda s: F.struct(share(s).alias("containment"), (-s).cast("bigint").alias("back"))))
     floor = math.nextafter(containment, 0)
     return (
-        found.where(F.col("v.best.containment") >= floor)
-        .groupBy("doc_id", F.col("v.template").alias("template"))
-        .agg(F.max("v.best").alias("best"))
+        found.groupBy("doc_id", "template").agg(F.max(best).alias("best")).where(F.col("best.containment") >= floor)
         .select("doc_id", "template", F.col("best.containment").alias("containment"), (-F.col("best.back")).alias("first_word"))
-    )
+    )
 
 
 def oracle_sql(templates: dict[str, str] | None = None, containment: float = 0.8) -> str:
