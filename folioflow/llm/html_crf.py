@@ -42,18 +42,37 @@ _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+class Node:
+    """An open element; what its path says is carried down, so that a block at any depth costs the same."""
+
+    __slots__ = ("tag", "words", "main", "last", "said", "parent", "features")
+
+    def __init__(self, tag: str, words: tuple[str, ...], main: bool, parent: Node | None):
+        self.tag, self.words, self.parent = tag, words, parent
+        self.main = main or (parent is not None and parent.main)
+        self.last = tag if tag != "div" or parent is None else parent.last  # the nearest element that is no div
+        said = parent.said if parent is not None else ()
+        fresh = [f for f in (*(() if tag in ("html", "body", "div") else (f"t:{tag}",)), *(f"c:{w}" for w in words)) if f not in said]
+        self.said = (*said, *fresh) if fresh else said
+        self.features: tuple[str, ...] | None = None
+
+
 class Block:
     __slots__ = ("text", "path", "linked", "main")
 
-    def __init__(self, text: str, path: tuple, linked: int, main: bool):
+    def __init__(self, text: str, path: Node | None, linked: int, main: bool):
         self.text, self.path, self.linked, self.main = text, path, linked, main
 
+    @property
+    def last(self) -> str:
+        return self.path.last if self.path is not None and self.path.last != "div" else "body"
+
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order; ``path`` holds (tag, attribute words) of the open elements."""
+def blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
+    """Leaf blocks in page order; ``path`` is the innermost open element.  Of classes only the words in ``known`` are kept, if given."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    mains: list[bool] = []
+    stack: list[Node] = []
+    opened: dict[str, int] = {}
     parts: list[str] = []
     linked, link, at, n = 0, False, 0, len(page)
 
@@ -63,12 +82,15 @@ def blocks(page: str) -> list[Block]:
             text = "".join(parts)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                out.append(Block(text, tuple(stack), min(linked, len(text)), any(mains)))
+                inner = stack[-1] if stack else None
+                out.append(Block(text, inner, min(linked, len(text)), inner is not None and inner.main))
             parts.clear()
         linked = 0
 
     def pop(to: int):
-        del stack[to:], mains[to:]
+        for node in stack[to:]:
+            opened[node.tag] -= 1
+        del stack[to:]
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -104,52 +126,49 @@ def blocks(page: str) -> list[Block]:
             continue
         if m["close"]:
             link = False
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
+            if opened.get(tag):
+                pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag))
             continue
         if tag not in ("button", "label", "option"):
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":  # a paragraph holds no block
+                if stack[i].tag == "p":  # a paragraph holds no block
                     pop(i)
                     break
-                if stack[i][0] not in ("button", "label"):
+                if stack[i].tag not in ("button", "label"):
                     break
         if tag in _ENDS:
             kinds, within = _ENDS[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in within:
+            for i in range(len(stack) - 1, -1, -1) if any(map(opened.get, kinds)) else ():
+                if stack[i].tag in within:
                     break
-                if stack[i][0] in kinds:
+                if stack[i].tag in kinds:
                     pop(i)
                     break
         words, main = (), "data-main" in m["attrs"]
         if "=" in m["attrs"]:
             got = {a.lower(): x or y or z for a, x, y, z in _ATTR.findall(m["attrs"])}
-            words = tuple(dict.fromkeys(w.lower() for k in ("class", "id", "role") if k in got for w in _WORDS.findall(got[k])))
-        stack.append((tag, words))
-        mains.append(main)
+            words = tuple(w for w in dict.fromkeys(w.lower() for k in ("class", "id", "role") if k in got for w in _WORDS.findall(got[k])) if known is None or w in known)
+        stack.append(Node(tag, words, main, stack[-1] if stack else None))
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out
 
 
-@functools.lru_cache(20_000)
-def _path_features(path: tuple) -> tuple[str, ...]:
-    got = dict.fromkeys(f"t:{tag}" for tag, _ in path if tag not in ("html", "body", "div"))
-    got |= dict.fromkeys(f"c:{w}" for _, words in path for w in words)
-    last = next((tag for tag, _ in reversed(path) if tag != "div"), "body")
-    got[f"last:{last}"] = None
-    for tag, words in path[-2:]:
-        got |= dict.fromkeys(f"own:{w}" for w in words)
-    return tuple(got)
+def _path_features(path: Node | None) -> tuple[str, ...]:
+    if path is None:
+        return ("last:body",)
+    if path.features is not None:
+        return path.features
+    own = dict.fromkeys(f"own:{w}" for node in (path.parent, path) if node is not None for w in node.words)
+    path.features = (*path.said, f"last:{path.last if path.last != 'div' else 'body'}", *own)
+    return path.features
 
 
 def features(own: list[Block], i: int) -> list[str]:
     b = own[i]
     text, n = b.text, len(b.text)
     words = text.count(" ") + 1
-    last = next((tag for tag, _ in reversed(b.path) if tag != "div"), "body")
+    last = b.last
     share = b.linked / n
     kind = f"w{min(6, int(math.log2(words)))}"
     got = ["bias", kind, f"link{0 if share < 0.1 else 1 if share < 0.6 else 2}", f"{last}&{kind}"]
@@ -195,6 +214,7 @@ class ChainCRF:
                     P -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         # with two states only differences matter
         self.weight = {f: float(W[k, 1] - W[k, 0]) for f, k in index.items()}
+        self.known = frozenset(f.split(":", 1)[1] for f in index if f.startswith(("c:", "own:")))  # words of classes that weigh anything
         self.move = [[float(T[0, 0]), float(T[0, 1])], [float(T[1, 0]), float(T[1, 1])]]
         return self
 
@@ -369,7 +389,7 @@ def trained(pages: int = 700, seed: int = 11) -> ChainCRF:
 
 
 def main_text(page: str, model: ChainCRF) -> str:
-    own = blocks(page)
+    own = blocks(page, model.known)
     states = model.decode([features(own, i) for i in range(len(own))])
     return "\n\n".join(b.text for b, s in zip(own, states) if s)
 
