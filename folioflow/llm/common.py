@@ -11,6 +11,8 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,12 @@ BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the driver's; batches of texts to Python are kept small."""
+    """A table of the driver's.
+
+    Whole texts want small Arrow batches: where the session leaves
+    ``maxRecordsPerBatch`` at its default, it is set to ``BATCH_ROWS`` for the
+    session.  Operators themselves change no setting.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":  # the default
         spark.conf.set(key, str(BATCH_ROWS))
@@ -36,19 +43,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; one of our own only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors see; one of our own only in a local session where none is named (tests)."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    if not hasattr(spark.sparkContext, "_folio_shared"):
-        spark.sparkContext._folio_shared = "file://" + tempfile.mkdtemp(prefix="folio-shared-")
-    return spark.sparkContext._folio_shared
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not hasattr(sc, "_folio_shared"):
+        sc._folio_shared = "file://" + tempfile.mkdtemp(prefix="folio-shared-")
+    return sc._folio_shared
+
+
+_workspace: ContextVar[str | None] = ContextVar("workspace", default=None)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are deleted at the end, but for those to ``keep``."""
+    path = f"{shared_dir(spark)}/folio/work-{uuid.uuid4().hex[:12]}"
+    token = _workspace.set(path)
+    try:
+        yield
+    finally:
+        _workspace.reset(token)
+        _delete(spark, path)
+
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+
+def materialize(df: DataFrame, label: str, codec: str = "snappy", keep: bool = False) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folio/{label}-{uuid.uuid4().hex[:12]}"
+    root = _workspace.get() if not keep else None
+    path = f"{root or shared_dir(spark) + '/folio'}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -56,12 +87,9 @@ def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
 def drop_materialized(*frames: DataFrame) -> None:
     """Delete tables that :func:`materialize` wrote and that nothing reads any more."""
     for df in frames:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
         for file in df.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(os.path.dirname(file))
-            if "/folio/" in str(path):
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            if "/folio/" in file:
+                _delete(df.sparkSession, os.path.dirname(file))
 
 
 # --- text as bytes ------------------------------------------------------------
@@ -227,6 +255,22 @@ def binaries(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
 
 
+#: Keys that hold more than one in so many rows are fewer than that and may be broadcast.
+HEAVY = 10_000
+
+
+def heavy_keys(counted: DataFrame, keys: list[str], least: int, share: int = HEAVY) -> DataFrame:
+    """The keys of ``counted`` (keys, n) with more than one in ``share`` of all rows, and more than ``least``: fewer than ``share``."""
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return materialize(counted.where(F.col("n") > max(least, total // share)).select(*keys, "n"), "heavy")
+
+
+def on_keys(rows: DataFrame, table: DataFrame, keys: list[str], heavy: DataFrame) -> DataFrame:
+    """``rows`` joined to ``table`` (one row a key): the heavy keys where the rows are read, the others by a shuffle."""
+    few = F.broadcast(heavy.select(*keys))
+    return rows.join(F.broadcast(table.join(few, keys)), keys).unionByName(rows.join(few, keys, "left_anti").join(table, keys))
+
+
 def without(docs: DataFrame, gone: DataFrame, digest: Column, name: str, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the rows of ``gone`` (doc_id, ``name``): those of one id and of one text, whose digest ``digest`` is.
 

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm import common
 from folioflow.llm.common import BROADCAST_IDS, batch_of, binaries, drop_materialized, materialize, shingles, slices, trim, words
 from folioflow.llm.components import components
 
@@ -43,8 +44,8 @@ from folioflow.llm.components import components
 SHORT_LIST = 48
 #: Members of a block of sketches and of one of full sets.
 SKETCHES, BLOCK = 1024, 256
-#: Keys that hold more than one in so many rows are fewer than that and may be broadcast.
-HEAVY = 10_000
+#: See :data:`folioflow.llm.common.HEAVY`.
+HEAVY = common.HEAVY
 #: Partners that share one copy of a text.
 FAN = 256
 #: Pairs of a vectorised estimate.
@@ -258,14 +259,12 @@ def _verify(batches, width: int, percent: int):
 
 def heavy_keys(counted: DataFrame, key: str, least: int) -> DataFrame:
     """The keys of ``counted`` (key, n) with more than one in ``HEAVY`` of all rows, and more than ``least``: fewer than ``HEAVY``."""
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return materialize(counted.where(F.col("n") > max(least, total // HEAVY)).select(key, "n"), "heavy")
+    return common.heavy_keys(counted, [key], least, HEAVY)
 
 
 def on_value(rows: DataFrame, lists: DataFrame, heavy: DataFrame) -> DataFrame:
     """``rows`` with the columns of their list; the heavy lists are joined where the rows are read, the others by a shuffle."""
-    few = F.broadcast(heavy.select("value"))
-    return rows.join(F.broadcast(lists.join(few, "value")), "value").unionByName(rows.join(few, "value", "left_anti").join(lists, "value"))
+    return common.on_keys(rows, lists, ["value"], heavy)
 
 
 class NearDuplicates:
@@ -284,7 +283,11 @@ class NearDuplicates:
         self.width, self.percent, self.k, self.index = width, percent, k, index
 
     def classes(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text)."""
+        """doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text); a table of its own, all others are deleted."""
+        with common.workspace(docs.sparkSession):
+            return materialize(self._classes(docs, id_col, text_col), "classes", keep=True)
+
+    def _classes(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         width, k, index = self.width, self.k, self.index
         self.docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
         made = self.docs.mapInArrow(lambda it: _signatures(it, width, k, index), "doc_id bigint, text_hash bigint, n_shingles bigint, f1 bigint, f2 bigint, low array<bigint>, sketch binary")

@@ -2,12 +2,13 @@
 
 A logistic classifier on a text's surface (shape, not words) gives each
 document's evidence as log odds.  Sites and paths within them get posterior
-quality rates: their summed evidence, as expected counts, is shrunk toward
-the level above by a Beta prior whose strength is fitted from the spread of
-the site rates (method of moments).  A document's score adds its own evidence
-to the log odds of its path, less those of the corpus, so sparse sites say
-little.  Both levels are grouped sums with a combine before the shuffle; one
-site may hold a third of the rows.
+quality rates: the summed evidence of the other documents in them, as
+expected counts, is shrunk toward the level above by a Beta prior whose
+strength is fitted, for each level, from how far its rates differ from those
+above (method of moments).  A document's score adds its own evidence to the
+log odds of its path, less those of the corpus, so sparse sites say little.
+Both levels are grouped sums with a combine before the shuffle; rows of heavy
+paths are joined where they are read, as one site may hold a third of them.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import SEPARATOR, bag, batch_of, materialize, row_slices, slices, utf8
+from folioflow.llm.common import SEPARATOR, bag, batch_of, heavy_keys, materialize, on_keys, row_slices, slices, utf8
 from folioflow.llm.toxicity import fit_sample, fitted
 
 FEATURES = 12
@@ -113,13 +114,17 @@ def site_quality(docs: DataFrame, model: Logistic, host: Column, path: Column, i
     chance = 1 / (1 + F.exp(-F.col("evidence")))
     paths = materialize(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(chance).alias("good")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("good").alias("hgood"))
-    # three numbers: the corpus rate and the spread of the rates of sites
-    rate = F.col("hgood") / F.col("hn")
-    g = hosts.agg(F.sum("hn").alias("n"), F.sum("hgood").alias("good"), F.var_pop(rate).alias("var"), F.avg(1 / F.col("hn")).alias("inv")).first()
+    rates = materialize(paths.join(hosts, "host"), "rates")
+    # five numbers: the corpus rate, and how far sites differ from it and paths from their sites
+    site, inner = F.col("hgood") / F.col("hn"), F.col("good") / F.col("n") - F.col("hgood") / F.col("hn")
+    g = hosts.agg(F.sum("hn").alias("n"), F.sum("hgood").alias("good"), F.var_pop(site).alias("var"), F.avg(1 / F.col("hn")).alias("inv")).first()
+    p = rates.agg(F.avg(inner * inner).alias("var"), F.avg(1 / F.col("n")).alias("inv")).first()
     mean = float(g["good"] / g["n"]) if g["n"] else 0.5
-    strength = _strength(mean, float(g["var"] or 0.0), mean * (1 - mean) * float(g["inv"] or 0.0))
-    hosts = hosts.withColumn("host_rate", (F.col("hgood") + strength * mean) / (F.col("hn") + strength))
-    rates = paths.join(hosts, "host").withColumn("path_rate", (F.col("good") + strength * F.col("host_rate")) / (F.col("n") + strength))
+    host_prior, path_prior = (_strength(mean, float(x["var"] or 0.0), mean * (1 - mean) * float(x["inv"] or 0.0)) for x in (g, p))
+    out = on_keys(rows, rates, ["host", "path"], heavy_keys(paths, ["host", "path"], 1))
+    # a document's own evidence counts once: its site and path speak for the others in them
+    out = out.withColumn("host_rate", (F.col("hgood") - chance + host_prior * mean) / (F.col("hn") - 1 + host_prior))
+    out = out.withColumn("path_rate", (F.col("good") - chance + path_prior * F.col("host_rate")) / (F.col("n") - 1 + path_prior))
     score = F.col("evidence") + _logit(F.col("path_rate")) - float(np.log(mean / (1 - mean)) if 0 < mean < 1 else 0.0)
-    out = rows.join(rates.select("host", "path", "host_rate", "path_rate"), ["host", "path"]).withColumn("score", 1 / (1 + F.exp(-score)))
-    return out.select("doc_id", "host", "path", (1 / (1 + F.exp(-F.col("evidence")))).alias("doc_score"), "host_rate", "path_rate", "score", (F.col("score") >= threshold).alias("kept"))
+    out = out.withColumn("score", 1 / (1 + F.exp(-score)))
+    return out.select("doc_id", "host", "path", chance.alias("doc_score"), "host_rate", "path_rate", "score", (F.col("score") >= threshold).alias("kept"))
