@@ -4,15 +4,15 @@ A Misra-Gries family sketch (``approx_top_k``, merged from partial sketches)
 names the digests that may be frequent.  Their exact counts and smallest ids
 are taken in a second pass; the verified winners, at most ``heavy`` rows by
 construction, are broadcast, so rows of large copy groups are settled where
-they are read and never shuffled.  All other digests go through one ordinary
-shuffle, in which no group is large.
+they are read and never shuffled.  All other digests are counted with a
+combine before the shuffle, and their rows take the counts in an ordinary
+join, which Spark may split where a group is still large.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from folioflow.llm.common import materialize
 
@@ -41,7 +41,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counted = rows.join(F.broadcast(named), "text_sha256", "left_semi").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     winners = materialize(counted.where("group_size > 1"), "winners")
     hot = rows.join(F.broadcast(winners), "text_sha256")
-    group = W.partitionBy("text_sha256")
-    cold = rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti").withColumns({"keep_id": F.min("doc_id").over(group), "group_size": F.count("*").over(group)})
+    rest = rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+    groups = rest.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    cold = rest.join(groups, "text_sha256")
     columns = ["doc_id", "keep_id", "group_size", "text_sha256"]
     return hot.select(columns).union(cold.select(columns)).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
