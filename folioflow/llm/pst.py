@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import LOWER, batch_of, binaries, drop_materialized, materialize, mix, slices, trim, words
+from folioflow.llm.common import LOWER, batch_of, binaries, drop_materialized, materialize, mix, slices, trim, words, workspace
 
 END, BLANK = 0x0A, 0x20
 #: Text bytes of a slice, distinct pairs that a task holds.
@@ -216,9 +216,10 @@ class LanguageModelScores:
         docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(held, F.lit(True)).alias("held_out"), F.col(text_col).alias("text"))
         parts = max(1, docs.rdd.getNumPartitions())
         self.buckets, self.copies = min(32 + parts // 2, BUCKETS), 1 + parts // PER_COPY
-        texts = materialize(docs.mapInArrow(_cut_up, _TEXTS), "symbols")
-        root, tables, known = self._learned(texts)
-        return self._scored(texts, root, tables, *known)
+        with workspace(docs.sparkSession):
+            texts = materialize(docs.mapInArrow(_cut_up, _TEXTS), "symbols")
+            root, tables, known = self._learned(texts)
+            return materialize(self._scored(texts, root, tables, *known), "scores", keep=True)
 
     # --- counts and the tree -------------------------------------------------
 
