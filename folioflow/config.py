@@ -39,3 +39,5 @@ IMAGE_SIDE, IMAGE_AREA, BACKGROUND_GLYPHS, LAYOUT_PATHS, TABLE_RULES, RULE_WIDTH
 # image models
 DET_SHORT, DET_LONG, DET_PIXEL, DET_MEAN, DET_GROW, DET_SIDE, DET_ROW = 736, 4000, 0.3, 0.5, 1.6, 3, 10
 REC_HEIGHT, REC_BATCH, REC_BUDGET = 48, 6, 6 * 3200
+# drawn paths
+DASH, MIN_RULE, THIN, AXIS_TOL, LEN_EPS, WHITE, MAX_SEGMENTS = 0.2, 2.0, 2.5, 0.5, 1e-3, 250, 200_000

@@ -261,3 +261,92 @@ def borderless_settled(spark, sf_dir):
     boxes = g.select(*PAGE).distinct().select(*PAGE, F.lit("model").alias("kind"), F.lit(0.9).alias("score"), F.lit(50.0).alias("x0"), F.when(F.col("page") % 2 == 1, 60.0).otherwise(930.0).alias("y0"), F.lit(790.0).alias("x1"), F.when(F.col("page") % 2 == 1, 900.0).otherwise(990.0).alias("y1"))
     t = BL.borderless_tables(g, None, boxes, PAGE)
     return t.where("failure IS NOT NULL OR (`row` = 0 AND col = 0)").select(*PAGE, "tag", "failure", "chars")
+
+
+# --- what a page draws ------------------------------------------------------------------------------------
+
+
+def _paths(spark, sf_dir):
+    """A subpath an order: strokes, thin and wide fillings, borders of several parts, slants, pieces off the page."""
+    k = F.col("o_orderkey")
+    x, y, m = (k * 7 % 500).cast("double"), (k * 11 % 700).cast("double"), k % 6
+    w = F.when(m == 1, F.lit(2.0)).otherwise((40 + k % 90).cast("double"))
+    h = F.when(m == 0, F.lit(0.0)).when(m == 2, F.lit(1.5)).when(m == 5, F.lit(30.0)).otherwise((20 + k % 50).cast("double"))
+    p = lambda a, b, line=True: F.struct(a.alias("x"), b.alias("y"), F.lit(line).alias("line"))
+    stroke = F.array(p(x, y, False), p(x + w, y + h))
+    ring = F.array(p(x, y, False), p(x + w, y), p(x + w, y + h), p(x, y + h))
+    o = _t(spark, sf_dir, "orders")
+    return o.select(F.col("o_custkey").alias("page"), k.alias("k"), F.when((m == 0) | (m == 5), stroke).otherwise(ring).alias("points"), ((m != 0) & (m != 5)).alias("closed"), F.lit(False).alias("curved"), ((m == 0) | (m == 5)).alias("stroked"), ((m != 0) & (m != 5)).alias("filled"), F.when(m == 4, 2).otherwise(1).alias("parts"), F.lit(400.0).alias("width_pt"), F.lit(600.0).alias("height_pt"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS page, o_orderkey % 6 AS m, (o_orderkey * 7 % 500)::DOUBLE AS x, (o_orderkey * 11 % 700)::DOUBLE AS y, CASE WHEN o_orderkey % 6 = 1 THEN 2.0 ELSE 40 + o_orderkey % 90 END::DOUBLE AS w, CASE o_orderkey % 6 WHEN 2 THEN 1.5 ELSE 20 + o_orderkey % 50 END::DOUBLE AS h FROM orders),
+    r AS (SELECT page, 'h' AS axis, y AS pos, x AS s, x + w AS e, false AS fill FROM o WHERE m = 0 UNION ALL SELECT page, 'v', x + 1, y, y + h, false FROM o WHERE m = 1 UNION ALL SELECT page, 'h', y + 0.75, x, x + w, false FROM o WHERE m = 2
+        UNION ALL SELECT page, 'h', y + d * h, x, x + w, m = 3 FROM o, (VALUES (0), (1)) v(d) WHERE m IN (3, 4) UNION ALL SELECT page, 'v', x + d * w, y, y + h, m = 3 FROM o, (VALUES (0), (1)) v(d) WHERE m IN (3, 4)),
+    c AS (SELECT page, axis, pos, s AS start, CASE axis WHEN 'h' THEN least(e, 400) ELSE least(e, 600) END::DOUBLE AS "end", fill FROM r WHERE pos <= CASE axis WHEN 'h' THEN 600 ELSE 400 END)
+    SELECT page, axis, pos, start, "end", fill FROM c WHERE "end" - start >= 2""")
+def drawn_rules(spark, sf_dir):
+    from folioflow.operators import scan
+
+    return scan.page_rules(_paths(spark, sf_dir), ["page"])
+
+
+@query("""WITH i AS (SELECT o_orderkey, (o_orderkey % 900 - 100)::DOUBLE AS x0, (o_orderkey % 1100 - 150)::DOUBLE AS y0, (o_orderkey % 900 + 200)::DOUBLE AS x1, (o_orderkey % 1100 + 100)::DOUBLE AS y1 FROM orders) SELECT o_orderkey, least(1.0, greatest(least(x1, 600) - greatest(x0, 0), 0) * greatest(least(y1, 800) - greatest(y0, 0), 0) / 480000.0::DOUBLE) AS coverage,
+    CASE WHEN least(x1, 600) > greatest(x0, 0) AND least(y1, 800) > greatest(y0, 0) THEN greatest(x0, 0) / 600.0::DOUBLE END AS left, CASE WHEN least(x1, 600) > greatest(x0, 0) AND least(y1, 800) > greatest(y0, 0) THEN 1 - least(y1, 800) / 800.0::DOUBLE END AS top FROM i""")
+def image_coverage(spark, sf_dir):
+    from folioflow.operators import scan
+
+    k = F.col("o_orderkey")
+    x, y = (k % 900 - 100).cast("double"), (k % 1100 - 150).cast("double")
+    frame = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(600.0).alias("x1"), F.lit(800.0).alias("y1"))
+    i = _t(spark, sf_dir, "orders").select(k, x.alias("x0"), y.alias("y0"), (x + 300).alias("x1"), (y + 250).alias("y1"), frame.alias("frame"), F.lit(0).alias("rotation"))
+    return scan.image_coverage(i).select("o_orderkey", "coverage", F.col("visible.x0").alias("left"), F.col("visible.y0").alias("top"))
+
+
+@query("""WITH u AS (SELECT conv_id, turn, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM conversations WHERE length(text) > 0) SELECT conv_id, turn, string_agg(CASE WHEN i % 11 = 3 THEN '😀' WHEN i % 11 = 7 THEN '�' ELSE ch END, '' ORDER BY i) AS text, count(*) FILTER (i % 11 = 7) AS unmapped FROM u GROUP BY ALL""")
+def decoded_units(spark, sf_dir):
+    """Texts as UTF-16 code units with pairs, lone halves and zeros among them."""
+    from folioflow.operators import scan
+
+    c = _t(spark, sf_dir, "conversations").where("length(text) > 0").select("conv_id", "turn", F.posexplode(F.split("text", "")).alias("i", "ch"))
+    codes = F.when(F.col("i") % 11 == 3, F.array(F.lit(0xD83D), F.lit(0xDE00))).when(F.col("i") % 11 == 7, F.array(F.when(F.col("i") % 2 == 0, 0).otherwise(0xDC01))).otherwise(F.array(F.ascii("ch")))
+    u = c.select("conv_id", "turn", "i", F.posexplode(codes).alias("j", "code")).withColumn("at", F.col("i") * 2 + F.col("j"))
+    d = scan.decoded_units(u, ["conv_id", "turn"], "at", "code")
+    return d.groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda s: s["text"]), "").alias("text"), F.count_if("unmapped").alias("unmapped"))
+
+
+@query("""WITH v AS (SELECT o_orderkey, o_orderkey % 7 - 3 AS ax, o_custkey % 5 - 2 AS ay, o_orderkey % 3 - 1 AS ux, o_custkey % 3 - 1 AS uy FROM orders), a AS (SELECT *, CASE WHEN abs(ax) >= abs(ay) THEN CASE WHEN ax >= 0 THEN 0 ELSE 2 END ELSE CASE WHEN ay > 0 THEN 1 ELSE 3 END END AS along,
+    CASE WHEN abs(ux) >= abs(uy) THEN CASE WHEN -ux >= 0 THEN 0 ELSE 2 END ELSE CASE WHEN -uy > 0 THEN 1 ELSE 3 END END AS d FROM v)
+    SELECT o_orderkey, CAST(CASE WHEN ax = 0 AND ay = 0 THEN 0 ELSE along END AS INTEGER) AS along, CAST(CASE WHEN ax = 0 AND ay = 0 THEN 1 WHEN (ux = 0 AND uy = 0) OR d % 2 = along % 2 THEN (along + 1) % 4 ELSE d END AS INTEGER) AS down FROM a""")
+def glyph_axes(spark, sf_dir):
+    from folioflow.operators import scan
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    v = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    along, down = scan.reading_axes(v(k % 7 - 3, c % 5 - 2), v(k % 3 - 1, c % 3 - 1))
+    return _t(spark, sf_dir, "orders").select(k, along.alias("along"), down.alias("down"))
+
+
+@query("SELECT o_custkey, o_orderpriority, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS seq FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL)")
+def first_occurrences(spark, sf_dir):
+    from folioflow.operators import sets
+
+    return sets.distinct_first(_t(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_orderkey"), ["o_custkey"], "o_orderpriority", "o_orderkey")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 5")
+def group_caps(spark, sf_dir):
+    from folioflow.operators import sets
+
+    return sets.first_n(_t(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"], 5).select("o_custkey", "o_orderkey")
+
+
+@query(f"""WITH {_CUT}, k AS (SELECT q.*, row_number() OVER (PARTITION BY doc_id, line // 50, line % 50, col // 40 ORDER BY col) AS n FROM q WHERE NOT blank) SELECT doc_id AS document_id, CAST(line // 50 + 1 AS INTEGER) AS page, count(*) AS glyphs FROM k WHERE (line * 80 + col) % 5 <> 0 GROUP BY ALL""")
+def untaken_glyphs(spark, sf_dir):
+    """Glyphs left to the text when tables and figures own every fifth one."""
+    c = _two_columns(spark, sf_dir)
+    return FL.fragments(c, c.where("char_id % 5 = 0")).groupBy(PAGE).agg(F.sum("glyphs").alias("glyphs"))
+
+
+@query(f"""WITH {_PRICE} SELECT document_id, page, 2.0::DOUBLE AS leading FROM z WHERE rows >= 4""")
+def page_leading(spark, sf_dir):
+    return BL.leadings(_price_pages(spark, sf_dir), PAGE).where("leading IS NOT NULL")
