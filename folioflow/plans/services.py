@@ -208,3 +208,54 @@ def history_read(spark, sf_dir):
     """Versions of the store, read back by number."""
     v = _engine(spark, sf_dir)[0].store.read("versions", S.VERSIONS)
     return v.groupBy("version").agg(F.count("*").alias("documents"), F.max("version").alias("latest"))
+
+
+# --- Markdown with every mark, and back -------------------------------------------------------------------
+
+
+def _marked(spark, sf_dir):
+    """A Markdown text a region: headings of both kinds, marks, lists, a quote, a table of its nations, code, a figure."""
+    n = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    own = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", c.alias("v")))), lambda s: s["v"])
+    g = n.groupBy(F.col("r_regionkey").alias("id"), "r_name").agg(own(F.concat(F.lit("| "), "n_name", F.lit(" | a\\|"), F.col("n_nationkey").cast("string"), F.lit(" |"))).alias("rows"))
+    parts = [F.concat(F.lit("# "), F.col("r_name")), F.lit("Sub *title*\n---"), F.concat(F.lit("Some **bold**, *slanted* `code` and [a link](http://x.y) of "), "r_name", F.lit("  \nwith a break")), F.lit("1. one\n2) two"), F.lit("- bullet\n  - nested\n\n  rest of it"), F.lit("> quoted\n> text"), F.concat(F.lit("| nation | key |\n| --- | --- |\n"), F.array_join("rows", "\n")), F.lit("```py\nx = 1\n\ny = 2\n```"), F.lit("***"), F.lit("![a *figure*](p.png)"), F.lit("### Deep ###"), F.lit("end & <b>")]
+    return g.select("id", F.concat_ws("\n\n", *parts).alias("md"))
+
+
+_MARKED = """r AS (SELECT r_regionkey AS document_id, r_name, (SELECT string_agg(n_name || chr(9) || 'a|' || n_nationkey, chr(10) ORDER BY n_nationkey) FROM nation WHERE n_regionkey = r_regionkey) AS body, (SELECT string_agg('| ' || n_name || ' | a\\|' || n_nationkey || ' |', chr(10) ORDER BY n_nationkey) FROM nation WHERE n_regionkey = r_regionkey) AS md, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS k FROM region),
+    b AS (SELECT document_id, 0 AS ord, 'heading' AS kind, r_name AS text, 1 AS level, '' AS path, '# ' || r_name AS out FROM r UNION ALL SELECT document_id, 1, 'heading', 'Sub title', 2, r_name, '## Sub title' FROM r
+        UNION ALL SELECT document_id, 2, 'paragraph', 'Some bold, slanted code and a link of ' || r_name || chr(10) || 'with a break', NULL, r_name || ' / Sub title', NULL FROM r UNION ALL SELECT document_id, 3 + i, 'list_item', t, NULL, r_name || ' / Sub title', o FROM r, (VALUES (0, '1. one', '1. one'), (1, '2) two', '2) two'), (2, 'bullet', '- bullet'), (3, 'nested', '- nested')) v(i, t, o)
+        UNION ALL SELECT document_id, 7, 'paragraph', 'rest of it', NULL, r_name || ' / Sub title', NULL FROM r UNION ALL SELECT document_id, 8, 'paragraph', 'quoted' || chr(10) || 'text', NULL, r_name || ' / Sub title', NULL FROM r
+        UNION ALL SELECT document_id, 9, 'table', 'nation' || chr(9) || 'key' || chr(10) || body, NULL, r_name || ' / Sub title', '| nation | key |' || chr(10) || '| --- | --- |' || chr(10) || md FROM r UNION ALL SELECT document_id, 10, 'paragraph', 'x = 1' || chr(10) || chr(10) || 'y = 2', NULL, r_name || ' / Sub title', NULL FROM r
+        UNION ALL SELECT document_id, 11, 'figure', 'a figure', NULL, r_name || ' / Sub title', NULL FROM r UNION ALL SELECT document_id, 12, 'heading', 'Deep', 3, r_name || ' / Sub title', '### Deep' FROM r UNION ALL SELECT document_id, 13, 'paragraph', 'end & <b>', NULL, r_name || ' / Sub title / Deep', NULL FROM r)"""
+
+
+@query(f"WITH {_MARKED} SELECT document_id, CAST(ord AS INTEGER) AS ord, kind, text, CAST(level AS INTEGER) AS level, path FROM b")
+def markdown_documents(spark, sf_dir):
+    from folioflow.operators import markdown as M
+
+    return M.markdown_blocks(_marked(spark, sf_dir), "id", "md").select("document_id", "ord", "kind", "text", "level", F.array_join("section_path", " / ").alias("path"))
+
+
+@query(f"WITH {_MARKED} SELECT document_id, string_agg(coalesce(out, text), chr(10) || chr(10) ORDER BY ord) || chr(10) AS markdown FROM b GROUP BY 1")
+def markdown_round_trip(spark, sf_dir):
+    """The scanned blocks written as Markdown again, tables from their cells."""
+    from folioflow.operators import markdown as M
+    from folioflow.operators import tables as T
+
+    b = M.markdown_blocks(_marked(spark, sf_dir), "id", "md")
+    cell = lambda r, c, t: F.struct(r.alias("row"), c.alias("col"), F.lit(1).alias("rowspan"), F.lit(1).alias("colspan"), t.alias("text"), F.lit("none").alias("header"))
+    cells = b.where("rows IS NOT NULL").select(F.struct("document_id", "ord").alias("table_id"), F.size("rows").alias("n_rows"), F.size(F.col("rows")[0]).alias("n_cols"), F.inline(F.flatten(F.transform("rows", lambda row, r: F.transform(row, lambda t, c: cell(r, c, t))))))
+    md = T.markdown(cells).select("table_id.document_id", "table_id.ord", F.col("md").alias("table_md"))
+    return B.export_markdown(b.join(md, ["document_id", "ord"], "left"))
+
+
+@query("SELECT n_nationkey, n_nationkey % 4 = 0 AS passed FROM nation")
+def png_checks(spark, sf_dir):
+    """Images of the nations: whole ones, cut ones, ones with a wrong head or more behind the end."""
+    from folioflow.operators.integrity import png_problem
+    from folioflow.testing.drivers import tiny_png
+
+    whole, k = tiny_png(3, 2, 9), F.col("n_nationkey")
+    kinds = F.when(k % 4 == 0, F.lit(bytearray(whole))).when(k % 4 == 1, F.lit(bytearray(whole[:-5]))).when(k % 4 == 2, F.lit(bytearray(b"x" + whole[1:]))).otherwise(F.lit(bytearray(whole + b"!")))
+    return _t(spark, sf_dir, "nation").select(k, png_problem(kinds).isNull().alias("passed"))

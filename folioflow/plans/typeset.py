@@ -226,12 +226,14 @@ def _price_pages(spark, sf_dir, gap=1):
     """Name, size and price of the parts of a brand, a page of 40 rows each, set without rules and, by ``gap``, without blanks."""
     p = _t(spark, sf_dir, "part").withColumn("n", F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")) - 1)
     p = p.select(F.col("p_brand").alias("document_id"), (F.floor(F.col("n") / 40) + 1).cast("int").alias("page"), (F.col("n") % 40).alias("r"), F.posexplode(F.array(F.concat("p_name", F.lit(" item")), F.concat(F.lit("s"), F.col("p_size").cast("string")), F.concat(F.lit("t"), F.substring("p_type", 1, 4)))).alias("c", "text"))
-    g = _glyphs(p, F.lit(10.0), 60 + F.col("c") * 250.0, 80 + F.col("r") * 20.0)
+    g = _glyphs(p.withColumn("s", F.col("text")), F.lit(10.0), 60 + F.col("c") * 250.0, 80 + F.col("r") * 20.0)
+    narrow = 2.0 * F.length(F.regexp_replace(F.expr("substring(s, 1, i)"), "[^ ]", ""))  # blanks are 4 points wide
+    g = g.withColumns({"x0": F.col("x0") - narrow, "x1": F.col("x1") - narrow}).drop("s")
     return g.where("text <> ' '").withColumn("char_id", (F.col("r") * 1000 + F.col("c") * 100 + F.col("i")).cast("bigint")).withColumn("bold", F.lit(False)).withColumn("width_pt", F.lit(800.0)).withColumn("height_pt", F.lit(1000.0)).drop("i", "r", "c")
 
 
 _PRICE = """p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n FROM part), q AS (SELECT p_brand AS document_id, CAST(n // 40 + 1 AS INTEGER) AS page, CAST(n % 40 AS INTEGER) AS r, p_name || ' item' AS a, 's' || p_size AS b, 't' || substr(p_type, 1, 4) AS c FROM p),
-    z AS (SELECT document_id, page, max(r) + 1 AS rows, max(length(a)) AS wa, max(length(b)) AS wb, max(length(c)) AS wc FROM q GROUP BY ALL)"""
+    z AS (SELECT document_id, page, max(r) + 1 AS rows, max(length(a) * 6 - 2 * (length(a) - length(replace(a, ' ', '')))) AS wa, max(length(b)) AS wb, max(length(c)) AS wc FROM q GROUP BY ALL)"""
 
 
 @query(f"""WITH {_PRICE} SELECT document_id, page, 'rule-1' AS tag, CAST(rows AS INTEGER) AS n_rows, 3 AS n_cols, r AS "row", CAST(col AS INTEGER) AS col, 1 AS rowspan, 1 AS colspan, text FROM (SELECT document_id, page, r, 0 AS col, a AS text FROM q UNION ALL SELECT document_id, page, r, 1, b FROM q UNION ALL SELECT document_id, page, r, 2, c FROM q) JOIN z USING (document_id, page) WHERE rows >= 2""")
@@ -246,7 +248,7 @@ def borderless_words(spark, sf_dir):
     return BL.page_words(_price_pages(spark, sf_dir), PAGE).select(*PAGE, "line_no", "word_no", "text")
 
 
-@query(f"""WITH {_PRICE} SELECT document_id, page, CAST(k AS INTEGER) AS bound_no, round(CASE k WHEN 0 THEN (60 + wa * 6.0 + 310) / 2 ELSE (310 + wb * 6.0 + 560) / 2 END, 6)::DOUBLE AS x FROM z, (VALUES (0), (1)) v(k) WHERE rows >= 2""")
+@query(f"""WITH {_PRICE} SELECT document_id, page, CAST(k AS INTEGER) AS bound_no, round(CASE k WHEN 0 THEN (60 + wa + 310.0) / 2 ELSE (310 + wb * 6.0 + 560) / 2 END, 6)::DOUBLE AS x FROM z, (VALUES (0), (1)) v(k) WHERE rows >= 2""")
 def borderless_gutters(spark, sf_dir):
     return BL.page_columns(_price_pages(spark, sf_dir), PAGE).select(*PAGE, "bound_no", F.round("x", 6).alias("x"))
 
