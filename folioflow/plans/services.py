@@ -259,3 +259,59 @@ def png_checks(spark, sf_dir):
     whole, k = tiny_png(3, 2, 9), F.col("n_nationkey")
     kinds = F.when(k % 4 == 0, F.lit(bytearray(whole))).when(k % 4 == 1, F.lit(bytearray(whole[:-5]))).when(k % 4 == 2, F.lit(bytearray(b"x" + whole[1:]))).otherwise(F.lit(bytearray(whole + b"!")))
     return _t(spark, sf_dir, "nation").select(k, png_problem(kinds).isNull().alias("passed"))
+
+
+# --- the feed as a stream ---------------------------------------------------------------------------------
+
+
+def _streamed(spark, sf_dir, make, mode):
+    """What a stream over the events gives, batch by batch, as one table with its batch numbers."""
+    from folioflow.streaming import feed
+
+    root = f"{shared_path(spark)}/folio-stream-{uuid.uuid4().hex[:12]}"
+    events = spark.readStream.schema(_t(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    feed.run_batches(make(events), lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}"), f"{root}/checkpoint", mode=mode)
+    return spark.read.parquet(f"{root}/out")
+
+
+@query("SELECT user_id AS document_id, event_id + 1 AS version, coalesce(lag(event_id + 1) OVER (PARTITION BY user_id ORDER BY event_id), 0) + 1 AS expected FROM events QUALIFY version <> expected")
+def stream_conflicts(spark, sf_dir):
+    """Changes that do not follow their document's version before; the state is one number a document."""
+    from folioflow.streaming import feed
+
+    make = lambda e: feed.version_conflicts(e.select(F.col("user_id").alias("document_id"), (F.col("event_id") + 1).alias("version")))
+    return _streamed(spark, sf_dir, make, "append").select("document_id", "version", "expected")
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_windows(spark, sf_dir):
+    """Counts by day and type under a watermark; a window's last update counts."""
+    from folioflow.streaming import feed
+
+    got = _streamed(spark, sf_dir, lambda e: feed.windowed_counts(e, "ts", ["event_type"], "1 day", "2 days"), "update")
+    last = V.latest(got.select(F.struct(F.col("window.start").cast("date").alias("day"), "event_type").alias("document_id"), F.col("batch").cast("bigint").alias("batch"), "n"), version="batch")
+    return last.select("document_id.day", "document_id.event_type", "n")
+
+
+# --- a page put together --------------------------------------------------------------------------------------
+
+
+@query("""SELECT c_custkey AS document_id, CAST(o AS INTEGER) AS ord, kind, CASE o WHEN 0 THEN 'Intro ' || c_name ELSE t END AS text, confidence, source AS text_source, CAST(CASE WHEN kind = 'table' THEN 0 END AS INTEGER) AS table_no, CAST(e AS INTEGER) AS extra_no
+    FROM customer, (VALUES (0, 'paragraph', '', 0.7::DOUBLE, 'text_layer', NULL), (1, 'table', 'cell', 0.6::DOUBLE, 'text_layer', NULL), (2, 'paragraph', 'Next to it', 0.7::DOUBLE, 'text_layer', NULL), (3, 'paragraph', 'read by OCR', 0.45::DOUBLE, 'ocr', 0), (4, 'figure', '', 0.7::DOUBLE, 'text_layer', 1), (5, 'caption', 'Figure 1', 0.7::DOUBLE, 'text_layer', 2), (6, 'paragraph', 'The end', 0.7::DOUBLE, 'text_layer', NULL)) v(o, kind, t, confidence, source, e)""")
+def merged_page(spark, sf_dir):
+    """Text, a table whose glyphs it owns, an OCR paragraph and a figure with its caption, in the page's order."""
+    from folioflow.operators import flow as FL
+
+    c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"), "c_name")
+    page = F.lit(1).alias("page")
+    pages = c.select("document_id", page, F.lit(600.0).alias("width_pt"), F.lit(800.0).alias("height_pt"), F.lit("digital").alias("text_layer"), F.lit("layer").alias("mode"))
+    line = lambda t, base: c.select("document_id", page, t.alias("s"), F.lit(float(base)).alias("baseline"))
+    text = line(F.concat(F.lit("Intro "), "c_name"), 70).unionByName(line(F.lit("cell"), 230)).unionByName(line(F.lit("Next to it"), 330)).unionByName(line(F.lit("The end"), 700))
+    g = text.select("document_id", "page", "baseline", F.posexplode(F.split("s", "")).alias("i", "text"))
+    g = g.select("document_id", "page", "text", (F.col("baseline").cast("bigint") * 100 + F.col("i")).alias("char_id"), (60 + F.col("i") * 6.0).alias("x0"), (66 + F.col("i") * 6.0).alias("x1"), (F.col("baseline") - 8).alias("y0"), (F.col("baseline") + 2).alias("y1"), "baseline", F.lit(10.0).alias("size"), F.lit(False).alias("bold"), F.lit(False).alias("invisible"), F.lit(0).alias("along"), F.lit(1).alias("down"))
+    box = lambda a, b: F.struct(*[F.lit(v).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), (0.1, a, 0.9, b))])
+    tables = c.select("document_id", page, F.lit(0).alias("table_no"), F.lit(0).alias("along"), F.lit(1).alias("down"), box(0.25, 0.35).alias("box"), F.lit("cell").alias("text"), F.lit(0.6).alias("confidence"))
+    extra = lambda no, rank, top, kind, t, sure, source: c.select("document_id", page, F.lit(no).alias("extra_no"), F.lit(rank).alias("rank"), F.lit(top).alias("top"), F.lit(kind).alias("kind"), F.lit(t).alias("text"), F.lit(sure).alias("confidence"), F.lit(source).alias("text_source"), box(top, top + 0.05).alias("box"))
+    extras = extra(0, 1, 0.5, "paragraph", "read by OCR", 0.45, "ocr").unionByName(extra(1, 2, 0.6, "figure", "", 0.7, "text_layer")).unionByName(extra(2, 2, 0.6, "caption", "Figure 1", 0.7, "text_layer"))
+    taken = g.where("baseline = 230").select("document_id", "page", "char_id")
+    return FL.page_blocks(g, pages, taken, tables, extras).select("document_id", "ord", "kind", "text", "confidence", "text_source", "table_no", "extra_no")
