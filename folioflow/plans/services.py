@@ -315,3 +315,46 @@ def merged_page(spark, sf_dir):
     extras = extra(0, 1, 0.5, "paragraph", "read by OCR", 0.45, "ocr").unionByName(extra(1, 2, 0.6, "figure", "", 0.7, "text_layer")).unionByName(extra(2, 2, 0.6, "caption", "Figure 1", 0.7, "text_layer"))
     taken = g.where("baseline = 230").select("document_id", "page", "char_id")
     return FL.page_blocks(g, pages, taken, tables, extras).select("document_id", "ord", "kind", "text", "confidence", "text_source", "table_no", "extra_no")
+
+
+_READ = "(VALUES (0, 'heading', 'Report', 0.6::DOUBLE), (1, 'paragraph', 'p', 0.7::DOUBLE), (2, 'table', 't', 0.6::DOUBLE), (3, 'figure', '', 0.7::DOUBLE), (4, 'caption', 'Figure 1', 0.7::DOUBLE), (5, 'table', 'b', 0.4::DOUBLE), (6, 'list_item', '- the end', 0.7::DOUBLE)) v(o, kind, t, confidence)"
+
+
+def _customer_pages(spark, sf_dir):
+    """A page a customer: a heading, two lines, a drawn table, a photo with a caption, a table without rules, a list item."""
+    c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"), "c_name", F.lit(1).alias("page"))
+    key = F.col("document_id").cast("string")
+    line = lambda t, x, base, size=10.0: c.select("document_id", "page", t.alias("s"), F.lit(float(x)).alias("x"), F.lit(float(base)).alias("baseline"), F.lit(size).alias("size"))
+    rows = [(F.lit("Report"), 60, 60, 20.0), (F.col("c_name"), 60, 100, 10.0), (F.lit("goes on here"), 60, 114, 10.0), (F.lit("Figure 1"), 70, 430, 10.0), (F.lit("- the end"), 60, 700, 10.0)]
+    rows += [(F.lit(f"r{i}") if j == 0 else F.concat(F.lit(f"v{i}{j}x"), key), 65 + j * 150, 162 + i * 20, 10.0) for i in range(3) for j in range(3)]
+    rows += [(F.lit(f"name{i}") if j == 0 else F.concat(F.lit(f"q{i}{j}y"), key), 60 + j * 180, 560 + i * 25, 10.0) for i in range(4) for j in range(3)]
+    text = line(*rows[0])
+    for r in rows[1:]:
+        text = text.unionByName(line(*r))
+    g = text.select("document_id", "page", "baseline", "size", "x", F.posexplode(F.split("s", "")).alias("i", "text")).withColumn("w", 0.6 * F.col("size"))
+    g = g.select("document_id", "page", "text", (F.col("baseline").cast("bigint") * 100_000 + F.col("x").cast("bigint") * 100 + F.col("i")).alias("char_id"), (F.col("x") + F.col("i") * F.col("w")).alias("x0"), (F.col("x") + (F.col("i") + 1) * F.col("w")).alias("x1"), (F.col("baseline") - 0.8 * F.col("size")).alias("y0"), (F.col("baseline") + 0.2 * F.col("size")).alias("y1"), "baseline", "size", F.lit(False).alias("bold"), F.lit(False).alias("invisible"), F.lit(False).alias("unmapped"), F.lit(0).alias("along"), F.lit(1).alias("down"))
+    rule = lambda axis, pos, a, b: F.struct(F.lit(axis).alias("axis"), F.lit(float(pos)).alias("pos"), F.lit(float(a)).alias("start"), F.lit(float(b)).alias("end"), F.lit(False).alias("fill"))
+    rules = c.select("document_id", "page", F.inline(F.array(*[rule("h", 150 + 20 * i, 50, 500) for i in range(4)], *[rule("v", 50 + 150 * i, 150, 210) for i in range(4)])))
+    pages = c.select("document_id", "page", F.lit(600.0).alias("width_pt"), F.lit(800.0).alias("height_pt"))
+    images = c.select("document_id", "page", *_sides(60, 260, 300, 415))
+    regions = c.select("document_id", "page", F.lit("figure_title").alias("cls"), F.lit(0.8).alias("score"), *_sides(60, 418, 300, 434))
+    return pages, g, rules, images, regions
+
+
+@query(f"""WITH t AS (SELECT c_custkey AS d, string_agg('r' || i || chr(9) || 'v' || i || '1x' || c_custkey || chr(9) || 'v' || i || '2x' || c_custkey, chr(10) ORDER BY i) AS t FROM customer, range(3) r(i) GROUP BY 1), b AS (SELECT c_custkey AS d, string_agg('name' || i || chr(9) || 'q' || i || '1y' || c_custkey || chr(9) || 'q' || i || '2y' || c_custkey, chr(10) ORDER BY i) AS b FROM customer, range(4) r(i) GROUP BY 1)
+    SELECT c_custkey AS document_id, CAST(o AS INTEGER) AS ord, kind, CASE v.t WHEN 'p' THEN c_name || chr(10) || 'goes on here' WHEN 't' THEN t.t WHEN 'b' THEN b.b ELSE v.t END AS text, confidence, CASE WHEN o = 0 THEN '' ELSE 'Report' END AS path FROM customer JOIN t ON t.d = c_custkey JOIN b ON b.d = c_custkey, {_READ}""")
+def read_pages(spark, sf_dir):
+    """Pages to blocks in one plan: text, both kinds of tables, a photo and its caption."""
+    from folioflow.operators import document as D
+
+    pages, g, rules, images, regions = _customer_pages(spark, sf_dir)
+    return D.read_pages(pages, g, rules, images, regions).blocks.select("document_id", "ord", "kind", "text", "confidence", F.array_join("section_path", " / ").alias("path"))
+
+
+@query("""SELECT c_custkey AS document_id, 1 AS page, n AS layer_chars, n AS in_blocks, 0::BIGINT AS doubled FROM (SELECT c_custkey, 6 + length(replace(c_name, ' ', '')) + 10 + 7 + 7 + 3 * 2 + 6 * (4 + length(CAST(c_custkey AS VARCHAR))) + 4 * 5 + 8 * (4 + length(CAST(c_custkey AS VARCHAR))) AS n FROM customer)""")
+def read_ledger(spark, sf_dir):
+    """Every glyph of the pages is in exactly one block."""
+    from folioflow.operators import document as D
+
+    pages, g, rules, images, regions = _customer_pages(spark, sf_dir)
+    return D.read_pages(pages, g, rules, images, regions).ledger

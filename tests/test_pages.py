@@ -351,3 +351,23 @@ def test_many_markdown_tables_stay_fast():
     text = "\n\n".join(f"paragraph {i}\n\n| a | b |\n| --- | --- |\n| {i} | x |" for i in range(3000))
     began = time.time()
     assert len(M.scan(text)) == 6000 and time.time() - began < 5
+
+
+def test_pages_read_by_ocr(spark):
+    """A scan (hidden layer), a broken layer and a sound page: OCR stands in where the layer does not serve."""
+    from folioflow.operators.document import read_pages
+
+    pages = spark.createDataFrame([("d", p, 600.0, 800.0) for p in (1, 2, 3)], "document_id string, page int, width_pt double, height_pt double")
+    rows = []
+    for page, text, invisible, unmapped in ((1, "hidden words", True, False), (2, "���� ����", False, True), (3, "plain text", False, False)):
+        rows += [("d", page, g["char_id"], g["text"], g["x0"], g["y0"], g["x1"], g["y1"], g["baseline"], 10.0, False, invisible, unmapped, 0, 1) for g in glyphs(text, 60, 100)]
+    chars = spark.createDataFrame(rows, "document_id string, page int, char_id bigint, text string, x0 double, y0 double, x1 double, y1 double, baseline double, size double, bold boolean, invisible boolean, unmapped boolean, along int, down int")
+    line = lambda page, n, text, score, y: ("d", page, n, text, score, 60.0, y, 200.0, y + 10)
+    lines = spark.createDataFrame([line(1, 0, "first line", 0.9, 90.0), line(1, 1, "second", 0.8, 103.0), line(1, 2, "x", 0.6, 200.0), line(1, 3, "apart", 0.9, 300.0), line(2, 0, "real words", 0.95, 92.0), line(3, 0, "not asked", 0.9, 92.0)], "document_id string, page int, line_id bigint, text string, score double, x0 double, y0 double, x1 double, y1 double")
+    out = read_pages(pages, chars, lines=lines)
+    got = [(r["page"], r["kind"], r["text"], r["confidence"], r["text_source"]) for r in out.blocks.orderBy("ord").collect()]
+    assert got == [(1, "paragraph", "first line\nsecond", 0.425, "ocr"), (1, "paragraph", "apart", 0.45, "ocr"), (2, "paragraph", "real words", 0.475, "ocr"), (3, "paragraph", "plain text", 0.7, "text_layer")]
+    assert {r["page"]: (r["text_layer"], r["mode"]) for r in out.pages.collect()} == {1: ("scanned", "scan"), 2: ("unreliable", "ocr"), 3: ("digital", "layer")}
+    plain = read_pages(pages, chars)
+    assert [(r["page"], r["confidence"]) for r in plain.blocks.orderBy("ord").collect()] == [(2, 0.2), (3, 0.7)]
+    assert {r["page"]: (r["layer_chars"], r["in_blocks"], r["doubled"]) for r in plain.ledger.collect()} == {1: (0, 0, 0), 2: (8, 8, 0), 3: (9, 9, 0)}
