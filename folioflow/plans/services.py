@@ -358,3 +358,18 @@ def read_ledger(spark, sf_dir):
 
     pages, g, rules, images, regions = _customer_pages(spark, sf_dir)
     return D.read_pages(pages, g, rules, images, regions).ledger
+
+
+@query("""SELECT CAST(conv_id * 1000 + turn AS VARCHAR) AS document_id, CAST(1 AS INTEGER) AS version, 'committed' AS status FROM conversations WHERE conv_id % 5 <> 3 UNION ALL SELECT CAST(conv_id * 1000 + turn AS VARCHAR), NULL, 'rejected' FROM conversations WHERE conv_id % 5 = 3""")
+def stream_ingest(spark, sf_dir):
+    """Turns of the conversations as a stream of files into a store, a fifth of them of no known format."""
+    from folioflow.engine import Engine
+    from folioflow.streaming import feed
+
+    root = f"{shared_path(spark)}/folio-stream-{uuid.uuid4().hex[:12]}"
+    turns = spark.readStream.schema(_t(spark, sf_dir, "conversations").schema).parquet(f"{sf_dir}/conversations.parquet*")
+    key = (F.col("conv_id") * 1000 + F.col("turn")).cast("string")
+    name = F.concat(key, F.when(F.col("conv_id") % 5 == 3, ".docx").otherwise(".md"))
+    files = turns.select(key.alias("document_id"), name.alias("name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    feed.ingest_stream(Engine(spark, f"{root}/store"), files, f"{root}/results", f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/results").select("document_id", "version", "status")
