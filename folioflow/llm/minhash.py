@@ -49,7 +49,7 @@ HEAVY = common.HEAVY
 #: Partners that share one copy of a text.
 FAN = 256
 #: Pairs of a vectorised estimate.
-PAIRS = 8192
+PAIRS = 2048
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
@@ -154,36 +154,68 @@ def shared_counts(values: np.ndarray, rows: np.ndarray, n: int, i: np.ndarray, j
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     shared = np.zeros((len(i), len(j)), np.float32)
-    step = 4096
+    step = 1024
     for lo in range(0, int(often.sum()), step):
         p, q = np.searchsorted(column, [lo, lo + step])
         one = np.zeros((n, min(step, int(often.sum()) - lo)), np.float32)
         one[row[p:q], column[p:q] - lo] = 1
-        shared += one[i] @ one[j].T
+        shared += one[i] @ (one if len(j) == n else one[j]).T
     return shared
 
 
+def links_between(link: np.ndarray, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links (a matrix over the rows a and the rows b) those that join two parts not joined yet; ``label`` names the parts and is kept up."""
+    x, y = [], []
+    for r in np.flatnonzero(link.any(1)):
+        to = b[link[r]]
+        parts, first = np.unique(label[to], return_index=True)
+        for part, k in zip(parts.tolist(), first.tolist()):
+            own = label[a[r]]
+            if part != own:
+                x.append(a[r])
+                y.append(to[k])
+                label[label == max(part, own)] = min(part, own)
+    return np.array(x, np.int64), np.array(y, np.int64)
+
+
 def forest(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, comp: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between the sets i and the sets j that join parts not joined yet; ``comp`` names the parts so far."""
     size = np.array([len(s) for s in sets], np.int64)
     shared = shared_counts(np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), size), len(sets), i, j)
-    link = (shared > 0) & (100 * shared >= percent * (size[i][:, None] + size[j][None, :] - shared)) & (comp[i][:, None] != comp[j][None, :])
-    x, y = (p[q] for p, q in zip((i, j), np.nonzero(link)))
-    keep = joining(comp[x], comp[y])
-    return x[keep], y[keep]
-
-
-def open_pairs(sketches: Sketches, comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of the rows i and j in different parts that may be links: (x, y, whether it is exact, shared values)."""
-    n, k, percent = sketches.n, sketches.k, sketches.percent
-    shared = shared_counts(sketches.values, sketches.rows, len(n), i, j)
-    na, nb = n[i][:, None], n[j][None, :]
-    exact = (na <= k) & (nb <= k)
-    room = np.where(exact, 100 * shared >= percent * (na + nb - shared), shared >= _least_shared(1 << 40, k, percent))
-    room &= (shared > 0) & (comp[i][:, None] != comp[j][None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-    x, y = (p[q] for p, q in zip((i, j), np.nonzero(room)))
-    ok, sure, got = sketches.may_link(x, y)
-    return x[ok], y[ok], sure[ok], got[ok]
+    link = (shared > 0) & (100 * shared >= percent * (size[i][:, None] + size[j][None, :] - shared))
+    return links_between(link, i, j, np.unique(comp, return_inverse=True)[1])
+
+
+class Open:
+    """Pairs of the rows i and j of a batch in different parts that may be links, as matrices: certain, likely and other ones."""
+
+    def __init__(self, sketches: Sketches, comp: np.ndarray, i: np.ndarray, j: np.ndarray):
+        n, k, percent = sketches.n, sketches.k, sketches.percent
+        shared = shared_counts(sketches.values, sketches.rows, len(n), i, j)
+        na, nb = n[i][:, None], n[j][None, :]
+        exact = (na <= k) & (nb <= k)
+        self.i, self.j, self.label = i, j, np.unique(comp, return_inverse=True)[1]
+        room = (shared > 0) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+        self.certain = room & exact & (100 * shared >= percent * (na + nb - shared))
+        self.forest = links_between(self.certain, i, j, self.label)
+        # what certain links have joined needs no estimate
+        room &= ~exact & (shared >= _least_shared(1 << 40, k, percent)) & (self.label[i][:, None] != self.label[j][None, :])
+        self.other, self.likely = np.zeros(room.shape, bool), np.zeros(room.shape, bool)
+        p, q = np.nonzero(room)
+        for lo in range(0, len(p), 1 << 16):
+            own = p[lo : lo + (1 << 16)], q[lo : lo + (1 << 16)]
+            ok, _, got = sketches.may_link(i[own[0]], j[own[1]])
+            self.other[own], self.likely[own] = ok, ok & (100 * got >= percent * k)
+
+    def trees(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(x, y, certain): a forest of certain links, then of likely pairs, then of the others."""
+        found = [self.forest, *(links_between(m, self.i, self.j, self.label) for m in (self.likely, self.other))]
+        sure = np.repeat([True, False, False], [len(x) for x, _ in found])
+        return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]), sure
+
+    def rows(self) -> np.ndarray:
+        """The rows that have a pair without certainty."""
+        return np.unique(np.concatenate([self.i[self.other.any(1)], self.j[self.other.any(0)]]))
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
@@ -387,23 +419,27 @@ class NearDuplicates:
         def named(labels):
             return members.join(labels.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
-        def ends(group: pa.Table, found):
-            i, own = group.column("i").to_numpy(), group.column("own").to_numpy()
-            node, comp, n = (group.column(c).to_numpy() for c in ("node", "comp", "n"))
-            sketches = Sketches(group.column("sketch").combine_chunks(), n, k, percent)
-            x, y, sure, shared = open_pairs(sketches, comp, np.flatnonzero(own == i), np.flatnonzero(own == group.column("j").to_numpy()))
-            return found(node, comp, x, y, sure, shared)
-
-        def trees(node, comp, x, y, sure, shared):
-            order = np.lexsort((-shared, ~sure))
-            keep = order[joining(comp[x[order]], comp[y[order]])]
-            return pa.Table.from_batches([_pair_batch(node, x[keep], y[keep], sure[keep])])
-
-        def still_open(node, comp, x, y, sure, shared):
-            return pa.table({"node": pa.array(node[np.unique(np.concatenate([x[~sure], y[~sure]]))], pa.int64())})
+        def opened(group: pa.Table) -> tuple[np.ndarray, Open]:
+            own, (node, comp, n) = group.column("own").to_numpy(), (group.column(c).to_numpy() for c in ("node", "comp", "n"))
+            i, j = (np.flatnonzero(own == group.column(c).to_numpy()) for c in ("i", "j"))
+            return node, Open(Sketches(group.column("sketch").combine_chunks(), n, k, percent), comp, i, j)
+
+        def trees(group: pa.Table) -> pa.Table:
+            node, pairs = opened(group)
+            out = _pair_batch(node, *pairs.trees())
+            del pairs
+            trim()
+            return pa.Table.from_batches([out])
+
+        def still_open(group: pa.Table) -> pa.Table:
+            node, pairs = opened(group)
+            out = pa.table({"node": pa.array(node[pairs.rows()], pa.int64())})
+            del pairs
+            trim()
+            return out
 
         columns = ["family", "i", "j", "own", "node", "comp", "n", "sketch"]
-        pairs = self._blocks(named(labels), SKETCHES).select(columns).groupBy("family", "i", "j").applyInArrow(lambda g: ends(g, trees), "a bigint, b bigint, sure boolean")
+        pairs = self._blocks(named(labels), SKETCHES).select(columns).groupBy("family", "i", "j").applyInArrow(trees, "a bigint, b bigint, sure boolean")
         pairs = materialize(pairs.distinct(), "trees")
         found = found.union(pairs.where("sure").select("a", "b"))
         unsure = pairs.where("NOT sure").select("a", "b")
@@ -411,7 +447,7 @@ class NearDuplicates:
             return components(found)
         found = found.union(self._verified(unsure))
         labels = components(found)
-        rows = self._blocks(named(labels), SKETCHES).select(columns).groupBy("family", "i", "j").applyInArrow(lambda g: ends(g, still_open), "node bigint")
+        rows = self._blocks(named(labels), SKETCHES).select(columns).groupBy("family", "i", "j").applyInArrow(still_open, "node bigint")
         last = materialize(rows.distinct(), "still")
         if last.isEmpty():
             return labels
@@ -444,6 +480,8 @@ class NearDuplicates:
             node, comp, own = (group.column(c).to_numpy() for c in ("node", "comp", "own"))
             sets = [s for batch in group.select(["text"]).combine_chunks().to_batches() for _, raw, at in slices(batch, "text") for s in shingle_sets(raw, at, width)]
             x, y = forest(sets, np.flatnonzero(own == group.column("i").to_numpy()), np.flatnonzero(own == group.column("j").to_numpy()), comp, percent)
+            del sets
+            trim()
             return pa.table({"a": pa.array(node[x], pa.int64()), "b": pa.array(node[y], pa.int64())})
 
         rows = self._blocks(members, BLOCK).select("family", "i", "j", "own", "node", "comp").join(texts, "node")
