@@ -40,7 +40,7 @@ from folioflow.llm.common import LOWER, batch_of, binaries, drop_materialized, m
 
 END, BLANK = 0x0A, 0x20
 #: Text bytes of a slice, distinct pairs that a task holds.
-STEP, HELD = 6 << 20, 2_000_000
+STEP, HELD = 6 << 20, 1_500_000
 #: Symbols of shared contexts, of the longest ones, most buckets, and input partitions that share a copy of a bucket's table.
 ROOT, DEEPEST, BUCKETS, PER_COPY = 2, 7, 4096, 20_000
 _END_WORD = np.uint64(0x5E5D00DE0D0E5EED)
@@ -69,6 +69,15 @@ def grams(stream: np.ndarray, order: int) -> np.ndarray:
 
     A text starts after an end symbol; nothing before it is seen (zero).
     """
+    n, step = len(stream), 1 << 19
+    key = np.empty(n, np.uint64)
+    for lo in range(0, n, step):  # a stretch at a time, each with the symbols before it
+        back = min(order, lo)
+        key[lo : lo + step] = _grams(stream[lo - back : lo + step], order)[back:]
+    return key
+
+
+def _grams(stream: np.ndarray, order: int) -> np.ndarray:
     n = len(stream)
     key = stream.astype(np.uint64)
     alive = np.ones(n, bool)
