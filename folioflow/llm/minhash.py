@@ -47,7 +47,7 @@ SKETCHES, BLOCK = 1024, 256
 #: See :data:`folioflow.llm.common.HEAVY`.
 HEAVY = common.HEAVY
 #: Partners that share one copy of a text.
-FAN = 256
+FAN = 64
 #: Pairs of a vectorised estimate.
 PAIRS = 2048
 
