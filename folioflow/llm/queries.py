@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import table
+from folioflow.llm.conversations import ORACLE_SQL as _conversation_sql
 from folioflow.llm.licenses import oracle_sql as _license_sql
+from folioflow.llm.lines import ORACLE_SQL as _line_sql
+from folioflow.llm.variants import oracle_sql as _variant_sql
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +78,27 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality(docs, train(docs, table(spark, sf_dir, "labels"), ~held_out()), F.col("source"), F.col("lang"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_lm_scores, op4_decontamination, op5_exact_dedup, op6_license_scan, op7_toxicity, op8_html_text, op9_packing, op10_site_quality)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.conversations import damaged, repair
+
+    return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.lines import keep_bitmaps, with_kept_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = with_kept_lines(docs, keep_bitmaps(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.variants import spelling_variants, word_counts
+
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_lm_scores, op4_decontamination, op5_exact_dedup, op6_license_scan, op7_toxicity, op8_html_text, op9_packing, op10_site_quality, op11_conversation_repair, op12_line_dedup, op13_spelling_variants)}
 
 ORACLE_SQL = {
     "op1_minhash_near_dedup": """
@@ -96,6 +119,9 @@ ORACLE_SQL = {
             s.doc_id = least(s.doc_id, coalesce(m, s.doc_id)) AS kept
         FROM s LEFT JOIN c ON c.a = s.doc_id""",
     "op6_license_scan": _license_sql(),
+    "op11_conversation_repair": _conversation_sql,
+    "op12_line_dedup": _line_sql,
+    "op13_spelling_variants": _variant_sql(),
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
