@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from folioflow.llm.common import materialize
+from folioflow.llm.common import materialize, workspace
 
 #: What is stripped at both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -25,6 +25,8 @@ LEAST = 10
 #: Most lines that are broadcast; counters of a sketch; groups in which sketches of tasks are merged first.
 HEAVY, TRACKED, MERGES = 1024, 8192, 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Letters other than A-Z that ``lower`` may change, unassigned ones included: its tables may be newer than those of patterns.
+OTHER_UPPER = r"[\P{ASCII}&&[\p{IsUppercase}\p{Lt}\p{Cn}]]"
 
 
 def lines_of(text: Column) -> Column:
@@ -32,9 +34,9 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def key_of(line: Column) -> Column:
-    """A line without blanks at its ends, A-Z as a-z."""
-    return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
+def lowered(text: Column) -> Column:
+    """A-Z as a-z, all else as it is: ``translate``, which is slow, only where ``lower`` would change more."""
+    return F.when((F.char_length(text) == F.octet_length(text)) | ~text.rlike(OTHER_UPPER), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def text_mark(text: Column) -> Column:
@@ -46,7 +48,8 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, least: int) -> Data
     """h, g (hashes of the key), doc_id, mark (of the text), at (from 0) of every line whose key counts."""
     text = F.col(text_col)
     lines = docs.select(F.col(id_col).alias("doc_id"), text_mark(text).alias("mark"), F.posexplode(lines_of(text)).alias("at", "line"))
-    keys = lines.select("doc_id", "mark", "at", key_of(F.col("line")).alias("key")).where(F.char_length("key") >= least)
+    lines = lines.select("doc_id", "mark", "at", F.btrim("line", F.lit(BLANKS)).alias("line")).where(F.char_length("line") >= least)
+    keys = lines.select("doc_id", "mark", "at", lowered(F.col("line")).alias("key"))
     return keys.select(F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), F.col("key")).alias("g"), "doc_id", "mark", "at")
 
 
@@ -56,6 +59,8 @@ def common_lines(hashes: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED)
     Sketches of the tasks are merged in ``MERGES`` groups before the last step.
     """
     parts = hashes.select("h", F.pmod(F.spark_partition_id(), F.lit(MERGES)).alias("part"))
+    # one more row: an empty table has a sketch too, and firsts are counted anew
+    parts = parts.union(hashes.sparkSession.range(1).select("id", F.lit(MERGES)))
     parts = parts.groupBy("part").agg(F.expr(f"approx_top_k_accumulate(h, {tracked})").alias("sketch"))
     top = parts.agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch")).select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {heavy})")).alias("t"))
     named = top.select(F.col("t.item").alias("h"))
@@ -88,11 +93,15 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     last.  Null and empty texts have one empty line, which never drops; other
     columns are ignored and an empty table gives an empty result.
     """
-    gone = dropped_lines(line_hashes(docs, id_col, text_col, least), heavy, tracked)
+    with workspace(docs.sparkSession):
+        hashes = materialize(line_hashes(docs, id_col, text_col, least), "line-hashes")
+        return materialize(_packed(dropped_lines(hashes, heavy, tracked)), "line-bitmaps", keep=True)
+
+
+def _packed(gone: DataFrame) -> DataFrame:
     word = gone.select("doc_id", "mark", F.floor(F.col("at") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, at % 64)").alias("bit"))
     words = word.groupBy("doc_id", "mark", "word").agg(F.bit_or("bit").alias("bits"))
-    own = words.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("words"), F.sum(F.bit_count("bits")).alias("n_dropped"))
-    return own
+    return words.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("words"), F.sum(F.bit_count("bits")).alias("n_dropped"))
 
 
 def unpacked(words: Column) -> Column:

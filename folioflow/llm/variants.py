@@ -13,14 +13,21 @@ bits are verified.  A word of length L over an alphabet of A has fewer than
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm import common as C
 from folioflow.llm.common import drop_materialized, materialize
 
-#: Runs of these are words: ASCII letters and U+00C0..00FF.
-RUN = "([A-Za-zÀ-ÿ]+)"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ASCII = np.zeros(256, bool)
+_ASCII[0x41:0x5B] = _ASCII[0x61:0x7B] = True
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, (_CRC >> 1) ^ np.uint32(0xEDB88320), _CRC >> 1)
 #: Code points and occurrences from which a word counts; how much commoner a form is; one run in so many is damaged.
 LENGTH, LEAST, RATIO, DAMAGE = 6, 5, 5, 199
 #: Bits of a mask.
@@ -29,20 +36,94 @@ BITS = 63
 BANDS = [sum(1 << b for b in range(k, BITS, 3)) for k in range(3)]
 
 
+def _runs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first byte and byte after of the maximal runs of letters; U+00C0..00FF are 0xC3 and the byte after it."""
+    inside = _ASCII[raw] | (raw == 0xC3)
+    inside[1:] |= raw[:-1] == 0xC3
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[at] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:-1]
+    last[:-1] &= ~inside[1:] | edge[1:-1]
+    a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.searchsorted(at, a, "right") - 1, a, b
+
+
+def _crc32(state: np.ndarray, raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """crc32 of bytes a..b each, going on from the crc32 ``state`` of what comes before."""
+    out = state.astype(np.uint32)
+    size = b - a
+    for i in np.flatnonzero(size > 64):
+        out[i] = zlib.crc32(raw[a[i] : b[i]].tobytes(), int(out[i]))
+    short = np.flatnonzero(size <= 64)
+    short = short[np.argsort(-size[short], kind="stable")]
+    live, start, left = ~out[short], a[short], size[short]
+    for k in range(int(left[0]) if len(left) else 0):
+        n = int(np.searchsorted(-left, -k, "left"))  # those longer than k come first
+        live[:n] = _CRC[(live[:n] ^ raw[start[:n] + k]) & 0xFF] ^ (live[:n] >> 8)
+    out[short] = ~live
+    return out
+
+
+def _strings(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
+    """The byte ranges as strings."""
+    ends = np.concatenate([[0], np.cumsum(b - a)])
+    data = raw[np.arange(ends[-1]) + np.repeat(a - ends[:-1], b - a)]
+    return pa.LargeStringArray.from_buffers(len(a), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def _counted(ids: list, raw: np.ndarray, at: np.ndarray, length: int, damage: int | None) -> pa.RecordBatch:
+    """word, n of a slice of texts."""
+    row, a, b = _runs(raw, at)
+    raw = C.LOWER[raw]
+    more = np.concatenate([[0], np.cumsum(raw == 0xC3)])
+    long = (b - a) - (more[b] - more[a]) >= length
+    row, a, b = row[long], a[long], b[long]
+    up, down = C.powers(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(C.BYTE_CODE[raw] * up[: len(raw)], out=total[1:])
+    h = C.mix((total[b] - total[a]) * down[a])
+    words, counts = [], []
+    whole = np.ones(len(h), bool)
+    if damage is not None:
+        # a run and a document once: all of its occurrences there share one crc
+        _, one, back = np.unique(h ^ C.mix(row.astype(np.uint64)), return_index=True, return_inverse=True)
+        state = np.array([zlib.crc32(f"{'' if i is None else i}:".encode()) for i in ids], np.uint32)
+        crc = _crc32(state[row[one]], raw, a[one], b[one])
+        hit = crc % damage == 0
+        whole = ~hit[back]
+        times = np.bincount(back, minlength=len(one))
+        for i in np.flatnonzero(hit):
+            word = raw[a[one[i]] : b[one[i]]].tobytes().decode()
+            cut = int(crc[i]) % len(word)
+            words.append(word[:cut] + word[cut + 1 :])
+            counts.append(int(times[i]))
+    _, one, n = np.unique(h[whole], return_index=True, return_counts=True)
+    one = np.flatnonzero(whole)[one]
+    texts = pa.concat_arrays([_strings(raw, a[one], b[one]), pa.array(words, pa.large_string())]).cast(pa.string())
+    return pa.RecordBatch.from_arrays([texts, pa.array(np.concatenate([n, np.array(counts, np.int64)]), pa.int64())], ["word", "n"])
+
+
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, least: int = LEAST, damage: int | None = DAMAGE) -> DataFrame:
     """word, n: maximal runs of letters, A-Z lowered, of at least ``length`` code points seen at least ``least`` times.
 
     Where ``damage`` divides the crc32 h of ``<doc_id>:<run>``, the run loses
-    its code point h % length first (a null id reads as nothing).
+    its code point h % length first (a null id reads as nothing).  Null and
+    empty texts have no runs; a text counts whole, however long; repeated rows
+    count each; other columns are ignored.  Runs are counted a slice of texts
+    at a time before the shuffle, so common words travel as sums.
     """
-    runs = docs.select(F.col(id_col).cast("string").alias("d"), F.explode(F.regexp_extract_all(text_col, F.lit(RUN), F.lit(1))).alias("w"))
-    runs = runs.where(F.char_length("w") >= length).select("d", F.translate("w", UPPER, LOWER).alias("w"))
-    if damage is not None:
-        runs = runs.withColumn("h", F.crc32(F.concat(F.coalesce("d", F.lit("")), F.lit(":"), F.col("w"))))
-        at = F.pmod("h", F.char_length("w")).cast("int")
-        cut = F.concat(F.substring("w", F.lit(1), at), F.substring("w", at + 2, F.char_length("w")))
-        runs = runs.select(F.when(F.col("h") % damage == 0, cut).otherwise(F.col("w")).alias("w")).where(F.char_length("w") >= length)
-    return runs.groupBy(F.col("w").alias("word")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+    def run(batches):
+        for batch in batches:
+            for rows, raw, at in C.slices(batch, "text"):
+                made = _counted(rows.column("doc_id").to_pylist(), raw, at, length, damage)
+                if len(made):
+                    yield made
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    found = rows.mapInArrow(run, "word string, n bigint").where(F.char_length("word") >= length)
+    return found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def parity_mask(word: Column) -> Column:
@@ -119,9 +200,10 @@ def oracle_sql() -> str:
     """The same result in DuckDB's SQL; near words meet in what is left of them without one code point."""
     from folioflow.llm.conversations import crc32_of, crc32_sql
 
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
     WITH RECURSIVE {crc32_sql()},
-    r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), '{UPPER}', '{LOWER}') AS w FROM documents),
+    r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{upper}', '{lower}') AS w FROM documents),
     u AS (SELECT doc_id, w, count(*) AS n FROM r WHERE length(w) >= {LENGTH} GROUP BY doc_id, w),
     h AS (SELECT w, n, {crc32_of("(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)")} AS h FROM u, crc_table),
     g AS (SELECT CASE WHEN h % {DAMAGE} = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
