@@ -14,12 +14,17 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from folioflow import schemas as S
-from folioflow.errors import VlmUnavailable
+from folioflow.errors import InvalidBatch, VlmUnavailable
 from folioflow.functions import text as X
+from folioflow.functions.text import normalized
 from folioflow.operators import blocks as B
+from folioflow.operators import document as D
+from folioflow.operators import integrity as I
 from folioflow.operators import markdown as M
+from folioflow.operators import records as PG
 from folioflow.operators import tables as T
 from folioflow.operators import versions as V
 from folioflow.operators import view as VW
@@ -55,17 +60,22 @@ def markdown_specs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def identified(specs: DataFrame) -> DataFrame:
-    """Specs with content_hash and block_id; tables hash by their cells' normal texts."""
+    """Specs of versions with content_hash and block_id; tables hash by their cells' normal texts."""
     df = specs.withColumn("_normal", _normal_cells(F.transform("table.cells", lambda c: c["text"])))
     cells = F.transform(F.arrays_zip(F.col("table.cells").alias("c"), F.col("_normal").alias("t")), lambda z: z["c"].withField("text", z["t"]))
     shape = F.when(F.col("table").isNotNull(), X.table_json(F.col("table.n_rows"), F.col("table.n_cols"), cells))
-    return B.with_ids(df, F.col("level"), shape, F.col("figure.asset")).drop("_normal", "occ")
+    return B.with_ids(df, F.col("level"), shape, F.col("figure.asset"), keys=("document_id", "version")).drop("_normal", "occ")
 
 
 #: What two blocks of one id may differ in (their id fixes the content).
 COMPARED = ["ord", "kind", "text", "table", "figure", "level", "section_path", "locator", "confidence", "state", "text_source", "region_id"]
 
 
+def _done(files: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return files.select("document_id", "name", "version", F.when(F.col("fresh"), "committed").otherwise("unchanged").alias("status"), none.alias("error_code"), none.alias("message"))
+
+
 class Engine:
     """A store with parsers: ``parsers`` maps a parser's name to a function of decoded texts giving (specs, rejects)."""
 
@@ -76,48 +86,112 @@ class Engine:
     # --- write ---------------------------------------------------------------
 
     def ingest(self, files: DataFrame, force: bool = False) -> DataFrame:
-        """files (name, content and, if wanted, document_id) to rows of ``RESULT``: committed, unchanged or rejected.
+        """files (name, content and, if wanted, document_id and arrival) to rows of ``RESULT``: committed, unchanged or rejected.
 
-        A file whose bytes are those of its stored latest version is unchanged
-        unless ``force``.  A conflict with another writer is tried again once.
+        The files of one document follow each other by ``arrival``, else by
+        name, and then by hash: a file with the bytes of the one before it
+        (the first: of the stored latest version) is unchanged unless
+        ``force``; any other makes the next version.  Rejected files take no
+        part.  A conflict with another writer is tried again once.
         """
         given = F.col("document_id") if "document_id" in files.columns else F.lit(None).cast("string")
-        rows = with_identity(files.select("name", "content", given.alias("_given"))).withColumn("document_id", F.coalesce("_given", "document_id")).drop("_given")
-        rows = checkpointed(dispatch(rows))
+        arrival = F.col("arrival") if "arrival" in files.columns else F.lit(None).cast("bigint")
+        rows = with_identity(files.select("name", "content", given.alias("_given"), arrival.alias("_arrival"))).withColumn("document_id", F.coalesce("_given", "document_id")).drop("_given")
+        rows = dispatch(rows).withColumn("_row", F.monotonically_increasing_id())
+        rows = checkpointed(rows.withColumn("arrival", F.struct("_arrival", "name", "source_hash", "_row")).drop("_arrival"))
         return retried(lambda: self._attempt(rows, force))
 
     def _attempt(self, rows: DataFrame, force: bool) -> DataFrame:
-        latest = checkpointed(V.latest(self.store.read("versions", S.VERSIONS)))
         known = [p for p in self.parsers if p in SUFFIXES.values()]
-        supported = rows.where(F.col("parser").isin(known))
+        one = F.col("parser").isin(known)
         reject = lambda df: df.select("document_id", "name", F.lit(None).cast("int").alias("version"), F.lit("rejected").alias("status"), "error_code", "message")
-        out = reject(rows.where(~F.coalesce(F.col("parser").isin(known), F.lit(False))).withColumn("error_code", F.lit("UnsupportedFormat")).withColumn("message", F.lit("no parser for this suffix")))
-        stored = latest.select("document_id", F.col("version").alias("latest"), F.col("source.content_hash").alias("stored_hash"))
-        work = supported.join(stored, "document_id", "left")
-        same = F.coalesce(F.col("stored_hash") == F.col("source_hash"), F.lit(False)) if not force else F.lit(False)
-        out = out.unionByName(work.where(same).select("document_id", "name", F.col("latest").alias("version"), F.lit("unchanged").alias("status"), F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("message")))
-        texts, bad = decoded(work.where(~same))
-        out = out.unionByName(reject(bad))
+        out = reject(rows.where(~F.coalesce(one, F.lit(False))).withColumns({"error_code": F.lit("UnsupportedFormat"), "message": F.lit("no parser for this suffix")}))
+        slim = rows.where(one).select("document_id", "name", "source_hash", "parser", "arrival")
+        heads = checkpointed(self.store.heads(S.VERSIONS, slim.select("document_id")))
+        stored = heads.select("document_id", F.col("version").alias("latest"), F.col("source.content_hash").alias("stored_hash"))
+        slim = checkpointed(slim.join(stored, "document_id", "left"))
+        # contents that may become a version are parsed once a document, under a key of their own
+        unit = F.concat_ws("\x1f", "document_id", "source_hash", "parser")
+        w = W.partitionBy("document_id").orderBy("arrival")
+        same = F.coalesce(F.when(F.lag("parser").over(w).isNull(), F.col("stored_hash")).otherwise(F.lag(F.concat("source_hash", "parser")).over(w)), F.lit(""))
+        moved = F.lit(True) if force else ~same.isin("source_hash") & (same != F.concat("source_hash", "parser"))
+        wanted = slim.withColumn("_moved", moved).where("_moved").groupBy(unit.alias("_unit")).agg(F.min("arrival._row").alias("_row"))
+        contents = rows.select("_row", "name", "content", "parser").join(wanted, "_row").select(F.col("_unit").alias("document_id"), "name", "content", "parser")
+        texts, bad = decoded(contents)
+        texts = checkpointed(texts.drop("content"))
         specs = None
         for parser in known:
-            own, bad = self.parsers[parser](texts.where(F.col("parser") == parser))
-            specs, out = own if specs is None else specs.unionByName(own), out.unionByName(reject(bad))
-        out = checkpointed(out)
-        good = checkpointed(texts.join(out.select("document_id"), "document_id", "left_anti").select("document_id", "name", "parser", "source_hash", "latest"))
-        if good.isEmpty():
-            return out
-        version = (F.coalesce("latest", F.lit(0)) + 1).cast("int")
-        mime = F.create_map(*[F.lit(x) for pair in MIMES.items() for x in pair])
-        versions = good.select("document_id", version.alias("version"), F.lit("det").alias("layer_state"), F.struct("name", mime[F.col("parser")].alias("mime"), F.col("source_hash").alias("content_hash"), F.lit(None).cast("int").alias("page_count")).alias("source"))
-        blocks = checkpointed(identified(specs).join(versions.select("document_id", "version"), "document_id"))
-        old = self.store.read("blocks", S.BLOCKS).join(good.select("document_id", F.col("latest").alias("version")), ["document_id", "version"], "left_semi")
-        sets = V.change_sets(V.block_diff(old, blocks, COMPARED))
+            own, more = self.parsers[parser](texts.where(F.col("parser") == parser))
+            specs, bad = own if specs is None else specs.unionByName(own), bad.unionByName(more)
+        bad = checkpointed(bad.groupBy(F.col("document_id").alias("_unit")).agg(F.min("error_code").alias("error_code"), F.min("message").alias("message")))
+        judged = slim.withColumn("_unit", unit).join(bad, "_unit", "left")
+        out = out.unionByName(reject(judged.where("error_code IS NOT NULL")))
+        done = checkpointed(V.arrivals(judged.where("error_code IS NULL"), force))
+        out = checkpointed(out.unionByName(_done(done)))
+        new = done.where("fresh")
+        if not new.isEmpty():
+            mime = F.create_map(*[F.lit(x) for pair in MIMES.items() for x in pair])
+            versions = new.select("document_id", "version", F.lit("det").alias("layer_state"), F.struct("name", mime[F.col("parser")].alias("mime"), F.col("source_hash").alias("content_hash"), F.lit(None).cast("int").alias("page_count")).alias("source"))
+            own = specs.withColumnRenamed("document_id", "_unit").join(new.select("_unit", "document_id", "version"), "_unit").drop("_unit")
+            self._publish(versions, own, heads)
+        return out.select(*RESULT)
+
+    def ingest_pages(self, sources: DataFrame, pages: DataFrame, chars: DataFrame, rules: DataFrame | None = None, images: DataFrame | None = None, regions: DataFrame | None = None, lines: DataFrame | None = None, crops: DataFrame | None = None, force: bool = False) -> DataFrame:
+        """Documents of pages to rows of ``RESULT``: versions with pages, blocks, regions (what became no block and why) and assets.
+
+        sources: document_id, name, source_hash (of the file's bytes), one row
+        a document; the tables are those of :func:`read_pages`, by document_id
+        and page.  crops: document_id, page, item_no, mime, bytes, width_px,
+        height_px, dpi: images of figures under the numbers of the page plan;
+        figures without one stay, and are noted as regions.  A document whose
+        source has the hash of its stored latest version is unchanged.
+        """
+        rows = checkpointed(sources.select("document_id", normalized(F.col("name"), "NFC").alias("name"), "source_hash").withColumn("arrival", F.struct("name", "source_hash")))
+        tables = {"pages": pages, "chars": chars, "rules": rules, "images": images, "regions": regions, "lines": lines}
+        return retried(lambda: self._attempt_pages(rows, tables, crops, force))
+
+    def _attempt_pages(self, rows: DataFrame, tables: dict, crops: DataFrame | None, force: bool) -> DataFrame:
+        heads = checkpointed(self.store.heads(S.VERSIONS, rows.select("document_id")))
+        stored = heads.select("document_id", F.col("version").alias("latest"), F.col("source.content_hash").alias("stored_hash"))
+        done = checkpointed(V.arrivals(rows.join(stored, "document_id", "left"), force))
+        new = done.where("fresh")
+        if not new.isEmpty():
+            own = {k: None if t is None else t.join(new.select("document_id"), "document_id", "left_semi") for k, t in tables.items()}
+            made = PG.page_batch(D.read_pages(**own), own["chars"], crops)
+            number = made.pages.groupBy("document_id").agg(F.count("*").cast("int").alias("page_count"))
+            versions = new.join(number, "document_id", "left").select("document_id", "version", F.lit("det").alias("layer_state"), F.struct("name", F.lit(MIMES["pdf"]).alias("mime"), F.col("source_hash").alias("content_hash"), F.coalesce("page_count", F.lit(0)).alias("page_count")).alias("source"))
+            at = lambda df: df.join(new.select("document_id", "version"), "document_id")
+            self._publish(versions, at(made.specs), heads, pages=at(made.pages), regions=at(made.regions), assets=made.assets)
+        return _done(done)
+
+    def _publish(self, versions: DataFrame, specs: DataFrame, heads: DataFrame, pages: DataFrame | None = None, regions: DataFrame | None = None, assets: DataFrame | None = None) -> None:
+        """Versions with their blocks and what else belongs to them as one batch, once nothing speaks against it."""
+        named = lambda df, table: df.select(*[F.col(f.name).cast(f.dataType) for f in S.struct_type(table)])
+        versions = checkpointed(versions)
+        blocks = checkpointed(named(PG.captioned(identified(specs)), "blocks"))
+        frames = {"versions": versions, "blocks": blocks}
+        frames |= {k: checkpointed(named(df, k)) for k, df in (("pages", pages), ("regions", regions)) if df is not None}
+        last = heads.join(versions.select("document_id"), "document_id", "left_semi").select("document_id", "version")
+        old = self.store.read("blocks", S.BLOCKS).join(last, ["document_id", "version"], "left_semi")
+        keys = ("document_id", "version")
+        old, new = V.successive(old, blocks, versions)
+        sets = V.change_sets(V.block_diff(old, new, COMPARED, keys), keys)
         none = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
-        changes = good.join(sets, "document_id", "left").select("document_id", version.alias("version"), F.col("latest").alias("previous_version"), none("added"), none("updated"), none("removed"), F.array().cast("array<struct<old_id: string, new_id: string, kind: string>>").alias("lineage"))
-        columns = [c.name for c in S.struct_type("blocks")]
-        self.store.commit({"versions": versions, "blocks": blocks.select(*columns)}, changes, S.CHANGES)
-        done = good.select("document_id", "name", version.alias("version"), F.lit("committed").alias("status"), F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("message"))
-        return out.unionByName(done).select(*RESULT)
+        moves = V.lineage(old, new, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("old_id", "new_id", "kind"))).alias("lineage"))
+        changes = versions.select(*keys, F.when(F.col("version") > 1, F.col("version") - 1).cast("int").alias("previous_version")).join(sets, [*keys], "left").join(moves, [*keys], "left")
+        changes = changes.select(*keys, "previous_version", none("added"), none("updated"), none("removed"), F.coalesce("lineage", F.array().cast("array<struct<old_id: string, new_id: string, kind: string>>")).alias("lineage"))
+        stored = self.store.read("assets", S.ASSETS).select("asset", F.octet_length("bytes").alias("size"))
+        checked = dict(frames)
+        if assets is not None:
+            assets = checkpointed(assets)
+            checked["assets"] = assets
+            frames["assets"] = named(V.new_assets(assets, stored), "assets")
+
+        def check() -> None:
+            if (found := I.batch_problems(checked, changes, last, stored).first()) is not None:
+                raise InvalidBatch(f"{found['document_id']}: {found['problem']}")
+
+        self.store.commit(frames, changes, S.CHANGES, check)
 
     # --- read ----------------------------------------------------------------
 

@@ -17,16 +17,16 @@ def line_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return lines.select("document_id", "ord", F.lit("paragraph").alias("kind"), F.col("z.raw").alias("text"), (F.col("ord") + 1).alias("line_start"), (F.col("ord") + 1).alias("line_end"), F.col("z.norm").alias("_norm"))
 
 
-def with_ids(specs: DataFrame, level: Column | None = None, table_json: Column | None = None, asset: Column | None = None, nfkc: bool = True) -> DataFrame:
+def with_ids(specs: DataFrame, level: Column | None = None, table_json: Column | None = None, asset: Column | None = None, nfkc: bool = True, keys: tuple = ("document_id",)) -> DataFrame:
     """Specs (document_id, ord, kind, text) with content_hash, occ and block_id.
 
     A ``_norm`` column is the normal text, where there is one.  An occurrence
-    counts the earlier blocks of the document with the same hash; one shuffle
+    counts the earlier blocks of the document (or of other ``keys``) with the same hash; one shuffle
     by document and hash, sorted within.
     """
     norm = F.col("_norm") if "_norm" in specs.columns else X.normal_text(F.col("text")) if nfkc else X.collapse(F.col("text"))
     df = specs.withColumn("content_hash", X.content_hash(F.col("kind"), norm, level, table_json, asset))
-    w = W.partitionBy("document_id", "content_hash").orderBy("ord")
+    w = W.partitionBy(*keys, "content_hash").orderBy("ord")
     df = df.withColumn("occ", F.row_number().over(w) - 1)
     return df.withColumn("block_id", X.block_id(F.col("document_id"), F.col("content_hash"), F.col("occ"))).drop("_norm")
 

@@ -39,18 +39,22 @@ def commit_problems(versions: DataFrame, changes: DataFrame, history: DataFrame,
     """document_id, problem: what keeps a batch of new versions from being committed.
 
     versions, changes (with previous_version) and history name the same
-    (document_id, version), one after the stored latest (current); assets
-    given (document_id, asset, bytes) are referenced by their document and
-    hash to their key; referenced ones are given or stored (asset, size), and
-    add up to at most ``most`` bytes a document.
+    (document_id, version); a document's new versions follow its stored latest
+    (current) without a gap or a repeat.  Assets given (document_id, asset,
+    bytes) are referenced by their document and hash to their key; referenced
+    ones are given or stored (asset, size), and add up to at most ``most``
+    bytes a document.
     """
-    new = versions.select("document_id", "version").join(current.select("document_id", F.col("version").alias("latest")), "document_id", "left")
-    conflict = new.where("version <> coalesce(latest, 0) + 1").select("document_id", F.lit("version").alias("problem"))
-    pair = lambda df, name, *more: df.select("document_id", F.col("version").alias("_v"), F.lit(True).alias("_there"), *more)
-    own = new.join(pair(changes, "change", "previous_version"), "document_id", "left")
+    w = W.partitionBy("document_id").orderBy("version")
+    nth = lambda df, *more: df.select("document_id", "version", F.row_number().over(w).alias("_n"), *more)
+    new = nth(versions).join(current.select("document_id", F.col("version").alias("latest")), "document_id", "left")
+    new = new.withColumn("before", F.coalesce(F.lag("version").over(w), F.col("latest")))
+    conflict = new.where("version <> coalesce(before, 0) + 1").select("document_id", F.lit("version").alias("problem"))
+    pair = lambda df, *more: nth(df, *more).withColumnRenamed("version", "_v").withColumn("_there", F.lit(True))
+    own = new.join(pair(changes, "previous_version"), ["document_id", "_n"], "left")
     change = own.where("_there IS NULL OR _v <> version").select("document_id", F.lit("change").alias("problem"))
-    previous = own.where("_there AND NOT (previous_version <=> latest)").select("document_id", F.lit("previous").alias("problem"))
-    past = new.join(pair(history, "history"), "document_id", "left").where("_there IS NULL OR _v <> version").select("document_id", F.lit("history").alias("problem"))
+    previous = own.where("_there AND NOT (previous_version <=> before)").select("document_id", F.lit("previous").alias("problem"))
+    past = new.join(pair(history), ["document_id", "_n"], "left").where("_there IS NULL OR _v <> version").select("document_id", F.lit("history").alias("problem"))
     extra = given.join(referenced, ["document_id", "asset"], "left_anti").select("document_id", F.lit("unreferenced asset").alias("problem"))
     wrong = given.where(F.col("asset") != F.concat(F.lit("sha256:"), F.sha2("bytes", 256))).select("document_id", F.lit("asset hash").alias("problem"))
     sizes = referenced.select("document_id", "asset").distinct().join(given.groupBy("document_id", "asset").agg(F.max(F.octet_length("bytes")).alias("_new")), ["document_id", "asset"], "left").join(stored.select("asset", F.col("size").alias("_old")), "asset", "left")
@@ -63,6 +67,34 @@ def commit_problems(versions: DataFrame, changes: DataFrame, history: DataFrame,
     return out.distinct()
 
 
+def batch_problems(frames: dict[str, DataFrame], changes: DataFrame, current: DataFrame, stored: DataFrame) -> DataFrame:
+    """document_id, problem: everything that keeps a batch of a store's tables from being published.
+
+    frames: versions, blocks and, if any, pages, regions and assets; current
+    (document_id, version) and stored assets (asset, size) are what the store
+    holds.  Rows of versions that the batch does not name are problems too.
+    """
+    versions, blocks = frames["versions"], frames["blocks"]
+    key = ["document_id", "version"]
+    assets = frames.get("assets")
+    figures = blocks.where("figure.asset IS NOT NULL").select("document_id", F.col("figure.asset").alias("asset"))
+    given = figures.limit(0).withColumn("bytes", F.lit(None).cast("binary")) if assets is None else assets.select("document_id", "asset", "bytes")
+    out = commit_problems(versions, changes, versions, current, figures, given, stored)
+    flat = blocks.select(*key, "ord", "kind", F.col("table").isNotNull().alias("has_table"), "level", "state", "text_source")
+    out = out.union(block_problems(flat, versions).select("document_id", "problem"))
+    out = out.union(caption_problems(blocks.withColumn("caption_block_id", F.col("figure.caption_block_id"))).select("document_id", "problem"))
+    twice = blocks.groupBy(*key, "block_id").count().where("count > 1").select("document_id", F.lit("block id").alias("problem"))
+    out = out.union(twice)
+    if "pages" in frames:
+        p = frames["pages"].select("document_id", "page", "width_pt", "height_pt", "rotation", "text_layer", "coverage.*")
+        out = out.union(page_problems(p).select("document_id", "problem"))
+    for name in ("blocks", "pages", "regions"):
+        if name in frames:
+            stray = frames[name].join(versions.select(*key), key, "left_anti").select("document_id", F.lit(f"{name} of no version").alias("problem"))
+            out = out.union(stray)
+    return out.distinct()
+
+
 def caption_problems(blocks: DataFrame) -> DataFrame:
     """Figures whose caption is no caption block of the tree, and captions with two figures."""
     key = ["document_id", "version"]

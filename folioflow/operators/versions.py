@@ -36,25 +36,54 @@ def tree(blocks: DataFrame, versions: DataFrame, document_id, version: int | Non
     return blocks.where((F.col("document_id") == document_id) & (F.col("version") == (version or known["top"]))).orderBy("ord")
 
 
-def block_diff(old: DataFrame, new: DataFrame, fields: list[str]) -> DataFrame:
-    """document_id, block_id, change, ord: added, updated (a field differs) and removed blocks by one full outer join."""
-    pack = lambda df, name: df.select("document_id", "block_id", F.struct(*fields).alias(name), F.col("ord").alias(f"{name}_ord"))
-    j = pack(old, "o").join(pack(new, "n"), ["document_id", "block_id"], "full_outer")
+def block_diff(old: DataFrame, new: DataFrame, fields: list[str], keys: tuple = ("document_id",)) -> DataFrame:
+    """keys, block_id, change, ord: added, updated (a field differs) and removed blocks by one full outer join.
+
+    Blocks with equal ``keys`` are compared; add ``version`` to compare several pairs of one document at once.
+    """
+    pack = lambda df, name: df.select(*keys, "block_id", F.struct(*fields).alias(name), F.col("ord").alias(f"{name}_ord"))
+    j = pack(old, "o").join(pack(new, "n"), [*keys, "block_id"], "full_outer")
     change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(~F.col("o").eqNullSafe(F.col("n")), "updated")
-    return j.select("document_id", "block_id", change.alias("change"), F.coalesce("n_ord", "o_ord").alias("ord")).where("change IS NOT NULL")
+    return j.select(*keys, "block_id", change.alias("change"), F.coalesce("n_ord", "o_ord").alias("ord")).where("change IS NOT NULL")
 
 
-def change_sets(diff: DataFrame) -> DataFrame:
-    """Per document the ids added and updated (new order) and removed (old order)."""
+def change_sets(diff: DataFrame, keys: tuple = ("document_id",)) -> DataFrame:
+    """Per document (or other keys) the ids added and updated (new order) and removed (old order)."""
     pick = lambda name: F.transform(F.array_sort(F.collect_list(F.when(F.col("change") == name, F.struct("ord", "block_id")))), lambda s: s["block_id"]).alias(name)
-    return diff.groupBy("document_id").agg(*[pick(n) for n in ("added", "updated", "removed")])
+    return diff.groupBy(*keys).agg(*[pick(n) for n in ("added", "updated", "removed")])
+
+
+def successive(stored: DataFrame, new: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(old, new) rows that meet under (document_id, version): what each of the new ``versions`` is compared with.
+
+    ``stored`` holds the rows of the latest stored versions, ``new`` those of
+    the new ones, of which a document may have several in a row.
+    """
+    before = stored.unionByName(new, allowMissingColumns=True).withColumn("version", (F.col("version") + 1).cast("int"))
+    return before.join(versions.select("document_id", "version"), ["document_id", "version"], "left_semi"), new
+
+
+def arrivals(files: DataFrame, force: bool = False) -> DataFrame:
+    """``files`` (document_id, arrival, source_hash, latest, stored_hash) with ``version`` and ``fresh``.
+
+    The files of a document follow each other by ``arrival`` from its stored
+    latest version on: one with the bytes of the one before is that version
+    again, any other the next one.  Versions are a running count of the
+    changes, so nothing loops over a document's files.
+    """
+    w = W.partitionBy("document_id").orderBy("arrival")
+    before = F.coalesce(F.lag("source_hash").over(w), F.col("stored_hash"))
+    fresh = F.lit(True) if force else ~before.eqNullSafe(F.col("source_hash"))
+    df = files.withColumn("fresh", fresh)
+    run = F.sum(F.col("fresh").cast("int")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return df.withColumn("version", (F.coalesce("latest", F.lit(0)) + run).cast("int"))
 
 
-def lineage(old: DataFrame, new: DataFrame) -> DataFrame:
+def lineage(old: DataFrame, new: DataFrame, keys: tuple = ("document_id",)) -> DataFrame:
     """Blocks of one region under another id: replaced."""
-    a = old.where("region_id IS NOT NULL").select("document_id", "region_id", F.col("block_id").alias("old_id"))
-    b = new.where("region_id IS NOT NULL").select("document_id", "region_id", F.col("block_id").alias("new_id"))
-    return a.join(b, ["document_id", "region_id"]).where("old_id <> new_id").select("document_id", "old_id", "new_id", F.lit("replaced").alias("kind")).distinct()
+    a = old.where("region_id IS NOT NULL").select(*keys, "region_id", F.col("block_id").alias("old_id"))
+    b = new.where("region_id IS NOT NULL").select(*keys, "region_id", F.col("block_id").alias("new_id"))
+    return a.join(b, [*keys, "region_id"]).where("old_id <> new_id").select(*keys, "old_id", "new_id", F.lit("replaced").alias("kind")).distinct()
 
 
 def page_of_changes(log: DataFrame, cursor: int | None, limit: int = 100) -> tuple[DataFrame, dict]:
