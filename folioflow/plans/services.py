@@ -170,11 +170,25 @@ def commit_violations(spark, sf_dir):
     return I.commit_problems(o, changes, o.where(k % 11 != 0), o.where("latest IS NOT NULL").select("document_id", F.col("latest").alias("version")), o.where(k % 4 == 0).select("document_id", "asset"), given, stored, 100)
 
 
+_STORES: dict = {}
+
+
+def _once(spark, sf_dir, make):
+    """What ``make`` builds of the tables: once a session, as several queries read it."""
+    key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
+    if key not in _STORES:
+        from folioflow.engine import Engine
+
+        _STORES[key] = make(Engine(spark, f"{shared_path(spark)}/folio-store-{uuid.uuid4().hex[:12]}"), spark, sf_dir)
+    return _STORES[key]
+
+
 def _engine(spark, sf_dir):
-    """A store of its own after two rounds of the documents' lines as Markdown files: the second with more text in every third one."""
-    from folioflow.engine import Engine
+    return _once(spark, sf_dir, _two_rounds)
 
-    engine = Engine(spark, f"{shared_path(spark)}/folio-store-{uuid.uuid4().hex[:12]}")
+
+def _two_rounds(engine, spark, sf_dir):
+    """A store after two rounds of the documents' lines as Markdown files: the second with more text in every third one."""
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t: F.trim(F.regexp_replace(t, "[^\\p{L}]+", " "))), lambda t: t != "")
     text, d = F.array_join(lines, "\n\n"), F.col("doc_id")
     name = F.concat(d.cast("string"), F.when(d % 10 == 7, ".txt").otherwise(".md"))
@@ -203,6 +217,36 @@ def ingest_changes(spark, sf_dir):
     return log.select("document_id", "version", "previous_version", F.size("added").cast("bigint").alias("added"), (F.size("removed") + F.size("updated")).cast("bigint").alias("removed"))
 
 
+def _repeats(engine, spark, sf_dir):
+    """A store after one batch in which every third document comes again with equal and with more text, and every ninth as it was."""
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t: F.trim(F.regexp_replace(t, "[^\\p{L}]+", " "))), lambda t: t != "")
+    text, d = F.array_join(lines, "\n\n"), F.col("doc_id")
+    more = F.concat(text, F.lit("\n\nadded line here"))
+    times = F.when(d % 9 == 0, F.array(text, text, more, text)).when(d % 3 == 0, F.array(text, text, more)).otherwise(F.array(text))
+    files = _t(spark, sf_dir, "documents").select(d.cast("string").alias("document_id"), F.posexplode(times).alias("arrival", "t"))
+    result = engine.ingest(files.select("document_id", "arrival", F.concat("document_id", F.lit("-"), F.col("arrival").cast("string"), F.lit(".md")).alias("name"), F.encode("t", "UTF-8").alias("content")))
+    return engine, result
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS document_id, doc_id || '-' || a || '.md' AS name, CAST(CASE a WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS INTEGER) AS version, CASE a WHEN 1 THEN 'unchanged' ELSE 'committed' END AS status FROM documents, range(4) r(a) WHERE a = 0 OR doc_id % 3 = 0 AND a < 3 OR doc_id % 9 = 0""")
+def ingest_repeats(spark, sf_dir):
+    """What one batch says of files that repeat a document, with equal and with other bytes."""
+    return _once(spark, sf_dir, _repeats)[1].select("document_id", "name", "version", "status")
+
+
+@query(f"""WITH {_INGEST} SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(v AS INTEGER) AS version, CAST(nullif(v - 1, 0) AS INTEGER) AS previous_version, CASE v WHEN 1 THEN blocks WHEN 2 THEN 1 ELSE 0 END AS added, CAST(v = 3 AS BIGINT) AS removed FROM n, range(1, 4) r(v) WHERE v = 1 OR doc_id % 3 = 0 AND v = 2 OR doc_id % 9 = 0""")
+def repeated_changes(spark, sf_dir):
+    """The change log of that batch: each version against the one before, also within the batch."""
+    log = _once(spark, sf_dir, _repeats)[0].store.read("change_log", S.CHANGES)
+    return log.select("document_id", "version", "previous_version", F.size("added").cast("bigint").alias("added"), (F.size("removed") + F.size("updated")).cast("bigint").alias("removed"))
+
+
+@query("SELECT CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS document_id FROM documents WHERE false")
+def repeated_chain(spark, sf_dir):
+    """Changes of that batch that do not follow the one before: none."""
+    return V.chain_violations(_once(spark, sf_dir, _repeats)[0].store.read("change_log", S.CHANGES)).select("seq", "document_id")
+
+
 @query("""SELECT k.v AS version, count(*) AS documents, max(k.v) AS latest FROM documents d, (VALUES (1), (2)) k(v) WHERE d.doc_id % 10 NOT IN (7, 9) AND (k.v = 1 OR d.doc_id % 3 = 0) GROUP BY k.v""")
 def history_read(spark, sf_dir):
     """Versions of the store, read back by number."""
@@ -373,3 +417,50 @@ def stream_ingest(spark, sf_dir):
     files = turns.select(key.alias("document_id"), name.alias("name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
     feed.ingest_stream(Engine(spark, f"{root}/store"), files, f"{root}/results", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/results").select("document_id", "version", "status")
+
+
+def _page_store(engine, spark, sf_dir):
+    """A store after two rounds of a page a customer: every other one comes again with an image of its figure."""
+    pages, g, rules, images, regions = _customer_pages(spark, sf_dir)
+    key = F.col("document_id")
+    source = pages.select("document_id", F.concat(key.cast("string"), F.lit(".pdf")).alias("name"))
+    digest = lambda round: F.concat(F.lit("sha256:"), F.sha2(F.concat(key.cast("string"), F.when(key % 2 == 0, round).otherwise("")), 256))
+    text = lambda df: df.withColumn("document_id", key.cast("string"))
+    tables = dict(pages=text(pages), chars=text(g), rules=text(rules), images=text(images), regions=text(regions))
+    first = engine.ingest_pages(text(source.withColumn("source_hash", digest("1"))), **tables)
+    png = F.encode(F.concat(F.lit("image "), (key % 10).cast("string")), "UTF-8")
+    crops = pages.where(key % 2 == 0).select(key.cast("string").alias("document_id"), "page", F.lit(0).alias("item_no"), F.lit("image/png").alias("mime"), png.alias("bytes"), F.lit(100).alias("width_px"), F.lit(65).alias("height_px"), F.lit(200).alias("dpi"))
+    return engine, first, engine.ingest_pages(text(source.withColumn("source_hash", digest("2"))), **tables, crops=crops)
+
+
+@query(f"""WITH t AS (SELECT c_custkey AS d, string_agg('r' || i || chr(9) || 'v' || i || '1x' || c_custkey || chr(9) || 'v' || i || '2x' || c_custkey, chr(10) ORDER BY i) AS t FROM customer, range(3) r(i) GROUP BY 1), b AS (SELECT c_custkey AS d, string_agg('name' || i || chr(9) || 'q' || i || '1y' || c_custkey || chr(9) || 'q' || i || '2y' || c_custkey, chr(10) ORDER BY i) AS b FROM customer, range(4) r(i) GROUP BY 1)
+    SELECT CAST(c_custkey AS VARCHAR) AS document_id, CAST(w AS INTEGER) AS version, CAST(o AS INTEGER) AS ord, kind, CASE v.t WHEN 'p' THEN c_name || chr(10) || 'goes on here' WHEN 't' THEN t.t WHEN 'b' THEN b.b ELSE v.t END AS text, CAST(CASE o WHEN 2 THEN 9 WHEN 5 THEN 12 END AS INTEGER) AS cells, CASE WHEN o = 3 AND w = 2 THEN 'Figure 1' END AS caption
+    FROM customer JOIN t ON t.d = c_custkey JOIN b ON b.d = c_custkey, {_READ}, range(1, 3) r(w) WHERE w = 1 OR c_custkey % 2 = 0""")
+def page_ingest(spark, sf_dir):
+    """Blocks of every version that pages became, tables with their cells, figures with their captions."""
+    blocks = _once(spark, sf_dir, _page_store)[0].store.read("blocks", S.BLOCKS)
+    captions = blocks.where("kind = 'caption'").select("document_id", "version", F.col("block_id").alias("_c"), F.col("text").alias("caption"))
+    rows = blocks.withColumn("_c", F.col("figure.caption_block_id")).join(captions, ["document_id", "version", "_c"], "left")
+    return rows.select("document_id", "version", "ord", "kind", "text", F.when(F.col("table").isNotNull(), F.size("table.cells")).alias("cells"), "caption")
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS document_id, CAST(w AS INTEGER) AS version, kind, reason, 1 AS page FROM customer, range(1, 3) r(w), (VALUES ('table', 'borderless_table'), ('figure', 'figure_without_image')) k(kind, reason) WHERE (w = 1 OR c_custkey % 2 = 0) AND (w = 1 OR kind = 'table')""")
+def page_history(spark, sf_dir):
+    """Regions read back: what of each version became no block, or one without its image."""
+    rows = _once(spark, sf_dir, _page_store)[0].store.read("regions", S.REGIONS)
+    return rows.select("document_id", "version", "kind", F.col("fallback_reason").alias("reason"), F.col("locator.page").alias("page"))
+
+
+@query("""SELECT 'sha256:' || sha256('image ' || (c_custkey % 10)) AS asset, 'image ' || (c_custkey % 10) AS content, count(*) AS figures FROM customer WHERE c_custkey % 2 = 0 GROUP BY c_custkey % 10""")
+def page_assets(spark, sf_dir):
+    """Assets read back, each once however many figures show it."""
+    store = _once(spark, sf_dir, _page_store)[0].store
+    figures = store.read("blocks", S.BLOCKS).where("figure IS NOT NULL").groupBy(F.col("figure.asset").alias("asset")).agg(F.count("*").alias("figures"))
+    return store.read("assets", S.ASSETS).select("asset", F.decode("bytes", "UTF-8").alias("content")).join(figures, "asset")
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS document_id, CAST(w AS INTEGER) AS version, CAST(nullif(w - 1, 0) AS INTEGER) AS previous_version, CAST(CASE w WHEN 1 THEN 7 ELSE 1 END AS BIGINT) AS added, CAST(w - 1 AS BIGINT) AS removed FROM customer, range(1, 3) r(w) WHERE w = 1 OR c_custkey % 2 = 0""")
+def page_changes(spark, sf_dir):
+    """The change log of the pages: a figure that got its image is another block."""
+    log = _once(spark, sf_dir, _page_store)[0].store.read("change_log", S.CHANGES)
+    return log.select("document_id", "version", "previous_version", F.size("added").cast("bigint").alias("added"), F.size("removed").cast("bigint").alias("removed"))
