@@ -61,7 +61,7 @@ def common_lines(hashes: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED)
     parts = hashes.select("h", F.pmod(F.spark_partition_id(), F.lit(MERGES)).alias("part"))
     parts = parts.groupBy("part").agg(F.expr(f"approx_top_k_accumulate(h, {tracked})").alias("sketch"))
     # grouped by a constant: without keys, tasks and tables without rows would give empty sketches, which do not combine
-    top = parts.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch")).select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {heavy})")).alias("t"))
+    top = parts.groupBy((F.col("part") * 0).alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch")).select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {heavy})")).alias("t"))
     named = top.select(F.col("t.item").alias("h"))
     counted = hashes.join(F.broadcast(named), "h", "left_semi").groupBy("h", "g").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
     # of hashes that clash in h alone, the commoner: the bound stays
