@@ -11,6 +11,7 @@ import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,6 +182,46 @@ class Places:
     def counts(self) -> np.ndarray:
         return np.diff(self.cut).reshape(len(self.ys) - 1, len(self.xs) - 1)
 
+    def lines(self, size: float) -> tuple[np.ndarray, np.ndarray]:
+        """(place, box) of the text lines of every place at once, by place and top to bottom; see :func:`text_line_boxes`."""
+        if not len(self.box):
+            return self.code, self.box
+        cy = (self.box[:, 1] + self.box[:, 3]) / 2
+        order = np.lexsort((cy, self.code))
+        own, code = self.box[order], self.code[order]
+        first = _line_starts(code, cy[order], C.LINE_STEP * size)
+        return code[first], _united(own, first)
+
+
+def _united(box: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Boxes around the runs of rows that begin at ``first``."""
+    return np.stack([f.reduceat(box[:, k], first) for k, f in enumerate((np.minimum, np.minimum, np.maximum, np.maximum))], 1)
+
+
+def _line_starts(code: np.ndarray, cy: np.ndarray, reach: float) -> np.ndarray:
+    """Where lines begin among glyphs sorted by place and centre: a line ends more than ``reach`` below its first centre.
+
+    All places step from line to line together, so there are as many steps
+    as lines in the fullest place.
+    """
+    n = len(cy)
+    place = np.flatnonzero(np.diff(code, prepend=code[0] - 1))
+    stop = np.append(place[1:], n)
+    span = float(np.ptp(cy)) + reach + 1.0
+    key = np.repeat(np.arange(len(place)) * span, stop - place) + (cy - cy.min())
+    starts, at = [place], place
+    while len(at):
+        after = np.minimum(np.searchsorted(key, key[at] + reach, "right"), stop)
+        # the shared key rounds: settle by the centres themselves
+        while (back := (after - 1 > at) & (cy[after - 1] - cy[at] > reach)).any():
+            after = after - back
+        while (on := (after < stop) & ~(cy[np.minimum(after, n - 1)] - cy[at] > reach)).any():
+            after = after + on
+        more = after < stop
+        at, stop = after[more], stop[more]
+        starts.append(at)
+    return np.sort(np.concatenate(starts))
+
 
 def text_line_boxes(box: np.ndarray, size: float) -> np.ndarray:
     """Boxes of the lines of some glyphs, top to bottom: a line ends half a size below its first glyph's centre."""
@@ -189,8 +230,7 @@ def text_line_boxes(box: np.ndarray, size: float) -> np.ndarray:
     cy = (box[:, 1] + box[:, 3]) / 2
     order = np.argsort(cy, kind="stable")
     first = np.flatnonzero(np.diff(line_numbers(cy[order], np.full(len(box), size)), prepend=-1))
-    own = box[order]
-    return np.stack([np.minimum.reduceat(own[:, 0], first), np.minimum.reduceat(own[:, 1], first), np.maximum.reduceat(own[:, 2], first), np.maximum.reduceat(own[:, 3], first)], 1)
+    return _united(box[order], first)
 
 
 def word_runs(box: np.ndarray, size: float) -> list[tuple[float, float]]:
@@ -206,6 +246,10 @@ def word_runs(box: np.ndarray, size: float) -> list[tuple[float, float]]:
     return out
 
 
+#: Passes over a grid for columns that text makes: least width in sizes, rows that share it, whether all with text must.
+TEXT_COLUMNS = ((C.COL_GAP, C.MIN_GAP_ROWS, False), (C.NARROW_GAP, C.NARROW_ROWS, True))
+
+
 def text_columns(ink: Places, blanks: Places, size: float, gap: float, least: int, every: bool) -> list[float]:
     """Column lines that the text itself makes: middles of blank stretches that rows of a ruled column share.
 
@@ -214,41 +258,51 @@ def text_columns(ink: Places, blanks: Places, size: float, gap: float, least: in
     crosses its middle, and it is neither always between single glyphs nor
     always over a blank glyph.
     """
+    if len(ink.box) < 2:
+        return []
+    cols = len(ink.xs) - 1
+    order = np.lexsort((ink.box[:, 2], ink.box[:, 0], ink.code))
+    box, code = ink.box[order], ink.code[order]
+    reach = pd.Series(box[:, 2]).groupby(code).cummax().to_numpy()
+    inner = code[1:] == code[:-1]
+    at = np.flatnonzero(inner & (box[1:, 0] - reach[:-1] >= gap * size))
+    # glyphs between stretches: from the last stretch, or the place's first glyph, to the next or its last
+    edges = np.sort(np.concatenate([at, np.flatnonzero(~inner), [-1, len(box) - 1]]))
+    part = np.diff(edges)
+    k = np.searchsorted(edges, at)
+    single = (part[k - 1] == 1) & (part[k] == 1)
+    texted = (ink.counts() > 0).sum(0)
+    found: dict[int, list] = {}
+    for i, alone in zip(at.tolist(), single.tolist()):
+        r, c = divmod(int(code[i]), cols)
+        lo, hi = float(reach[i]), float(box[i + 1, 0])
+        middle = blanks.at(r, c)
+        middle = (middle[:, 0] + middle[:, 2]) / 2
+        found.setdefault(c, []).append((lo, hi, alone, bool(((middle >= lo) & (middle <= hi)).any())))
     out = []
-    for c in range(len(ink.xs) - 1):
-        found, rows = [], [ink.at(r, c) for r in range(len(ink.ys) - 1)]
-        for r, box in enumerate(rows):
-            if len(box) < 2:
-                continue
-            box = box[np.lexsort((box[:, 2], box[:, 0]))]
-            reach = np.maximum.accumulate(box[:, 2])
-            at = np.flatnonzero(box[1:, 0] - reach[:-1] >= gap * size)
-            part = np.diff(np.concatenate([[0], at + 1, [len(box)]]))
-            middle = blanks.at(r, c)
-            middle = (middle[:, 0] + middle[:, 2]) / 2
-            for k, i in enumerate(at):
-                lo, hi = reach[i], box[i + 1, 0]
-                found.append((lo, hi, part[k] == 1 and part[k + 1] == 1, bool(((middle >= lo) & (middle <= hi)).any())))
-        texted = sum(len(box) > 0 for box in rows)
-        column = np.concatenate(rows) if rows else np.zeros((0, 4))
-        found.sort()
-        while found:
-            lo, hi, single, spaced = found[0]
-            shared, rest = 1, []
-            for g in found[1:]:
-                a, b = max(lo, g[0]), min(hi, g[1])
-                if a < b:
-                    lo, hi, shared, single, spaced = a, b, shared + 1, single and g[2], spaced and g[3]
-                else:
-                    rest.append(g)
-            found = rest
+    for c, own in sorted(found.items()):
+        column = box[code % cols == c]
+        for lo, hi, shared, alone, spaced in _shared(sorted(own)):
             x = (lo + hi) / 2
             crossed = ((column[:, 0] < x) & (x < column[:, 2])).any()
-            if shared >= least and not crossed and not single and not spaced and (not every or shared == texted):
-                out.append(float(x))
+            if shared >= least and not crossed and not alone and not spaced and (not every or shared == texted[c]):
+                out.append(x)
     return out
 
 
+def _shared(stretches: list[tuple]):
+    """(lo, hi, how many, single, spaced) of what sorted stretches have in common: each goes to the first that it still meets."""
+    while stretches:
+        (lo, hi, single, spaced), rest, n = stretches[0], [], 1
+        for a, b, s, p in stretches[1:]:
+            if max(lo, a) < min(hi, b):
+                lo, hi, single, spaced, n = max(lo, a), min(hi, b), single and s, spaced and p, n + 1
+            else:
+                rest.append((a, b, s, p))
+        yield lo, hi, n, single, spaced
+        stretches = rest
+
+
 def text_rows(ink: Places, size: float) -> list[float]:
     """Row lines that aligned text makes within ruled rows.
 
@@ -257,18 +311,16 @@ def text_rows(ink: Places, size: float) -> list[float]:
     of the middle height of one-line rows); the other columns hold one line
     that every cut crosses.
     """
-    ys, bands, single = ink.ys, [], []
-    for r in range(len(ys) - 1):
-        columns = [text_line_boxes(box, size) for c in range(len(ink.xs) - 1) if len(box := ink.at(r, c))]
-        bands.append(columns)
-        if columns and all(len(x) == 1 for x in columns):
-            single.append(ys[r + 1] - ys[r])
-    pitch = C.ROW_PITCH * sorted(single)[len(single) // 2] if single else np.inf
+    rows, cols = len(ink.ys) - 1, len(ink.xs) - 1
+    place, boxes = ink.lines(size)
+    count = np.bincount(place, minlength=rows * cols).reshape(rows, cols)
+    cut = np.concatenate([[0], np.cumsum(count.ravel())])
+    single = np.sort(np.diff(ink.ys)[(count.max(1) == 1)])
+    pitch = C.ROW_PITCH * float(single[len(single) // 2]) if len(single) else np.inf
     out = []
-    for columns in bands:
+    for r in np.flatnonzero(count.max(1) >= 2):
+        columns = [boxes[cut[k] : cut[k + 1]] for k in range(r * cols, (r + 1) * cols) if cut[k + 1] > cut[k]]
         sizes = [len(x) for x in columns if len(x) >= 2]
-        if not sizes:
-            continue
         n = max(set(sizes), key=lambda k: (sizes.count(k), k))
         if sizes.count(n) < 2 or 2 * sizes.count(n) <= len(columns):
             continue
@@ -428,10 +480,11 @@ def _largest(mask: np.ndarray) -> tuple[int, int, int, int]:
 
 def compacted(xs, ys, cells):
     """Lines at which no cell starts are left out."""
-    keep_x = np.unique([0, *(c for _, c, _, _ in cells), len(xs) - 1])
-    keep_y = np.unique([0, *(r for r, _, _, _ in cells), len(ys) - 1])
-    col, row = (lambda v: int(np.searchsorted(keep_x, v))), (lambda v: int(np.searchsorted(keep_y, v)))
-    return xs[keep_x], ys[keep_y], [(row(r), col(c), row(r + h) - row(r), col(c + w) - col(c)) for r, c, h, w in cells]
+    r, c, h, w = np.array(cells, np.int64).reshape(-1, 4).T
+    keep_x, keep_y = np.unique(np.concatenate([[0], c, [len(xs) - 1]])), np.unique(np.concatenate([[0], r, [len(ys) - 1]]))
+    top, left = np.searchsorted(keep_y, r), np.searchsorted(keep_x, c)
+    rows, cols = np.searchsorted(keep_y, r + h) - top, np.searchsorted(keep_x, c + w) - left
+    return xs[keep_x], ys[keep_y], list(zip(top.tolist(), left.tolist(), rows.tolist(), cols.tolist()))
 
 
 # --- tables ----------------------------------------------------------------------------
@@ -452,6 +505,33 @@ def cell_text(g: Glyphs) -> str:
     return unicodedata.normalize("NFC", "".join(parts))
 
 
+def cell_texts(inside: Glyphs, own: np.ndarray, cells: int) -> list[str]:
+    """:func:`cell_text` of every cell: ``own`` is the cell of each glyph, cells of blanks alone are empty.
+
+    A cell is one plain word where its glyphs share a baseline and a size,
+    none is blank, and no gap, whatever the usual one, can be wide; the text of
+    such cells is read off one sort of all glyphs.
+    """
+    order = np.lexsort((inside.box[:, 0], inside.baseline, own))
+    g, at = inside.take(order), own[order]
+    cut = np.searchsorted(at, np.arange(cells + 1))
+    full = np.flatnonzero(np.diff(cut))
+    first = cut[full]
+    least, most = (lambda x: np.minimum.reduceat(x, first)), (lambda x: np.maximum.reduceat(x, first))
+    gap = np.append(g.box[1:, 0] - g.box[:-1, 2], 0.0)
+    gap[cut[full + 1] - 1] = 0.0  # behind the last glyph of a cell
+    plain = (least(g.baseline) == most(g.baseline)) & (least(g.size) == most(g.size)) & ~most(g.blank) & (most(gap) - np.minimum(least(gap), 0.0) <= C.SPACE_GAP * least(g.size))
+    blank = least(g.blank)
+    text, out = g.text.tolist(), [""] * cells
+    for k, easy, empty in zip(full.tolist(), plain.tolist(), blank.tolist()):
+        a, b = cut[k], cut[k + 1]
+        if easy:
+            out[k] = unicodedata.normalize("NFC", "".join(text[a:b]).strip())
+        elif not empty:
+            out[k] = cell_text(g.take(np.arange(a, b)))
+    return out
+
+
 def table_of(h: Segments, v: Segments, fills: Segments, glyphs: Glyphs, page_area: float) -> dict | None:
     """One region as a table, or None; ``reject`` names a table beyond a limit, whose text stays with the page."""
     grid = grid_of(h, v)
@@ -471,10 +551,10 @@ def table_of(h: Segments, v: Segments, fills: Segments, glyphs: Glyphs, page_are
     if len(xs) <= 4 and len(ys) <= 4 and frame > C.LAYOUT_AREA * page_area and any(len(text_line_boxes(first.at(r, c), size)) >= C.LAYOUT_LINES for r in range(len(ys) - 1) for c in range(len(xs) - 1)):
         return None
     blank = inside.box[inside.blank]
-    made_x = set(text_columns(first, Places(xs, ys, blank), size, C.COL_GAP, C.MIN_GAP_ROWS, False))
-    wide = np.unique([*xs, *made_x])
-    made_x |= set(text_columns(Places(wide, ys, ink.box), Places(wide, ys, blank), size, C.NARROW_GAP, C.NARROW_ROWS, True))
-    xs = np.unique([*xs, *made_x])
+    made_x: set[float] = set()
+    for gap, least, every in TEXT_COLUMNS:
+        made_x |= set(text_columns(Places(xs, ys, ink.box), Places(xs, ys, blank), size, gap, least, every))
+        xs = np.unique([*xs, *made_x])
     made_y = set(text_rows(Places(xs, ys, ink.box), size))
     ys = np.unique([*ys, *made_y])
     if len(xs) < 3 or len(ys) < 3:
@@ -490,10 +570,7 @@ def table_of(h: Segments, v: Segments, fills: Segments, glyphs: Glyphs, page_are
         owner[r : r + n, c : c + m] = k
     col = np.clip(np.searchsorted(xs, inside.cx, "right") - 1, 0, len(xs) - 2)
     row = np.clip(np.searchsorted(ys, inside.cy, "right") - 1, 0, len(ys) - 2)
-    own = owner[row, col]
-    order = np.argsort(own, kind="stable")
-    cut = np.searchsorted(own[order], np.arange(len(cells) + 1))
-    texts = [cell_text(inside.take(order[a:b])) if b > a and not inside.blank[order[a:b]].all() else "" for a, b in zip(cut[:-1], cut[1:])]
+    texts = cell_texts(inside, owner[row, col], len(cells))
     if sum(map(bool, texts)) < C.MIN_FILLED * len(cells):
         return None
     box = (float(xs[0]), float(ys[0]), float(xs[-1]), float(ys[-1]))
