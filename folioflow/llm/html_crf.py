@@ -2,19 +2,18 @@
 
 A leaf block is the text between two block-level tags; its features are its
 ancestors' tags, the words of their class, id and role, and its own text's
-shape (length, links, punctuation, place).  The chain's two states are main
+shape (length, links, punctuation).  The chain's two states are main
 text and the rest.  The model is trained on labelled pages from
 :func:`labelled_pages`, which lays out random articles with the furniture of
 common sites (menus, banners, notices, adverts, forms, sidebars, related
-links, reader comments, footers) in many markups; invented words keep it free
-of any language.
+links, reader comments, footers) in many markups, or without any; invented
+words and characters keep it free of any language.
 """
 
 from __future__ import annotations
 
 import functools
 import html
-import math
 import random
 import re
 
@@ -29,12 +28,13 @@ _TOKEN = re.compile(
     re.S,
 )
 #: Elements whose content is not text of the page.
-_RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "head", "title", "textarea", "select", "math", "canvas", "audio", "video"}
+_RAW = {"script", "style", "template", "svg", "iframe", "head", "title", "textarea", "select", "math"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 _BLOCK = {
     "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption",
     "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "label", "legend", "li", "main", "menu", "nav", "ol", "option",
     "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+    "noscript", "object", "canvas", "audio", "video",  # what stands in for them is a block that the model judges
 }
 #: An opening tag ends an open element of these kinds, looked for up to the given container.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}), "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"})}
@@ -164,26 +164,24 @@ def _path_features(path: Node | None) -> tuple[str, ...]:
     return path.features
 
 
-def features(own: list[Block], i: int) -> list[str]:
-    b = own[i]
+def _shape(b: Block) -> tuple[str, ...]:
+    """Features of a block's own text; few enough that their sums can be kept."""
     text, n = b.text, len(b.text)
-    words = text.count(" ") + 1
-    last = b.last
+    words = max(text.count(" ") + 1, n // 12)  # scripts without blanks have words too
     share = b.linked / n
-    kind = f"w{min(6, int(math.log2(words)))}"
-    got = ["bias", kind, f"link{0 if share < 0.1 else 1 if share < 0.6 else 2}", f"{last}&{kind}"]
-    if text[-1] in ".!?…。:;\"'»”":
-        got.append("stop")
-    if "©" in text or "·" in text or "|" in text:
-        got.append("marks")
-    if words > 3 and (". " in text or ", " in text):
-        got.append("inner")
-    if i == 0:
-        got.append("first")
-    if i == len(own) - 1:
-        got.append("final")
-    got.extend(_path_features(b.path))
-    return got
+    return (
+        f"w{min(6, words.bit_length() - 1)}", f"link{0 if share < 0.1 else 1 if share < 0.6 else 2}", b.last, "stop" if text[-1] in ".!?…。！？:;\"'»”" else "",
+        "marks" if "©" in text or "·" in text or "|" in text else "", "inner" if words > 3 and any(x in text for x in (". ", ", ", "。", "，")) else "",
+    )
+
+
+def _named(shape: tuple[str, ...]) -> list[str]:
+    kind, link, last, *more = shape
+    return ["bias", kind, link, f"{last}&{kind}", *(m for m in more if m)]
+
+
+def features(b: Block) -> list[str]:
+    return [*_named(_shape(b)), *_path_features(b.path)]
 
 
 class ChainCRF:
@@ -218,12 +216,27 @@ class ChainCRF:
         self.move = [[float(T[0, 0]), float(T[0, 1])], [float(T[1, 0]), float(T[1, 1])]]
         return self
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_sum"}
+
+    def weigh(self, own: list[Block]) -> list[float]:
+        """What each block's features add up to: sums over a shape and over a path are taken once and kept."""
+        if "_sum" not in self.__dict__:
+            weight = self.weight.get
+            total = lambda names: sum([weight(f, 0.0) for f in names])
+            self._sum = functools.lru_cache(4096)(lambda shape: total(_named(shape))), functools.lru_cache(65536)(total)
+        shape, path = self._sum
+        return [shape(_shape(b)) + path(_path_features(b.path)) for b in own]
+
     def decode(self, fs: list[list[str]]) -> list[int]:
+        """The most likely states of feature lists."""
+        return self.best([sum(self.weight.get(f, 0.0) for f in own) for own in fs])
+
+    def best(self, weights: list[float]) -> list[int]:
         """The most likely states (Viterbi)."""
-        weight, (a, b) = self.weight.get, self.move
+        a, b = self.move
         s0, s1, back = 0.0, 0.0, []
-        for i, own in enumerate(fs):
-            u = sum([weight(f, 0.0) for f in own])
+        for i, u in enumerate(weights):
             if i:
                 from0, from1 = s0 + a[0] >= s1 + b[0], s0 + a[1] > s1 + b[1]
                 back.append((0 if from0 else 1, 0 if from1 else 1))
@@ -231,7 +244,7 @@ class ChainCRF:
             else:
                 s1 = u
         state = int(s1 > s0)
-        out = [state] if fs else []
+        out = [state] if weights else []
         for pair in reversed(back):
             state = pair[state]
             out.append(state)
@@ -264,7 +277,11 @@ def labelled_pages(n: int, seed: int = 11) -> list[str]:
 class _Page:
     def __init__(self, r: random.Random):
         self.r = r
+        self.wide = r.random() < 0.12
         self.syllables = [r.choice("bcdfglmnprstvz") + r.choice(["a", "e", "i", "o", "u", "é", "ö", "ei", "ou"]) + r.choice(["", "n", "r", "s"]) for _ in range(40)]
+        if r.random() < 0.3:
+            self.html = self.plain()
+            return
         top = [self.menu() if r.random() < 0.8 else "", self.header() if r.random() < 0.6 else ""]
         r.shuffle(top)
         pre = [x() for x in r.sample([self.notice, self.advert, self.crumbs, self.form, self.sidebar], r.randint(0, 3))]
@@ -280,6 +297,23 @@ class _Page:
         head = f"<head><title>{self.sentence()}</title><style>p{{}}</style></head>"
         self.html = f"<!DOCTYPE html><html>{head}<body>{''.join(top)}{middle}{''.join(after)}" + ("</body></html>" if r.random() < 0.9 else "")
 
+    def plain(self) -> str:
+        """A page of few blocks, or of elements that say nothing, with or without furniture."""
+        r = self.r
+        text = lambda tag: f"<{tag} data-main>{self.prose(1, 8)}</{tag}>"
+        parts = "".join(text(r.choice(["p", "p", "div"])) for _ in range(r.choice([1, 1, 1, 2, 3, 6])))
+        named = lambda tag, inner: f"<{tag}{r.choice(['', '', f' id={self.word()}', f' class={self.word()}'])}>{inner}</{tag}>"
+        body = r.choice([
+            lambda: named("article", parts), lambda: named("main", parts), lambda: parts, lambda: named("div", parts), lambda: named("div", named("div", parts)), lambda: named("section", named("div", parts)),
+            lambda: f"<div data-main>{self.prose(1, 20)}</div>", lambda: f"<article data-main>{self.prose(1, 20)}</article>", lambda: text("pre"), lambda: f"<table><tr>{text('td')}</tr></table>",
+            lambda: named("ul", "".join(f"<li data-main>{self.prose(1, 2)}</li>" for _ in range(r.randint(1, 6)))), lambda: f"<h1 data-main>{self.words(2, 8)}</h1>{parts}",
+        ])()
+        if r.random() < 0.15:
+            return f"<html><body data-main>{self.prose(1, 6)}</body></html>"
+        before = "".join(x() for x in (self.menu, self.header, self.notice) if r.random() < 0.25)
+        after = "".join(x() for x in (self.footer, self.sidebar, self.comments, self.form) if r.random() < 0.2)
+        return r.choice(["<!DOCTYPE html><html><head><title>x</title></head><body>{}</body></html>", "<html><body>{}</body></html>", "{}"]).format(before + body + after)
+
     def word(self) -> str:
         return "".join(self.r.choice(self.syllables) for _ in range(self.r.randint(1, 4)))
 
@@ -287,6 +321,9 @@ class _Page:
         return " ".join(self.word() for _ in range(self.r.randint(lo, hi)))
 
     def sentence(self) -> str:
+        if self.wide:
+            part = lambda: "".join(chr(self.r.randint(0x4E00, 0x9FA0)) for _ in range(self.r.randint(2, 12)))
+            return "，".join(part() for _ in range(self.r.randint(1, 3))) + self.r.choice("。。！？")
         s = self.words(1, 18)
         if self.r.random() < 0.4:
             s = s.replace(" ", ", ", 1)
@@ -324,6 +361,8 @@ class _Page:
         return f"<{(t := self.r.choice(['div', 'aside', 'section', 'div']))} {self.pick('ad', 'ads', 'advert', 'advertisement', 'sponsored', 'promo', 'banner')}>{self.r.choice(['{}', '<p>{}</p>', '<a href=/x>{}</a>', '<h3>' + self.words(1, 4) + '</h3><p>{}</p>']).format(self.prose(1, 3))}</{t}>"
 
     def notice(self) -> str:
+        if self.r.random() < 0.15:
+            return f"<{(t := self.r.choice(['noscript', 'video', 'object', 'audio', 'canvas']))}>{self.r.choice(['{}', '<p>{}</p>']).format(self.prose(1, 2))}</{t}>"
         return f"<{(t := self.r.choice(['div', 'section', 'dialog']))} {self.pick('cookie', 'consent', 'notice', 'alert', 'gdpr', 'message', 'modal', 'popup', 'paywall')}>{self.r.choice(['{}', '<p>{}</p>']).format(self.prose(1, 3))}{self.r.choice(['', '<button>' + self.words(1, 2) + '</button>'])}</{t}>"
 
     def form(self) -> str:
@@ -367,7 +406,7 @@ class _Page:
                 parts.append(f"<pre data-main>{self.words(2, 12)}</pre>")
             else:
                 parts.append("<table>" + "".join(f"<tr><td data-main>{self.words(1, 3)}</td><td data-main>{self.words(1, 3)}</td></tr>" for _ in range(self.r.randint(1, 3))) + "</table>")
-        for x in inside + ([self.r.choice([self.advert, self.share, self.related])()] if self.r.random() < 0.2 else []):
+        for x in inside + ([self.r.choice([self.advert, self.share, self.related, self.notice])()] if self.r.random() < 0.2 else []):
             parts.insert(self.r.randint(min(1, len(parts)), len(parts)), x)
         kind = self.r.random()
         if kind < 0.5:
@@ -380,17 +419,17 @@ class _Page:
 
 
 @functools.lru_cache(1)
-def trained(pages: int = 700, seed: int = 11) -> ChainCRF:
+def trained(pages: int = 1000, seed: int = 11) -> ChainCRF:
     data = []
     for page in labelled_pages(pages, seed):
         own = blocks(page)
-        data.append(([features(own, i) for i in range(len(own))], [int(b.main) for b in own]))
+        data.append(([features(b) for b in own], [int(b.main) for b in own]))
     return ChainCRF().fit(data)
 
 
 def main_text(page: str, model: ChainCRF) -> str:
     own = blocks(page, model.known)
-    states = model.decode([features(own, i) for i in range(len(own))])
+    states = model.best(model.weigh(own))
     return "\n\n".join(b.text for b, s in zip(own, states) if s)
 
 

@@ -390,7 +390,7 @@ def test_html_extraction(spark):
     right = total = 0
     for page in H.labelled_pages(120, seed=77):
         own = H.blocks(page)
-        right += sum(s == b.main for s, b in zip(m.decode([H.features(own, i) for i in range(len(own))]), own))
+        right += sum(s == b.main for s, b in zip(m.best(m.weigh(own)), own))
         total += len(own)
     assert right / total > 0.98
     page = "<html><head><title>t</title><script>var a='</p><p>no';</script></head><body><nav><a href=/x>Home</a></nav><!-- <p>no</p> --><div class='cookie-notice'>We use</div><article><h1>A &amp; B</h1><p>One<br>two &lt;3&nbsp;x.<p>Second <b>par</b>t, with more words.</article><div class=comments><p>Nice one.</p></div><form class=login><label>Name</label></form><footer>&copy; me</footer><scr"
@@ -413,7 +413,9 @@ def test_unclosed_tags_do_not_swallow_the_page(tag):
 
     text = lambda page: [b.text for b in H.blocks(page)]
     assert text(f"<article><p>One.<{tag}><p>Two <math><mi>x</mi></math> three.</article>") == ["One.", "Two x three."]
-    assert text(f"<article><p>One.<{tag}><p>hidden</p></{tag}><p>Two.</article>") == ["One.", "Two."]
+    # the contract leaves out no more than what is no text: what stands in for a script or a film is a block, which the model judges
+    within = [] if tag in ("svg", "select", "iframe") else ["hidden"]
+    assert text(f"<article><p>One.<{tag}><p>hidden</p></{tag}><p>Two.</article>") == ["One.", *within, "Two."]
     assert text("<article><p>One.<script><p>Two.</article>") == ["One."]
 
 
