@@ -337,6 +337,52 @@ def stream_windows(spark, sf_dir):
     return last.select("document_id.day", "document_id.event_type", "n")
 
 
+_STREAMED = f"""WITH {_TWO}, k AS (SELECT doc_id, count(*) FILTER (v = 1) AS one, count(*) FILTER (v = 2) AS two FROM i GROUP BY 1),
+    n AS (SELECT document_id AS doc_id, count(*) FILTER (change = 'added') AS a, count(*) FILTER (change = 'updated') AS u, count(*) FILTER (change = 'removed') AS r FROM d GROUP BY 1)
+    SELECT doc_id AS document_id, CAST(1 AS INTEGER) AS version, one AS added, 0::BIGINT AS updated, 0::BIGINT AS removed, CAST(NULL AS VARCHAR) AS conflict FROM k WHERE one > 0
+    UNION ALL SELECT doc_id, 2, coalesce(a, 0), coalesce(u, 0), coalesce(r, 0), NULL FROM k LEFT JOIN n USING (doc_id) WHERE one > 0
+    UNION ALL SELECT doc_id, 1, 0, 0, 0, 'late' FROM k WHERE one > 0 AND doc_id % 5 = 0 UNION ALL SELECT doc_id, 4, 0, 0, 0, 'gap' FROM k WHERE one > 0 AND doc_id % 7 = 0"""
+
+
+@query(_STREAMED)
+def stream_changes(spark, sf_dir):
+    """Three micro-batches of versions, some late and some ahead, as changes out of keyed state."""
+    from folioflow.streaming import changes as CH
+    from folioflow.streaming import feed
+
+    one, two = _two_versions(spark, sf_dir)
+    d = F.col("document_id")
+    rows = lambda blocks, v: CH.version_rows(blocks.withColumn("version", F.lit(v)), ids.select("document_id", F.lit(v).alias("version"), F.lit(f"sha256:{v}").alias("source_hash")), ["ord"])
+    ids = one.select("document_id").distinct()
+    first, second = rows(one, 1), rows(two, 2)
+    root = f"{shared_path(spark)}/folio-stream-{uuid.uuid4().hex[:12]}"
+    ahead = first.where(d % 7 == 0).withColumn("version", F.lit(4))
+    for k, part in enumerate((first, second.where(d % 2 == 0).unionByName(first.where((d % 5 == 0) & (d % 2 == 0))), second.where(d % 2 == 1).unionByName(first.where((d % 5 == 0) & (d % 2 == 1))).unionByName(ahead))):
+        part.coalesce(1).write.parquet(f"{root}/in/part={k}")
+    key, provider = CH.STATE_STORE
+    before = spark.conf.get(key)
+    spark.conf.set(key, provider)
+    try:
+        stream = feed.read_stream(spark, f"{root}/in/*", first.schema, max_files=1)
+        feed.run_batches(CH.emit_changes(stream), lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}"), f"{root}/checkpoint")
+    finally:
+        spark.conf.set(key, before)
+    out = spark.read.parquet(f"{root}/out")
+    return out.select("document_id", "version", *[F.size(c).cast("bigint").alias(c) for c in ("added", "updated", "removed")], "conflict")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(v AS INTEGER) AS version, 1::BIGINT AS times, v - 1 AS batch FROM documents, (VALUES (1), (2)) x(v) WHERE doc_id % 10 NOT IN (7, 9) AND (v = 1 OR doc_id % 3 = 0)""")
+def feed_source(spark, sf_dir):
+    """The change log of a store as a stream, a commit a micro-batch, followed twice from one checkpoint: each change once."""
+    from folioflow.streaming import changes as CH
+
+    store, root = _engine(spark, sf_dir)[0].store, f"{shared_path(spark)}/folio-stream-{uuid.uuid4().hex[:12]}"
+    for _ in range(2):
+        CH.follow(store, lambda df, n: df.write.mode("append").parquet(f"{root}/out/batch={n}"), f"{root}/checkpoint", max_commits=1)
+    out = spark.read.parquet(f"{root}/out")
+    return out.groupBy("document_id", "version").agg(F.count("*").alias("times"), F.max("batch").cast("bigint").alias("batch"))
+
+
 # --- a page put together --------------------------------------------------------------------------------------
 
 

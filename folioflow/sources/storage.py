@@ -77,11 +77,13 @@ class Store:
         meta = f"{self.root}/_meta.json"
         if not self._fs.exists(self._path(meta)):
             try:
-                self._create(meta, {"format": FORMAT})
+                self._create(meta, {"format": FORMAT, "id": uuid.uuid4().hex})
             except StoreConflict:
                 pass
-        if (found := self._read(meta)["format"]) != FORMAT:
+        about = self._read(meta)
+        if (found := about["format"]) != FORMAT:
             raise ValueError(f"store has format {found}, this reads {FORMAT}: delete it and ingest again")
+        self.id = about["id"]
 
     def _create(self, path: str, value: dict) -> None:
         try:

@@ -256,3 +256,31 @@ def test_pages_become_versions(spark, tmp_path):
         wide = pages.withColumn("width_pt", F.lit(-5.0)).withColumn("rotation", F.lit(7))
         e.ingest_pages(source("sha256:3"), wide, chars)
     assert len(e.store.commits()) == 2
+
+
+def test_following_a_store_neither_loses_nor_repeats(spark, tmp_path):
+    """Commits between runs come once; a failed micro-batch comes again; another store asks for a resync."""
+    from folioflow.errors import ResyncRequired
+    from folioflow.sources import storage
+    from folioflow.streaming import changes
+
+    log = "seq bigint, document_id string, version int, previous_version int"
+    change = lambda *rows: spark.createDataFrame(list(rows), "document_id string, version int, previous_version int")
+    store = storage.Store(spark, f"file://{tmp_path}/store")
+    seen, at = [], f"file://{tmp_path}/cursor"
+    take = lambda df, n: seen.extend((n, r["seq"], r["document_id"]) for r in df.select("seq", "document_id").orderBy("seq").collect())
+    changes.follow(store, take, at)
+    assert seen == []
+    store.commit({}, change(("a", 1, None), ("b", 1, None)), log)
+    changes.follow(store, take, at)
+    store.commit({}, change(("a", 2, 1)), log)
+    with pytest.raises(Exception, match="no"):
+        changes.follow(store, lambda df, n: (_ for _ in ()).throw(ValueError("no")), at)
+    store.commit({}, change(("c", 1, None)), log)
+    changes.follow(store, take, at)
+    changes.follow(store, take, at)
+    assert [s[1:] for s in seen] == [(1, "a"), (2, "b"), (3, "a"), (4, "c")]
+    other = storage.Store(spark, f"file://{tmp_path}/other")
+    other.commit({}, change(("z", 1, None)), log)
+    with pytest.raises(ResyncRequired):
+        changes.follow(other, take, at)
