@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
@@ -14,8 +16,6 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[li
 
     Groups arrive sorted, so a task holds one group and one batch at a time.
     """
-    from pyspark.sql import types as T
-
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches):
@@ -43,8 +43,6 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[li
 
 def per_group_arrays(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[dict], list[dict]], schema: str) -> DataFrame:
     """Like :func:`per_group`, but ``fn`` takes a group's columns as arrays and returns rows without keys; ``schema`` names those."""
-    from pyspark.sql import types as T
-
     kinds = T.StructType([*df.select(*keys).schema.fields, *T.StructType.fromDDL(schema).fields])
     arrow, rest = to_arrow_schema(kinds), [c for c in df.columns if c not in keys]
 
@@ -77,5 +75,53 @@ def per_group_arrays(df: DataFrame, keys: list[str], order: list[str], fn: Calla
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, kinds)
 
 
+def per_group_order(df: DataFrame, keys: list[str], order: list[str], columns: list[str], fn: Callable[..., list[int]], name: str) -> DataFrame:
+    """``df`` with ``name``: the place of each row among its group's, as ``fn`` orders them by the lists of ``columns``.
+
+    Groups arrive sorted and leave as slices of the Arrow batches they came
+    in, put in order at once; no row becomes a Python object.
+    """
+    kinds = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
+    arrow = to_arrow_schema(kinds)
+
+    def codes(table: pa.Table) -> np.ndarray:
+        """Whether each row begins a group."""
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            own = table.column(k).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new[1:] |= own[1:] != own[:-1]
+        return new
+
+    def placed(table: pa.Table, cuts: list[int]):
+        sides = [table.column(c).to_pylist() for c in columns]
+        take, seq = [], []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            took = fn(*(s[a:b] for s in sides))
+            take += [a + k for k in took]
+            seq += range(b - a)
+        out = table.take(pa.array(take, pa.int64())).append_column(name, pa.array(seq, pa.int64()))
+        yield from out.cast(arrow).combine_chunks().to_batches(max_chunksize=10_000)
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if held and batch.num_rows and not codes(pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch]))[1:].any():
+                held.append(batch)  # the same group goes on
+                continue
+            table = pa.Table.from_batches([*held, batch]) if batch.num_rows else None
+            if table is None:
+                continue
+            cuts = np.flatnonzero(codes(table)).tolist()
+            if len(cuts) > 1:
+                yield from placed(table.slice(0, cuts[-1]), cuts)
+            held = table.slice(cuts[-1]).combine_chunks().to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            yield from placed(table, [0, table.num_rows])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, kinds)
+
+
 def ddl(df: DataFrame, extra: str = "") -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + extra

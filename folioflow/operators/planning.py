@@ -17,6 +17,29 @@ def _renamed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return df.select(*keys, F.col("box_id").alias(name), box().alias(f"_{name}"), *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in (*keys, "box_id", *_SIDES)])
 
 
+def cells(lo: Column, hi: Column, size: float) -> Column:
+    return F.sequence(F.floor(lo / size), F.floor(hi / size))
+
+
+def meeting(a: DataFrame, b: DataFrame, keys: list[str], name_a: str, name_b: str, pad: float = 0.0, cell: float = 128.0) -> DataFrame:
+    """Pairs of boxes of a page that overlap or touch, or would if those of ``a`` were ``pad`` higher on both sides.
+
+    Boxes meet in the cells of the page that they cover, and a pair in the
+    cell of its common upper left corner alone: on a page of many boxes the
+    rows follow the boxes and their near neighbours, not all pairs.  Columns:
+    keys, the ids under the names, boxes under _name, others under name_other.
+    """
+
+    def placed(df: DataFrame, name: str, pad: float) -> DataFrame:
+        own = F.col(f"_{name}")
+        at = _renamed(df, keys, name).withColumn("_bx", F.explode(cells(own["x0"], own["x1"], cell)))
+        return at.withColumn("_by", F.explode(cells(own["y0"] - pad, own["y1"] + pad, cell)))
+
+    own, other = F.col(f"_{name_a}"), F.col(f"_{name_b}")
+    corner = (F.floor(F.greatest(own["x0"], other["x0"]) / cell) == F.col("_bx")) & (F.floor(F.greatest(own["y0"] - pad, other["y0"]) / cell) == F.col("_by"))
+    return placed(a, name_a, pad).join(placed(b, name_b, 0.0), [*keys, "_bx", "_by"]).where(corner).drop("_bx", "_by")
+
+
 def covered_share(lines: DataFrame, chars: DataFrame, keys: list[str]) -> DataFrame:
     """lines with covered: share of a line's x-span under visible glyphs whose centre lies in its height."""
     c = chars.where("NOT invisible").select(*keys, F.col("x0").alias("cx0"), F.col("x1").alias("cx1"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
@@ -42,22 +65,21 @@ def edge_cover(edges: DataFrame, rules: DataFrame, keys: list[str], snap: float
 
 def photo_hosts(figures: DataFrame, photos: DataFrame, keys: list[str], inside: float = 0.8) -> DataFrame:
     """Each figure's photo (80 % inside it, the smallest such), and per photo the figure of the best score (smaller id on ties)."""
-    j = _renamed(figures, keys, "figure").join(_renamed(photos, keys, "photo"), keys).where(inside_ratio(F.col("_figure"), F.col("_photo")) >= inside)
+    j = meeting(figures, photos, keys, "figure", "photo").where(inside_ratio(F.col("_figure"), F.col("_photo")) >= inside)
     host = j.groupBy(*keys, "figure").agg(F.min_by(F.struct("photo", F.col("figure_score").alias("score")), F.struct(area(F.col("_photo")), "photo")).alias("h"))
     return host.groupBy(*keys, F.col("h.photo").alias("photo")).agg(F.max_by("figure", F.struct("h.score", -F.col("figure"))).alias("figure"))
 
 
 def confirmed(tables: DataFrame, found: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
     """Tables that a model box confirms by IoU."""
-    hits = _renamed(tables, keys, "t").join(_renamed(found, keys, "m"), keys).where(iou(F.col("_t"), F.col("_m")) >= least).select(*keys, F.col("t").alias("box_id")).distinct()
+    hits = meeting(tables, found, keys, "t", "m").where(iou(F.col("_t"), F.col("_m")) >= least).select(*keys, F.col("t").alias("box_id")).distinct()
     return tables.join(hits, [*keys, "box_id"], "left_semi")
 
 
 def inner_boxes(boxes: DataFrame, keys: list[str]) -> DataFrame:
     """Boxes that do not strictly contain another box of the page."""
-    a, b = _renamed(boxes, keys, "a"), _renamed(boxes, keys, "b")
     holds = (F.col("_a.x0") <= F.col("_b.x0")) & (F.col("_a.y0") <= F.col("_b.y0")) & (F.col("_a.x1") >= F.col("_b.x1")) & (F.col("_a.y1") >= F.col("_b.y1")) & (area(F.col("_a")) > area(F.col("_b")))
-    outer = a.join(b, keys).where((F.col("a") != F.col("b")) & holds).select(*keys, F.col("a").alias("box_id")).distinct()
+    outer = meeting(boxes, boxes, keys, "a", "b").where((F.col("a") != F.col("b")) & holds).select(*keys, F.col("a").alias("box_id")).distinct()
     return boxes.join(outer, [*keys, "box_id"], "left_anti")
 
 
@@ -71,8 +93,7 @@ def _gap(a: str, b: str) -> Column:
 
 def table_titles(captions: DataFrame, tables: DataFrame, figures: DataFrame, keys: list[str], most: float = 30.0) -> DataFrame:
     """Captions nearer to a table than to any figure (a tie goes to the table)."""
-    c = _renamed(captions, keys, "caption")
-    near = lambda df, n: c.join(_renamed(df, keys, "o"), keys).groupBy(*keys, "caption").agg(F.min(_gap("_caption", "_o")).alias(n)).where(F.col(n) <= most)
+    near = lambda df, n: meeting(captions, df, keys, "caption", "o", most).groupBy(*keys, "caption").agg(F.min(_gap("_caption", "_o")).alias(n)).where(F.col(n) <= most)
     return near(tables, "t").join(near(figures, "f"), [*keys, "caption"], "left").where("f IS NULL OR t <= f").select(*keys, "caption", "t")
 
 

@@ -318,7 +318,7 @@ def test_reading_order_equals_plain_recursion():
         boxes = [(x := r.randrange(0, 500), y := r.randrange(0, 600), x + r.randrange(10, 200), y + r.randrange(6, 14), k) for k in range(r.randrange(1, 30))]
         own = np.array([b[:4] for b in boxes], float)
         want = recursive_order(boxes, float(np.median(own[:, 3] - own[:, 1])))
-        assert [boxes[i][:4] for i in L.cut_order(own)] == [b[:4] for b in want]
+        assert [boxes[i][:4] for i in L.cut_order(*own.T.tolist())] == [b[:4] for b in want]
 
 
 def test_dash_runs_equal_a_plain_chain():
@@ -371,3 +371,28 @@ def test_pages_read_by_ocr(spark):
     plain = read_pages(pages, chars)
     assert [(r["page"], r["confidence"]) for r in plain.blocks.orderBy("ord").collect()] == [(2, 0.2), (3, 0.7)]
     assert {r["page"]: (r["layer_chars"], r["in_blocks"], r["doubled"]) for r in plain.ledger.collect()} == {1: (0, 0, 0), 2: (8, 8, 0), 3: (9, 9, 0)}
+
+
+def test_boxes_meet_in_cells(spark):
+    """Pairs equal brute force, and a crowded page makes rows for near neighbours, not for all pairs."""
+    r = np.random.default_rng(4)
+    side = lambda n: r.integers(-40, 600, n).astype(float)
+    boxes = [(1, k, x, y, x + float(r.integers(0, 90)), y + float(r.integers(0, 300))) for k, (x, y) in enumerate(zip(side(150), side(150)))]
+    df = spark.createDataFrame(boxes, "page int, box_id int, x0 double, y0 double, x1 double, y1 double")
+    touch = lambda a, b, pad: a[2] <= b[4] and b[2] <= a[4] and a[3] - pad <= b[5] and b[3] <= a[5] + pad
+    for pad in (0.0, 30.0):
+        got = [(p["a"], p["b"]) for p in N.meeting(df, df, ["page"], "a", "b", pad).select("a", "b").collect()]
+        assert sorted(got) == sorted((a[1], b[1]) for a in boxes for b in boxes if touch(a, b, pad))
+    crowded = spark.range(10_000).select(F.lit(1).alias("page"), F.col("id").alias("box_id"), (F.col("id") % 100 * 130.0).alias("x0"), (F.floor(F.col("id") / 100) * 130.0).alias("y0"))
+    crowded = crowded.withColumns({"x1": F.col("x0") + 60, "y1": F.col("y0") + 60})
+    assert N.meeting(crowded, crowded, ["page"], "a", "b", 30.0).count() == 10_000
+
+
+def test_reading_order_of_a_page_over_many_batches(spark):
+    lines = spark.range(3000).select((F.col("id") % 3).alias("page"), F.col("id").alias("line_id"), F.lit(10.0).alias("x0"), (F.col("id") * 20.0).alias("y0"), F.lit(60.0).alias("x1"), (F.col("id") * 20.0 + 10).alias("y1"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = L.reading_order(lines.unionByName(lines.limit(0)), ["page"]).orderBy("page", "seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 3000 and all([r["line_id"] for r in got if r["page"] == p] == list(range(p, 3000, 3)) for p in range(3))
