@@ -377,7 +377,7 @@ def test_boxes_meet_in_cells(spark):
     """Pairs equal brute force, and a crowded page makes rows for near neighbours, not for all pairs."""
     r = np.random.default_rng(4)
     side = lambda n: r.integers(-40, 600, n).astype(float)
-    boxes = [(1, k, x, y, x + float(r.integers(0, 90)), y + float(r.integers(0, 300))) for k, (x, y) in enumerate(zip(side(150), side(150)))]
+    boxes = [(1, k, x, y, x + float(r.integers(0, 90)), y + float(r.integers(0, 300))) for k, (x, y) in enumerate(zip(side(150).tolist(), side(150).tolist()))]
     df = spark.createDataFrame(boxes, "page int, box_id int, x0 double, y0 double, x1 double, y1 double")
     touch = lambda a, b, pad: a[2] <= b[4] and b[2] <= a[4] and a[3] - pad <= b[5] and b[3] <= a[5] + pad
     for pad in (0.0, 30.0):
