@@ -36,8 +36,10 @@ def meeting(a: DataFrame, b: DataFrame, keys: list[str], name_a: str, name_b: st
         return at.withColumn("_by", F.explode(cells(own["y0"] - pad, own["y1"] + pad, cell)))
 
     own, other = F.col(f"_{name_a}"), F.col(f"_{name_b}")
-    corner = (F.floor(F.greatest(own["x0"], other["x0"]) / cell) == F.col("_bx")) & (F.floor(F.greatest(own["y0"] - pad, other["y0"]) / cell) == F.col("_by"))
-    return placed(a, name_a, pad).join(placed(b, name_b, 0.0), [*keys, "_bx", "_by"]).where(corner).drop("_bx", "_by")
+    left, top = F.greatest(own["x0"], other["x0"]), F.greatest(own["y0"] - pad, other["y0"])
+    corner = (F.floor(left / cell) == F.col("_bx")) & (F.floor(top / cell) == F.col("_by"))
+    common = (left <= F.least(own["x1"], other["x1"])) & (top <= F.least(own["y1"] + pad, other["y1"]))
+    return placed(a, name_a, pad).join(placed(b, name_b, 0.0), [*keys, "_bx", "_by"]).where(corner & common).drop("_bx", "_by")
 
 
 def covered_share(lines: DataFrame, chars: DataFrame, keys: list[str]) -> DataFrame:
