@@ -11,11 +11,13 @@ shingles or more use c = 4; at a containment of 0.8 a whole edited word costs
 five shingles, so such a run is always left.  Shorter templates use c = 1,
 where the signature is the shingle.
 
-A band that agrees is a shingle in common, so only windows that hold one of
-the templates' shingles are looked at, and a shingle is hashed only where its
-first, middle and last word are templates' words.  Signatures meet in a join
-with the small table of the templates' signatures (as many as the caller
-lists), and what goes on is the stretch of shingles around the window.
+A band that agrees is a shingle in common, so only windows are signed in which
+the first, middle and last word of some shingle are templates' words; nothing
+is lost.  Bands alone say which windows go on: those whose signature is one of
+the templates'.  They meet the templates in a join by band and signature, with
+the stretch of words around the window.  Templates are the caller's to list: a
+dictionary whose words and signatures are part of the plan, some thousands at
+most.
 
 Candidates are then verified: the share of the template's shingles that lie
 in a window of as many shingles must reach ``containment``.  Only matches are
@@ -112,27 +114,29 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, co
     known, vocabulary = _templates(spark, TEMPLATES if templates is None else templates)
     low, high = [t for t in known if len(t["h"]) < 2 * WIDE], [t for t in known if len(t["h"]) >= 2 * WIDE]
     longest = max((len(t["h"]) for t in known), default=1)
-    wanted = sorted({x for t in known for x in t["set"]})
+    # the templates' signatures: of single shingles, and by band of windows
+    signed = {(t["template"], -1, x) for t in low for x in t["h"]} | {(t["template"], s, b[s]) for t in high for b in t["bands"] for s in range(BANDS)}
+    signature_of = lambda single: sorted({sig for _, band, sig in signed if (band < 0) == single})
     w, at = F.col("w"), F.col("at")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _once(word_hashes(words(F.col(text_col)))).alias("w"))
-    # where a shingle of a template starts
+    # where a shingle of a template may start
     of = lambda i, k: F.get(w, i + k).isin(sorted(vocabulary))
-    rows = rows.select("doc_id", "w", _once(F.filter(_starts(w), lambda i: of(i, 0) & of(i, 2) & of(i, 4) & _shingle(w, i).isin(wanted))).alias("at")).where("size(at) > 0")
-    rows = rows.select("doc_id", "at", _once(F.transform(_starts(w), lambda i: _shingle(w, i))).alias("h"))
-    # signatures: of single shingles, and of the windows, every second one, that hold such a place
-    single = F.transform(at, lambda i: F.struct(F.lit(-1).alias("band"), F.get("h", i).alias("sig"), i.alias("pos")))
-    last = F.floor((F.size("h") - WIDE) / (WIDE // 2)) * (WIDE // 2)
-    near = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(0), F.lit(WIDE // 2)), lambda k: (F.floor(i / (WIDE // 2)) * (WIDE // 2) - k * (WIDE // 2)).cast("int")))))
-    windows = F.filter(near, lambda i: (i >= 0) & (i <= last))
-    banded = F.flatten(F.transform(windows, lambda i: F.array(*[F.struct(F.lit(s).alias("band"), _band(F.slice("h", i + 1, WIDE), s).alias("sig"), i.alias("pos")) for s in range(BANDS)])))
-    rows = rows.select("doc_id", "h", F.explode(F.array_distinct(F.concat(single, F.when(F.size("h") >= WIDE, banded).otherwise(F.array().cast("array<struct<band: int, sig: bigint, pos: int>>"))))).alias("s"))
+    rows = rows.select("doc_id", "w", (F.size("w") - WIDTH + 1).alias("n"), _once(F.filter(_starts(w), lambda i: of(i, 0) & of(i, 2) & of(i, 4))).alias("at")).where("size(at) > 0")
+    entry = lambda band, sig, pos: F.struct(F.lit(band).alias("band"), sig.alias("sig"), pos.alias("pos"))
+    single = F.filter(F.transform(at, lambda i: entry(-1, _shingle(w, i), i)), lambda x: x["sig"].isin(signature_of(True)))
+    # the windows, every second one, that hold such a place, their shingles, and their bands
+    half = WIDE // 2
+    last = F.floor((F.col("n") - WIDE) / half) * half
+    near = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(0), F.lit(half)), lambda k: (F.floor(i / half) * half - k * half).cast("int")))))
+    windows = F.transform(F.filter(near, lambda i: (i >= 0) & (i <= last)), lambda i: F.struct(i.alias("i"), F.array(*[_shingle(w, i + k) for k in range(WIDE)]).alias("h")))
+    banded = F.filter(F.flatten(F.transform(windows, lambda x: F.array(*[entry(s, _band(x["h"], s), x["i"]) for s in range(BANDS)]))), lambda x: x["sig"].isin(signature_of(False)))
+    none = F.array().cast("array<struct<band: int, sig: bigint, pos: int>>")
+    rows = rows.select("doc_id", "w", "n", F.explode(F.array_distinct(F.concat(single if low else none, F.when(F.col("n") >= WIDE, banded).otherwise(none) if high else none))).alias("s"))
     start = F.greatest(F.col("s.pos") - longest, F.lit(0))
-    rows = rows.select("doc_id", "s.*", F.size("h").alias("n"), start.alias("from"), F.slice("h", start + 1, F.lit(3 * longest)).alias("part"))
-    # the templates' signatures: a table of as many rows as the caller's templates have windows
-    signed = {(t["template"], -1, x) for t in low for x in t["h"]} | {(t["template"], s, b[s]) for t in high for b in t["bands"] for s in range(BANDS)}
+    rows = rows.select("doc_id", "s.*", "n", start.alias("from"), F.slice("w", start + 1, F.lit(3 * longest + WIDTH - 1)).alias("w"))
     signatures = spark.createDataFrame(sorted(signed), "template string, band int, sig bigint")
     sets = spark.createDataFrame([(t["template"], len(t["h"]), t["set"]) for t in known], "template string, m int, goal array<bigint>")
-    found = rows.join(F.broadcast(signatures.join(F.broadcast(sets), "template")), ["band", "sig"])
+    found = rows.join(F.broadcast(signatures.join(F.broadcast(sets), "template")), ["band", "sig"]).withColumn("part", _once(F.transform(_starts(w), lambda i: _shingle(w, i))))
     # windows of as many shingles as the template around the place, within the document
     end = F.greatest(F.col("n") - F.col("m"), F.lit(0))
     tried = F.sequence(F.least(F.greatest(F.col("pos") - F.col("m"), F.lit(0)), end), F.least(F.col("pos") + F.col("m"), end))
