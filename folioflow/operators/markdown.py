@@ -231,3 +231,27 @@ def markdown_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     rows = docs.select(F.col(id_col).alias("document_id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, SCHEMA.format(id=rows.schema["document_id"].dataType.simpleString()))
+
+
+class _Scan:
+    """A table function over rows of a text with its key: its blocks in order, or one row with what is wrong."""
+
+    def eval(self, row):
+        key, text = row[0], row[1]
+        try:
+            for i, b in enumerate(scan(text or "")):
+                yield key, i, b["kind"], b["text"], b["level"], b["section_path"], b["line_start"], b["line_end"], b["rows"], None
+        except TooDeep:
+            yield key, 0, None, None, None, None, None, None, None, "block nesting too deep"
+        except ValueError as e:
+            yield key, 0, None, None, None, None, None, None, None, str(e)
+
+
+def register(spark, name: str = "markdown_scan", id_type: str = "bigint") -> None:
+    """Makes the block rules callable from SQL: ``SELECT * FROM markdown_scan(TABLE(SELECT id, text FROM t))``.
+
+    The first column is the key, of ``id_type``, the second the text; with
+    ``PARTITION BY`` the rows of a key meet in one task, in the given order.
+    A text that nests too deep is one row with its error.
+    """
+    spark.udtf.register(name, F.udtf(_Scan, returnType=SCHEMA.format(id=id_type)))

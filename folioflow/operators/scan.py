@@ -10,6 +10,15 @@ from folioflow.functions.geometry import rounded, visible_point
 from folioflow.operators.planning import join_dashes
 
 
+#: Names of Korean fonts, and characters of Hangul (fixed patterns).
+KOREAN_FONT = (
+    r"(?i)(?:^|\+)(?-i:HY|HCR)|batang|gulim|dotum|gungs(?:uh|eo)|malgun|nanum|hamchorom|myeongjo|myungjo|kopub|spoqa"
+    r"|pretendard|applesd|noto\s*-?\s*(?:sans|serif)\s*-?\s*(?:cjk\s*-?\s*)?kr|source\s*han\s*(?:sans|serif)\s*-?\s*k"
+    r"|uniks|\bksc|korea1|함초롬|한컴|바탕|굴림|돋움|궁서|맑은|명조|고딕"
+)
+HANGUL = "^[\u1100-\u11ff\u3130-\u318f\ua960-\ua97f\uac00-\ud7a3\ud7b0-\ud7ff]"
+
+
 def visible_color(rgba: Column) -> Column:
     """Whether a colour (array of 0..255) shows on white paper; unknown colours do."""
     return F.coalesce((rgba[3] > 0) & (F.least(rgba[0], rgba[1], rgba[2]) < C.WHITE), F.lit(True))
@@ -86,19 +95,47 @@ def _clipped(rules: DataFrame) -> DataFrame:
     return kept.withColumns({c: rounded(F.col(c), 3) for c in ("pos", "start", "end")})
 
 
+def crowded_pages(paths: DataFrame, keys: list[str], most: int = C.MAX_SEGMENTS) -> DataFrame:
+    """keys, reason, points: pages whose rules are left out, for having more than ``most`` points of paths."""
+    return paths.groupBy(*keys).agg(F.sum(F.size("points")).alias("points")).where(F.col("points") > most).select(*keys, F.lit("too_many_paths").alias("reason"), "points")
+
+
 def page_rules(paths: DataFrame, keys: list[str]) -> DataFrame:
     """keys, axis, pos, start, end, fill of a page's subpaths (:func:`subpath_rules`, with width_pt and height_pt); dashes are joined.
 
-    A page with over 200,000 points of paths gives none: what it draws is no table.
+    A page with over 200,000 points of paths gives none, as what it draws is no
+    table; :func:`crowded_pages` names such pages.
     """
-    busy = paths.groupBy(*keys).agg(F.sum(F.size("points")).alias("_n")).where(F.col("_n") > C.MAX_SEGMENTS).select(*keys)
-    rules = subpath_rules(paths.join(busy, keys, "left_anti")).select(*keys, "width_pt", "height_pt", F.inline("rules"))
+    rules = subpath_rules(paths.join(crowded_pages(paths, keys).select(*keys), keys, "left_anti")).select(*keys, "width_pt", "height_pt", F.inline("rules"))
     short = F.col("end") - F.col("start") < C.MIN_RULE - C.LEN_EPS
     size = paths.select(*keys, "width_pt", "height_pt").distinct()
     joined = join_dashes(rules.where(short), keys).join(size, keys).select(*keys, "width_pt", "height_pt", "axis", "pos", "start", "end", F.lit(False).alias("fill"))
     return _clipped(rules.where(~short).unionByName(joined)).select(*keys, "axis", "pos", "start", "end", "fill")
 
 
+def glyph_losses(objects: DataFrame, glyphs: DataFrame, fonts: DataFrame) -> DataFrame:
+    """document_id, page, reason: documents whose Hangul a renderer has lost, each with the first page that shows it.
+
+    objects: document_id, page, object_id, font_id, invisible (the text
+    objects that pages hold); glyphs: document_id, page, object_id, text (what
+    came out of them); fonts: document_id, font_id, name, embedded, draws (it
+    can draw Hangul here).  A visible object without any glyph, in a font that
+    is neither embedded nor draws Hangul, may be one blank: what it held is
+    unknown.  It is lost Hangul if the font's name is Korean, or if the
+    document has Hangul and no font that gave some draws it.  Null flags count
+    as false, null names as no name, objects of no known font as fine.
+    """
+    key = ["document_id", "font_id"]
+    true = lambda c: F.coalesce(F.col(c), F.lit(False))
+    gone = objects.where(~true("invisible")).join(glyphs.select("document_id", "page", "object_id").distinct(), ["document_id", "page", "object_id"], "left_anti")
+    suspect = gone.join(fonts.where(~true("embedded") & ~true("draws")).select(*key, F.coalesce(F.col("name").rlike(KOREAN_FONT), F.lit(False)).alias("korean")), key)
+    hangul = glyphs.where(F.col("text").rlike(HANGUL)).select("document_id", "page", "object_id").distinct()
+    drawn = hangul.join(objects.select("document_id", "page", "object_id", "font_id"), ["document_id", "page", "object_id"]).join(fonts.select(*key, true("draws").alias("draws")), key, "left")
+    whole = drawn.groupBy("document_id").agg(F.max(F.coalesce("draws", F.lit(False))).alias("rendered"))
+    lost = suspect.join(whole, "document_id", "left").where("korean OR NOT coalesce(rendered, true)")
+    return lost.groupBy("document_id").agg(F.min("page").alias("page")).withColumn("reason", F.lit("font without Hangul glyphs"))
+
+
 def image_coverage(images: DataFrame) -> DataFrame:
     """Images (x0..y1 and frame in page coordinates, rotation) with coverage of the page and their visible box, 0..1; ``visible`` is null off the page."""
     w = F.least("x1", "frame.x1") - F.greatest("x0", "frame.x0")

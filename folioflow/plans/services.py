@@ -305,6 +305,32 @@ def png_checks(spark, sf_dir):
     return _t(spark, sf_dir, "nation").select(k, png_problem(kinds).isNull().alias("passed"))
 
 
+@query(f"WITH {_MARKED} SELECT document_id, CAST(ord AS INTEGER) AS ord, kind, text, CAST(level AS INTEGER) AS level, path FROM b UNION ALL SELECT r_regionkey + 100, 0, NULL, 'block nesting too deep', NULL, NULL FROM region")
+def markdown_in_sql(spark, sf_dir):
+    """The block rules as a table function, called in SQL with a partition for each document; texts that nest too deep are rows too."""
+    from folioflow.operators import markdown as M
+
+    M.register(spark, "folio_markdown_scan")
+    deep = _t(spark, sf_dir, "region").select((F.col("r_regionkey") + 100).cast("bigint").alias("document_id"), F.concat(F.repeat(F.lit(">"), 25), F.lit(" "), "r_name").alias("text"))
+    texts = _marked(spark, sf_dir).select(F.col("id").cast("bigint").alias("document_id"), F.col("md").alias("text")).unionByName(deep)
+    sql = "SELECT document_id, ord, kind, coalesce(error, text) AS text, level, array_join(section_path, ' / ') AS path FROM folio_markdown_scan(TABLE(SELECT document_id, text FROM {texts}) PARTITION BY document_id)"
+    return spark.sql(sql, texts=texts)
+
+
+@query("""WITH o AS (SELECT o_custkey AS d, CAST(o_orderkey % 40 AS INTEGER) AS page, o_orderkey AS id, o_orderkey % 9 AS f, o_orderkey % 8 = 0 AS invisible, o_orderkey % 5 <> 0 AS there, CASE WHEN o_custkey % 3 = 0 THEN o_orderkey % 4 = 1 ELSE false END AS hangul FROM orders),
+    w AS (SELECT d, bool_or(f IN (2, 5)) AS rendered FROM o WHERE there AND hangul GROUP BY 1)
+    SELECT d AS document_id, min(page) AS page, 'font without Hangul glyphs' AS reason FROM o LEFT JOIN w USING (d) WHERE NOT invisible AND NOT there AND f NOT IN (1, 2, 5) AND (f IN (0, 3, 7) OR rendered = false) GROUP BY d""")
+def glyph_losses(spark, sf_dir):
+    """Text objects without glyphs in fonts that cannot draw Hangul, in documents where that may be lost text."""
+    from folioflow.operators import scan
+
+    k, d = F.col("o_orderkey"), F.col("o_custkey")
+    o = _t(spark, sf_dir, "orders").select(d.alias("document_id"), (k % 40).cast("int").alias("page"), k.alias("object_id"), (k % 9).alias("font_id"), (k % 8 == 0).alias("invisible"), F.when((d % 3 == 0) & (k % 4 == 1), "가").otherwise("a").alias("text"))
+    names = F.array(*[F.lit(n) for n in ("ABCDEF+HYGothic", "Arial", "Times", "NanumGothic", "hyphen", "Courier", "Helvetica", "Noto Sans CJK KR", "SimSun")])
+    fonts = o.select("document_id", "font_id").distinct().select("*", F.get(names, F.col("font_id").cast("int")).alias("name"), (F.col("font_id") == 1).alias("embedded"), F.col("font_id").isin(2, 5).alias("draws"))
+    return scan.glyph_losses(o.drop("text"), o.where(F.col("object_id") % 5 != 0).select("document_id", "page", "object_id", "text"), fonts)
+
+
 # --- the feed as a stream ---------------------------------------------------------------------------------
 
 

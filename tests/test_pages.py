@@ -396,3 +396,21 @@ def test_reading_order_of_a_page_over_many_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) == 3000 and all([r["line_id"] for r in got if r["page"] == p] == list(range(p, 3000, 3)) for p in range(3))
+
+
+def test_crowded_pages_are_named(spark):
+    from folioflow.operators import scan
+
+    points = F.transform(F.sequence(F.lit(1), F.col("id") * 10), lambda k: F.struct(k.cast("double").alias("x"), F.lit(0.0).alias("y")))
+    paths = spark.range(1, 4).select(F.col("id").alias("page"), points.alias("points"))
+    assert [tuple(r) for r in scan.crowded_pages(paths, ["page"], 15).orderBy("page").collect()] == [(2, "too_many_paths", 20), (3, "too_many_paths", 30)]
+
+
+def test_lost_glyphs_by_name_and_by_document(spark):
+    from folioflow.operators import scan
+
+    objects = [("a", 3, 1, 1, False), ("a", 2, 2, 1, False), ("b", 1, 1, 1, False), ("b", 1, 2, 2, False), ("c", 1, 1, 1, True), ("d", 1, 1, 1, False), ("d", 1, 2, 2, False), ("e", 1, 1, 9, None)]
+    glyphs = [("b", 1, 2, "\ud55c"), ("d", 1, 2, "\uac00")]
+    fonts = [("a", 1, "HCR Dotum", False, False), ("b", 1, "Arial", False, False), ("b", 2, "Arial", None, None), ("c", 1, "Batang", False, False), ("d", 1, "Arial", False, False), ("d", 2, None, False, True)]
+    got = scan.glyph_losses(spark.createDataFrame(objects, "document_id string, page int, object_id int, font_id int, invisible boolean"), spark.createDataFrame(glyphs, "document_id string, page int, object_id int, text string"), spark.createDataFrame(fonts, "document_id string, font_id int, name string, embedded boolean, draws boolean"))
+    assert sorted((r["document_id"], r["page"]) for r in got.collect()) == [("a", 2), ("b", 1)]
