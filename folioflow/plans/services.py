@@ -331,6 +331,46 @@ def glyph_losses(spark, sf_dir):
     return scan.glyph_losses(o.drop("text"), o.where(F.col("object_id") % 5 != 0).select("document_id", "page", "object_id", "text"), fonts)
 
 
+# --- requests to drivers -----------------------------------------------------------------------------------
+
+
+def _clerk(request: dict) -> dict:
+    """A driver's answer by the last digit of the image: 3 is refused, 7 is busy at first, 9 stays busy."""
+    from folioflow.errors import DriverError
+
+    last = request["image_sha256"][-1]
+    if last == "3":
+        raise DriverError("refused", False, "no table")
+    if last == "9" or last == "7" and request["attempt"] == 1:
+        raise DriverError("busy", True)
+    return {"text": f"{request['task']} {request['image_sha256']}"}
+
+
+def _asked(spark, sf_dir):
+    from folioflow.operators import requests as RQ
+    from folioflow.testing.drivers import FunctionDriver
+
+    k = F.col("o_orderkey")
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job"), k.alias("request_id"), F.when(k % 2 == 0, "TABLE").otherwise("OCR").alias("task"), k.cast("string").alias("image_sha256"), F.lit(None).cast("string").alias("anchor_sha256"), F.array(F.lit("ko")).alias("language_hints"))
+    return o, RQ.answered(o, lambda: FunctionDriver(_clerk), at_once=4, attempts=2)
+
+
+@query("""SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 10 NOT IN (3, 9) THEN CASE o_orderkey % 2 WHEN 0 THEN 'TABLE ' ELSE 'OCR ' END || o_orderkey END AS text, CASE o_orderkey % 10 WHEN 3 THEN 'refused' WHEN 9 THEN 'busy' END AS code, CASE WHEN o_orderkey % 10 IN (3, 9) THEN o_orderkey % 10 = 9 END AS retryable, CAST(CASE WHEN o_orderkey % 10 IN (7, 9) THEN 2 ELSE 1 END AS INTEGER) AS attempts FROM orders""")
+def driver_answers(spark, sf_dir):
+    """Answers and errors of a driver, some of which pass when asked again."""
+    answers = _asked(spark, sf_dir)[1]
+    return answers.select("request_id", F.get_json_object("result", "$.text").alias("text"), "error.code", "error.retryable", "attempts")
+
+
+@query("""SELECT o_custkey AS job, count(*) AS total, count(*) FILTER (o_orderkey % 4 <> 0 AND o_orderkey % 10 NOT IN (3, 9)) AS answered, count(*) FILTER (o_orderkey % 4 <> 0 AND o_orderkey % 10 IN (3, 9)) AS failed, count(*) FILTER (o_orderkey % 4 = 0) AS waiting, count(*) FILTER (o_orderkey % 4 <> 0) / count(*) AS progress FROM orders GROUP BY 1""")
+def job_progress(spark, sf_dir):
+    """How far each job is while a quarter of its requests still waits."""
+    from folioflow.operators import requests as RQ
+
+    requests, answers = _asked(spark, sf_dir)
+    return RQ.job_progress(requests, answers.where(F.col("request_id") % 4 != 0), ["job"])
+
+
 # --- the feed as a stream ---------------------------------------------------------------------------------
 
 

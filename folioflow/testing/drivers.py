@@ -10,17 +10,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.errors import DriverError
 from folioflow.operators.figures import png_of
 
 
-class DriverError(Exception):
-    """What a driver reports: code, whether trying again may help, message."""
-
-    def __init__(self, code: str, retryable: bool = False, message: str = ""):
-        super().__init__(f"{code}: {message}")
-        self.code, self.retryable = code, retryable
-
-
 class ReplayMiss(AssertionError):
     """A request without a recording: a fault of the test, not of a driver."""
 
@@ -58,6 +51,17 @@ class ScriptedDriver:
         return {**step, "request_id": request.get("request_id")}
 
 
+class FunctionDriver(ScriptedDriver):
+    """Gives what a function makes of each request; DriverErrors that it raises are the driver's."""
+
+    def __init__(self, answer, driver_id: str = "function"):
+        super().__init__((), driver_id)
+        self._answer = answer
+
+    async def run(self, request: dict) -> dict:
+        return {**self._answer(request), "request_id": request.get("request_id")}
+
+
 class ReplayDriver(ScriptedDriver):
     """Gives the recording of a request's fingerprint."""
 

@@ -49,3 +49,28 @@ def test_first_ones_caps_and_modules(spark):
     assert sorted((r["k"], r["v"], r["seq"]) for r in sets.distinct_first(df, ["k"], "v", "o").collect()) == [(1, "a", 2), (1, "b", 1), (1, "c", 0), (2, "a", 0)]
     assert sorted((r["k"], r["o"]) for r in sets.first_n(df, ["k"], ["o"], 2).collect()) == [(1, 0), (1, 1), (2, 1)]
     assert sets.missing_modules("json", "no_such_module_here", "no_such.inner") == ["no_such_module_here", "no_such.inner"]
+
+
+def test_requests_are_awaited_a_few_at_once(spark):
+    from folioflow.operators import requests as RQ
+
+    class Crowd:
+        """Counts how many requests it holds at once; the slow one never answers in time."""
+
+        def __init__(self):
+            self.now = self.most = 0
+
+        async def run(self, request):
+            self.now += 1
+            self.most = max(self.most, self.now)
+            await asyncio.sleep(5 if request["image_sha256"] == "slow" else 0.001)
+            self.now -= 1
+            return {"most": self.most}
+
+    rows = spark.createDataFrame([(i, "OCR", "slow" if i == 5 else str(i), None, ["ko"]) for i in range(300)], "request_id int, task string, image_sha256 string, anchor_sha256 string, language_hints array<string>").coalesce(1)
+    got = {r["request_id"]: r for r in RQ.answered(rows, Crowd, at_once=3, attempts=2, seconds=0.2).collect()}
+    assert len(got) == 300 and max(json.loads(r["result"])["most"] for r in got.values() if r["result"]) <= 4  # one was given up in its sleep
+    assert (got[5]["result"], got[5]["error"]["code"], got[5]["attempts"]) == (None, "timeout", 2) and sum(r["error"] is None for r in got.values()) == 299
+    assert RQ.answered(rows.limit(0), Crowd).count() == 0
+    with pytest.raises(Exception, match="KeyError"):
+        RQ.answered(rows.limit(1), lambda: D.FunctionDriver(lambda r: {}["gone"])).collect()
