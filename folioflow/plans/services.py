@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -122,6 +124,50 @@ def pixel_points(spark, sf_dir):
     return O.to_points(b).select("o_orderkey", "x0", "y0", "x1", "y1")
 
 
+def _drawn_images(spark, sf_dir):
+    """An image a supplier: two dark bars, whose shade is a letter and whose width the key."""
+    @F.pandas_udf("binary")
+    def pixels(key: pd.Series) -> pd.Series:
+        def one(k: int) -> bytes:
+            page = np.full((120, 240, 3), 255, np.uint8)
+            page[20:40, 20 : 80 + 20 * (k % 4)] = 10 * (k % 7)
+            page[75:95, 30:170] = 10 * (k % 5)
+            return page.tobytes()
+
+        return key.map(one)
+
+    return _t(spark, sf_dir, "supplier").select("s_suppkey", F.lit(120).alias("height"), F.lit(240).alias("width"), pixels("s_suppkey").alias("pixels"))
+
+
+def _shade_models():
+    """Models of those images: text is what is dark, and a line's letter is its darkest shade."""
+    detector = lambda x: (x[0].mean(0) < 0).astype(np.float32)
+
+    def recogniser(lines):
+        out = np.zeros((len(lines), 3, 9), np.float32)
+        out[:, :, 0] = 1.0
+        shade = np.rint((np.array([line.min() for line in lines]) + 1) * 12.75).astype(int)
+        out[np.arange(len(lines)), 1, 0] = 0.0
+        out[np.arange(len(lines)), 1, shade + 1] = 1.0
+        return out
+
+    return detector, recogniser
+
+
+@query("""SELECT s_suppkey, CAST(l AS INTEGER) AS line_id, chr(CAST(97 + s_suppkey % (7 - 2 * l) AS INTEGER)) AS text, true AS placed FROM supplier, range(2) r(l)""")
+def image_lines(spark, sf_dir):
+    """Lines read from images of many pages, batched together, each over the bar that was drawn."""
+    lines = O.image_lines(_drawn_images(spark, sf_dir), ["s_suppkey"], _shade_models, ["", *"abcdefgh"])
+    left, right = F.array_min(F.filter("quad", lambda v, i: i % 2 == 0)), F.array_max(F.filter("quad", lambda v, i: i % 2 == 0))
+    end = F.when(F.col("line_id") == 0, 80 + 20 * (F.col("s_suppkey") % 4)).otherwise(170)
+    start = F.when(F.col("line_id") == 0, 20).otherwise(30)
+    # the box is the bar grown on all sides by 1.6 times its area over its girth
+    width = end - start
+    grown = 1.6 * width * 20 / (2 * (width + 20))
+    near = lambda a, b: F.abs(a - F.least(F.greatest(b, F.lit(0.0)), F.lit(239.0))) <= 2
+    return lines.select("s_suppkey", "line_id", "text", (near(left, start - grown) & near(right, end + grown)).alias("placed"))
+
+
 # --- views ---------------------------------------------------------------------------------------------
 
 

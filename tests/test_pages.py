@@ -414,3 +414,32 @@ def test_lost_glyphs_by_name_and_by_document(spark):
     fonts = [("a", 1, "HCR Dotum", False, False), ("b", 1, "Arial", False, False), ("b", 2, "Arial", None, None), ("c", 1, "Batang", False, False), ("d", 1, "Arial", False, False), ("d", 2, None, False, True)]
     got = scan.glyph_losses(spark.createDataFrame(objects, "document_id string, page int, object_id int, font_id int, invisible boolean"), spark.createDataFrame(glyphs, "document_id string, page int, object_id int, text string"), spark.createDataFrame(fonts, "document_id string, font_id int, name string, embedded boolean, draws boolean"))
     assert sorted((r["document_id"], r["page"]) for r in got.collect()) == [("a", 2), ("b", 1)]
+
+
+def test_lines_of_images_share_batches(spark):
+    """Crops of many pages are read together within the budget, each page keeps its own; odd rows have their results."""
+
+    def models():
+        detector = lambda x: (x[0].mean(0) < 0).astype(np.float32)
+
+        def recogniser(lines):
+            out = np.zeros((len(lines), 2, 12), np.float32)
+            out[:, 0, 1 + min(len(lines), 10)] = 1.0  # how many lines came together
+            out[:, 1, 0] = 1.0
+            return out
+
+        return detector, recogniser
+
+    page = np.full((100, 200, 3), 255, np.uint8)
+    page[20:40, 20:120] = 0
+    page[60:80, 20:120] = 0
+    rows = [(k, 100, 200, bytearray(page.tobytes())) for k in range(6)] + [(6, 100, 200, bytearray(b"xx")), (7, 1, 1, None), (8, 20, 20, bytearray(b"\xff" * 1200)), (9, 0, 0, bytearray())]
+    df = spark.createDataFrame(rows, "page int, height int, width int, pixels binary").coalesce(1)
+    symbols = ["", *"0123456789x"]
+    got = {(r["page"], r["line_id"]): r for r in O.image_lines(df, ["page"], models, symbols).collect()}
+    assert {k for k in got if k[1] is not None} == {(p, i) for p in range(6) for i in (0, 1)} and got[6, None]["error"] == "bytes do not fit the size"
+    assert {got[p, i]["text"] for p in range(6) for i in (0, 1)} == {"6"}  # twelve lines in two batches of six
+    assert all(got[p, 0]["quad"][1] < got[p, 1]["quad"][1] for p in range(6))
+    alone = O.image_lines(df, ["page"], models, symbols, budget=1).where("text IS NOT NULL").collect()
+    assert {r["text"] for r in alone} == {"2"} and len(alone) == 12
+    assert O.image_lines(df.limit(0), ["page"], models, symbols).count() == 0
