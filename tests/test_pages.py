@@ -443,3 +443,35 @@ def test_lines_of_images_share_batches(spark):
     alone = O.image_lines(df, ["page"], models, symbols, budget=1).where("text IS NOT NULL").collect()
     assert {r["text"] for r in alone} == {"2"} and len(alone) == 12
     assert O.image_lines(df.limit(0), ["page"], models, symbols).count() == 0
+
+
+def test_linear_resampling_equals_an_integer_loop():
+    """Pixel by pixel in plain integers, on random sizes up and down; blocks of rows change nothing."""
+    r = np.random.default_rng(12)
+
+    def taps(n_out, n_in, flat):
+        out = []
+        for i in range(n_out):
+            place = np.float32((i + 0.5) * (n_in / n_out) - 0.5)
+            k = int(np.floor(place))
+            part = np.float32(place - k)
+            if flat and (k < 0 or k >= n_in - 1):
+                part = np.float32(0)
+            out.append((min(max(k, 0), n_in - 1), min(max(k + 1, 0), n_in - 1), int(np.rint((np.float32(1) - part) * np.float32(2048))), int(np.rint(part * np.float32(2048)))))
+        return out
+
+    for _ in range(200):
+        h, w, height, width = (int(x) for x in r.integers(1, 14, 4))
+        image = r.integers(0, 256, (h, w, 3)).astype(np.uint8)
+        want = np.zeros((height, width, 3), int)
+        for y, (y0, y1, b0, b1) in enumerate(taps(height, h, False)):
+            for x, (x0, x1, a0, a1) in enumerate(taps(width, w, True)):
+                for c in range(3):
+                    top, foot = (int(image[q, x0, c]) * a0 + int(image[q, x1, c]) * a1 for q in (y0, y1))
+                    want[y, x, c] = min(max((((b0 * (top >> 4)) >> 16) + ((b1 * (foot >> 4)) >> 16) + 2) >> 2, 0), 255)
+        if (h, w) != (height, width):
+            assert (O.resized_linear(image, width, height) == want).all()
+    tall = r.integers(0, 256, (700, 5, 3)).astype(np.uint8)
+    before, O.ROWS = O.resized_linear(tall, 7, 900), 10_000
+    assert (before == O.resized_linear(tall, 7, 900)).all()
+    O.ROWS = 256
