@@ -39,6 +39,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in as many partitions as a shuffle has: rows of few bytes and much work, which adaptive execution would put together by their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 _WS = "'[\\s\\x1c-\\x1f]+'"
 _LINES = f"""l AS (SELECT doc_id, ord, text, trim(regexp_replace(text, {_WS}, ' ', 'g')) AS txt FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents))"""
 _IDS = f"""{_LINES},

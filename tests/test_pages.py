@@ -193,6 +193,40 @@ def test_borderless_large_page_stays_fast():
     cpu(lambda: BL.recover(page, (0, 0, 800, 5000), np.ones(len(page.glyphs.text), bool)), 2.0, 2)
 
 
+def test_borderless_small_pages_stay_fast():
+    rows = table([(100 + 25 * i, [(50, f"name {i}"), (200, "$"), (212, f"{i}2"), (300, "a b")]) for i in range(8)])
+    page = page_of(rows)
+    free = np.ones(len(page.glyphs.text), bool)
+    assert BL.recover(page, (40, 80, 400, 300), free)["failure"] is None
+    cpu(lambda: [BL.settled(page_of(rows), free, [], [(0.9, (40, 80, 400, 300))], []) for _ in range(40)], 0.4)
+
+
+def test_tables_of_pages_read_where_they_lie(spark):
+    """The same cells as from glyph, rule and box rows, without an exchange."""
+    r, pages, chars, rules, boxes = random.Random(5), {}, [], [], []
+    for p in range(30):
+        g = table([(100 + 25 * i, [(50, f"label {i}"), (220, "$"), (232, f"{i}{p}"), (330, r.choice(["5%", "표 값", "x y"]))]) for i in range(r.randint(1, 7))])
+        side = [("h", 112.0, 40.0, 400.0, False)] * (p % 2) + [("v", 210.0, 80.0, 300.0, True)] * (p % 3 == 0)
+        own = [("model", 0.9, (40.0, 80.0, 420.0, 170.0 + 10 * p))] * (p % 4 != 3) + [("protected", None, (0.0, 0.0, 60.0, 60.0))]
+        pages[p] = (g, side, own)
+        chars += [("d", p, q["char_id"], q["text"], q["x0"], q["y0"], q["x1"], q["y1"], q["baseline"], q["size"], q["char_id"] % 11 == 3, False, 600.0, 800.0) for q in g]
+        rules += [("d", p, *q) for q in side]
+        boxes += [("d", p, kind, score, *b) for kind, score, b in own]
+
+    def read(row):
+        g, side, own = pages[row["page"]]
+        columns = {c: [q[c] for q in g] for c in ("char_id", "text", "x0", "y0", "x1", "y1", "baseline", "size")}
+        return {"chars": columns | {"taken": [k % 11 == 3 for k in columns["char_id"]]}, "rules": dict(zip(("axis", "pos", "start", "end", "fill"), zip(*side))) if side else None, "boxes": own, "width_pt": 600.0, "height_pt": 800.0}
+
+    frame = lambda rows, schema: spark.createDataFrame(rows, "document_id string, page int, " + schema)
+    box = "x0 double, y0 double, x1 double, y1 double"
+    want = BL.borderless_tables(frame(chars, f"char_id bigint, text string, {box}, baseline double, size double, taken boolean, invisible boolean, width_pt double, height_pt double"), frame(rules, "axis string, pos double, start double, `end` double, fill boolean"), frame(boxes, f"kind string, score double, {box}"), ["document_id", "page"])
+    got = BL.read_tables(spark.createDataFrame([("d", p) for p in pages], "document_id string, page int"), read, ["document_id", "page"])
+    assert got.schema == want.schema and "Exchange" not in got._jdf.queryExecution().toString()
+    rows = [sorted(map(str, df.collect())) for df in (got, want)]
+    assert rows[0] == rows[1] and len(rows[0]) > 200
+
+
 # --- figures ------------------------------------------------------------------------------
 
 
