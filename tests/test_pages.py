@@ -600,3 +600,24 @@ def test_blocks_of_pages_read_where_they_lie(spark):
     for d in range(5):
         own = [s for a, p, s in ink if a == d and (d == 4 or p != 2)]
         assert body[d] == min(own, key=lambda s: (-own.count(s), s))
+
+
+def test_caption_pairs_keep_their_rounds_as_tables(spark):
+    r = random.Random(8)
+    box = lambda k: (1, k, x := r.uniform(0, 200), y := r.uniform(0, 200), x + r.uniform(10, 60), y + r.uniform(5, 30))
+    rows = [[box(k) for k in range(40)] for _ in range(2)]
+    figures, captions = (spark.createDataFrame(b, "page int, box_id int, x0 double, y0 double, x1 double, y1 double") for b in rows)
+    near = []
+    for _, f, *a in rows[0]:
+        for _, c, *b in rows[1]:
+            gap = max(b[1] - a[3], a[1] - b[3], 0.0)
+            if min(a[2], b[2]) - max(a[0], b[0]) >= 0.3 * min(a[2] - a[0], b[2] - b[0]) and gap <= 30:
+                near.append((gap, f, c))
+    want: dict = {}
+    for _, f, c in sorted(near):
+        if f not in want and c not in want.values():
+            want[f] = c
+    got = L.caption_pairs(figures, captions, ["page"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "ExistingRDD" not in plan  # columns in files, not checkpoints of whole rows
+    assert {x["figure"]: x["caption"] for x in got.collect()} == want and len(want) > 20
